@@ -1,0 +1,119 @@
+"""Running a model: staged tables, dimensions, facts, bridges and aggregates."""
+
+from __future__ import annotations
+
+from collections.abc import Mapping
+from dataclasses import dataclass, field, replace
+from datetime import datetime
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tristrata.functions.columns import update_stamp
+from tristrata.operators.dimensions import (
+    bridge_sources, build_bridge, build_dimension_scd1, build_dimension_scd2, dimension_key_columns,
+)
+from tristrata.operators.facts import build_fact, effective_date
+from tristrata.operators.gold import build_gold
+from tristrata.operators.quality import run_checks
+from tristrata.operators.scd import snapshot_check, snapshot_timestamp
+from tristrata.operators.staging import stage
+from tristrata.plans.specs import DimensionSpec, ModelSpec, TableSpec, unique_names
+from tristrata.sources.incremental import (
+    DEFAULT_LOOKBACK_DAYS, incremental_filter, newest_date, upsert_incremental,
+)
+from tristrata.sources.tables import layer_path, publish_view, read_table, table_exists, write_table
+
+
+@dataclass
+class Built:
+    """Tables of a model by name, lazy or stored, and what the checks need to know about them."""
+
+    sources: dict[str, DataFrame]
+    model: ModelSpec
+    effective_dates: dict[str, str | None]
+    tables: dict[str, DataFrame] = field(default_factory=dict)
+
+    def checks(self, as_of: datetime | str | None = None) -> DataFrame:
+        return run_checks(self.sources, self.tables, self.model, self.effective_dates, as_of)
+
+
+def _prepare(sources: Mapping[str, DataFrame], model: ModelSpec) -> Built:
+    staged = {name: stage(df) for name, df in sources.items()}
+    model = replace(model, gold=unique_names(model.gold))
+    dates = {f.name: effective_date(staged, f, model.tables.get(f.source, TableSpec())) for f in model.facts}
+    return Built(staged, model, dates)
+
+
+def _next_snapshot(previous: DataFrame | None, source: DataFrame, spec: DimensionSpec, table: TableSpec, run_at):
+    key = dimension_key_columns(source, spec, table)
+    stamp = update_stamp(source)
+    if stamp:
+        return snapshot_timestamp(previous, source, key, stamp)
+    return snapshot_check(previous, source, key, run_at)
+
+
+def build_model(sources: Mapping[str, DataFrame], model: ModelSpec, run_at: datetime | str) -> Built:
+    """Every table of the model as a lazy DataFrame; nothing is written.
+
+    SCD2 dimensions hold the versions opened at ``run_at`` (or at the source's update stamp).
+    """
+    built = _prepare(sources, model)
+    for spec in model.dimensions:
+        source, table = built.sources[spec.source], model.tables.get(spec.source, TableSpec())
+        if spec.scd_type == 2:
+            snapshot = _next_snapshot(None, source, spec, table, run_at)
+            built.tables[spec.name] = build_dimension_scd2(snapshot, spec, table)
+        else:
+            built.tables[spec.name] = build_dimension_scd1(source, spec, table)
+    for spec in model.facts:
+        built.tables[spec.name] = build_fact(built.sources, spec, model.tables)
+    for name in bridge_sources(built.sources, model):
+        built.tables[f"bridge_{name}"] = build_bridge(built.sources[name])
+    for spec in built.model.gold:
+        fact = model.fact(spec.fact)
+        built.tables[spec.name] = build_gold(
+            built.tables[spec.fact], spec, fact.measure_names, built.effective_dates[spec.fact])
+    return built
+
+
+def run_model(
+    spark: SparkSession, sources: Mapping[str, DataFrame], model: ModelSpec, root: str, run_at: datetime | str,
+    lookback_days: int = DEFAULT_LOOKBACK_DAYS, refresh_gold: bool = True,
+) -> Built:
+    """Advance the stored model below ``root`` by one run.
+
+    Snapshots and undated facts get a new version, dated facts are upserted over the lookback window, other
+    tables are refreshed. Each step starts from stored tables, so a fact is computed once however many
+    aggregates read it, and a failed run is repeated from its last stored table.
+    """
+    built = _prepare(sources, model)
+    for name, df in built.sources.items():
+        publish_view(df, model.tables.get(name, TableSpec()).layer, name)
+    for spec in model.dimensions:
+        source, table = built.sources[spec.source], model.tables.get(spec.source, TableSpec())
+        target = layer_path(root, "silver", spec.name)
+        if spec.scd_type == 2:
+            path = layer_path(root, "snapshots", f"snap_{spec.source}")
+            previous = read_table(spark, path) if table_exists(spark, path) else None
+            snapshot = write_table(_next_snapshot(previous, source, spec, table, run_at), path)
+            built.tables[spec.name] = write_table(build_dimension_scd2(snapshot, spec, table), target)
+        else:
+            built.tables[spec.name] = write_table(build_dimension_scd1(source, spec, table), target)
+    for spec in model.facts:
+        fact, path = build_fact(built.sources, spec, model.tables), layer_path(root, "silver", spec.name)
+        date = built.effective_dates[spec.name]
+        if date is None:
+            built.tables[spec.name] = write_table(fact, path)
+            continue
+        recent = incremental_filter(fact, date, newest_date(spark, path, date), lookback_days)
+        table = model.tables.get(spec.source, TableSpec())
+        keyed_by_date = date in (spec.natural_key or table.primary_key)
+        built.tables[spec.name] = upsert_incremental(recent, path, spec.key_column, date, key_has_date=keyed_by_date)
+    for name in bridge_sources(built.sources, model):
+        target = layer_path(root, "silver", f"bridge_{name}")
+        built.tables[f"bridge_{name}"] = write_table(build_bridge(built.sources[name]), target)
+    for spec in built.model.gold if refresh_gold else ():
+        fact = model.fact(spec.fact)
+        gold = build_gold(built.tables[spec.fact], spec, fact.measure_names, built.effective_dates[spec.fact])
+        built.tables[spec.name] = write_table(gold, layer_path(root, "gold", spec.name))
+    return built
