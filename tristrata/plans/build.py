@@ -12,7 +12,7 @@ from tristrata.functions.columns import update_stamp
 from tristrata.operators.dimensions import (
     bridge_sources, build_bridge, build_dimension_scd1, build_dimension_scd2, dimension_key_columns,
 )
-from tristrata.operators.facts import build_fact, effective_date
+from tristrata.operators.facts import build_fact, effective_date, fact_date, fact_key_columns
 from tristrata.operators.gold import build_gold
 from tristrata.operators.quality import run_checks
 from tristrata.operators.scd import snapshot_check, snapshot_timestamp
@@ -106,8 +106,8 @@ def run_model(
             built.tables[spec.name] = write_table(fact, path)
             continue
         recent = incremental_filter(fact, date, newest_date(spark, path, date), lookback_days)
-        table = model.tables.get(spec.source, TableSpec())
-        keyed_by_date = date in (spec.natural_key or table.primary_key)
+        own_date = fact_date(built.sources[spec.source], spec.date)
+        keyed_by_date = date in fact_key_columns(spec, model.tables.get(spec.source, TableSpec()), own_date)
         built.tables[spec.name] = upsert_incremental(recent, path, spec.key_column, date, key_has_date=keyed_by_date)
     for name in bridge_sources(built.sources, model):
         target = layer_path(root, "silver", f"bridge_{name}")

@@ -50,6 +50,8 @@ def windowed_gold(
     unit = grain_unit(spec.grain)
     if unit not in ("day", "week"):
         raise ValueError(f"{spec.name}: a stream is aggregated by day or week, not by {unit}")
+    if stream.sparkSession.conf.get("spark.sql.session.timeZone") not in ("UTC", "Etc/UTC", "GMT"):
+        raise ValueError("streaming windows count from midnight UTC: set spark.sql.session.timeZone to UTC")
     # Watermarks need zoned timestamps; windows count from a Thursday, weeks start four days later.
     event_time = F.col(spec.date).cast("timestamp")
     window = F.window("__t", "1 day") if unit == "day" else F.window("__t", "7 days", startTime="4 days")
