@@ -1,3 +1,3 @@
 """Importing this module registers every query."""
 
-from sample_queries import history, star_schema  # noqa: F401
+from sample_queries import analysis, history, star_schema  # noqa: F401
