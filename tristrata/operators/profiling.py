@@ -16,15 +16,27 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from tristrata.functions.columns import DATE_TYPES
 
-SKETCH_ERROR = 0.02
+# Sketches of 2^12 registers: their standard error is 1.04 / sqrt(2^12).
+SKETCH_LOG_REGISTERS = 12
+SKETCH_ERROR = 1.04 / 2 ** (SKETCH_LOG_REGISTERS / 2)
 
 # A sketch this many standard errors below the row count rules a key out; true keys practically never are.
 SKETCH_MARGIN = 6
 
+# Candidates are tried on this fraction of their values before they are tried on all.
+SLICES = 64
+
 # Columns per 64-bit mask; the sign bit stays free.
 MASK_BITS = 62
 
 
+def _sketched_distinct(*columns: str | Column) -> Column:
+    """Approximate number of distinct combinations; a combination whose first column is NULL is left out."""
+    first = F.col(columns[0]) if isinstance(columns[0], str) else columns[0]
+    value = F.when(first.isNotNull(), F.xxhash64(*columns))
+    return F.hll_sketch_estimate(F.hll_sketch_agg(value, SKETCH_LOG_REGISTERS))
+
+
 def profile_columns(table: str, df: DataFrame, exact: bool = False) -> DataFrame:
     """Per column: type, nullable, rows, NULLs, distinct values, least and greatest value as text.
 
@@ -37,7 +49,7 @@ def profile_columns(table: str, df: DataFrame, exact: bool = False) -> DataFrame
         if isinstance(f.dataType, T.MapType):
             distinct = F.max(F.lit(None).cast("bigint"))
         else:
-            distinct = F.count_distinct(column) if exact else F.approx_count_distinct(column, SKETCH_ERROR)
+            distinct = F.count_distinct(column) if exact else _sketched_distinct(column)
         extremes = [F.min(column), F.max(column)] if simple else [F.max(F.lit(None).cast("string"))] * 2
         aggregates += [
             F.count_if(column.isNull()).alias(f"nulls{i}"), distinct.alias(f"distinct{i}"),
@@ -71,7 +83,7 @@ def discover_keys(df: DataFrame, max_columns: int = 3) -> list[tuple[str, ...]]:
         return []
     stats = df.agg(
         F.count(F.lit(1)).alias("rows"), *(F.count(c).alias(f"present_{c}") for c in names),
-        *(F.approx_count_distinct(c, SKETCH_ERROR).alias(f"distinct_{c}") for c in names),
+        *(_sketched_distinct(c).alias(f"distinct_{c}") for c in names),
     ).first()
     rows = stats["rows"]
     if rows == 0:
@@ -86,18 +98,28 @@ def discover_keys(df: DataFrame, max_columns: int = 3) -> list[tuple[str, ...]]:
         possible = [c for c in combinations(parts, size)
                     if prod(distinct[p] for p in c) * slack >= rows and not any(set(k) <= set(c) for k in keys)]
         if possible:
-            sketches = df.agg(*(F.approx_count_distinct(F.xxhash64(*c), SKETCH_ERROR).alias(str(i))
-                                for i, c in enumerate(possible))).first()
+            sketches = df.agg(*(_sketched_distinct(*c).alias(str(i)) for i, c in enumerate(possible))).first()
             keys += _verified(df, [c for i, c in enumerate(possible) if sketches[i] >= least])
     return keys
 
 
 def _verified(df: DataFrame, candidates: Sequence[tuple[str, ...]]) -> list[tuple[str, ...]]:
-    """Those candidates of which no value occurs twice; one job, one found duplicate ends a candidate."""
-    if not candidates:
-        return []
-    repeats = [df.groupBy(*c).count().filter("count > 1").select(F.lit(i).alias("i")).limit(1)
-               for i, c in enumerate(candidates)]
+    """Those candidates of which no value occurs twice.
+
+    All copies of a value fall into one slice of values, so a repeat found in a slice refutes a candidate for
+    good; only candidates that survive one slice are counted in full.
+    """
+    if len(candidates) > 1:
+        candidates = _unrefuted(df, candidates, slice_only=True)
+    return _unrefuted(df, candidates, slice_only=False) if candidates else []
+
+
+def _unrefuted(df: DataFrame, candidates: Sequence[tuple[str, ...]], slice_only: bool) -> list[tuple[str, ...]]:
+    """One job for all candidates; one repeat ends a candidate."""
+    repeats = []
+    for i, c in enumerate(candidates):
+        rows = df.filter(F.pmod(F.xxhash64(*c), F.lit(SLICES)) == 0) if slice_only else df
+        repeats.append(rows.groupBy(*c).count().filter("count > 1").select(F.lit(i).alias("i")).limit(1))
     refuted = {row["i"] for row in reduce(DataFrame.unionAll, repeats).collect()}
     return [c for i, c in enumerate(candidates) if i not in refuted]
 
