@@ -13,7 +13,7 @@ from sample_queries.star_schema import FACT_SQL, lineitem_fact, monthly_quantity
 from tristrata.operators.metrics import query_metric
 from tristrata.operators.facts import build_fact
 from tristrata.operators.periods import cumulative
-from tristrata.operators.profiling import discover_fks, discover_keys, profile_tables
+from tristrata.operators.profiling import discover_all_keys, discover_fks, profile_tables
 from tristrata.operators.quality import check_freshness, check_not_null, check_relationships, check_unique
 from tristrata.plans.build import build_model
 from tristrata.plans.propose import propose_model, two_hop_frame
@@ -252,7 +252,7 @@ and not exists (select 1 from parts p join counted d on d.t = p.t and d.k = p.pa
 def discover_keys_of_tables(spark, folder):
     """Minimal keys of up to three columns of every table."""
     tables = load(spark, folder, *ALL_TABLES)
-    rows = [(name, ", ".join(key), len(key)) for name, df in tables.items() for key in discover_keys(df)]
+    rows = [(name, ", ".join(key), len(key)) for name, keys in discover_all_keys(tables).items() for key in keys]
     return spark.createDataFrame(rows, "table_name string, key_columns string, n_columns bigint")
 
 
@@ -289,7 +289,7 @@ shared as (
 def discover_fks_of_tables(spark, folder):
     """Every inclusion of an integer or text column in a single-column key, ranked per column."""
     tables = load(spark, folder, *ALL_TABLES)
-    return discover_fks(tables, {name: discover_keys(df, 1) for name, df in tables.items()})
+    return discover_fks(tables, discover_all_keys(tables, 1))
 
 
 _EDGES_SQL = _inclusion_sql() + """, edges as (

@@ -7,6 +7,7 @@ short row per column, key or dependency, never data.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
 from itertools import combinations
@@ -40,20 +41,20 @@ def _sketched_distinct(*columns: str | Column) -> Column:
 def profile_columns(table: str, df: DataFrame, exact: bool = False) -> DataFrame:
     """Per column: type, nullable, rows, NULLs, distinct values, least and greatest value as text.
 
-    One pass. Distinct counts are sketched unless ``exact``, which shuffles every value. Least and greatest
-    stay NULL for arrays, maps and structs, distinct counts for maps.
+    One pass with sketched distinct counts. ``exact`` counts each column's values apart, so that one column is
+    read and shuffled at a time. Least and greatest stay NULL for arrays, maps and structs, distinct counts
+    for maps.
     """
     aggregates = [F.count(F.lit(1)).alias("rows")]
     for i, f in enumerate(df.schema):
         column, simple = F.col(f"`{f.name}`"), not isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType))
-        if isinstance(f.dataType, T.MapType):
-            distinct = F.max(F.lit(None).cast("bigint"))
-        else:
-            distinct = F.count_distinct(column) if exact else _sketched_distinct(column)
-        extremes = [F.min(column), F.max(column)] if simple else [F.max(F.lit(None).cast("string"))] * 2
+        countable = not exact and not isinstance(f.dataType, T.MapType)
+        nothing = F.max(F.lit(None).cast("string"))
         aggregates += [
-            F.count_if(column.isNull()).alias(f"nulls{i}"), distinct.alias(f"distinct{i}"),
-            extremes[0].cast("string").alias(f"min{i}"), extremes[1].cast("string").alias(f"max{i}"),
+            F.count_if(column.isNull()).alias(f"nulls{i}"),
+            (_sketched_distinct(column) if countable else F.max(F.lit(None).cast("bigint"))).alias(f"distinct{i}"),
+            (F.min(column).cast("string") if simple else nothing).alias(f"min{i}"),
+            (F.max(column).cast("string") if simple else nothing).alias(f"max{i}"),
         ]
     rows = F.array(*(
         F.struct(
@@ -64,7 +65,15 @@ def profile_columns(table: str, df: DataFrame, exact: bool = False) -> DataFrame
             F.col(f"max{i}").alias("max_value"),
         ) for i, f in enumerate(df.schema)
     ))
-    return df.agg(*aggregates).select(F.explode(rows).alias("row")).select("row.*")
+    profile = df.agg(*aggregates).select(F.explode(rows).alias("row")).select("row.*")
+    if not exact:
+        return profile
+    counted = reduce(DataFrame.unionAll, (
+        df.agg(F.count_distinct(F.col(f"`{f.name}`")).alias("__distinct")).withColumn("position", F.lit(i + 1))
+        for i, f in enumerate(df.schema) if not isinstance(f.dataType, T.MapType)
+    ))
+    exactly = profile.join(counted, "position", "left").withColumn("distinct_count", F.col("__distinct"))
+    return exactly.select(profile.columns)
 
 
 def profile_tables(tables: Mapping[str, DataFrame], exact: bool = False) -> DataFrame:
@@ -124,6 +133,15 @@ def _unrefuted(df: DataFrame, candidates: Sequence[tuple[str, ...]], slice_only:
     return [c for i, c in enumerate(candidates) if i not in refuted]
 
 
+def discover_all_keys(
+    tables: Mapping[str, DataFrame], max_columns: int = 3, parallel: int = 8
+) -> dict[str, list[tuple[str, ...]]]:
+    """``discover_keys`` of many tables; the jobs of ``parallel`` tables run side by side."""
+    with ThreadPoolExecutor(parallel) as pool:
+        found = pool.map(lambda df: discover_keys(df, max_columns), tables.values())
+        return dict(zip(tables, found))
+
+
 @dataclass(frozen=True)
 class _Cells:
     """One column whose values take part in the search for inclusions."""

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 from tristrata.functions.columns import DATE_TYPES, FRACTION_TYPES, date_columns, is_date, is_measure
 from tristrata.functions.names import AUDIT_DATES, PROVENANCE_KEYS, TRACKED_ENTITIES
 from tristrata.operators.facts import effective_date
-from tristrata.operators.profiling import discover_fks, discover_keys
+from tristrata.operators.profiling import discover_all_keys, discover_fks
 from tristrata.plans.specs import (
     DimensionSpec, FactSpec, ForeignKey, GoldSpec, KeyPath, Metric, ModelSpec, TableSpec, unique_names,
 )
@@ -38,8 +38,9 @@ def find_tables(
     earlier is the parent.
     """
     declared = declared or {}
-    keys = {n: [declared[n].primary_key] if n in declared and declared[n].primary_key
-            else discover_keys(df, max_key_columns) for n, df in sources.items()}
+    stated = {n: [declared[n].primary_key] for n in sources if n in declared and declared[n].primary_key}
+    unknown = {n: df for n, df in sources.items() if n not in stated}
+    keys = stated | discover_all_keys(unknown, max_key_columns)
     tables = {n: declared.get(n) or TableSpec(primary_key=_best_key(df, keys[n])) for n, df in sources.items()}
     if all(n in declared for n in sources):
         return tables, keys
