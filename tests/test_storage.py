@@ -5,11 +5,17 @@ from pyspark.sql import functions as F
 
 from tests.conftest import rows
 from tristrata.plans.specs import GoldSpec, Metric
-from tristrata.session import new_work_path, work_dir
-from tristrata.sources.incremental import incremental_filter, newest_date, read_fact, upsert_incremental
+from tristrata.operators.gold import build_gold
+from tristrata.operators.scd import snapshot_check
+from tristrata.session import new_work_path, staged, work_dir
+from tristrata.sources.files import path_exists
+from tristrata.sources.incremental import (
+    incremental_filter, merge_months, newest_date, read_fact, refresh_gold, upsert_incremental,
+)
 from tristrata.sources.readers import read_partitioned, read_sources
 from tristrata.sources.tables import (
-    layer_path, publish_view, read_table, table_exists, write_bucketed, write_profile, write_table,
+    layer_path, publish_view, read_open_versions, read_snapshot, read_table, table_exists, write_bucketed,
+    write_profile, write_snapshot, write_table,
 )
 from tristrata.streaming.streams import read_file_stream, stream_fact, stream_gold, windowed_gold
 
@@ -52,7 +58,7 @@ def test_versions_are_committed_before_they_are_read(spark, tmp_path):
     write_table(spark.range(3), path)
     write_table(read_table(spark, path).filter("id > 0"), path)  # rebuilt from itself
     assert read_table(spark, path).count() == 2
-    (tmp_path / "gold" / "agg" / "v000003").mkdir()  # a job that did not finish
+    (tmp_path / "gold" / "agg" / "v000000003").mkdir()  # a job that did not finish
     assert read_table(spark, path).count() == 2
     write_table(spark.range(9), path)
     assert read_table(spark, path).count() == 9
@@ -115,6 +121,59 @@ def test_incremental_filter_reaches_the_scan(spark, tmp_path):
     assert "PushedFilters: [Or(GreaterThan(d,2024-01-03),IsNull(d))]" in plan._jdf.queryExecution().toString()
 
 
+@pytest.mark.parametrize("grain", ["daily", "weekly", "monthly", "yearly"])
+def test_refreshed_aggregate_equals_full_rebuild(spark, tmp_path, grain):
+    fact, gold = str(tmp_path / "fct"), str(tmp_path / "gold")
+    spec = GoldSpec("agg", "fct", grain, (), (Metric("n", "COUNT"), Metric("v", "SUM", "v")))
+
+    def day(m, d):
+        return date(2024, m, d)
+
+    upsert_incremental(facts(spark, ("a", day(1, 5), 1), ("b", day(1, 31), 1), ("c", day(2, 1), 1), ("d", day(4, 9), 1),
+                             ("e", date(2023, 12, 31), 1), ("u", None, 1)), fact, "sk", "d")
+    refresh_gold(spark, fact, gold, spec, "d")
+    for batch in ([("b", day(1, 30), 5), ("f", day(2, 2), 7)], [("d", day(3, 31), 2)], [("u", day(1, 1), 3)],
+                  [("e", None, 4)], []):
+        months = merge_months(facts(spark, *batch), fact, "sk", "d")
+        got = refresh_gold(spark, fact, gold, spec, "d", months=months)
+        assert rows(got) == rows(build_gold(read_fact(spark, fact), spec, fact_date="d"))
+
+
+def test_refresh_leaves_other_months_alone(spark, tmp_path):
+    fact, gold = str(tmp_path / "fct"), str(tmp_path / "gold")
+    spec = GoldSpec("agg", "fct", "monthly", (), (Metric("n", "COUNT"),))
+    upsert_incremental(facts(spark, ("a", date(2024, 1, 5), 1), ("b", date(2024, 2, 5), 1)), fact, "sk", "d")
+    refresh_gold(spark, fact, gold, spec, "d")
+    untouched = sorted(p.name for p in (tmp_path / "gold" / "load_month=2024-01-01").glob("*.parquet"))
+    months = merge_months(facts(spark, ("c", date(2024, 2, 9), 1)), fact, "sk", "d")
+    assert months == [date(2024, 2, 1)]
+    assert rows(refresh_gold(spark, fact, gold, spec, "d", months=months)) == [(date(2024, 1, 1), 1), (date(2024, 2, 1), 2)]
+    assert sorted(p.name for p in (tmp_path / "gold" / "load_month=2024-01-01").glob("*.parquet")) == untouched
+
+
+def test_stored_snapshot_keeps_history_without_rewriting(spark, tmp_path):
+    path, schema = str(tmp_path / "snap"), "id int, name string"
+    for day, values in ((1, [(1, "a"), (2, "x")]), (2, [(1, "b"), (2, "x")]), (3, [(1, "a"), (2, "x"), (3, "n")])):
+        current = read_open_versions(spark, path) if table_exists(spark, path) else None
+        write_snapshot(snapshot_check(current, spark.createDataFrame(values, schema), ["id"], datetime(2024, 1, day)), path)
+    assert rows(read_snapshot(spark, path), "id", "name", F.dayofmonth("valid_from"), F.dayofmonth("valid_to")) == [
+        (1, "a", 1, 2), (1, "a", 3, None), (1, "b", 2, 3), (2, "x", 1, None), (3, "n", 3, None)]
+    assert read_open_versions(spark, path).count() == 3
+    assert spark.read.parquet(f"{path}/v000000003/state=closed").count() == 1
+
+
+def test_staged_files_go_only_after_success(spark):
+    with staged(spark.range(3), "x") as kept:
+        folder = kept.inputFiles()[0].rsplit("/", 1)[0]
+        assert kept.count() == 3
+    assert not path_exists(spark, folder)
+    with pytest.raises(RuntimeError):
+        with staged(spark.range(3), "x") as kept:
+            folder = kept.inputFiles()[0].rsplit("/", 1)[0]
+            raise RuntimeError
+    assert path_exists(spark, folder)
+
+
 def test_undated_upsert(spark, tmp_path):
     path = str(tmp_path / "t")
     upsert_incremental(facts(spark, ("a", None, 1), ("b", None, 1)), path, "sk")

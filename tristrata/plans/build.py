@@ -19,9 +19,11 @@ from tristrata.operators.scd import snapshot_check, snapshot_timestamp
 from tristrata.operators.staging import stage
 from tristrata.plans.specs import DimensionSpec, ModelSpec, TableSpec, unique_names
 from tristrata.sources.incremental import (
-    DEFAULT_LOOKBACK_DAYS, incremental_filter, newest_date, upsert_incremental,
+    DEFAULT_LOOKBACK_DAYS, incremental_filter, merge_months, newest_date, read_fact, refresh_gold,
+)
+from tristrata.sources.tables import (
+    layer_path, publish_view, read_open_versions, read_snapshot, table_exists, write_snapshot, write_table,
 )
-from tristrata.sources.tables import layer_path, publish_view, read_table, table_exists, write_table
 
 
 @dataclass
@@ -78,13 +80,13 @@ def build_model(sources: Mapping[str, DataFrame], model: ModelSpec, run_at: date
 
 def run_model(
     spark: SparkSession, sources: Mapping[str, DataFrame], model: ModelSpec, root: str, run_at: datetime | str,
-    lookback_days: int = DEFAULT_LOOKBACK_DAYS, refresh_gold: bool = True,
+    lookback_days: int = DEFAULT_LOOKBACK_DAYS,
 ) -> Built:
     """Advance the stored model below ``root`` by one run.
 
-    Snapshots and undated facts get a new version, dated facts are upserted over the lookback window, other
-    tables are refreshed. Each step starts from stored tables, so a fact is computed once however many
-    aggregates read it, and a failed run is repeated from its last stored table.
+    Snapshots add what changed, dated facts are upserted over the lookback window, aggregates on the fact's
+    date are rebuilt for the months that changed; other tables are refreshed. Each step starts from stored
+    tables, so a fact is computed once however many aggregates read it. A declared key is trusted to be unique.
     """
     built = _prepare(sources, model)
     for name, df in built.sources.items():
@@ -94,11 +96,12 @@ def run_model(
         target = layer_path(root, "silver", spec.name)
         if spec.scd_type == 2:
             path = layer_path(root, "snapshots", f"snap_{spec.source}")
-            previous = read_table(spark, path) if table_exists(spark, path) else None
-            snapshot = write_table(_next_snapshot(previous, source, spec, table, run_at), path)
-            built.tables[spec.name] = write_table(build_dimension_scd2(snapshot, spec, table), target)
+            current = read_open_versions(spark, path) if table_exists(spark, path) else None
+            write_snapshot(_next_snapshot(current, source, spec, table, run_at), path)
+            built.tables[spec.name] = write_table(build_dimension_scd2(read_snapshot(spark, path), spec, table), target)
         else:
             built.tables[spec.name] = write_table(build_dimension_scd1(source, spec, table), target)
+    months = {}
     for spec in model.facts:
         fact, path = build_fact(built.sources, spec, model.tables), layer_path(root, "silver", spec.name)
         date = built.effective_dates[spec.name]
@@ -106,14 +109,21 @@ def run_model(
             built.tables[spec.name] = write_table(fact, path)
             continue
         recent = incremental_filter(fact, date, newest_date(spark, path, date), lookback_days)
-        own_date = fact_date(built.sources[spec.source], spec.date)
-        keyed_by_date = date in fact_key_columns(spec, model.tables.get(spec.source, TableSpec()), own_date)
-        built.tables[spec.name] = upsert_incremental(recent, path, spec.key_column, date, key_has_date=keyed_by_date)
+        own_date, table = fact_date(built.sources[spec.source], spec.date), model.tables.get(spec.source, TableSpec())
+        months[spec.name] = merge_months(
+            recent, path, spec.key_column, date, key_has_date=date in fact_key_columns(spec, table, own_date),
+            unique=bool(spec.natural_key or table.primary_key))
+        built.tables[spec.name] = read_fact(spark, path)
     for name in bridge_sources(built.sources, model):
         target = layer_path(root, "silver", f"bridge_{name}")
         built.tables[f"bridge_{name}"] = write_table(build_bridge(built.sources[name]), target)
-    for spec in built.model.gold if refresh_gold else ():
-        fact = model.fact(spec.fact)
-        gold = build_gold(built.tables[spec.fact], spec, fact.measure_names, built.effective_dates[spec.fact])
-        built.tables[spec.name] = write_table(gold, layer_path(root, "gold", spec.name))
+    for spec in built.model.gold:
+        fact, path = model.fact(spec.fact), layer_path(root, "gold", spec.name)
+        own_date, date = built.effective_dates[spec.fact], spec.date or built.effective_dates[spec.fact]
+        if date is not None and date == own_date:
+            built.tables[spec.name] = refresh_gold(spark, layer_path(root, "silver", spec.fact), path, spec, date,
+                                                   fact.measure_names, months[spec.fact])
+        else:
+            gold = build_gold(built.tables[spec.fact], spec, fact.measure_names, own_date)
+            built.tables[spec.name] = write_table(gold, path)
     return built

@@ -4,19 +4,25 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tristrata.sources.files import delete_path
+
 _local_work_dirs: dict[str, str] = {}
 
-# Runtime SQL settings: re-planning from measured sizes, splitting of skewed join partitions even where
-# that costs one more exchange, and partition overwrite limited to the partitions being written.
+# Runtime SQL settings: re-planning from measured sizes, and splitting of skewed join partitions even where
+# that costs one more exchange.
 RUNTIME_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.session.timeZone": "UTC",
+    # Streaming state on local disk with incremental checkpoints instead of on the heap.
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 
@@ -48,8 +54,13 @@ def new_work_path(spark: SparkSession, label: str) -> str:
     return f"{work_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def stage_to_disk(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
-    """Write ``df`` to the work folder and read it back: later jobs start from the files, not the lineage."""
-    path = new_work_path(df.sparkSession, label)
-    df.write.partitionBy(*partition_by).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path).select(df.columns)
+@contextmanager
+def staged(df: DataFrame, label: str):
+    """``df`` written to the work folder and read back: what follows starts from files, not from the lineage.
+
+    The files go when the block has succeeded; after a failure they stay, as they may be the only copy.
+    """
+    spark, path = df.sparkSession, new_work_path(df.sparkSession, label)
+    df.write.parquet(path)
+    yield spark.read.schema(df.schema).parquet(path)
+    delete_path(spark, path)

@@ -1,19 +1,24 @@
-"""Incremental fact tables: lookback filter and upsert by surrogate key.
+"""Incremental tables: lookback filter, upsert by surrogate key, refresh of the aggregates above.
 
-A dated target is laid out in ``load_month=<first of month>`` folders, so one batch rewrites only the months
-it touches. Each target has one writer at a time.
+A dated table is laid out in ``load_month=<first of month>`` folders, so one batch rewrites only the months
+it touches. Each table has one writer at a time.
 """
 
 from __future__ import annotations
 
+from collections.abc import Collection
+from dataclasses import replace
 from datetime import date as Date, timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from tristrata.functions.scalars import to_grain
+from tristrata.functions.scalars import grain_unit, to_grain
 from tristrata.operators.dedup import dedup_latest
-from tristrata.session import stage_to_disk
-from tristrata.sources.tables import delete_path, path_exists, read_table, table_exists, write_table
+from tristrata.operators.gold import build_gold, resolve_gold
+from tristrata.plans.specs import GoldSpec
+from tristrata.session import staged
+from tristrata.sources.files import delete_path, path_exists
+from tristrata.sources.tables import read_table, table_exists, write_table
 
 MONTH = "load_month"
 DEFAULT_LOOKBACK_DAYS = 7
@@ -33,7 +38,7 @@ def incremental_filter(
 
 
 def read_fact(spark: SparkSession, path: str, since: Date | None = None) -> DataFrame:
-    """A dated fact; ``since`` prunes month folders before any file is opened."""
+    """A table in month folders; ``since`` prunes month folders before any file is opened."""
     stored = _stored(spark, path)
     if since is not None:
         stored = stored.filter((F.col(MONTH) >= F.lit(since.replace(day=1))) | F.col(MONTH).isNull())
@@ -56,52 +61,116 @@ def _stored(spark: SparkSession, path: str) -> DataFrame:
     return stored.withColumn(MONTH, F.col(MONTH).cast("date"))
 
 
-def _in_months(months: list) -> Column:
+def in_months(column: str | Column, months: Collection[Date | None]) -> Column:
+    column = F.col(column) if isinstance(column, str) else column
     known = [m for m in months if m is not None]
-    inside = F.col(MONTH).isin(known) if known else F.lit(False)
-    return inside | F.col(MONTH).isNull() if None in months else inside
+    inside = column.isin(known) if known else F.lit(False)
+    return inside | column.isNull() if None in months else inside
 
 
 def upsert_incremental(
     batch: DataFrame, path: str, key: str, date: str | None = None,
-    order_by: tuple[str, ...] = (), key_has_date: bool = False,
+    order_by: tuple[str, ...] = (), key_has_date: bool = False, unique: bool = False,
 ) -> DataFrame:
     """Store ``batch`` into the table at ``path``: rows with a known key replace the old row, others are added.
 
-    The batch is first reduced to one row per key, the greatest by ``order_by``. Without ``date`` the table is
-    rewritten as a new version. With it, only the months of the batch and those where its keys were stored
-    before are rewritten; finding the latter reads the target's key column, unless ``key_has_date`` says the
-    key is derived from the date, so a key cannot change month.
+    The batch is first reduced to one row per key, the greatest by ``order_by``, unless ``unique`` promises
+    that it is. Without ``date`` the table is rewritten as a new version; with it see ``merge_months``.
     """
     spark = batch.sparkSession
-    if date is None:
+    if date is not None:
+        merge_months(batch, path, key, date, order_by, key_has_date, unique)
+        return read_fact(spark, path)
+    if not unique:
         batch = dedup_latest(batch, [key], order_by)
-        if table_exists(spark, path):
-            old = read_table(spark, path)
-            batch = old.join(batch.select(key), key, "left_anti").unionByName(batch)
-        return write_table(batch, path)
-
-    columns = batch.columns
-    fresh = stage_to_disk(
-        dedup_latest(batch, [key], order_by).withColumn(MONTH, to_grain(date, "month")), "batch"
-    )
+    if table_exists(spark, path):
+        old = read_table(spark, path)
+        batch = old.join(batch.select(key), key, "left_anti").unionByName(batch)
+    return write_table(batch, path)
+
+
+def merge_months(
+    batch: DataFrame, path: str, key: str, date: str, order_by: tuple[str, ...] = (), key_has_date: bool = False,
+    unique: bool = False,
+) -> list[Date | None] | None:
+    """Upsert into a dated table and return the months rewritten (None inside for undated rows, None alone for
+    a first load, which writes everything).
+
+    Rewritten are the months of the batch and those where its keys were stored before. Finding the latter
+    reads the target's key column; ``key_has_date`` skips that when the key is derived from the date, so that
+    a key cannot change month.
+    """
+    spark, columns = batch.sparkSession, batch.columns
+    fresh = (batch if unique else dedup_latest(batch, [key], order_by)).withColumn(MONTH, to_grain(date, "month"))
     if not path_exists(spark, path):
         _overwrite_months(fresh, path)
+        return None
+    with staged(fresh, "batch") as fresh:
+        stored, keys = _stored(spark, path), fresh.select(key)
+        months = fresh.select(MONTH)
+        if not key_has_date:
+            months = months.union(stored.select(key, MONTH).join(keys, key, "left_semi").select(MONTH))
+        touched = [row[0] for row in months.distinct().collect()]  # calendar months, a small list
+        if touched:
+            kept = stored.filter(in_months(MONTH, touched)).join(keys, key, "left_anti")
+            _replace_months(kept.select(*columns, MONTH).unionByName(fresh), path, touched)
+    return touched
+
+
+def refresh_gold(
+    spark: SparkSession, fact_path: str, path: str, spec: GoldSpec, date: str, measures: Collection[str] = (),
+    months: list[Date | None] | None = None,
+) -> DataFrame:
+    """Rebuild the aggregate at ``path`` for the fact's ``months`` only; for all of them when None.
+
+    The aggregate lies in month folders of its period's first day. Periods that reach into a rewritten month
+    are computed anew from the fact's folders that feed them; all others stay as they are.
+    """
+    spec = replace(spec, date=date)
+    fact = _stored(spark, fact_path)
+    grain = resolve_gold(fact, spec, measures).grain
+    period = f"{grain}_date"
+    if months is None or not path_exists(spark, path):
+        gold = build_gold(fact.drop(MONTH), spec, measures)
+        _overwrite_months(gold.withColumn(MONTH, to_grain(period, "month")), path)
         return read_fact(spark, path)
+    periods = {m for month in months for m in _period_months(month, grain)}
+    feeding = fact.filter(in_months(MONTH, {m for p in periods for m in _feeding_months(p, grain)}))
+    feeding = feeding.filter(in_months(to_grain(to_grain(date, grain), "month"), periods)).drop(MONTH)
+    if periods:
+        gold = build_gold(feeding, spec, measures).withColumn(MONTH, to_grain(period, "month"))
+        _replace_months(gold, path, list(periods))
+    return read_fact(spark, path)
+
 
-    stored, keys = _stored(spark, path), fresh.select(key)
-    months = fresh.select(MONTH)
-    if not key_has_date:
-        months = months.union(stored.select(key, MONTH).join(keys, key, "left_semi").select(MONTH))
-    touched = [row[0] for row in months.distinct().collect()]  # calendar months, a small list
-    if touched:
-        kept = stored.filter(_in_months(touched)).join(keys, key, "left_anti")
-        merged = stage_to_disk(kept.select(*columns, MONTH).unionByName(fresh), "merged")
+def _shift(month: Date, by: int) -> Date:
+    years, rest = divmod(month.month - 1 + by, 12)
+    return Date(month.year + years, rest + 1, 1)
+
+
+def _period_months(month: Date | None, grain: str) -> list[Date | None]:
+    """Months in which the periods touching a month begin."""
+    if month is None:
+        return [None]
+    return {"year": [month.replace(month=1)], "week": [_shift(month, -1), month]}.get(grain_unit(grain), [month])
+
+
+def _feeding_months(first: Date | None, grain: str) -> list[Date | None]:
+    """Months holding rows of the periods that begin in a month."""
+    if first is None:
+        return [None]
+    ahead = {"year": 11, "week": 1}.get(grain_unit(grain), 0)
+    return [_shift(first, n) for n in range(ahead + 1)]
+
+
+def _replace_months(rows: DataFrame, path: str, months: list[Date | None]) -> None:
+    """Make ``rows`` the content of ``months``, computed before anything is overwritten."""
+    spark = rows.sparkSession
+    with staged(rows, "merged") as merged:
         _overwrite_months(merged, path)
-        left = {row[0] for row in merged.select(MONTH).distinct().collect()}
-        for month in set(touched) - left:
+        filled = {row[0] for row in merged.select(MONTH).distinct().collect()}
+        for month in set(months) - filled:
             delete_path(spark, f"{path}/{MONTH}={month or '__HIVE_DEFAULT_PARTITION__'}")
-    return read_fact(spark, path)
 
 
 def _overwrite_months(rows: DataFrame, path: str) -> None:

@@ -8,7 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from tristrata.sources.files import folder_names, path_exists
 
 LAYERS = ("bronze", "silver", "gold", "snapshots")
 
@@ -30,56 +32,60 @@ def publish_view(df: DataFrame, layer: str, table: str) -> str:
     return name
 
 
-def _file_system(spark: SparkSession, path: str):
-    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop_path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), hadoop_path
-
-
-def path_exists(spark: SparkSession, path: str) -> bool:
-    fs, hadoop_path = _file_system(spark, path)
-    return fs.exists(hadoop_path)
-
-
-def delete_path(spark: SparkSession, path: str) -> None:
-    fs, hadoop_path = _file_system(spark, path)
-    fs.delete(hadoop_path, True)
+def _versions(spark: SparkSession, path: str) -> tuple[int, list[str]]:
+    """Highest version number in use, and the folders of the committed versions in order."""
+    names = sorted(n for n in folder_names(spark, path) if n.startswith("v") and n[1:].isdigit())
+    committed = [f"{path}/{n}" for n in names if path_exists(spark, f"{path}/{n}/_SUCCESS")]
+    return max((int(n[1:]) for n in names), default=0), committed
 
 
-def _versions(spark: SparkSession, path: str) -> tuple[int, int | None]:
-    """Highest version number in use, and highest committed one."""
-    fs, hadoop_path = _file_system(spark, path)
-    if not fs.exists(hadoop_path):
-        return 0, None
-    numbers, committed = [0], []
-    for status in fs.listStatus(hadoop_path):
-        name = status.getPath().getName()
-        if name.startswith("v") and name[1:].isdigit():
-            numbers.append(int(name[1:]))
-            if path_exists(spark, f"{path}/{name}/_SUCCESS"):
-                committed.append(int(name[1:]))
-    return max(numbers), max(committed, default=None)
+def table_exists(spark: SparkSession, path: str) -> bool:
+    return bool(_versions(spark, path)[1])
 
 
-def table_exists(spark: SparkSession, path: str) -> bool:
-    return _versions(spark, path)[1] is not None
+def _committed(spark: SparkSession, path: str) -> list[str]:
+    committed = _versions(spark, path)[1]
+    if not committed:
+        raise FileNotFoundError(f"no committed version of a table below {path}")
+    return committed
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
     """The newest committed version."""
-    version = _versions(spark, path)[1]
-    if version is None:
-        raise FileNotFoundError(f"no committed version of a table below {path}")
-    return spark.read.parquet(f"{path}/v{version:06d}")
+    return spark.read.parquet(_committed(spark, path)[-1])
 
 
 def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> DataFrame:
     """Full refresh into the next version folder; older versions stay for the storage's clean-up rule."""
     spark = df.sparkSession
-    target = f"{path}/v{_versions(spark, path)[0] + 1:06d}"
+    target = f"{path}/v{_versions(spark, path)[0] + 1:09d}"
     df.write.partitionBy(*partition_by).parquet(target)
     return spark.read.parquet(target)
 
 
+def write_snapshot(advanced: DataFrame, path: str) -> None:
+    """Store one run of a snapshot: the versions it closed and all that are open now.
+
+    Versions closed by earlier runs stay where those runs wrote them, so a run costs what is current, not the
+    history. Of older runs only the ``state=open`` folders may be cleaned up.
+    """
+    state = F.when(F.col("valid_to").isNull(), "open").otherwise("closed")
+    write_table(advanced.withColumn("state", state), path, ["state"])
+
+
+def read_open_versions(spark: SparkSession, path: str) -> DataFrame:
+    """The current versions of a stored snapshot."""
+    return read_table(spark, path).filter("state = 'open'").drop("state")
+
+
+def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
+    """All versions of a stored snapshot: those closed by any run, and those open after the last."""
+    current = read_open_versions(spark, path)
+    closed = [f"{run}/state=closed" for run in _committed(spark, path)]
+    closed = [folder for folder in closed if path_exists(spark, folder)]
+    return spark.read.parquet(*closed).unionByName(current) if closed else current
+
+
 def write_bucketed(df: DataFrame, table: str, buckets: int, columns: Sequence[str], path: str) -> DataFrame:
     """Catalogue table bucketed and sorted on ``columns``: joins and groupings on them need no shuffle.
 
