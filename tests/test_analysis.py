@@ -81,8 +81,37 @@ def test_star_join_keeps_unmatched_and_chains(sales):
         (9, 1.0, None, None)]
 
 
+@pytest.fixture(params=["10485760", "-1"], ids=["broadcast", "too_large"])
+def threshold(spark, request):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", request.param)
+    yield int(request.param)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_large_dimensions_are_joined_to_reduced_facts(spark, tmp_path, threshold):
+    spark.range(1000).withColumn("v", F.lit(1)).write.parquet(str(tmp_path / "f"))
+    spark.range(1000).withColumn("a", F.lit("x")).write.parquet(str(tmp_path / "d"))
+    link = DimensionLink(spark.read.parquet(str(tmp_path / "d")), ("id",), ("id",), {"a": "a"})
+    out = star_aggregate(spark.read.parquet(str(tmp_path / "f")), [link], ["a"], (Metric("s", "SUM", "v"),))
+    assert rows(out) == [("x", 1000)]
+    join, *above = [line for line in reversed(out._jdf.queryExecution().optimizedPlan().toString().splitlines())
+                    if "Aggregate" in line or "Join" in line]
+    assert ("Join" in join) == (threshold > 0)  # the lowest of the two nodes
+
+
+def test_star_aggregate_with_chained_links(sales, threshold):
+    links = [DimensionLink(sales["dim_customer"].filter("is_current"), ("customer_id",), ("id",), {"region": "region"}),
+             DimensionLink(sales["dim_region"], ("region",), ("rid",), {"region_name": "region_name"})]
+    out = star_aggregate(sales["fct"], links, ["region_name", F.month("d").alias("m")],
+                         (Metric("s", "SUM", "amount"), Metric("n", "COUNT", "cost"), Metric("nc", "COUNT", "amount")),
+                         measures=("cost",))
+    assert rows(out, "region_name", "m", "s", "n", "nc") == [
+        (None, None, 7.0, 1, 1), (None, 2, 1.0, 1, 1), ("east", 2, 5.0, 1, 1), ("west", 1, 5.0, 2, 2)]
+
+
 @pytest.mark.parametrize("linked", [True, False])
-def test_star_aggregate_equals_join_then_group(sales, linked):
+def test_star_aggregate_equals_join_then_group(sales, linked, threshold):
     current = sales["dim_customer"].filter("is_current")
     links = [DimensionLink(current, ("customer_id",), ("id",), {"country": "country"})] if linked else []
     metrics = (Metric("s", "SUM", "amount"), Metric("n", "COUNT"), Metric("nc", "COUNT", "cost"),
@@ -95,7 +124,7 @@ def test_star_aggregate_equals_join_then_group(sales, linked):
     assert rows(got) == rows(expected)
 
 
-def test_star_aggregate_of_distinct_counts_only(sales):
+def test_star_aggregate_of_distinct_counts_only(sales, threshold):
     current = sales["dim_customer"].filter("is_current")
     links = [DimensionLink(current, ("customer_id",), ("id",), {"country": "country"})]
     got = star_aggregate(sales["fct"], links, ["country"], (Metric("o", "COUNT_DISTINCT", "order_id"),))
@@ -124,7 +153,7 @@ METRICS = {m.name: m for m in (
     BusinessMetric("nested", "derived", expression="doubled + revenue", inputs=("doubled", "revenue")))}
 
 
-def test_metrics(sales):
+def test_metrics(sales, threshold):
     def ask(names, grain=None, by=()):
         return rows(query_metric(sales, SALES, METRICS, names, grain, by))
 

@@ -43,48 +43,72 @@ def star_join(fact: DataFrame, links: Sequence[DimensionLink]) -> DataFrame:
     return fact
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """Spark's own estimate of a DataFrame's size, from file sizes and the columns read."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def _broadcastable(df: DataFrame) -> bool:
+    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return 0 <= estimated_bytes(df) <= limit
+
+
 def star_aggregate(
     fact: DataFrame, links: Sequence[DimensionLink], groups: Sequence[str | Column], metrics: Sequence[Metric],
     measures: Sequence[str] = (),
 ) -> DataFrame:
     """Metrics of a fact grouped by attributes of its dimensions.
 
-    The fact is first reduced to one row per foreign key value and group, so the joins see no hot key and
-    shuffle keys instead of facts; partial results are then combined per attribute. Exact distinct counts
-    keep their column as a further key of the first step.
+    Dimensions that Spark will broadcast are joined first, which moves no fact row. For the others the fact is
+    reduced to one row per foreign key value and group before the join, so the join sees no hot key and
+    shuffles keys instead of facts; partial results are then combined per attribute. Exact distinct counts
+    keep their column as a further key of the reduced rows.
     """
-    if not links:
+    small, large, late = [], [], set()
+    for link in links:
+        side = link.dimension.select(*dict.fromkeys([*link.key, *link.attributes.values()]))
+        if late.isdisjoint(link.fact_columns) and _broadcastable(side):
+            small.append(link)
+        else:
+            large.append(link)
+            late.update(link.attributes)
+    fact = star_join(fact, small)
+    if not large:
         return fact.groupBy(*groups).agg(*(aggregate(m, measures) for m in metrics))
-    attributes = {name for link in links for name in link.attributes}
-    plain = [F.col(g) if isinstance(g, str) else g for g in groups
-             if not (isinstance(g, str) and g in attributes)]
+    return _reduce_then_join(fact, large, late, groups, metrics, measures)
+
+
+def _reduce_then_join(
+    fact: DataFrame, links: Sequence[DimensionLink], attributes: set[str], groups: Sequence[str | Column],
+    metrics: Sequence[Metric], measures: Sequence[str],
+) -> DataFrame:
+    plain = [g for g in groups if not (isinstance(g, str) and g in attributes)]
     wanted = [g for g in groups if isinstance(g, str) and g in attributes]
-    keys = [c for link in links for c in link.fact_columns if c not in attributes]
-    distinct = [m.column for m in metrics if m.aggregation == "COUNT_DISTINCT"]
+    keys = list(dict.fromkeys(c for link in links for c in link.fact_columns if c not in attributes))
+    distinct = dict.fromkeys(m.column for m in metrics if m.aggregation == "COUNT_DISTINCT")
+    grouped = fact.groupBy(*plain, *(F.col(k).alias(f"__k_{k}") for k in keys),
+                           *(F.col(c).alias(f"__v_{c}") for c in distinct))
 
-    first = [*plain, *(F.col(k).alias(f"__k_{k}") for k in dict.fromkeys(keys)),
-             *(F.col(c).alias(f"__v_{c}") for c in dict.fromkeys(distinct))]
     partial, final = [], []
     for m in metrics:
-        name, column = f"__m_{m.name}", F.lit(1) if m.column == "*" or (
-            m.aggregation == "COUNT" and m.column in measures) else F.col(m.column)
+        name = f"__m_{m.name}"
+        value = F.col(m.column) if m.column != "*" else F.lit(1)
         if m.aggregation == "COUNT_DISTINCT":
             final.append(F.count_distinct(f"__v_{m.column}").alias(m.name))
         elif m.aggregation == "COUNT":
-            partial.append(F.count(column).alias(name))
+            partial.append(aggregate(m, measures).alias(name))
             final.append(F.coalesce(F.sum(name), F.lit(0)).alias(m.name))
         elif m.aggregation == "AVG":
-            partial += [F.sum(column).alias(f"{name}_sum"), F.count(column).alias(f"{name}_n")]
+            partial += [F.sum(value).alias(f"{name}_sum"), F.count(value).alias(f"{name}_n")]
             final.append((F.sum(f"{name}_sum") / F.nullif(F.sum(f"{name}_n"), F.lit(0))).alias(m.name))
         else:
-            function = {"SUM": F.sum, "MIN": F.min, "MAX": F.max}[m.aggregation]
-            partial.append(function(column).alias(name))
-            final.append(function(name).alias(m.name))
-    reduced = fact.groupBy(*first).agg(*partial) if partial else fact.select(*first).distinct()
+            partial.append(aggregate(m).alias(name))
+            final.append({"SUM": F.sum, "MIN": F.min, "MAX": F.max}[m.aggregation](name).alias(m.name))
+    reduced = grouped.agg(*(partial or [F.count(F.lit(1)).alias("__rows")]))
     kept = [c for c in reduced.columns if not c.startswith("__")]
     joined = star_join(reduced, [
-        DimensionLink(k.dimension, tuple(f"__k_{c}" if c in keys else c for c in k.fact_columns), k.key,
-                      k.attributes) for k in links
+        DimensionLink(k.dimension, tuple(f"__k_{c}" if c in keys else c for c in k.fact_columns), k.key, k.attributes)
+        for k in links
     ])
     return joined.groupBy(*kept, *wanted).agg(*final)
 
