@@ -4,7 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+
+def latest_order(df: DataFrame, order_by: Sequence[str], among: Sequence[str]) -> Column:
+    """Sort key that decides which row is latest: ``order_by`` (NULLs least), then a hash of ``among``."""
+    hashable = [c for c, t in df.select(*among).dtypes if "map<" not in t]
+    return F.struct(*order_by, F.xxhash64(*hashable) if hashable else F.lit(0))
 
 
 def dedup_latest(df: DataFrame, key: Sequence[str], order_by: Sequence[str] = ()) -> DataFrame:
@@ -16,7 +22,5 @@ def dedup_latest(df: DataFrame, key: Sequence[str], order_by: Sequence[str] = ()
     rest = [c for c in df.columns if c not in key]
     if not rest:
         return df.distinct()
-    hashable = [c for c, t in df.select(rest).dtypes if "map<" not in t]
-    order = F.struct(*order_by, F.xxhash64(*hashable) if hashable else F.lit(0))
-    return (df.groupBy(*key).agg(F.max_by(F.struct(*rest), order).alias("__latest"))
-              .select(*key, "__latest.*").select(df.columns))
+    latest = F.max_by(F.struct(*rest), latest_order(df, order_by, rest))
+    return df.groupBy(*key).agg(latest.alias("__latest")).select(*key, "__latest.*").select(df.columns)

@@ -1,8 +1,13 @@
-"""Cutting hot keys into pieces of time, so that no window holds a huge key in one task."""
+"""Cutting hot keys into pieces of time, so that no window holds a huge key in one task.
+
+A window over key and piece sees what went before through carried rows: per piece of a hot key one row that
+repeats the state its predecessor ended with.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -13,19 +18,33 @@ HOT_KEY_ROWS = 5_000_000
 # Beyond this many hot keys all keys are cut up, so the list that is broadcast stays this short.
 MAX_HOT_KEYS = 1_000
 
+# Number of the piece a row belongs to; 0 for keys that are not hot.
 CHUNK = "__chunk"
 
 # Length in seconds of each kind of piece.
 CHUNK_SECONDS = {"minute": 60, "hour": 3_600, "day": 86_400}
 
 
-def join_null_safe(
-    left: DataFrame, right: DataFrame, columns: Sequence[str], how: str = "left"
-) -> DataFrame:
-    """Join on equally named columns, NULL equal to NULL; the left side's columns are kept."""
-    renamed = right.withColumnsRenamed({c: f"__r_{c}" for c in columns})
-    matches = [F.col(c).eqNullSafe(F.col(f"__r_{c}")) for c in columns]
-    return left.join(renamed, reduce(Column.__and__, matches), how).drop(*(f"__r_{c}" for c in columns))
+@dataclass(frozen=True)
+class HotKeys:
+    """The keys to cut up: those ``listed``, or all when None."""
+
+    key: tuple[str, ...]
+    listed: DataFrame | None
+
+
+def find_hot_keys(df: DataFrame, key: Sequence[str], limit: int | None) -> HotKeys | None:
+    """Keys with more than ``limit`` rows, from one job over the key columns; None when there are none.
+
+    Rows are counted map-side, and at most ``MAX_HOT_KEYS`` keys reach the driver. ``limit`` None skips the job.
+    """
+    if limit is None:
+        return None
+    hot = df.groupBy(*key).count().filter(F.col("count") > limit).select(*key).take(MAX_HOT_KEYS + 1)
+    if not hot:
+        return None
+    listed = df.sparkSession.createDataFrame(hot, df.select(*key).schema) if len(hot) <= MAX_HOT_KEYS else None
+    return HotKeys(tuple(key), listed)
 
 
 def chunk_number(at: Column | str, chunk: str) -> Column:
@@ -36,24 +55,12 @@ def chunk_number(at: Column | str, chunk: str) -> Column:
     return F.coalesce(F.floor(seconds / F.lit(CHUNK_SECONDS[chunk])) + 2, F.lit(1)).cast("bigint")
 
 
-def with_chunks(
-    df: DataFrame, keys_of: DataFrame, key: Sequence[str], at: str, limit: int | None, chunk: str
-) -> tuple[DataFrame, list[str]]:
-    """``df`` and the columns to group its windows by: the key, plus a piece number when keys are hot.
-
-    The piece is 0 for all other keys. Hot keys are those with more than ``limit`` rows in ``keys_of``,
-    counted by one job over the key columns, combined map-side; ``limit`` None skips it.
-    """
-    key = list(key)
-    if limit is None:
-        return df, key
-    counts = keys_of.groupBy(*key).count().filter(F.col("count") > limit)
-    hot = counts.select(*key).take(MAX_HOT_KEYS + 1)
-    if not hot:
-        return df, key
+def with_chunks(df: DataFrame, hot: HotKeys, at: str, chunk: str) -> DataFrame:
+    """``df`` with the piece number of each row; windows group by the key and it."""
     piece = chunk_number(at, chunk)
-    if len(hot) <= MAX_HOT_KEYS:
-        listed = df.sparkSession.createDataFrame(hot, keys_of.select(*key).schema).withColumn("__hot", F.lit(True))
-        df = join_null_safe(df, F.broadcast(listed), key)
-        piece = F.when(F.col("__hot"), piece).otherwise(F.lit(0))
-    return df.withColumn(CHUNK, piece.cast("bigint")).drop("__hot"), [*key, CHUNK]
+    if hot.listed is None:
+        return df.withColumn(CHUNK, piece)
+    listed = hot.listed.select(*(F.col(k).alias(f"__h_{k}") for k in hot.key), F.lit(True).alias("__hot"))
+    same = reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"__h_{k}")) for k in hot.key))
+    marked = df.join(F.broadcast(listed), same, "left").drop(*(f"__h_{k}" for k in hot.key))
+    return marked.withColumn(CHUNK, F.when(F.col("__hot"), piece).otherwise(F.lit(0))).drop("__hot")

@@ -12,9 +12,9 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tristrata.functions.columns import check_columns, require
-from tristrata.operators.dedup import dedup_latest
+from tristrata.operators.dedup import dedup_latest, latest_order
 from tristrata.operators.diff import pair_versions
-from tristrata.operators.hotkeys import HOT_KEY_ROWS, join_null_safe, with_chunks
+from tristrata.operators.hotkeys import CHUNK, HOT_KEY_ROWS, find_hot_keys, with_chunks
 
 VALIDITY = ("valid_from", "valid_to")
 
@@ -95,46 +95,50 @@ def scd2_from_history(
 
     Rows of one key at one instant are reduced to the last by ``tiebreak``; runs of equal values (null-safe)
     become one version. Keys with more than ``hot_key_rows`` rows are cut into ``chunk`` pieces of time that
-    are processed apart and stitched through one summary row per piece (None turns this off).
+    are processed apart, each starting from one row carried over from the piece before (None turns this off).
     """
     columns = list(columns or check_columns(history, [*key, at]))
     require(history, [*key, at, *columns, *tiebreak], "scd2_from_history")
-    log = history.select(*key, at, *dict.fromkeys([*columns, *tiebreak]))
-    log = dedup_latest(log, [*key, at], tiebreak)
-    log, group = with_chunks(log, history, key, at, hot_key_rows, chunk)
-    values = F.struct(*columns)
-
-    in_order = Window.partitionBy(*group).orderBy(at)
-    log = log.select(*group, F.col(at).alias("valid_from"), *columns,
-                     F.lag(values).over(in_order).alias("__before"),
-                     (F.row_number().over(in_order) == 1).alias("__first"))
-    if len(group) > len(key):
-        log = join_null_safe(log, _previous_piece_values(log, key, group, values), group)
-        entering = F.col("__entering")
+    raw = history.select(*key, at, *dict.fromkeys([*columns, *tiebreak]))
+    log = dedup_latest(raw, [*key, at], tiebreak)
+    hot = find_hot_keys(history, key, hot_key_rows)
+    if hot is None:
+        group, carried = list(key), F.lit(False)
     else:
-        entering = F.lit(None)
-    before = F.when(F.col("__first"), entering).otherwise(F.col("__before"))
-    versions = log.filter(~values.eqNullSafe(before))
-
-    ends = F.lead("valid_from").over(Window.partitionBy(*group).orderBy("valid_from"))
-    versions = versions.select(*group, *columns, "valid_from", ends.alias("valid_to"))
-    if len(group) > len(key):
-        versions = join_null_safe(versions, _next_piece_start(versions, key, group), group).withColumn(
-            "valid_to", F.coalesce("valid_to", "__next_start"))
-    return versions.select(*key, *columns, F.col("valid_from").cast("timestamp_ntz"),
-                           F.col("valid_to").cast("timestamp_ntz"),
-                           F.col("valid_to").isNull().alias("is_current"))
-
-
-def _previous_piece_values(log: DataFrame, key: Sequence[str], group: Sequence[str], values: Column) -> DataFrame:
-    """Per piece of a hot key: the values its predecessor ended with."""
-    ends = log.filter(F.col(group[-1]) > 0).groupBy(*group).agg(F.max_by(values, "valid_from").alias("__last"))
-    pieces = Window.partitionBy(*key).orderBy(group[-1])
-    return ends.select(*group, F.lag("__last").over(pieces).alias("__entering"))
-
-
-def _next_piece_start(versions: DataFrame, key: Sequence[str], group: Sequence[str]) -> DataFrame:
-    """Per piece of a hot key: where the first version after it starts."""
-    starts = versions.filter(F.col(group[-1]) > 0).groupBy(*group).agg(F.min("valid_from").alias("__start"))
-    pieces = Window.partitionBy(*key).orderBy(group[-1])
-    return starts.select(*group, F.lead("__start").over(pieces).alias("__next_start"))
+        group, carried = [*key, CHUNK], F.col("__carried")
+        ends = _carried_ends(with_chunks(raw, hot, at, chunk), key, at, columns, tiebreak)
+        log = with_chunks(log, hot, at, chunk).select(*group, at, *columns, F.lit(False).alias("__carried"))
+        log = log.unionByName(ends)
+
+    values, in_order = F.struct(*columns), Window.partitionBy(*group).orderBy(at)
+    before = F.when(F.row_number().over(in_order) > 1, F.lag(values).over(in_order))
+    versions = (log.withColumn("__before", before).filter(~carried & ~values.eqNullSafe(F.col("__before")))
+                   .select(*group, *columns, F.col(at).cast("timestamp_ntz").alias("valid_from")))
+    next_start = F.lead("valid_from").over(Window.partitionBy(*group).orderBy("valid_from"))
+    versions = versions.withColumn("valid_to", next_start)
+    if hot is not None:
+        versions = _with_ends_in_later_pieces(versions, key, group)
+    return versions.select(*key, *columns, "valid_from", "valid_to", F.col("valid_to").isNull().alias("is_current"))
+
+
+def _carried_ends(raw: DataFrame, key: Sequence[str], at: str, columns: Sequence[str], tiebreak: Sequence[str]):
+    """The last row of every piece of a hot key, as a carried row of the next piece there is."""
+    among = list(dict.fromkeys([*columns, *tiebreak]))
+    last = F.max_by(F.struct(at, *columns), latest_order(raw, [at, *tiebreak], among)).alias("__last")
+    ends = raw.filter(F.col(CHUNK) > 0).groupBy(*key, CHUNK).agg(last)
+    following = F.lead(CHUNK).over(Window.partitionBy(*key).orderBy(CHUNK)).alias("__following")
+    ends = ends.select(*key, following, "__last.*").filter(F.col("__following").isNotNull())
+    return ends.select(*key, F.col("__following").alias(CHUNK), at, *columns, F.lit(True).alias("__carried"))
+
+
+def _with_ends_in_later_pieces(versions: DataFrame, key: Sequence[str], group: Sequence[str]) -> DataFrame:
+    """End the last version of each piece of a hot key where the next piece's first version starts.
+
+    Only that one row per piece is windowed over the whole key; all other versions are complete.
+    """
+    piece = Window.partitionBy(*group).orderBy("valid_from")
+    first = F.min("valid_from").over(piece.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    versions = versions.withColumn("__first_start", first)
+    last_of_piece = (F.col(CHUNK) > 0) & F.col("valid_to").isNull()
+    later = F.lead("__first_start").over(Window.partitionBy(*key).orderBy(CHUNK))
+    return versions.filter(~last_of_piece).unionByName(versions.filter(last_of_piece).withColumn("valid_to", later))

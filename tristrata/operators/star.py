@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tristrata.functions.columns import require
 from tristrata.operators.gold import aggregate
-from tristrata.operators.hotkeys import HOT_KEY_ROWS, join_null_safe, with_chunks
+from tristrata.operators.hotkeys import CHUNK, HOT_KEY_ROWS, find_hot_keys, with_chunks
 from tristrata.plans.specs import Metric
 
 # With at most this many versions per key, trying each on every fact row is cheaper than merging by time.
@@ -183,21 +183,27 @@ def _asof_by_merge(fact, dimension, fact_columns, key, at, attributes, hot_key_r
     versions = dimension.select(*(F.col(c).alias(k) for c, k in zip(key, keys)),
                                 F.col("valid_from").cast("timestamp_ntz").alias("__at"),
                                 version.alias("__version")).dropna(subset=keys)
-    line = facts.unionByName(versions, allowMissingColumns=True)
-    counted = facts.select(*keys).unionAll(versions.select(*keys))
-    line, group = with_chunks(line, counted, keys, "__at", hot_key_rows, chunk)
+    line, group = facts.unionByName(versions, allowMissingColumns=True), keys
+    hot = find_hot_keys(line, keys, hot_key_rows)
+    if hot is not None:
+        line, group = with_chunks(line, hot, "__at", chunk), [*keys, CHUNK]
+        line = line.unionByName(_carried_versions(line, keys), allowMissingColumns=True)
 
     # At equal times the version comes before the fact.
     order = Window.partitionBy(*group).orderBy(F.col("__at"), F.col("__version").isNull())
     line = line.withColumn("__valid", F.last("__version", ignorenulls=True).over(
         order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    if len(group) > len(keys):
-        # Per piece of a hot key: the last version of the pieces before it.
-        stamp = F.when(F.col("__version").isNotNull(), F.col("__at"))
-        ends = line.filter(F.col(group[-1]) > 0).groupBy(*group).agg(F.max_by("__version", stamp).alias("__last"))
-        before = Window.partitionBy(*keys).orderBy(group[-1]).rowsBetween(Window.unboundedPreceding, -1)
-        ends = ends.select(*group, F.last("__last", ignorenulls=True).over(before).alias("__entering"))
-        line = join_null_safe(line, ends, group).withColumn("__valid", F.coalesce("__valid", "__entering"))
     valid = F.col("__valid.__to").isNull() | (F.col("__at") < F.col("__valid.__to"))
     return (line.filter(F.col("__fact").isNotNull())
                 .select("__fact.*", *(F.when(valid, F.col(f"__valid.{n}")).alias(n) for n in attributes)))
+
+
+def _carried_versions(line: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per piece of a hot key: the last version of the pieces before it, as a version row of the piece."""
+    started = F.when(F.col("__version").isNotNull(), F.col("__at"))
+    ends = (line.filter(F.col(CHUNK) > 0).groupBy(*keys, CHUNK)
+                .agg(F.max_by(F.struct("__at", "__version"), started).alias("__end")))
+    before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    entering = F.last("__end", ignorenulls=True).over(before).alias("__entering")
+    return ends.select(*keys, CHUNK, entering).filter(F.col("__entering").isNotNull()).select(
+        *keys, CHUNK, "__entering.*")
