@@ -193,3 +193,12 @@ def test_stored_model_over_two_runs(spark, shop, tmp_path):
     failing = second.checks("2024-05-01 00:00:00").filter("status <> 'pass'")
     # The customer with two versions has two rows, yet its surrogate keys are unique.
     assert failing.count() == 0
+
+
+def test_stored_model_of_empty_sources(spark, shop, tmp_path):
+    empty = {n: df.limit(0) for n, df in shop.items()}
+    built = run_model(spark, empty, shop_model(), str(tmp_path), "2024-04-01 00:00:00")
+    assert {n: df.count() for n, df in built.tables.items() if df.count()} == {}
+    again = run_model(spark, shop, shop_model(), str(tmp_path), "2024-05-01 00:00:00")
+    assert again.tables["dim_customers"].count() == 30 and again.tables["fct_order_details"].count() == 90
+    assert again.tables["agg_order_details"].agg(F.sum("n")).first()[0] == 90

@@ -48,6 +48,14 @@ def test_snapshot_with_null_key_is_stable(spark):
     assert versions(snapshot_check(snapshot, source, ["id"], at(1))) == [(None, "x", "2024-01-01 00:00:00", None)]
 
 
+def test_snapshot_takes_one_row_per_key(spark):
+    source = spark.createDataFrame([(1, "a", "t1"), (1, "b", "t2"), (None, "x", "t1"), (None, "y", "t2")], SOURCE)
+    snapshot = snapshot_check(None, source, ["id"], at(0), order_by=["last_update"])
+    expected = [(None, "y", "2024-01-01 00:00:00", None), (1, "b", "2024-01-01 00:00:00", None)]
+    assert versions(snapshot) == expected
+    assert versions(snapshot_check(snapshot, source, ["id"], at(1), order_by=["last_update"])) == expected
+
+
 def test_snapshot_timestamp(spark):
     def state(*values):
         return spark.createDataFrame(list(values), "id int, name string, updated_at timestamp_ntz")

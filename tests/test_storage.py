@@ -10,7 +10,7 @@ from tristrata.operators.scd import snapshot_check
 from tristrata.session import new_work_path, staged, work_dir
 from tristrata.sources.files import path_exists
 from tristrata.sources.incremental import (
-    incremental_filter, merge_months, newest_date, read_fact, refresh_gold, upsert_incremental,
+    has_rows, incremental_filter, merge_months, newest_date, read_fact, refresh_gold, upsert_incremental,
 )
 from tristrata.sources.readers import read_partitioned, read_sources
 from tristrata.sources.tables import (
@@ -154,8 +154,7 @@ def test_refresh_leaves_other_months_alone(spark, tmp_path):
 def test_stored_snapshot_keeps_history_without_rewriting(spark, tmp_path):
     path, schema = str(tmp_path / "snap"), "id int, name string"
     for day, values in ((1, [(1, "a"), (2, "x")]), (2, [(1, "b"), (2, "x")]), (3, [(1, "a"), (2, "x"), (3, "n")])):
-        current = read_open_versions(spark, path) if table_exists(spark, path) else None
-        write_snapshot(snapshot_check(current, spark.createDataFrame(values, schema), ["id"], datetime(2024, 1, day)), path)
+        write_snapshot(snapshot_check(read_open_versions(spark, path), spark.createDataFrame(values, schema), ["id"], datetime(2024, 1, day)), path)
     assert rows(read_snapshot(spark, path), "id", "name", F.dayofmonth("valid_from"), F.dayofmonth("valid_to")) == [
         (1, "a", 1, 2), (1, "a", 3, None), (1, "b", 2, 3), (2, "x", 1, None), (3, "n", 3, None)]
     assert read_open_versions(spark, path).count() == 3
@@ -174,6 +173,25 @@ def test_staged_files_go_only_after_success(spark):
     assert path_exists(spark, folder)
 
 
+def test_filter_on_zoneless_timestamps_reaches_the_scan(spark, tmp_path):
+    path = str(tmp_path / "p")
+    spark.createDataFrame([(datetime(2024, 1, 1),)], "t timestamp_ntz").write.parquet(path)
+    plan = incremental_filter(spark.read.parquet(path), "t", datetime(2024, 1, 10))
+    assert "PushedFilters: [Or(GreaterThan(t,2024-01-03T00:00),IsNull(t))]" in plan._jdf.queryExecution().toString()
+
+
+def test_empty_tables(spark, tmp_path):
+    path, snap = str(tmp_path / "fct"), str(tmp_path / "snap")
+    nothing = facts(spark)
+    assert upsert_incremental(nothing, path, "sk", "d").columns == nothing.columns
+    assert newest_date(spark, path, "d") is None and not has_rows(spark, path)
+    upsert_incremental(facts(spark, ("a", date(2024, 1, 5), 1)), path, "sk", "d")
+    assert stored(spark, path) == [("a", "2024-01-05", 1)]
+    empty = snapshot_check(None, spark.createDataFrame([], "id int, name string"), ["id"], datetime(2024, 1, 1))
+    write_snapshot(empty, snap)
+    assert read_open_versions(spark, snap) is None and read_snapshot(spark, snap, otherwise=empty).count() == 0
+
+
 def test_undated_upsert(spark, tmp_path):
     path = str(tmp_path / "t")
     upsert_incremental(facts(spark, ("a", None, 1), ("b", None, 1)), path, "sk")

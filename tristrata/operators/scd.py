@@ -54,16 +54,19 @@ def _merge(
 
 def snapshot_check(
     previous: DataFrame | None, source: DataFrame, key: Sequence[str], run_at: datetime | str,
-    columns: Sequence[str] | None = None, close_missing: bool = False,
+    columns: Sequence[str] | None = None, close_missing: bool = False, order_by: Sequence[str] = (),
+    unique: bool = False,
 ) -> DataFrame:
     """Next snapshot when the source has no reliable update stamp.
 
     A key whose check columns differ (null-safe) from its current version gets that version closed and a new
     one opened at ``run_at``; unchanged keys keep their version, new keys open one. Keys missing from the
-    source stay current unless ``close_missing``. Closed versions pass through without a shuffle.
+    source stay current unless ``close_missing``. Closed versions pass through without a shuffle. Of several
+    source rows with one key the greatest by ``order_by`` counts; ``unique`` promises there are none.
     """
     columns = list(columns or check_columns(source, list(key)))
     require(source, [*key, *columns], "snapshot_check")
+    source = source if unique else dedup_latest(source, key, order_by)
 
     def values(side: str) -> Column:
         return F.struct(*(F.col(f"{side}.{c}") for c in columns))
@@ -75,11 +78,13 @@ def snapshot_check(
 
 def snapshot_timestamp(
     previous: DataFrame | None, source: DataFrame, key: Sequence[str], updated_at: str,
-    run_at: datetime | str | None = None, close_missing: bool = False,
+    run_at: datetime | str | None = None, close_missing: bool = False, unique: bool = False,
 ) -> DataFrame:
     """Next snapshot from a reliable update stamp: a newer stamp than the current version's start opens a
-    version that starts at the stamp, whether or not a value changed. ``run_at`` closes missing keys."""
+    version that starts at the stamp, whether or not a value changed. ``run_at`` closes missing keys. Of
+    several source rows with one key the newest counts; ``unique`` promises there are none."""
     require(source, [*key, updated_at], "snapshot_timestamp")
+    source = source if unique else dedup_latest(source, key, [updated_at])
     if close_missing and run_at is None:
         raise ValueError("close_missing needs run_at, the instant at which missing keys are closed")
     stamp = F.col(f"new.{updated_at}").cast("timestamp_ntz")

@@ -19,10 +19,10 @@ from tristrata.operators.scd import snapshot_check, snapshot_timestamp
 from tristrata.operators.staging import stage
 from tristrata.plans.specs import DimensionSpec, ModelSpec, TableSpec, unique_names
 from tristrata.sources.incremental import (
-    DEFAULT_LOOKBACK_DAYS, incremental_filter, merge_months, newest_date, read_fact, refresh_gold,
+    DEFAULT_LOOKBACK_DAYS, has_rows, incremental_filter, merge_months, newest_date, read_fact, refresh_gold,
 )
 from tristrata.sources.tables import (
-    layer_path, publish_view, read_open_versions, read_snapshot, table_exists, write_snapshot, write_table,
+    layer_path, publish_view, read_open_versions, read_snapshot, write_snapshot, write_table,
 )
 
 
@@ -49,9 +49,10 @@ def _prepare(sources: Mapping[str, DataFrame], model: ModelSpec) -> Built:
 def _next_snapshot(previous: DataFrame | None, source: DataFrame, spec: DimensionSpec, table: TableSpec, run_at):
     key = dimension_key_columns(source, spec, table)
     stamp = update_stamp(source)
+    unique = bool(table.primary_key)
     if stamp:
-        return snapshot_timestamp(previous, source, key, stamp)
-    return snapshot_check(previous, source, key, run_at)
+        return snapshot_timestamp(previous, source, key, stamp, unique=unique)
+    return snapshot_check(previous, source, key, run_at, unique=unique)
 
 
 def build_model(sources: Mapping[str, DataFrame], model: ModelSpec, run_at: datetime | str) -> Built:
@@ -96,9 +97,10 @@ def run_model(
         target = layer_path(root, "silver", spec.name)
         if spec.scd_type == 2:
             path = layer_path(root, "snapshots", f"snap_{spec.source}")
-            current = read_open_versions(spark, path) if table_exists(spark, path) else None
-            write_snapshot(_next_snapshot(current, source, spec, table, run_at), path)
-            built.tables[spec.name] = write_table(build_dimension_scd2(read_snapshot(spark, path), spec, table), target)
+            advanced = _next_snapshot(read_open_versions(spark, path), source, spec, table, run_at)
+            write_snapshot(advanced, path)
+            history = read_snapshot(spark, path, otherwise=advanced)
+            built.tables[spec.name] = write_table(build_dimension_scd2(history, spec, table), target)
         else:
             built.tables[spec.name] = write_table(build_dimension_scd1(source, spec, table), target)
     months = {}
@@ -113,17 +115,20 @@ def run_model(
         months[spec.name] = merge_months(
             recent, path, spec.key_column, date, key_has_date=date in fact_key_columns(spec, table, own_date),
             unique=bool(spec.natural_key or table.primary_key))
-        built.tables[spec.name] = read_fact(spark, path)
+        built.tables[spec.name] = read_fact(spark, path, otherwise=fact)
     for name in bridge_sources(built.sources, model):
         target = layer_path(root, "silver", f"bridge_{name}")
         built.tables[f"bridge_{name}"] = write_table(build_bridge(built.sources[name]), target)
     for spec in built.model.gold:
         fact, path = model.fact(spec.fact), layer_path(root, "gold", spec.name)
-        own_date, date = built.effective_dates[spec.fact], spec.date or built.effective_dates[spec.fact]
-        if date is not None and date == own_date:
-            built.tables[spec.name] = refresh_gold(spark, layer_path(root, "silver", spec.fact), path, spec, date,
-                                                   fact.measure_names, months[spec.fact])
+        own_date = built.effective_dates[spec.fact]
+        by_months = own_date is not None and spec.date in (None, own_date)
+        fact_path = layer_path(root, "silver", spec.fact)
+        if by_months and has_rows(spark, fact_path):
+            built.tables[spec.name] = refresh_gold(spark, fact_path, path, spec, own_date, fact.measure_names,
+                                                   months[spec.fact])
         else:
             gold = build_gold(built.tables[spec.fact], spec, fact.measure_names, own_date)
-            built.tables[spec.name] = write_table(gold, path)
+            # The aggregate of a fact without rows has none either: its month folders come with the first.
+            built.tables[spec.name] = gold if by_months else write_table(gold, path)
     return built

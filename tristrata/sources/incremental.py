@@ -17,7 +17,7 @@ from tristrata.operators.dedup import dedup_latest
 from tristrata.operators.gold import build_gold, resolve_gold
 from tristrata.plans.specs import GoldSpec
 from tristrata.session import staged
-from tristrata.sources.files import delete_path, path_exists
+from tristrata.sources.files import delete_path, folder_names
 from tristrata.sources.tables import read_table, table_exists, write_table
 
 MONTH = "load_month"
@@ -29,16 +29,29 @@ def incremental_filter(
 ) -> DataFrame:
     """Rows dated after ``newest - lookback_days``, and undated rows; everything when ``newest`` is None.
 
-    ``newest`` is a literal, so the comparison reaches the Parquet scan.
+    ``newest`` is a literal of the column's type, so the comparison reaches the Parquet scan.
     """
     if newest is None:
         return df
     column = F.col(date) if isinstance(date, str) else date
-    return df.filter((column > F.lit(newest - timedelta(days=lookback_days))) | column.isNull())
+    bound = F.lit(newest - timedelta(days=lookback_days)).cast(df.select(column).schema[0].dataType)
+    return df.filter((column > bound) | column.isNull())
 
 
-def read_fact(spark: SparkSession, path: str, since: Date | None = None) -> DataFrame:
-    """A table in month folders; ``since`` prunes month folders before any file is opened."""
+def has_rows(spark: SparkSession, path: str) -> bool:
+    """Whether a table in month folders holds anything yet."""
+    return any(name.startswith(f"{MONTH}=") for name in folder_names(spark, path))
+
+
+def read_fact(
+    spark: SparkSession, path: str, since: Date | None = None, otherwise: DataFrame | None = None
+) -> DataFrame:
+    """A table in month folders; ``since`` prunes month folders before any file is opened.
+
+    Files of an empty table say nothing about its columns: ``otherwise`` gives them.
+    """
+    if otherwise is not None and not has_rows(spark, path):
+        return otherwise.limit(0)
     stored = _stored(spark, path)
     if since is not None:
         stored = stored.filter((F.col(MONTH) >= F.lit(since.replace(day=1))) | F.col(MONTH).isNull())
@@ -47,7 +60,7 @@ def read_fact(spark: SparkSession, path: str, since: Date | None = None) -> Data
 
 def newest_date(spark: SparkSession, path: str, date: str):
     """Greatest date stored, or None; reads the date column of the newest month only."""
-    if not path_exists(spark, path):
+    if not has_rows(spark, path):
         return None
     stored = _stored(spark, path)
     month = stored.agg(F.max(MONTH)).first()[0]
@@ -80,7 +93,7 @@ def upsert_incremental(
     spark = batch.sparkSession
     if date is not None:
         merge_months(batch, path, key, date, order_by, key_has_date, unique)
-        return read_fact(spark, path)
+        return read_fact(spark, path, otherwise=batch)
     if not unique:
         batch = dedup_latest(batch, [key], order_by)
     if table_exists(spark, path):
@@ -102,7 +115,7 @@ def merge_months(
     """
     spark, columns = batch.sparkSession, batch.columns
     fresh = (batch if unique else dedup_latest(batch, [key], order_by)).withColumn(MONTH, to_grain(date, "month"))
-    if not path_exists(spark, path):
+    if not has_rows(spark, path):
         _overwrite_months(fresh, path)
         return None
     with staged(fresh, "batch") as fresh:
@@ -130,7 +143,7 @@ def refresh_gold(
     fact = _stored(spark, fact_path)
     grain = resolve_gold(fact, spec, measures).grain
     period = f"{grain}_date"
-    if months is None or not path_exists(spark, path):
+    if months is None or not has_rows(spark, path):
         gold = build_gold(fact.drop(MONTH), spec, measures)
         _overwrite_months(gold.withColumn(MONTH, to_grain(period, "month")), path)
         return read_fact(spark, path)

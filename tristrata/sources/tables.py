@@ -60,7 +60,7 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> D
     spark = df.sparkSession
     target = f"{path}/v{_versions(spark, path)[0] + 1:09d}"
     df.write.partitionBy(*partition_by).parquet(target)
-    return spark.read.parquet(target)
+    return spark.read.schema(df.schema).parquet(target).select(df.columns)
 
 
 def write_snapshot(advanced: DataFrame, path: str) -> None:
@@ -73,17 +73,26 @@ def write_snapshot(advanced: DataFrame, path: str) -> None:
     write_table(advanced.withColumn("state", state), path, ["state"])
 
 
-def read_open_versions(spark: SparkSession, path: str) -> DataFrame:
-    """The current versions of a stored snapshot."""
-    return read_table(spark, path).filter("state = 'open'").drop("state")
+def _state_folders(spark: SparkSession, runs: Sequence[str], state: str) -> list[str]:
+    return [f"{run}/state={state}" for run in runs if path_exists(spark, f"{run}/state={state}")]
 
 
-def read_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    """All versions of a stored snapshot: those closed by any run, and those open after the last."""
-    current = read_open_versions(spark, path)
-    closed = [f"{run}/state=closed" for run in _committed(spark, path)]
-    closed = [folder for folder in closed if path_exists(spark, folder)]
-    return spark.read.parquet(*closed).unionByName(current) if closed else current
+def read_open_versions(spark: SparkSession, path: str) -> DataFrame | None:
+    """The current versions of a stored snapshot; None when there are none."""
+    folders = _state_folders(spark, _versions(spark, path)[1][-1:], "open")
+    return spark.read.parquet(*folders) if folders else None
+
+
+def read_snapshot(spark: SparkSession, path: str, otherwise: DataFrame | None = None) -> DataFrame:
+    """All versions of a stored snapshot: those closed by any run, and those open after the last.
+
+    Files of an empty snapshot say nothing about its columns: ``otherwise`` gives them.
+    """
+    runs = _committed(spark, path)
+    folders = _state_folders(spark, runs, "closed") + _state_folders(spark, runs[-1:], "open")
+    if not folders and otherwise is not None:
+        return otherwise.limit(0)
+    return spark.read.parquet(*folders)
 
 
 def write_bucketed(df: DataFrame, table: str, buckets: int, columns: Sequence[str], path: str) -> DataFrame:
