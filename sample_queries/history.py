@@ -14,7 +14,9 @@ from tristrata.operators.scd import scd2_from_history, snapshot_check, snapshot_
 from tristrata.operators.star import scd2_asof_join, scd2_current_join
 from tristrata.plans.specs import DimensionSpec
 from tristrata.session import new_work_path
-from tristrata.sources.incremental import incremental_filter, newest_date, read_fact, upsert_incremental
+from tristrata.sources.incremental import (
+    incremental_filter, merge_months, newest_date, read_fact, upsert_incremental,
+)
 
 PRIORITY_SQL = """
 with log as (
@@ -229,10 +231,10 @@ def incremental_lookback(spark, folder):
     early = sources["lineitem"].filter("l_shipdate <= timestamp_ntz'2001-06-30 00:00:00' and l_returnflag <> 'R'")
     first = build_fact(sources | {"lineitem": early}, FCT_LINEITEM, TABLES).select(*everything.columns)
     path = new_work_path(spark, "fct_lineitem")
-    upsert_incremental(first, path, "fct_lineitem_sk", "l_shipdate", key_has_date=True)
+    merge_months(first, path, "fct_lineitem_sk", "l_shipdate", key_has_date=True)
     recent = incremental_filter(everything, "l_shipdate", newest_date(spark, path, "l_shipdate"))
-    upsert_incremental(recent, path, "fct_lineitem_sk", "l_shipdate", key_has_date=True)
-    return read_fact(spark, path)
+    merge_months(recent, path, "fct_lineitem_sk", "l_shipdate", key_has_date=True)
+    return read_fact(spark, path, otherwise=everything)
 
 
 @query("""

@@ -10,7 +10,7 @@ from collections.abc import Collection
 from dataclasses import replace
 from datetime import date as Date, timedelta
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from tristrata.functions.scalars import grain_unit, to_grain
 from tristrata.operators.dedup import dedup_latest
@@ -52,7 +52,8 @@ def read_fact(
     """
     if otherwise is not None and not has_rows(spark, path):
         return otherwise.limit(0)
-    stored = _stored(spark, path)
+    schema = None if otherwise is None else T.StructType([*otherwise.schema, T.StructField(MONTH, T.DateType())])
+    stored = _stored(spark, path, schema)
     if since is not None:
         stored = stored.filter((F.col(MONTH) >= F.lit(since.replace(day=1))) | F.col(MONTH).isNull())
     return stored.drop(MONTH)
@@ -69,8 +70,9 @@ def newest_date(spark: SparkSession, path: str, date: str):
     return stored.filter(F.col(MONTH) == F.lit(month)).agg(F.max(date)).first()[0]
 
 
-def _stored(spark: SparkSession, path: str) -> DataFrame:
-    stored = spark.read.parquet(path)
+def _stored(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
+    """The table with its month column; a known ``schema`` saves the job that infers it."""
+    stored = (spark.read.schema(schema) if schema else spark.read).parquet(path)
     return stored.withColumn(MONTH, F.col(MONTH).cast("date"))
 
 
@@ -119,7 +121,7 @@ def merge_months(
         _overwrite_months(fresh, path)
         return None
     with staged(fresh, "batch") as fresh:
-        stored, keys = _stored(spark, path), fresh.select(key)
+        stored, keys = _stored(spark, path, fresh.schema), fresh.select(key)
         months = fresh.select(MONTH)
         if not key_has_date:
             months = months.union(stored.select(key, MONTH).join(keys, key, "left_semi").select(MONTH))
