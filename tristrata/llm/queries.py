@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tristrata.llm import exact_dedup, packing
+from tristrata.llm import exact_dedup, packing, simhash
 from tristrata.llm.registry import query, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -17,6 +17,13 @@ def op1_pack_cost_balanced(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), TOKENIZER, capacity=1024, end_id=0, with_ids=False).drop("ids")
 
 
+@query()
+def op5_simhash_covering(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its fingerprint of 4-word shingles and the component of fingerprints within 4 bits."""
+    found = simhash.near_duplicates(table(spark, folder, "documents"), radius=4, shingle=4)
+    return found.select("doc_id", "fingerprint", "component_id")
+
+
 @query(sql=r"""
 with lowered as (
   select doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as t from documents
