@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tristrata.llm import exact_dedup, packing, simhash
+from tristrata.llm import exact_dedup, packing, simhash, substring_dedup
 from tristrata.llm.registry import query, table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -34,3 +34,10 @@ from lowered join grouped using (t)
 def op8_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with the owner of its text."""
     return exact_dedup.exact_duplicates(table(spark, folder, "documents"), keep="largest")
+
+
+@query()
+def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with what is left of it without repeated passages of 20 words."""
+    kept = substring_dedup.remove_repeated_passages(table(spark, folder, "documents"), window=20, with_text=False)
+    return kept.select("doc_id", "n_words", "n_removed", "kept_sha256")
