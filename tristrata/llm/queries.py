@@ -5,8 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tristrata.llm import exact_dedup, packing, simhash, substring_dedup
+from tristrata.llm import exact_dedup, packing, simhash, substring_dedup, token_store
 from tristrata.llm.registry import query, table
+from tristrata.session import new_work_path
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -17,6 +18,14 @@ def op1_pack_cost_balanced(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), TOKENIZER, capacity=1024, end_id=0, with_ids=False).drop("ids")
 
 
+@query()
+def op2_token_store(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document as read back from the shard files of a store of all documents, through its index."""
+    docs, path = table(spark, folder, "documents"), new_work_path(spark, "token-store")
+    token_store.write_store(docs, path, TOKENIZER, end_id=0)
+    return token_store.read_documents(spark, path, docs.select("doc_id"), with_ids=False).drop("ids")
+
+
 @query()
 def op5_simhash_covering(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with its fingerprint of 4-word shingles and the component of fingerprints within 4 bits."""
