@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tristrata.llm import exact_dedup, packing, simhash, substring_dedup, token_store
+from tristrata.llm import credentials, exact_dedup, packing, sharding, simhash, substring_dedup, token_store
 from tristrata.llm.registry import query, table
 from tristrata.session import new_work_path
 
@@ -50,3 +50,62 @@ def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with what is left of it without repeated passages of 20 words."""
     kept = substring_dedup.remove_repeated_passages(table(spark, folder, "documents"), window=20, with_text=False)
     return kept.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+def _secrets_sql(reach: int = 200) -> str:
+    """Matches are marked and split as in any engine without positions of matches; parts meet by plain joins."""
+    rules = {
+        "assign": (credentials.ASSIGN, f"length(regexp_extract(m, '{credentials.ASSIGN.replace("'", "''")}', 2)) >= 6"),
+        "access": (credentials.ACCESS, "length(m) >= 20"), "hex": (credentials.HEX, "length(m) >= 24"),
+        "login": (credentials.LOGIN, f"length(regexp_extract(m, '{credentials.LOGIN.replace("'", "''")}', 2)) >= 3"),
+        "key": (credentials.KEY, "length(m) = 40"), "endpoint": (credentials.ENDPOINT, "true"),
+    }
+    marked = " union all ".join(
+        f"select doc_id, {i} as k, '{kind}' as kind, string_split(regexp_replace(text, '{pattern.replace("'", "''")}', chr(1) || '\\0' || chr(1), 'g'), chr(1)) as p from t"
+        for i, (kind, (pattern, _)) in enumerate(rules.items()))
+    kept = " or ".join(f"kind = '{kind}' and {rule}" for kind, (_, rule) in rules.items())
+    near = f"o.doc_id = s.doc_id and o.start - s.stop <= {reach} and s.start - o.stop <= {reach}"
+    identifier = f"exists (select 1 from spans o where {near} and o.kind in ('access', 'login'))"
+    secret = f"exists (select 1 from spans o where {near} and o.kind in ('assign', 'hex', 'key'))"
+    joined = "coalesce(string_agg(kind || ':' || start || ':' || stop, ',' order by start, k){}, '')"
+    base = "filter (where kind in ('assign', 'access', 'hex'))"
+    return f"""
+with t as (select doc_id, translate(coalesce(text, ''), chr(1), chr(2)) as text from documents),
+marked as ({marked}),
+parts as (select doc_id, k, kind, unnest(p) as m, unnest(generate_series(1, len(p))) as i from marked where len(p) > 1),
+placed as (select *, sum(length(m)) over (partition by doc_id, k order by i) as stop from parts),
+spans as (select doc_id, k, kind, (stop - length(m))::bigint as start, stop::bigint as stop from placed where i % 2 = 0 and ({kept})),
+reported as (select * from spans s where kind in ('assign', 'access', 'hex') or kind = 'key' and {identifier}
+  or kind = 'login' and {secret} or kind = 'endpoint' and {identifier} and {secret})
+select d.doc_id, count(*) filter (where kind = 'assign') as n_assign, count(*) filter (where kind = 'access') as n_access,
+  count(*) filter (where kind = 'hex') as n_hex, count(*) filter (where kind in ('login', 'key', 'endpoint')) as n_linked,
+  sha256({joined.format(" " + base)}) as base_sha256, {joined.format("")} as spans
+from documents d left join reported r on d.doc_id = r.doc_id group by d.doc_id"""
+
+
+@query(sql=_secrets_sql())
+def op10_multipart_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its secrets, and the weak parts that lie near their complements."""
+    return credentials.scan_secrets(table(spark, folder, "documents"), reach=200)
+
+
+SHARD_BYTES = 1 << 20
+
+
+@query(sql=f"""
+with sized as (
+  select doc_id, ('0x' || substr(md5(doc_id::varchar), 1, 15))::bigint as h, octet_length(encode(coalesce(text, ''))) as b from documents
+), buckets as (
+  select depth, h >> (60 - depth) as prefix, sum(b)::bigint as shard_bytes, count(*) as shard_docs
+  from sized, generate_series(0, 60) g(depth) group by all
+), fitting as (
+  select s.doc_id, s.b, min(depth) as depth from sized s join buckets k on k.prefix = s.h >> (60 - k.depth)
+  where shard_bytes <= {SHARD_BYTES} or shard_docs = 1 group by s.doc_id, s.b
+)
+select f.doc_id, f.b as n_bytes, case when f.depth = 0 then '' else right(lpad(bin(k.prefix), 64, '0'), f.depth::int) end as shard,
+  f.depth::int as depth, shard_docs, shard_bytes
+from fitting f join sized s using (doc_id) join buckets k on k.depth = f.depth and k.prefix = s.h >> (60 - f.depth)
+""")
+def op3_extendible_shards(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its shard of at most a mebibyte of text."""
+    return sharding.assign_shards(table(spark, folder, "documents"), SHARD_BYTES).drop("page")
