@@ -66,3 +66,16 @@ def runs(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]:
             last, start = values[start], i
     if held:
         yield pa.Table.from_batches(held)
+
+
+def bounded_sample(df: DataFrame, label: str, key: str, rows: dict) -> DataFrame:
+    """About ``rows[l]`` rows (all, if there are fewer) of each label ``l``, chosen by a hash of ``key``.
+
+    The choice does not depend on how the table is split; the number of rows varies with its square root.
+    """
+    counts = {r[label]: r["count"] for r in df.filter(F.col(label).isin(list(rows))).groupBy(label).count().collect()}
+    place = F.pmod(F.xxhash64(F.col(key), F.lit(17)), F.lit(1 << 30))
+    chosen = F.lit(False)
+    for value, n in counts.items():
+        chosen = chosen | (F.col(label) == F.lit(value)) & (place < int(min(1.0, rows[value] / n) * (1 << 30)))
+    return df.filter(chosen)

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tristrata.llm import credentials, exact_dedup, packing, sharding, simhash, substring_dedup, token_store
+from tristrata.llm import credentials, exact_dedup, packing, sharding, simhash, substring_dedup, token_store, toxicity
 from tristrata.llm.registry import query, table
 from tristrata.session import new_work_path
 
@@ -109,3 +109,17 @@ from fitting f join sized s using (doc_id) join buckets k on k.depth = f.depth a
 def op3_extendible_shards(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with its shard of at most a mebibyte of text."""
     return sharding.assign_shards(table(spark, folder, "documents"), SHARD_BYTES).drop("page")
+
+
+def _remainder(n: int):
+    """CRC-32 of the id as text, modulo ``n``."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % n
+
+
+@query()
+def op6_toxicity_compression(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its score, learned from the labels of documents whose remainder by three is not one."""
+    docs = table(spark, folder, "documents")
+    model = toxicity.train(docs, table(spark, folder, "labels"), learn=_remainder(3) != 1)
+    return toxicity.score(docs, model).select(
+        "doc_id", (_remainder(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
