@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tristrata.llm import credentials, exact_dedup, packing, sharding, simhash, substring_dedup, token_store, toxicity
+from tristrata.llm import credentials, exact_dedup, language, packing, sharding, simhash, substring_dedup, token_store, toxicity
 from tristrata.llm.registry import query, table
 from tristrata.session import new_work_path
 
@@ -123,3 +123,11 @@ def op6_toxicity_compression(spark: SparkSession, folder: str) -> DataFrame:
     model = toxicity.train(docs, table(spark, folder, "labels"), learn=_remainder(3) != 1)
     return toxicity.score(docs, model).select(
         "doc_id", (_remainder(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query()
+def op4_language_ftrl(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its language, learned from documents whose remainder by four is not two."""
+    docs = table(spark, folder, "documents")
+    model = language.train(docs, learn=_remainder(4) != 2)
+    return language.identify(docs, model).select("doc_id", (_remainder(4) == 2).alias("held_out"), "lang_pred", "score")
