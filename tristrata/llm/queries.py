@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tristrata.llm import credentials, exact_dedup, language, packing, sharding, simhash, substring_dedup, token_store, toxicity
+from tristrata.llm import credentials, decontaminate, exact_dedup, language, packing, sharding, simhash, substring_dedup, token_store, toxicity
 from tristrata.llm.registry import query, table
 from tristrata.session import new_work_path
 
@@ -131,3 +131,9 @@ def op4_language_ftrl(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents")
     model = language.train(docs, learn=_remainder(4) != 2)
     return language.identify(docs, model).select("doc_id", (_remainder(4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+@query()
+def op7_decontaminate_qgrams(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document in which a benchmark item occurs with edits of up to a tenth of its length, and the item."""
+    return decontaminate.benchmark_hits(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
