@@ -76,7 +76,7 @@ def test_near_duplicates_equal_brute_force(spark, max_bucket):
             changed = list(base)
             changed[rng.randrange(len(changed))] = rng.choice(words)
             texts.append("  ".join(changed))
-    docs = spark.createDataFrame([(i, t, "extra") for i, t in enumerate(texts)], "doc_id long, text string, fp string")
+    docs = spark.createDataFrame([(i, t, "extra") for i, t in enumerate(texts)], "doc_id long, text string, fps string")
     found = {r.doc_id: r for r in simhash.near_duplicates(docs, max_bucket=max_bucket).collect()}
     prints = {i: brute_fingerprint(t, 4) for i, t in enumerate(texts)}
     assert {i: int(r.fingerprint, 16) for i, r in found.items()} == prints
@@ -88,7 +88,7 @@ def test_dense_buckets_are_split_without_losing_links(spark):
     near = {sum(1 << b for b in rng.sample(range(20), rng.randint(0, 6))) for _ in range(300)}
     far = {rng.getrandbits(63) for _ in range(50)}
     values = sorted(near | far)
-    frame = spark.createDataFrame([(v,) for v in values], "fp long")
+    frame = spark.createDataFrame([(v, 0) for v in values], "fp long, word int")
     edges = [(r.u, r.v) for r in simhash.linked_fingerprints(frame, 4, max_bucket=8).collect()]
     assert all((a ^ b).bit_count() <= 4 for a, b in edges)
     roots = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
@@ -110,3 +110,35 @@ def test_components_of_paths_stars_and_loops(spark):
     assert {roots[i] for i in range(100, 160)} == {100}
     assert len(roots) == 100
     assert components.components(spark.createDataFrame([], "u long, v long")).collect() == []
+
+
+def test_several_fingerprints_link_by_any_and_rows_keep_their_columns(spark):
+    rng = random.Random(13)
+    texts: list[str | None] = [None, "", None]
+    for _ in range(8):
+        base = [f"w{rng.randrange(500)}" for _ in range(80)]
+        texts.append(" ".join(base))
+        for _ in range(3):
+            changed = list(base)
+            for _ in range(rng.randint(0, 3)):
+                changed[rng.randrange(80)] = f"x{rng.randrange(500)}"
+            texts.append(" ".join(changed))
+    docs = spark.createDataFrame([(i, t, f"g{i}") for i, t in enumerate(texts)], "doc_id long, text string, gone string")
+    prints = {i: simhash.text_fingerprints(t or "", 5, 3, True) for i, t in enumerate(texts)}
+    root = {i: i for i in prints}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a in prints:
+        for b in range(a):
+            if any(((x ^ y) & (2 ** 64 - 1)).bit_count() <= 4 for x, y in zip(prints[a], prints[b])):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    found = {r.doc_id: r.component_id for r in simhash.near_duplicates(docs, shingle=5, words=3, distinct=True).collect()}
+    assert found == {i: find(i) for i in prints}
+    kept = simhash.drop_near_duplicates(docs, words=3)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, r.text, r.gone) for r in kept.collect()) == [(i, texts[i], f"g{i}") for i in prints if find(i) == i or i < 3]

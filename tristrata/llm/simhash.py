@@ -6,6 +6,9 @@ the radius differ span at most ``radius`` dimensions, so some ``v`` other than z
 both agree under its mask: every such pair shares a bucket in some table. (``v = (1, 0)`` selects all bits and is left
 out.) Each mask selects half of the bits.
 
+``words`` fingerprints per document, of hashes mixed differently, raise the recall where similar texts often differ in more
+bits than the radius: documents are linked if they are within the radius in any of them.
+
 Distinct fingerprints only are compared. A bucket of up to ``MAX_BUCKET`` of them goes to one task, which gives out a
 spanning forest of its links and never all pairs. Larger buckets are hashed again by a covering of the bits that their
 mask left free; after three levels eight bits are left, that is at most 256 distinct fingerprints, so every bucket
@@ -22,14 +25,14 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tristrata.llm.common import batch, bounded_batches, runs, text_or_empty, written
+from tristrata.llm.common import batch, bounded_batches, runs, text_or_empty, unused, written
 from tristrata.llm.components import components
 
 #: Distinct fingerprints of one bucket that a task compares with each other.
 MAX_BUCKET = 4096
 
-FINGERPRINTS = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
-EDGES = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+FINGERPRINTS = pa.schema([("doc_id", pa.int64()), ("fps", pa.list_(pa.int64()))])
+EDGES = pa.schema([("word", pa.int32()), ("u", pa.int64()), ("v", pa.int64())])
 
 
 def shingle_hashes(words: list[bytes], size: int) -> np.ndarray:
@@ -51,20 +54,36 @@ def fingerprint(hashes: np.ndarray) -> int:
     return int(np.packbits(2 * counts > len(hashes), bitorder="little").view("<i8")[0])
 
 
-def _fingerprints(size: int):
-    def hash_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            # bytes.lower() changes A-Z only, and bytes.split() separates at \x20 and \x09-\x0D only.
-            texts = (t.encode("utf-8", "surrogatepass").lower().split() for t in rows.column(1).to_pylist())
-            yield batch(FINGERPRINTS, rows.column(0), [fingerprint(shingle_hashes(w, size)) for w in texts])
-    return hash_texts
+def _mixed(hashes: np.ndarray, word: int) -> np.ndarray:
+    """The hashes themselves for word 0, else another value of each (the splitmix64 finaliser)."""
+    if not word:
+        return hashes
+    z = hashes + np.uint64((word * 0x9E3779B97F4A7C15) & (2 ** 64 - 1))
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
 
+def text_fingerprints(text: str, size: int, words: int = 1, distinct: bool = False) -> list[int]:
+    """The fingerprints of a text, over every shingle or over each different one once."""
+    # bytes.lower() changes A-Z only, and bytes.split() separates at \x20 and \x09-\x0D only.
+    hashes = shingle_hashes(text.encode("utf-8", "surrogatepass").lower().split(), size)
+    if distinct:
+        hashes = np.unique(hashes)
+    return [fingerprint(_mixed(hashes, w)) for w in range(words)]
 
-def fingerprints(docs: DataFrame, shingle: int = 4, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row ``(doc_id, fp)`` per row of ``docs``, ``fp`` as a signed 64-bit integer. A null text is an empty one."""
+
+def fingerprints(docs: DataFrame, shingle: int = 4, id_column: str = "doc_id", text_column: str = "text", words: int = 1,
+                 distinct: bool = False) -> DataFrame:
+    """One row ``(doc_id, fps)`` per row of ``docs``, ``fps`` signed 64-bit integers. A null text is an empty one."""
     bounded_batches(docs.sparkSession)
+
+    def hash_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            yield batch(FINGERPRINTS, rows.column(0), [text_fingerprints(t, shingle, words, distinct) for t in rows.column(1).to_pylist()])
+
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_or_empty(text_column).alias("text"))
-    return rows.mapInArrow(_fingerprints(shingle), "doc_id long, fp long")
+    return rows.mapInArrow(hash_texts, "doc_id long, fps array<long>")
 
 
 def covering_masks(bits: list[int], radius: int) -> list[int]:
@@ -103,66 +122,99 @@ def spanning_links(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
 
 def _bucket_links(radius: int):
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for bucket in runs(batches, "mask", "masked"):
-            values = bucket.column("fp").to_numpy().astype(np.int64).view(np.uint64)
+        for bucket in runs(batches, "bucket", "word"):
+            values = np.unique(bucket.column("fp").to_numpy().astype(np.int64).view(np.uint64))
             if found := spanning_links(values, radius):
                 pairs = np.array(found, np.uint64).view(np.int64)
-                yield batch(EDGES, pairs[:, 0], pairs[:, 1])
+                yield batch(EDGES, [bucket.column("word")[0].as_py()] * len(pairs), pairs[:, 0], pairs[:, 1])
     return link
 
 
 def linked_fingerprints(distinct: DataFrame, radius: int = 4, max_bucket: int = MAX_BUCKET) -> DataFrame:
-    """Edges ``(u, v)`` between the values of ``fp`` that connect whatever links of at most ``radius`` bits connect.
+    """Edges ``(word, u, v)`` between values of ``fp`` that connect whatever links of at most ``radius`` bits connect.
 
-    ``distinct`` holds every fingerprint once. Repeated edges may occur.
+    ``distinct`` holds every pair ``(word, fp)`` once; only fingerprints of the same word are linked. Repeated edges
+    may occur. Buckets are told apart by a hash of word, mask and masked bits, as a collision only adds comparisons.
     """
     spark = distinct.sparkSession
+    schema = "word int, u long, v long"
     if radius < 1:
-        return spark.createDataFrame([], "u long, v long")
-    level = {0: [m for m in covering_masks(list(range(64)), radius)]}
-    keyed = distinct.select("fp", F.explode(F.array(*(F.lit(_signed(m)) for m in level[0]))).alias("mask"))
+        return spark.createDataFrame([], schema)
+    keyed = distinct.select("word", "fp", F.explode(F.array(*(F.lit(_signed(m)) for m in covering_masks(list(range(64)), radius)))).alias("mask"))
     edges = None
     depth = 0
     while True:
-        keyed = keyed.withColumn("masked", F.col("fp").bitwiseAND(F.col("mask")))
+        keyed = keyed.withColumn("bucket", F.xxhash64("word", "mask", F.col("fp").bitwiseAND(F.col("mask"))))
         # Buckets of one fingerprint, nearly all of them, go here and take no part in what follows.
-        counts = keyed.groupBy("mask", "masked").agg(F.count("*").alias("n")).filter("n > 1")
-        counts = written(counts, "bucket-sizes")
-        shared = keyed.join(counts.filter(F.col("n") <= max_bucket), ["mask", "masked"]).select("mask", "masked", "fp")
-        links = shared.repartition("mask", "masked").sortWithinPartitions("mask", "masked").mapInArrow(_bucket_links(radius), "u long, v long")
+        counts = written(keyed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "bucket-sizes")
+        shared = keyed.join(counts.filter(F.col("n") <= max_bucket), "bucket").select("bucket", "word", "fp")
+        links = shared.repartition("bucket").sortWithinPartitions("bucket", "word").mapInArrow(_bucket_links(radius), schema)
         edges = links if edges is None else edges.unionByName(links)
         large = counts.filter(F.col("n") > max_bucket)
         if large.isEmpty():
             return edges
         depth += 1
-        used = [row.mask for row in large.select("mask").distinct().collect()]  # at most as many as there are masks
-        finer = [(m, _signed(n)) for m in used for n in {(m | x) & (2 ** 64 - 1) for x in covering_masks(_free(m & (2 ** 64 - 1)), radius)}]
+        inside = written(keyed.join(large.select("bucket"), "bucket").select("word", "fp", "mask"), "large-buckets")
+        used = [row.mask & (2 ** 64 - 1) for row in inside.select("mask").distinct().collect()]  # at most as many as there are masks
+        finer = [(_signed(m), _signed(n)) for m in used for n in {m | x for x in covering_masks(_free(m), radius)}]
         tables = spark.createDataFrame(finer, "mask long, finer long")
-        inside = keyed.join(large.select("mask", "masked"), ["mask", "masked"])
-        keyed = written(inside.join(F.broadcast(tables), "mask").select("fp", F.col("finer").alias("mask")), "large-buckets")
+        keyed = inside.join(F.broadcast(tables), "mask").select("word", "fp", F.col("finer").alias("mask")).distinct()
         if depth == 3:
             max_bucket = 1 << 62
 
 
 def near_duplicates(
     docs: DataFrame, radius: int = 4, shingle: int = 4, id_column: str = "doc_id", text_column: str = "text",
-    max_bucket: int = MAX_BUCKET,
+    max_bucket: int = MAX_BUCKET, words: int = 1, distinct: bool = False,
 ) -> DataFrame:
-    """One row ``(doc_id, fp, fingerprint, component_id)`` per row of ``docs``.
+    """One row ``(doc_id, fps, fingerprint, component_id)`` per row of ``docs``.
 
     Texts are lower-cased (A-Z), cut into words at ASCII white space and into runs of ``shingle`` words, repeats
-    included. Documents whose fingerprints differ in at most ``radius`` bits are linked, and ``component_id`` is the
-    smallest id that links reach, the document's own included. ``fingerprint`` holds 16 hexadecimal digits.
+    included unless ``distinct``. Documents are linked where one of their ``words`` fingerprints differs in at most
+    ``radius`` bits, and ``component_id`` is the smallest id that links reach, the document's own included.
+    ``fingerprint`` is the first one in 16 hexadecimal digits.
 
     Null and empty texts have the fingerprint zero and are linked like others. Rows with equal ids or equal texts are
     rows of their own. A null id is never a component id unless all ids it reaches are null. Empty tables give empty
     results. Other columns of ``docs`` are ignored.
     """
-    prints = written(fingerprints(docs, shingle, id_column, text_column), "fingerprints")
-    owners = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least_id")), "distinct-fingerprints")
-    roots = components(linked_fingerprints(owners.select("fp"), radius, max_bucket))
-    placed = owners.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    prints = written(fingerprints(docs, shingle, id_column, text_column, words, distinct), "fingerprints")
+    # Documents of equal fingerprints are one node, named by its first fingerprint.
+    nodes = prints.groupBy("fps").agg(F.min("doc_id").alias("least_id"))
+    nodes = written(nodes.withColumn("node", F.xxhash64("fps") if words > 1 else F.col("fps")[0]), "nodes")
+    valued = nodes.select("node", F.posexplode("fps").alias("word", "fp"))
+    # One node stands for a fingerprint; others that share it are linked to that one.
+    standing = written(valued.groupBy("word", "fp").agg(F.min("node").alias("first"), F.count("*").alias("n")), "distinct-fingerprints")
+    links = linked_fingerprints(standing.select("word", "fp"), radius, max_bucket)
+    for end in ("u", "v"):
+        firsts = standing.select("word", F.col("fp").alias(end), F.col("first").alias(f"{end}_node"))
+        links = links.join(firsts, ["word", end])
+    edges = links.select(F.col("u_node").alias("u"), F.col("v_node").alias("v"))
+    if words > 1:
+        sharing = valued.join(standing.filter("n > 1"), ["word", "fp"]).select(F.col("node").alias("u"), F.col("first").alias("v"))
+        edges = edges.unionByName(sharing)
+    placed = nodes.join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = placed.join(least, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select(
-        "doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = placed.join(least, "root").select("fps", "component_id")
+    return prints.join(named, "fps").select(
+        "doc_id", "fps", F.lower(F.lpad(F.hex(F.col("fps")[0]), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def drop_near_duplicates(
+    docs: DataFrame, radius: int = 4, shingle: int = 5, words: int = 6, distinct: bool = True, id_column: str = "doc_id",
+    text_column: str = "text", max_bucket: int = MAX_BUCKET,
+) -> DataFrame:
+    """The rows of ``docs``, all columns, without near-duplicates: the row with the smallest id of each group stays.
+
+    Groups are the components of ``near_duplicates``. With six fingerprints of five-word shingles, each counted once, most
+    texts of a Jaccard similarity of 0.9 and more are found, and few below 0.75. Texts without words have no shingle
+    to be alike in, and all stay. Rows with a null id stay if their group has no other, and rows that repeat the id
+    that stays do so, too.
+    """
+    found = near_duplicates(docs, radius, shingle, id_column, text_column, max_bucket, words, distinct)
+    gone, key = unused(docs, "gone"), unused(docs, "gone_id")
+    # Only ids are listed that go, each once: a row goes by its id, so texts are not dealt by group.
+    leaving = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id")) & F.exists("fps", lambda x: x != 0)).select(F.col("doc_id").alias(key)).distinct()
+    leaving = written(leaving, "near-duplicates").withColumn(gone, F.lit(True))
+    joined = docs.join(leaving, F.col(id_column).cast("long").eqNullSafe(F.col(key)), "left")
+    return joined.filter(F.col(gone).isNull()).select(*docs.columns)
