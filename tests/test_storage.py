@@ -1,3 +1,4 @@
+import os
 from datetime import date, datetime
 
 import pytest
@@ -8,9 +9,10 @@ from tristrata.plans.specs import GoldSpec, Metric
 from tristrata.operators.gold import build_gold
 from tristrata.operators.scd import snapshot_check
 from tristrata.session import new_work_path, staged, work_dir
-from tristrata.sources.files import path_exists
+from tristrata.sources import incremental
+from tristrata.sources.files import folder_names, path_exists
 from tristrata.sources.incremental import (
-    has_rows, incremental_filter, merge_months, newest_date, read_fact, refresh_gold, upsert_incremental,
+    has_rows, incremental_filter, merge_months, month_folders, newest_date, read_fact, refresh_gold, upsert_incremental,
 )
 from tristrata.sources.readers import read_partitioned, read_sources
 from tristrata.sources.tables import (
@@ -24,6 +26,10 @@ def facts(spark, *values):
     return spark.createDataFrame(list(values), "sk string, d date, v int")
 
 
+def month_files(spark, path, month):
+    return sorted(os.listdir(month_folders(spark, path)[month]))
+
+
 def stored(spark, path):
     return rows(read_fact(spark, path), "sk", F.col("d").cast("string"), "v")
 
@@ -89,7 +95,7 @@ def test_upsert_is_idempotent_and_moves_rows(spark, tmp_path):
     for _ in range(2):
         upsert_incremental(batch, path, "sk", "d", order_by=("v",))
         assert stored(spark, path) == expected
-    assert not (tmp_path / "fct" / "load_month=2024-01-01").exists()
+    assert date(2024, 1, 1) not in month_folders(spark, path)
     assert newest_date(spark, path, "d") == date(2024, 3, 1)
     upsert_incremental(facts(spark), path, "sk", "d")
     assert stored(spark, path) == expected
@@ -98,12 +104,35 @@ def test_upsert_is_idempotent_and_moves_rows(spark, tmp_path):
     assert ("c", "2024-02-01", 4) in stored(spark, path) and len(stored(spark, path)) == 4
 
 
+@pytest.mark.parametrize("step", ["write", "publish_text", "_remove_unnamed"])
+def test_an_upsert_that_breaks_off_changes_nothing_and_can_be_repeated(spark, tmp_path, monkeypatch, step):
+    path = str(tmp_path / "fct")
+    upsert_incremental(facts(spark, ("a", date(2024, 1, 5), 1), ("b", date(2024, 1, 6), 1), ("c", date(2024, 2, 5), 1)), path, "sk", "d")
+    before = stored(spark, path)
+    batch = facts(spark, ("a", date(2024, 2, 1), 2), ("n", None, 2))
+    expected = [("a", "2024-02-01", 2), ("b", "2024-01-06", 1), ("c", "2024-02-05", 1), ("n", None, 2)]
+
+    def lost(*_):
+        raise RuntimeError("driver lost")
+
+    with monkeypatch.context() as broken:
+        broken.setattr(incremental, *(("folder_names", lambda s, p: lost() if "/runs/" in p else folder_names(s, p)) if step == "write" else (step, lost)))
+        with pytest.raises(RuntimeError):
+            upsert_incremental(batch, path, "sk", "d")
+        broken.undo()
+        assert stored(spark, path) == (expected if step == "_remove_unnamed" else before)
+    upsert_incremental(batch, path, "sk", "d")
+    assert stored(spark, path) == expected
+    runs = {f.split("/runs/")[1].split("/")[0] for f in month_folders(spark, path).values()}
+    assert runs <= set(os.listdir(tmp_path / "fct" / "runs")) and len(os.listdir(tmp_path / "fct" / "manifests")) <= 4
+
+
 def test_untouched_months_are_not_rewritten(spark, tmp_path):
     path = str(tmp_path / "fct")
     upsert_incremental(facts(spark, ("a", date(2024, 1, 5), 1), ("b", date(2024, 2, 5), 1)), path, "sk", "d")
-    before = sorted(p.name for p in (tmp_path / "fct" / "load_month=2024-01-01").glob("*.parquet"))
+    before = month_files(spark, path, date(2024, 1, 1))
     upsert_incremental(facts(spark, ("b", date(2024, 2, 9), 2)), path, "sk", "d", key_has_date=True)
-    assert sorted(p.name for p in (tmp_path / "fct" / "load_month=2024-01-01").glob("*.parquet")) == before
+    assert month_files(spark, path, date(2024, 1, 1)) == before
     assert stored(spark, path) == [("a", "2024-01-05", 1), ("b", "2024-02-09", 2)]
 
 
@@ -144,11 +173,11 @@ def test_refresh_leaves_other_months_alone(spark, tmp_path):
     spec = GoldSpec("agg", "fct", "monthly", (), (Metric("n", "COUNT"),))
     upsert_incremental(facts(spark, ("a", date(2024, 1, 5), 1), ("b", date(2024, 2, 5), 1)), fact, "sk", "d")
     refresh_gold(spark, fact, gold, spec, "d")
-    untouched = sorted(p.name for p in (tmp_path / "gold" / "load_month=2024-01-01").glob("*.parquet"))
+    untouched = month_files(spark, gold, date(2024, 1, 1))
     months = merge_months(facts(spark, ("c", date(2024, 2, 9), 1)), fact, "sk", "d")
     assert months == [date(2024, 2, 1)]
     assert rows(refresh_gold(spark, fact, gold, spec, "d", months=months)) == [(date(2024, 1, 1), 1), (date(2024, 2, 1), 2)]
-    assert sorted(p.name for p in (tmp_path / "gold" / "load_month=2024-01-01").glob("*.parquet")) == untouched
+    assert month_files(spark, gold, date(2024, 1, 1)) == untouched
 
 
 def test_stored_snapshot_keeps_history_without_rewriting(spark, tmp_path):

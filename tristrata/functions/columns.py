@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, types as T
 
 from tristrata.functions.names import (
-    AUDIT_COLUMNS, AUDIT_DATES, MEASURE_WORDS, TECHNICAL_COLUMNS, UPDATE_STAMPS,
+    AUDIT_COLUMNS, AUDIT_DATES, IDENTIFIER_WORDS, MEASURE_WORDS, NO_MEASURES, TECHNICAL_COLUMNS, UPDATE_STAMPS,
 )
 
 DATE_TYPES = (T.DateType, T.TimestampType, T.TimestampNTZType)
@@ -17,12 +17,16 @@ def is_date(field: T.StructField) -> bool:
 
 
 def is_measure(field: T.StructField) -> bool:
-    """Fractional columns always; integers only when one word of the name says so."""
+    """Fractional columns always; integers only when a part of the name begins or ends with a word that says so.
+
+    Names that end in an identifier's word are none: ``orderqty`` is a measure, ``account_id`` is not.
+    """
     if isinstance(field.dataType, FRACTION_TYPES):
         return True
-    return isinstance(field.dataType, T.IntegralType) and not MEASURE_WORDS.isdisjoint(
-        field.name.lower().split("_")
-    )
+    parts = field.name.lower().split("_")
+    if not isinstance(field.dataType, T.IntegralType) or parts[-1] in IDENTIFIER_WORDS:
+        return False
+    return any(part.startswith(word) or part.endswith(word) for part in parts if part not in NO_MEASURES for word in MEASURE_WORDS)
 
 
 def date_columns(df: DataFrame, audit: bool = True) -> list[str]:

@@ -53,3 +53,7 @@ PROVENANCE_KEYS = frozenset({
     "assigned_to", "assigned_to_id",
     "owned_by", "owned_by_id",
 })
+
+# Last parts of names of identifiers, and parts that hold a measure's word by chance.
+IDENTIFIER_WORDS = frozenset({"id", "key", "sk", "code", "no", "number"})
+NO_MEASURES = frozenset({"account", "county", "country", "counter", "daysofweek"})

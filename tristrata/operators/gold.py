@@ -35,17 +35,18 @@ def resolve_gold(
 ) -> GoldSpec:
     """Check a specification against the fact and settle its date and grain.
 
-    ``on_unknown="single_measure"`` lets metrics on unknown columns fall back to the fact's measure when it
-    has exactly one. A ``…_ytd`` aggregate of finer grain than a month becomes yearly.
+    ``on_unknown="single_measure"`` lets metrics fall back to the fact's measure when it has exactly one and every
+    metric names an unknown column; expressions never fall back. A ``…_ytd`` aggregate of finer grain than a month becomes yearly.
     """
     date = spec.date or fact_date
     require(fact, [*spec.dimensions, *([date] if date else [])], spec.name)
     metrics = spec.metrics
     unknown = [m for m in metrics if m.column != "*" and m.column not in fact.columns]
-    if unknown and on_unknown == "single_measure":
+    names = all(m.column.isidentifier() for m in unknown)
+    if unknown and names and len(unknown) == len(metrics) and on_unknown == "single_measure":
         numeric = [f.name for f in fact.schema if f.name in measures and isinstance(f.dataType, T.NumericType)]
         if len(numeric) == 1:
-            metrics = tuple(replace(m, column=numeric[0]) if m in unknown else m for m in metrics)
+            metrics = tuple(replace(m, column=numeric[0]) for m in metrics)
             unknown = []
     if unknown or not metrics:
         raise ValueError(

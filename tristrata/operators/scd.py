@@ -82,14 +82,18 @@ def snapshot_timestamp(
 ) -> DataFrame:
     """Next snapshot from a reliable update stamp: a newer stamp than the current version's start opens a
     version that starts at the stamp, whether or not a value changed. ``run_at`` closes missing keys. Of
-    several source rows with one key the newest counts; ``unique`` promises there are none."""
+    several source rows with one key the newest counts; ``unique`` promises there are none.
+
+    A row without a stamp opens a version of a new key only: at ``run_at``, without that at no instant (NULL), which is
+    older than any stamp."""
     require(source, [*key, updated_at], "snapshot_timestamp")
     source = source if unique else dedup_latest(source, key, [updated_at])
     if close_missing and run_at is None:
         raise ValueError("close_missing needs run_at, the instant at which missing keys are closed")
     stamp = F.col(f"new.{updated_at}").cast("timestamp_ntz")
-    return _merge(previous, source, key, F.coalesce(stamp > F.col("old.valid_from"), F.lit(False)), stamp,
-                  _instant(run_at) if close_missing else None)
+    newer = stamp.isNotNull() & (F.col("old.valid_from").isNull() | (stamp > F.col("old.valid_from")))
+    starts = stamp if run_at is None else F.coalesce(stamp, _instant(run_at))
+    return _merge(previous, source, key, newer, starts, _instant(run_at) if close_missing else None)
 
 
 def scd2_from_history(

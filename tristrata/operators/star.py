@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tristrata.functions.columns import require
+from tristrata.operators.dedup import dedup_latest
 from tristrata.operators.gold import aggregate
 from tristrata.operators.hotkeys import CHUNK, HOT_KEY_ROWS, find_hot_keys, with_chunks
 from tristrata.plans.specs import Metric
@@ -62,7 +63,8 @@ def star_aggregate(
     Dimensions that Spark will broadcast are joined first, which moves no fact row. For the others the fact is
     reduced to one row per foreign key value and group before the join, so the join sees no hot key and
     shuffles keys instead of facts; partial results are then combined per attribute. Exact distinct counts
-    keep their column as a further key of the reduced rows.
+    keep their column as a further key of the reduced rows. Columns, their order and their types are the same
+    whichever way a dimension is joined.
     """
     small, large, late = [], [], set()
     for link in links:
@@ -73,9 +75,11 @@ def star_aggregate(
             large.append(link)
             late.update(link.attributes)
     fact = star_join(fact, small)
+    direct = star_join(fact, large).groupBy(*groups).agg(*(aggregate(m, measures) for m in metrics))
     if not large:
-        return fact.groupBy(*groups).agg(*(aggregate(m, measures) for m in metrics))
-    return _reduce_then_join(fact, large, late, groups, metrics, measures)
+        return direct
+    reduced = _reduce_then_join(fact, large, late, groups, metrics, measures)
+    return reduced.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in direct.schema))
 
 
 def _reduce_then_join(
@@ -146,6 +150,10 @@ def scd2_asof_join(
 ) -> DataFrame:
     """Fact LEFT JOIN the version of an SCD2 dimension valid at the fact's date ``at``; never more than one.
 
+    A fact belongs to the version of its key that started last at or before ``at``, if that one is still valid then.
+    Facts without a date or key and versions without a start or key match nothing; of versions that start together the
+    one that lasts longest counts. Both methods give the same rows.
+
     ``range`` joins on key and interval, as a broadcast or a skew-split merge join, and tries every version of
     a key on each of its facts. ``merge`` puts facts and versions in one time order per key and carries the
     last version forward: no pairs at all, and hot keys are cut into pieces of time. ``auto`` counts versions
@@ -163,13 +171,24 @@ def scd2_asof_join(
     raise ValueError(f"unknown method {method!r}")
 
 
+def _ordered_versions(dimension, key, keys, attributes) -> DataFrame:
+    """Versions as ``keys``, ``__from``, ``__to``, ``__version``, cut where the next version of the key starts."""
+    versions = dimension.select(
+        *(F.col(c).alias(k) for c, k in zip(key, keys)), F.col("valid_from").cast("timestamp_ntz").alias("__from"),
+        F.col("valid_to").cast("timestamp_ntz").alias("__to"),
+        F.struct(*(F.col(c).alias(n) for n, c in attributes.items())).alias("__version"),
+    ).dropna(subset=[*keys, "__from"])
+    lasting = F.coalesce("__to", F.lit("9999-12-31 00:00:00").cast("timestamp_ntz"))
+    single = dedup_latest(versions.withColumn("__lasting", lasting), [*keys, "__from"], ["__lasting"]).drop("__lasting")
+    following = F.lead("__from").over(Window.partitionBy(*keys).orderBy("__from"))
+    return single.withColumn("__to", F.least("__to", following))
+
+
 def _asof_by_range(fact, dimension, fact_columns, key, at, attributes) -> DataFrame:
     keys = [f"__k{i}" for i in range(len(key))]
-    versions = dimension.select(
-        *(F.col(c).alias(k) for c, k in zip(key, keys)), F.col("valid_from").alias("__from"),
-        F.col("valid_to").alias("__to"), *(F.col(c).alias(n) for n, c in attributes.items()),
-    )
-    valid = (F.col(at) >= F.col("__from")) & (F.col("__to").isNull() | (F.col(at) < F.col("__to")))
+    versions = _ordered_versions(dimension, key, keys, attributes).select(*keys, "__from", "__to", "__version.*")
+    moment = F.col(at).cast("timestamp_ntz")
+    valid = (moment >= F.col("__from")) & (F.col("__to").isNull() | (moment < F.col("__to")))
     on = reduce(Column.__and__, (F.col(c) == F.col(k) for c, k in zip(fact_columns, keys, strict=True)), valid)
     return fact.join(versions, on, "left").drop(*keys, "__from", "__to")
 
@@ -178,11 +197,8 @@ def _asof_by_merge(fact, dimension, fact_columns, key, at, attributes, hot_key_r
     keys = [f"__k{i}" for i in range(len(key))]
     facts = fact.select(*(F.col(c).alias(k) for c, k in zip(fact_columns, keys, strict=True)),
                         F.col(at).cast("timestamp_ntz").alias("__at"), F.struct(*fact.columns).alias("__fact"))
-    version = F.struct(F.col("valid_to").cast("timestamp_ntz").alias("__to"),
-                       *(F.col(c).alias(n) for n, c in attributes.items()))
-    versions = dimension.select(*(F.col(c).alias(k) for c, k in zip(key, keys)),
-                                F.col("valid_from").cast("timestamp_ntz").alias("__at"),
-                                version.alias("__version")).dropna(subset=keys)
+    versions = _ordered_versions(dimension, key, keys, attributes).select(
+        *keys, F.col("__from").alias("__at"), F.struct("__to", "__version.*").alias("__version"))
     line, group = facts.unionByName(versions, allowMissingColumns=True), keys
     hot = find_hot_keys(line, keys, hot_key_rows)
     if hot is not None:

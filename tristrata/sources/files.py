@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -24,3 +26,26 @@ def folder_names(spark: SparkSession, path: str) -> list[str]:
     """Names directly below ``path``; none when it does not exist."""
     fs, hadoop_path = _file_system(spark, path)
     return [s.getPath().getName() for s in fs.listStatus(hadoop_path)] if fs.exists(hadoop_path) else []
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    """Content of a small file."""
+    fs, hadoop_path = _file_system(spark, path)
+    stream = fs.open(hadoop_path)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def publish_text(spark: SparkSession, path: str, text: str) -> None:
+    """Write a small file that is either there as a whole or not at all; fails if it exists."""
+    fs, hadoop_path = _file_system(spark, path)
+    hidden = spark._jvm.org.apache.hadoop.fs.Path(hadoop_path.getParent(), f".{hadoop_path.getName()}.{uuid.uuid4().hex}")
+    stream = fs.create(hidden, False)
+    try:
+        stream.write(bytearray(text.encode()))
+    finally:
+        stream.close()
+    if fs.exists(hadoop_path) or not fs.rename(hidden, hadoop_path):
+        raise FileExistsError(path)

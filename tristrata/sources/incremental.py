@@ -1,11 +1,16 @@
 """Incremental tables: lookback filter, upsert by surrogate key, refresh of the aggregates above.
 
-A dated table is laid out in ``load_month=<first of month>`` folders, so one batch rewrites only the months
-it touches. Each table has one writer at a time.
+A dated table is a set of months. Every run writes the months that it changes, once, into a folder of its own
+(``runs/run=<id>/load_month=<first of month>``) and then publishes a manifest (``manifests/<n>.json``) that says which
+run's folder holds each month. Readers follow the newest manifest, so they see a run as a whole or not at all, and a run
+that breaks off leaves the table as it was; repeating it gives what it would have given. The manifest before the newest
+stays readable, older ones are removed with the folders that only they name. Each table has one writer at a time.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Collection
 from dataclasses import replace
 from datetime import date as Date, timedelta
@@ -17,10 +22,12 @@ from tristrata.operators.dedup import dedup_latest
 from tristrata.operators.gold import build_gold, resolve_gold
 from tristrata.plans.specs import GoldSpec
 from tristrata.session import staged
-from tristrata.sources.files import delete_path, folder_names
+from tristrata.sources.files import delete_path, folder_names, publish_text, read_text
 from tristrata.sources.tables import read_table, table_exists, write_table
 
 MONTH = "load_month"
+# How folders name the month of undated rows.
+NO_MONTH = "__HIVE_DEFAULT_PARTITION__"
 DEFAULT_LOOKBACK_DAYS = 7
 
 
@@ -38,42 +45,61 @@ def incremental_filter(
     return df.filter((column > bound) | column.isNull())
 
 
+def _manifest_names(spark: SparkSession, path: str) -> list[str]:
+    return sorted(n for n in folder_names(spark, f"{path}/manifests") if n.endswith(".json") and not n.startswith("."))
+
+
+def month_folders(spark: SparkSession, path: str) -> dict[Date | None, str]:
+    """The folder of each month of the table, by its newest manifest."""
+    names = _manifest_names(spark, path)
+    if not names:
+        return {}
+    months = json.loads(read_text(spark, f"{path}/manifests/{names[-1]}"))
+    return {None if m == NO_MONTH else Date.fromisoformat(m): f"{path}/runs/{run}/{MONTH}={m}" for m, run in months.items()}
+
+
 def has_rows(spark: SparkSession, path: str) -> bool:
-    """Whether a table in month folders holds anything yet."""
-    return any(name.startswith(f"{MONTH}=") for name in folder_names(spark, path))
+    """Whether a dated table holds anything yet."""
+    return bool(month_folders(spark, path))
 
 
 def read_fact(
     spark: SparkSession, path: str, since: Date | None = None, otherwise: DataFrame | None = None
 ) -> DataFrame:
-    """A table in month folders; ``since`` prunes month folders before any file is opened.
+    """A dated table as it is now; ``since`` prunes months before any file is listed.
 
-    Files of an empty table say nothing about its columns: ``otherwise`` gives them.
+    An empty table has no file that says which columns it has: ``otherwise`` gives them.
     """
-    if otherwise is not None and not has_rows(spark, path):
+    folders = month_folders(spark, path)
+    if otherwise is not None and not folders:
         return otherwise.limit(0)
-    schema = None if otherwise is None else T.StructType([*otherwise.schema, T.StructField(MONTH, T.DateType())])
-    stored = _stored(spark, path, schema)
+    schema = None if otherwise is None else otherwise.schema
     if since is not None:
-        stored = stored.filter((F.col(MONTH) >= F.lit(since.replace(day=1))) | F.col(MONTH).isNull())
-    return stored.drop(MONTH)
+        recent = {m: f for m, f in folders.items() if m is None or m >= since.replace(day=1)}
+        if not recent:
+            return _stored(spark, path, folders, schema).limit(0).drop(MONTH)
+        folders = recent
+    return _stored(spark, path, folders, schema).drop(MONTH)
 
 
 def newest_date(spark: SparkSession, path: str, date: str):
     """Greatest date stored, or None; reads the date column of the newest month only."""
-    if not has_rows(spark, path):
+    folders = month_folders(spark, path)
+    dated = [m for m in folders if m is not None]
+    if not dated:
         return None
-    stored = _stored(spark, path)
-    month = stored.agg(F.max(MONTH)).first()[0]
-    if month is None:
-        return None
-    return stored.filter(F.col(MONTH) == F.lit(month)).agg(F.max(date)).first()[0]
+    return _stored(spark, path, {max(dated): folders[max(dated)]}).agg(F.max(date)).first()[0]
 
 
-def _stored(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    """The table with its month column; a known ``schema`` saves the job that infers it."""
-    stored = (spark.read.schema(schema) if schema else spark.read).parquet(path)
-    return stored.withColumn(MONTH, F.col(MONTH).cast("date"))
+def _stored(spark: SparkSession, path: str, folders: dict[Date | None, str], schema: T.StructType | None = None) -> DataFrame:
+    """The rows of these months with their month; a known ``schema`` saves the job that infers it."""
+    if not folders:
+        raise FileNotFoundError(f"no table in months at {path}")
+    reader = spark.read.option("basePath", f"{path}/runs").option("mergeSchema", "true")
+    if schema is not None:
+        own = [f for f in schema if f.name != MONTH]
+        reader = reader.schema(T.StructType([*own, T.StructField("run", T.StringType()), T.StructField(MONTH, T.DateType())]))
+    return reader.parquet(*folders.values()).drop("run").withColumn(MONTH, F.col(MONTH).cast("date"))
 
 
 def in_months(column: str | Column, months: Collection[Date | None]) -> Column:
@@ -117,18 +143,23 @@ def merge_months(
     """
     spark, columns = batch.sparkSession, batch.columns
     fresh = (batch if unique else dedup_latest(batch, [key], order_by)).withColumn(MONTH, to_grain(date, "month"))
-    if not has_rows(spark, path):
-        _overwrite_months(fresh, path)
+    folders = month_folders(spark, path)
+    if not folders:
+        _publish(fresh, path)
         return None
     with staged(fresh, "batch") as fresh:
-        stored, keys = _stored(spark, path, fresh.schema), fresh.select(key)
+        stored, keys = _stored(spark, path, folders, fresh.schema), fresh.select(key)
         months = fresh.select(MONTH)
         if not key_has_date:
             months = months.union(stored.select(key, MONTH).join(keys, key, "left_semi").select(MONTH))
         touched = [row[0] for row in months.distinct().collect()]  # calendar months, a small list
         if touched:
-            kept = stored.filter(in_months(MONTH, touched)).join(keys, key, "left_anti")
-            _replace_months(kept.select(*columns, MONTH).unionByName(fresh), path, touched)
+            before = {m: folders[m] for m in touched if m in folders}
+            merged = fresh
+            if before:
+                kept = _stored(spark, path, before, fresh.schema).join(keys, key, "left_anti")
+                merged = kept.select(*columns, MONTH).unionByName(fresh)
+            _publish(merged, path, touched)
     return touched
 
 
@@ -142,20 +173,20 @@ def refresh_gold(
     are computed anew from the fact's folders that feed them; all others stay as they are.
     """
     spec = replace(spec, date=date)
-    fact = _stored(spark, fact_path)
+    fact = _stored(spark, fact_path, month_folders(spark, fact_path))
     grain = resolve_gold(fact, spec, measures).grain
     period = f"{grain}_date"
     if months is None or not has_rows(spark, path):
         gold = build_gold(fact.drop(MONTH), spec, measures)
-        _overwrite_months(gold.withColumn(MONTH, to_grain(period, "month")), path)
-        return read_fact(spark, path)
+        _publish(gold.withColumn(MONTH, to_grain(period, "month")), path)
+        return read_fact(spark, path, otherwise=gold)
     periods = {m for month in months for m in _period_months(month, grain)}
     feeding = fact.filter(in_months(MONTH, {m for p in periods for m in _feeding_months(p, grain)}))
     feeding = feeding.filter(in_months(to_grain(to_grain(date, grain), "month"), periods)).drop(MONTH)
     if periods:
         gold = build_gold(feeding, spec, measures).withColumn(MONTH, to_grain(period, "month"))
-        _replace_months(gold, path, list(periods))
-    return read_fact(spark, path)
+        _publish(gold, path, list(periods))
+    return read_fact(spark, path, otherwise=build_gold(fact.drop(MONTH), spec, measures))
 
 
 def _shift(month: Date, by: int) -> Date:
@@ -178,21 +209,34 @@ def _feeding_months(first: Date | None, grain: str) -> list[Date | None]:
     return [_shift(first, n) for n in range(ahead + 1)]
 
 
-def _replace_months(rows: DataFrame, path: str, months: list[Date | None]) -> None:
-    """Make ``rows`` the content of ``months``, computed before anything is overwritten."""
-    spark = rows.sparkSession
-    with staged(rows, "merged") as merged:
-        _overwrite_months(merged, path)
-        filled = {row[0] for row in merged.select(MONTH).distinct().collect()}
-        for month in set(months) - filled:
-            delete_path(spark, f"{path}/{MONTH}={month or '__HIVE_DEFAULT_PARTITION__'}")
-
-
-def _overwrite_months(rows: DataFrame, path: str) -> None:
-    """Replace the month folders present in ``rows``; others stay as they are.
+def _publish(rows: DataFrame, path: str, months: Collection[Date | None] | None = None) -> None:
+    """Make ``rows`` the content of ``months`` (of the whole table when None): written as a run, then named by a manifest.
 
     The rebalance hint gathers each month's rows and splits large months into files of the advisory size.
     """
-    (rows.hint("rebalance", F.col(MONTH))
-         .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy(MONTH).parquet(path))
+    spark, run = rows.sparkSession, f"run={uuid.uuid4().hex}"
+    rows.hint("rebalance", F.col(MONTH)).write.partitionBy(MONTH).parquet(f"{path}/runs/{run}")
+    filled = {n.removeprefix(f"{MONTH}=") for n in folder_names(spark, f"{path}/runs/{run}") if n.startswith(f"{MONTH}=")}
+    names = _manifest_names(spark, path)
+    before = json.loads(read_text(spark, f"{path}/manifests/{names[-1]}")) if names and months is not None else {}
+    gone = {NO_MONTH if m is None else m.isoformat() for m in months or ()}
+    now = {m: r for m, r in before.items() if m not in gone} | dict.fromkeys(filled, run)
+    number = int(names[-1].removesuffix(".json")) + 1 if names else 1
+    publish_text(spark, f"{path}/manifests/{number:012d}.json", json.dumps(now))
+    _remove_unnamed(spark, path)
+
+
+def _remove_unnamed(spark: SparkSession, path: str) -> None:
+    """Remove all manifests but the last two, and month folders that neither of these names."""
+    names = _manifest_names(spark, path)
+    named = {(run, f"{MONTH}={m}") for n in names[-2:] for m, run in json.loads(read_text(spark, f"{path}/manifests/{n}")).items()}
+    for n in names[:-2]:
+        delete_path(spark, f"{path}/manifests/{n}")
+    runs = {run for run, _ in named}
+    for run in folder_names(spark, f"{path}/runs"):
+        if run not in runs:
+            delete_path(spark, f"{path}/runs/{run}")
+            continue
+        for month in folder_names(spark, f"{path}/runs/{run}"):
+            if month.startswith(f"{MONTH}=") and (run, month) not in named:
+                delete_path(spark, f"{path}/runs/{run}/{month}")
