@@ -91,13 +91,15 @@ def budget(length: int, q: int, rate: float) -> tuple[int, int]:
 
 @dataclass
 class Index:
-    """q-grams of a block of items: sorted hashes with item and place, and a bit table that rules most others out."""
+    """q-grams of a block of items: sorted hashes with their postings (item and place), and a bit table that rules most others out."""
 
     ids: list
     texts: list[str]
     edits: np.ndarray
     needed: np.ndarray
     hashes: np.ndarray
+    begins: np.ndarray
+    counts: np.ndarray
     item: np.ndarray
     place: np.ndarray
     table: np.ndarray
@@ -115,35 +117,59 @@ class Index:
         lengths = [len(g) for g in grams]
         table = np.zeros(1 << _FILTER_BITS, bool)
         table[(hashes >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
+        different, begins, counts = np.unique(hashes[order], return_index=True, return_counts=True)
         return cls(
             [i for i, _ in items], [t for _, t in items], np.array([e for e, _ in budgets], np.int64), np.array([n for _, n in budgets], np.int64),
-            hashes[order], np.repeat(np.arange(len(items)), lengths)[order], np.concatenate([*map(np.arange, lengths), np.empty(0, int)]).astype(np.int64)[order],
+            different, begins, counts, np.repeat(np.arange(len(items)), lengths)[order], np.concatenate([*map(np.arange, lengths), np.empty(0, int)]).astype(np.int64)[order],
             table, max((e for e, _ in budgets), default=0) + 1, q)
 
-    def regions(self, text: str) -> Iterator[tuple[int, int]]:
-        """Bands ``(item, first diagonal)``, each of twice ``width`` diagonals, that share enough q-grams with an item."""
+    def regions(self, text: str) -> Iterator[tuple[int, int, int]]:
+        """``(item, first diagonal, last diagonal)`` of bands that share enough q-grams with an item.
+
+        Bands of one width for all items are counted first. Within those that pass, only diagonals count that lie in a
+        window of the item's own edits with enough different q-grams of the item; they are what is given out.
+        """
         hashes = qgram_hashes(_points(text), self.q)
         at = np.flatnonzero(self.table[(hashes >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
         if not len(at):
             return
-        low, high = np.searchsorted(self.hashes, hashes[at]), np.searchsorted(self.hashes, hashes[at], "right")
-        counts = high - low
-        if counts.sum() < self.needed.min():
+        slot = np.minimum(np.searchsorted(self.hashes, hashes[at]), len(self.hashes) - 1)
+        known = self.hashes[slot] == hashes[at]
+        at, slot = at[known], slot[known]
+        counts = self.counts[slot]
+        posting = np.repeat(self.begins[slot] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
+        item, at = self.item[posting], np.repeat(at, counts)
+        # Items that share too few q-grams with the text as a whole are out.
+        likely = np.bincount(item, minlength=len(self.ids))[item] >= self.needed[item]
+        posting, item, at = posting[likely], item[likely], at[likely]
+        if not len(item):
             return
-        posting = np.repeat(low - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
-        item, diagonal = self.item[posting], np.repeat(at, counts) - self.place[posting]
+        diagonal = at - self.place[posting]
         band = diagonal // self.width
         shift = int(-band.min()) + 1
         span = int(band.max()) + shift + 1
         keys, shared = np.unique(np.concatenate([item * span + band + shift, item * span + band + shift - 1]), return_counts=True)
+        seen = set()
         for key in keys[shared >= self.needed[keys // span]].tolist():
-            yield key // span, (key % span - shift) * self.width
+            number, first = key // span, (key % span - shift) * self.width
+            inside = np.flatnonzero((item == number) & (diagonal >= first) & (diagonal < first + 2 * self.width))
+            inside = inside[np.argsort(diagonal[inside], kind="stable")]
+            diagonals, places = diagonal[inside], self.place[posting[inside]]
+            stops = np.searchsorted(diagonals, diagonals + self.edits[number], "right")
+            enough = [
+                (a, b) for a, b in zip(range(len(stops)), stops.tolist())
+                if b - a >= self.needed[number] and len(set(places[a:b].tolist())) >= self.needed[number]]
+            if enough:
+                found = number, int(diagonals[enough[0][0]]), int(diagonals[enough[-1][1] - 1])
+                if found not in seen:
+                    seen.add(found)
+                    yield found
 
     def find(self, text: str) -> dict[int, tuple[int, int, int]]:
         """For each item that occurs the best region ``(edits, start, stop)`` of the normalised text, the earliest of equals."""
         best: dict[int, tuple[int, int, int]] = {}
         points = None
-        for item, first in self.regions(text):
+        for item, first, last in self.regions(text):
             wanted, edits = self.texts[item], int(self.edits[item])
             if item in best and best[item][0] == 0:
                 continue
@@ -152,7 +178,7 @@ class Index:
                 best[item] = (0, exact, exact + len(wanted))
                 continue
             points = _points(text) if points is None else points
-            found = align(points, _points(wanted), first - edits, 2 * self.width + 2 * edits, edits)
+            found = align(points, _points(wanted), first - edits, last - first + 1 + 2 * edits, edits)
             if found is not None and found < best.get(item, (edits + 1, 0, 0)):
                 best[item] = found
         return best
