@@ -229,28 +229,26 @@ def profile_columns_exact(spark, folder):
 
 
 def _keys_sql() -> str:
-    """Count every combination of up to three columns and keep the minimal ones that are unique."""
-    counts, smaller = [], []
+    """Try every combination of columns and keep the minimal ones without repeats and NULLs."""
+    tried, smaller = [], []
     for table, columns in _KINDS.items():
         names = [c for c, kind in columns if kind in ("int", "text", "date")]
-        for size in (1, 2, 3):
+        for size in range(1, len(names) + 1):
             for combo in combinations(names, size):
-                whole = "count(distinct " + (combo[0] if size == 1 else f"({', '.join(combo)})") + ")"
-                present = " and ".join(f"count({c}) = count(*)" for c in combo)
-                counts.append(f"select '{table}' as t, '{', '.join(combo)}' as k, {size} as n, "
-                              f"{present} and {whole} = count(*) as is_key from {table}")
-                smaller += [f"('{table}', '{', '.join(combo)}', '{', '.join(part)}')"
-                            for less in range(1, size) for part in combinations(combo, less)]
+                whole, some = ", ".join(combo), " or ".join(f"{c} is null" for c in combo)
+                tried.append(f"select '{table}' as t, '{whole}' as k, {size} as n where not exists (select 1 from {table} where {some}) "
+                             f"and not exists (select 1 from {table} group by {whole} having count(*) > 1)")
+                smaller += [f"('{table}', '{whole}', '{', '.join(part)}')" for part in combinations(combo, size - 1) if part]
+    # A unique combination is minimal unless it is unique without one of its columns.
     return f"""
-with counted as ({' union all '.join(counts)}), parts(t, k, part) as (values {', '.join(smaller)})
-select t as table_name, k as key_columns, cast(n as bigint) as n_columns from counted c where is_key
-and not exists (select 1 from parts p join counted d on d.t = p.t and d.k = p.part
-                where p.t = c.t and p.k = c.k and d.is_key)"""
+with uniq as materialized ({' union all '.join(tried)}), parts(t, k, part) as (values {', '.join(smaller)})
+select t as table_name, k as key_columns, cast(n as bigint) as n_columns from uniq u
+where not exists (select 1 from parts p join uniq d on d.t = p.t and d.k = p.part where p.t = u.t and p.k = u.k)"""
 
 
 @query(_keys_sql())
 def discover_keys_of_tables(spark, folder):
-    """Minimal keys of up to three columns of every table."""
+    """Minimal keys of every table."""
     tables = load(spark, folder, *ALL_TABLES)
     rows = [(name, ", ".join(key), len(key)) for name, keys in discover_all_keys(tables).items() for key in keys]
     return spark.createDataFrame(rows, "table_name string, key_columns string, n_columns bigint")
@@ -358,6 +356,22 @@ def stream_fact_events(spark, folder):
     return read_fact(spark, path)
 
 
+@query("""
+select md5(concat_ws('-', coalesce(cast(monthly_date as varchar), '_dbt_utils_surrogate_key_null_'), event_type)) as agg_monthly_events_sk, *
+from (select cast(date_trunc('month', case when event_id % 10 <> 0 then ts end) as date) as monthly_date, event_type,
+             count(*) as events, min(value) as least from events group by 1, 2)""")
+def stream_gold_undated(spark, folder):
+    """A monthly aggregate kept up to date by a stream in which every tenth event has no date."""
+    schema = load(spark, folder, "events")["events"].schema
+    spec = GoldSpec("agg_monthly_events", "events", "monthly", ("event_type",),
+                    (Metric("events", "COUNT"), Metric("least", "MIN", "value")), "ts")
+    path, checkpoint = new_work_path(spark, "agg_monthly_events"), new_work_path(spark, "stream")
+    stream = read_file_stream(spark, folder, schema, "events.parquet")
+    stream = stream.withColumn("ts", F.when(F.col("event_id") % 10 != 0, F.col("ts")))
+    stream_gold(stream, spec, path, checkpoint).awaitTermination()
+    return read_fact(spark, path)
+
+
 @query("""
 select md5(concat_ws('-', cast(weekly_date as varchar), event_type)) as agg_weekly_events_sk, *
 from (select cast(date_trunc('week', ts) as date) as weekly_date, event_type, count(*) as events,

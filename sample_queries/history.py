@@ -175,6 +175,50 @@ def snapshot_timestamp_second_run(spark, folder):
     return snapshot_timestamp(snapshot, later, ["c_custkey"], "updated_at")
 
 
+@query("""
+with first as (
+  select c_custkey, c_mktsegment, case when c_custkey % 3 <> 0 then timestamp '2024-01-01' end as updated_at,
+         case when c_custkey % 3 <> 0 then timestamp '2024-01-01' end as valid_from from customer
+), later as (
+  select c_custkey, case when c_custkey % 2 = 0 then 'CHANGED' else c_mktsegment end as c_mktsegment,
+         case when c_custkey % 2 = 0 then timestamp '2024-02-01' end as updated_at from customer
+)
+select f.*, l.updated_at as valid_to from first f join later l using (c_custkey)
+union all
+select c_custkey, c_mktsegment, updated_at, updated_at, null from later where updated_at is not null""")
+def snapshot_timestamp_null_stamp(spark, folder):
+    """Keys first seen without an update stamp change with their first stamp; rows without one change nothing."""
+    customer = load(spark, folder, "customer")["customer"].select("c_custkey", "c_mktsegment")
+    at = lambda day: F.lit(f"2024-{day} 00:00:00").cast("timestamp_ntz")
+    even = F.col("c_custkey") % 2 == 0
+    first = customer.withColumn("updated_at", F.when(F.col("c_custkey") % 3 != 0, at("01-01")))
+    later = customer.withColumns({
+        "c_mktsegment": F.when(even, F.lit("CHANGED")).otherwise(F.col("c_mktsegment")), "updated_at": F.when(even, at("02-01"))})
+    return snapshot_timestamp(snapshot_timestamp(None, first, ["c_custkey"], "updated_at"), later, ["c_custkey"], "updated_at")
+
+
+@query("""
+with versions as (
+  select o_custkey, o_orderdate as valid_from, max(o_orderdate + interval 400 days) as valid_to, max(o_orderpriority) as priority
+  from orders where o_orderkey % 7 <> 0 group by 1, 2
+), cut as (
+  select *, least(valid_to, lead(valid_from) over (partition by o_custkey order by valid_from)) as until from versions
+), facts as (select o_orderkey, o_custkey, case when o_orderkey % 5 <> 0 then o_orderdate end as moment from orders)
+select o_orderkey, priority from facts f
+left join cut c on c.o_custkey = f.o_custkey and moment >= valid_from and moment < until""")
+def scd2_asof_null_starts(spark, folder):
+    """Overlapping versions, versions without a start and facts without a date; half of the keys by each method."""
+    orders = load(spark, folder, "orders")["orders"]
+    facts = orders.select("o_orderkey", "o_custkey", F.when(F.col("o_orderkey") % 5 != 0, F.col("o_orderdate")).alias("at"))
+    starts = F.when(F.col("o_orderkey") % 7 != 0, F.col("o_orderdate")).alias("valid_from")
+    versions = orders.groupBy("o_custkey", starts).agg(F.max("o_orderpriority").alias("priority"))
+    versions = versions.withColumn("valid_to", F.col("valid_from") + F.expr("interval 400 days"))
+    even = F.col("o_custkey") % 2 == 0
+    return scd2_asof_join(facts.filter(even), versions, ["o_custkey"], ["o_custkey"], "at", {"priority": "priority"}, method="range").unionByName(
+        scd2_asof_join(facts.filter(~even), versions, ["o_custkey"], ["o_custkey"], "at", {"priority": "priority"}, method="merge")
+    ).select("o_orderkey", "priority")
+
+
 @query("""
 select md5(concat_ws('-', cast(c_custkey as varchar), '2024-01-01 00:00:00')) as dim_customer_sk,
        c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment, timestamp '2024-01-01' as valid_from,

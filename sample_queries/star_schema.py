@@ -240,6 +240,18 @@ def star_join_revenue_by_nation(spark, folder):
     return snap(star_aggregate(lineitem_fact(spark, folder), links, ["nation"], (REVENUE, LINES)), revenue=4)
 
 
+@query("""
+select p_brand as brand, l_returnflag, sum(cast(l_quantity as decimal(18, 2))) as quantity, count(*) as lines
+from lineitem left join part on l_partkey = p_partkey group by 1, 2""")
+def star_aggregate_decimal(spark, folder):
+    """Decimal measures by an attribute and a fact column; types and order of columns do not depend on the plan."""
+    t = load(spark, folder, "lineitem", "part")
+    fact = t["lineitem"].withColumn("q", F.col("l_quantity").cast("decimal(18, 2)"))
+    links = [DimensionLink(t["part"], ("l_partkey",), ("p_partkey",), {"brand": "p_brand"})]
+    metrics = (Metric("quantity", "SUM", "q"), Metric("lines", "COUNT"))
+    return star_aggregate(fact, links, ["brand", "l_returnflag"], metrics)
+
+
 @query("""
 select c_custkey, c_mktsegment, o.orders, o.order_value, e.events
 from (select o_custkey, count(*) as orders, round(sum(o_totalprice), 2) as order_value from orders group by 1) o

@@ -4,12 +4,14 @@ import pytest
 from pyspark.sql import functions as F, types as T
 
 from tests.conftest import rows
+from tristrata.functions.columns import is_measure
 from tristrata.functions.keys import surrogate_key
 from tristrata.operators.dimensions import (
     bridge_join, build_bridge, build_dimension_scd1, dimension_key_columns, is_bridge,
 )
 from tristrata.operators.facts import build_fact, derived_measures, effective_date, fact_key_columns
 from tristrata.operators.gold import build_gold, resolve_gold
+from tristrata.operators.star import DimensionLink, star_aggregate
 from tristrata.operators.staging import stage, unsupported_columns
 from tristrata.plans.specs import (
     Derived, DimensionSpec, FactSpec, ForeignKey, GoldSpec, KeyPath, Metric, TableSpec, unique_names,
@@ -190,3 +192,32 @@ def test_output_names_are_unique():
     assert [g.name for g in named] == ["agg_daily_bill_total_cost", "agg_daily_prescribes_total_cost", "other"]
     with pytest.raises(ValueError, match="overwrite"):
         unique_names((GoldSpec("x", "fct_a"), GoldSpec("x", "fct_a")))
+
+
+def test_star_aggregate_has_one_schema_whatever_the_plan(spark):
+    fact = spark.createDataFrame([(1, "x", 1), (1, "y", 2), (2, "x", 3)], "k int, flag string, m int").withColumn("m", F.col("m").cast("decimal(18,2)"))
+    dimension = spark.createDataFrame([(1, "s"), (2, "t")], "id int, seg string")
+    links = [DimensionLink(dimension, ("k",), ("id",), {"seg": "seg"})]
+    metrics = (Metric("s", "SUM", "m"), Metric("a", "AVG", "m"), Metric("n", "COUNT"))
+    threshold, found = spark.conf.get("spark.sql.autoBroadcastJoinThreshold"), []
+    for limit in ("10m", "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+        result = star_aggregate(fact, links, ["seg", "flag"], metrics)
+        found.append((result.dtypes, rows(result)))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert found[0] == found[1]
+    assert found[0][0][2:4] == [("s", "decimal(28,2)"), ("a", "decimal(22,6)")]
+
+
+def test_only_bare_names_fall_back_to_the_single_measure(spark):
+    fact = spark.createDataFrame([(1, 2)], "m int, n int")
+    both = GoldSpec("agg", "f", "daily", (), (Metric("known", "SUM", "m"), Metric("tax", "SUM", "no_such")))
+    formula = GoldSpec("agg", "f", "daily", (), (Metric("tax", "SUM", "m * 2"),))
+    for spec in (both, formula):
+        with pytest.raises(ValueError):
+            resolve_gold(fact, spec, {"m"}, on_unknown="single_measure")
+
+
+def test_words_mark_measures_within_names(spark):
+    schema = spark.createDataFrame([], "orderqty int, unitprice int, totalquantity int, account_id int, status int, account int, days_open int").schema
+    assert [f.name for f in schema if is_measure(f)] == ["orderqty", "unitprice", "totalquantity", "days_open"]

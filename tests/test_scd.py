@@ -169,3 +169,27 @@ def test_dedup_latest(spark):
     assert rows(dedup_latest(df, ["k"], ["t"])) == [(None, 1, "d"), (1, 2, "b")]
     assert dedup_latest(df, ["k"], ["t"]).columns == ["k", "t", "v"]
     assert rows(dedup_latest(df.select("k"), ["k"])) == [(None,), (1,)]
+
+
+def test_both_as_of_methods_agree_on_odd_versions(spark):
+    when = lambda d: None if d is None else datetime(2024, 1, d)
+    versions = spark.createDataFrame(
+        [(1, "a", when(1), when(9)), (1, "b", when(4), when(6)), (1, "c", None, when(5)), (1, "d", when(20), None), (1, "e", when(20), when(22)),
+         (2, "f", None, None), (None, "g", when(1), None)], "k int, v string, valid_from timestamp_ntz, valid_to timestamp_ntz")
+    facts = spark.createDataFrame(
+        [(i, k, when(d)) for i, (k, d) in enumerate([(1, d) for d in (None, 1, 3, 4, 5, 6, 8, 20, 23)] + [(2, 3), (None, 3), (3, 3)])],
+        "id int, k int, at timestamp_ntz")
+    found = [rows(scd2_asof_join(facts, versions, ["k"], ["k"], "at", {"v": "v"}, **options), "id", "v") for options in (
+        {"method": "range"}, {"method": "merge"}, {"method": "merge", "hot_key_rows": 1})]
+    values = [None, "a", "a", "b", "b", None, None, "d", "d", None, None, None]
+    assert found[0] == sorted(enumerate(values), key=lambda r: str(r[0]))
+    assert found[0] == found[1] == found[2]
+
+
+def test_a_key_first_seen_without_stamp_changes_later(spark):
+    schema = "k int, v string, at timestamp_ntz"
+    first = snapshot_timestamp(None, spark.createDataFrame([(1, "a", None)], schema), ["k"], "at", run_at="2024-01-01 00:00:00")
+    assert rows(first, "v", "valid_from") == [("a", datetime(2024, 1, 1))]
+    later = spark.createDataFrame([(1, "b", datetime(2024, 2, 1))], schema)
+    versions = {r.v: r.valid_to for r in snapshot_timestamp(first, later, ["k"], "at").collect()}
+    assert versions == {"a": datetime(2024, 2, 1), "b": None}

@@ -256,7 +256,7 @@ def test_stream_gold_drops_rows_later_than_the_lookback(spark, tmp_path):
 
     def run():
         stream = read_file_stream(spark, folder, SCHEMA, files_per_batch=1)
-        stream_gold(stream, spec, path, checkpoint).awaitTermination()
+        stream_gold(stream, spec, path, checkpoint, lateness_days=7).awaitTermination()
         return rows(read_fact(spark, path), F.col("weekly_date").cast("string"), "kind", "n", "s")
 
     add_file(spark, folder, (1, "a", datetime(2024, 1, 7, 23), 1), (2, "a", datetime(2024, 1, 8), 2))
@@ -268,6 +268,22 @@ def test_stream_gold_drops_rows_later_than_the_lookback(spark, tmp_path):
                      ("2024-01-29", "a", 2, 9)]
 
 
+def test_stream_gold_equals_the_batch_aggregate(spark, tmp_path):
+    folder, path, checkpoint = (str(tmp_path / n) for n in ("in", "gold", "cp"))
+    spec = GoldSpec("agg", "events", "monthly", ("kind",), (Metric("n", "COUNT"), Metric("s", "SUM", "value")), "ts")
+    files = [((1, "a", datetime(2024, 1, 7), 1), (2, "a", None, 2)), ((3, "a", datetime(2024, 5, 1), 3), (4, None, None, 4)),
+             ((5, "a", datetime(2024, 1, 1), 5), (6, "a", None, 6))]
+    for file in files:
+        add_file(spark, folder, *file)
+        stream = read_file_stream(spark, folder, SCHEMA, files_per_batch=1)
+        stream_gold(stream, spec, path, checkpoint).awaitTermination()
+        got = read_fact(spark, path).drop("agg_sk")
+        assert rows(got) == rows(build_gold(spark.read.parquet(folder), spec).select(got.columns))
+    exact = GoldSpec("agg", "e", "daily", (), (Metric("n", "COUNT_DISTINCT", "kind"),), "ts")
+    with pytest.raises(ValueError, match="approx"):
+        stream_gold(stream, exact, path, checkpoint)
+
+
 def test_stream_grains(spark, tmp_path):
     add_file(spark, str(tmp_path / "in"), (1, "a", datetime(2024, 1, 7), 1))
     stream = read_file_stream(spark, str(tmp_path / "in"), SCHEMA)

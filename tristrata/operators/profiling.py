@@ -21,9 +21,6 @@ from tristrata.functions.columns import DATE_TYPES
 SKETCH_LOG_REGISTERS = 12
 SKETCH_ERROR = 1.04 / 2 ** (SKETCH_LOG_REGISTERS / 2)
 
-# A sketch this many standard errors below the row count rules a key out; true keys practically never are.
-SKETCH_MARGIN = 6
-
 # Candidates are tried on this fraction of their values before they are tried on all.
 SLICES = 64
 
@@ -31,6 +28,11 @@ SLICES = 64
 MASK_BITS = 62
 
 
+def value_hash(*columns: Column) -> Column:
+    """128 bits that stand for values: equal for equal ones, for others equal about never (n * n / 2**129 pairs of n)."""
+    return F.struct(F.xxhash64(*columns).alias("a"), F.xxhash64(F.lit(1), *columns).alias("b"))
+
+
 def _sketched_distinct(*columns: str | Column) -> Column:
     """Approximate number of distinct combinations; a combination whose first column is NULL is left out."""
     first = F.col(columns[0]) if isinstance(columns[0], str) else columns[0]
@@ -41,8 +43,8 @@ def _sketched_distinct(*columns: str | Column) -> Column:
 def profile_columns(table: str, df: DataFrame, exact: bool = False) -> DataFrame:
     """Per column: type, nullable, rows, NULLs, distinct values, least and greatest value as text.
 
-    One pass with sketched distinct counts. ``exact`` counts each column's values apart, so that one column is
-    read and shuffled at a time. Least and greatest stay NULL for arrays, maps and structs, distinct counts
+    One pass with sketched distinct counts. ``exact`` takes one more pass over 128-bit hashes of all values, which are
+    what is shuffled. Least and greatest stay NULL for arrays, maps and structs, distinct counts
     for maps.
     """
     aggregates = [F.count(F.lit(1)).alias("rows")]
@@ -68,10 +70,11 @@ def profile_columns(table: str, df: DataFrame, exact: bool = False) -> DataFrame
     profile = df.agg(*aggregates).select(F.explode(rows).alias("row")).select("row.*")
     if not exact:
         return profile
-    counted = reduce(DataFrame.unionAll, (
-        df.agg(F.count_distinct(F.col(f"`{f.name}`")).alias("__distinct")).withColumn("position", F.lit(i + 1))
+    cells = df.select(F.explode(F.array(*(
+        F.struct(F.lit(i + 1).alias("position"), F.when(F.col(f"`{f.name}`").isNotNull(), value_hash(F.col(f"`{f.name}`"))).alias("value"))
         for i, f in enumerate(df.schema) if not isinstance(f.dataType, T.MapType)
-    ))
+    ))).alias("cell")).select("cell.*")
+    counted = cells.distinct().groupBy("position").agg(F.count("value").alias("__distinct"))
     exactly = profile.join(counted, "position", "left").withColumn("distinct_count", F.col("__distinct"))
     return exactly.select(profile.columns)
 
@@ -80,61 +83,67 @@ def profile_tables(tables: Mapping[str, DataFrame], exact: bool = False) -> Data
     return reduce(DataFrame.unionByName, (profile_columns(n, df, exact) for n, df in tables.items()))
 
 
-def discover_keys(df: DataFrame, max_columns: int = 3) -> list[tuple[str, ...]]:
-    """Minimal candidate keys of up to ``max_columns`` columns: no NULL, no value twice.
+def discover_keys(df: DataFrame, max_columns: int | None = None) -> list[tuple[str, ...]]:
+    """All minimal candidate keys, of any number of columns: no NULL, no value twice.
 
-    Per number of columns one pass sketches the distinct count of every combination still possible, and one
-    job verifies exactly those the sketches allow. Integer, text and date columns qualify.
+    Integer, decimal, text and date columns qualify. Level by level, combinations are tried that hold no key and whose
+    distinct counts multiply to the number of rows at least; when all columns together repeat, there is no key. A level
+    is one pass over a slice of the values, which refutes most, and one over all values for the others; 128-bit hashes
+    are shuffled, not values. The number of combinations may grow exponentially with that of the columns that are no
+    key alone; ``max_columns`` ends the search early.
     """
-    kinds = (T.IntegralType, T.StringType, *DATE_TYPES)
+    kinds = (T.IntegralType, T.DecimalType, T.StringType, *DATE_TYPES)
     names = [f.name for f in df.schema if isinstance(f.dataType, kinds)]
     if not names:
         return []
-    stats = df.agg(
-        F.count(F.lit(1)).alias("rows"), *(F.count(c).alias(f"present_{c}") for c in names),
-        *(_sketched_distinct(c).alias(f"distinct_{c}") for c in names),
-    ).first()
+    df = df.select(*names)
+    stats = df.agg(F.count(F.lit(1)).alias("rows"), *(F.count(c).alias(c) for c in names)).first()
     rows = stats["rows"]
-    if rows == 0:
+    names = [c for c in names if stats[c] == rows]
+    if rows == 0 or not names:
         return []
-    least = rows * (1 - SKETCH_MARGIN * SKETCH_ERROR)
-    distinct = {c: stats[f"distinct_{c}"] for c in names if stats[f"present_{c}"] == rows}
-    keys = _verified(df, [(c,) for c, n in distinct.items() if n >= least])
-
-    parts = [c for c, n in distinct.items() if n > 1 and (c,) not in keys]
-    for size in range(2, max_columns + 1):
-        slack = (1 + SKETCH_MARGIN * SKETCH_ERROR) ** size
+    distinct = dict(zip(names, _distinct_counts(df, [(c,) for c in names])))
+    keys = [(c,) for c, n in distinct.items() if n == rows]
+    parts = [c for c, n in distinct.items() if 1 < n < rows]
+    most = len(parts) if max_columns is None else min(len(parts), max_columns)
+    if most < 2 or not _unrefuted(df, [tuple(parts)], False):
+        return keys
+    for size in range(2, most + 1):
         possible = [c for c in combinations(parts, size)
-                    if prod(distinct[p] for p in c) * slack >= rows and not any(set(k) <= set(c) for k in keys)]
+                    if prod(distinct[p] for p in c) >= rows and not any(set(k) <= set(c) for k in keys)]
         if possible:
-            sketches = df.agg(*(_sketched_distinct(*c).alias(str(i)) for i, c in enumerate(possible))).first()
-            keys += _verified(df, [c for i, c in enumerate(possible) if sketches[i] >= least])
+            keys += _unrefuted(df, _unrefuted(df, possible, True), False)
     return keys
 
 
-def _verified(df: DataFrame, candidates: Sequence[tuple[str, ...]]) -> list[tuple[str, ...]]:
-    """Those candidates of which no value occurs twice.
+def _hashed(df: DataFrame, candidates: Sequence[tuple[str, ...]]) -> DataFrame:
+    """``(i, value)`` per row and candidate."""
+    return df.select(F.explode(F.array(*(
+        F.struct(F.lit(i).alias("i"), value_hash(*map(F.col, c)).alias("value")) for i, c in enumerate(candidates)
+    ))).alias("cell")).select("cell.*")
 
-    All copies of a value fall into one slice of values, so a repeat found in a slice refutes a candidate for
-    good; only candidates that survive one slice are counted in full.
-    """
-    if len(candidates) > 1:
-        candidates = _unrefuted(df, candidates, slice_only=True)
-    return _unrefuted(df, candidates, slice_only=False) if candidates else []
+
+def _distinct_counts(df: DataFrame, candidates: Sequence[tuple[str, ...]]) -> list[int]:
+    counts = _hashed(df, candidates).distinct().groupBy("i").count().collect()  # a row per candidate
+    found = {r["i"]: r["count"] for r in counts}
+    return [found.get(i, 0) for i in range(len(candidates))]
 
 
 def _unrefuted(df: DataFrame, candidates: Sequence[tuple[str, ...]], slice_only: bool) -> list[tuple[str, ...]]:
-    """One job for all candidates; one repeat ends a candidate."""
-    repeats = []
-    for i, c in enumerate(candidates):
-        rows = df.filter(F.pmod(F.xxhash64(*c), F.lit(SLICES)) == 0) if slice_only else df
-        repeats.append(rows.groupBy(*c).count().filter("count > 1").select(F.lit(i).alias("i")).limit(1))
-    refuted = {row["i"] for row in reduce(DataFrame.unionAll, repeats).collect()}
+    """Those candidates of which no value occurs twice; of a slice only, where a repeat refutes a candidate for good,
+    as all copies of a value fall into one slice."""
+    if not candidates:
+        return []
+    cells = _hashed(df, candidates)
+    if slice_only:
+        cells = cells.filter(F.pmod("value.a", F.lit(SLICES)) == 0)
+    repeated = cells.groupBy("i", "value").count().filter("count > 1").select("i").distinct().collect()
+    refuted = {row["i"] for row in repeated}
     return [c for i, c in enumerate(candidates) if i not in refuted]
 
 
 def discover_all_keys(
-    tables: Mapping[str, DataFrame], max_columns: int = 3, parallel: int = 8
+    tables: Mapping[str, DataFrame], max_columns: int | None = None, parallel: int = 8
 ) -> dict[str, list[tuple[str, ...]]]:
     """``discover_keys`` of many tables; the jobs of ``parallel`` tables run side by side."""
     with ThreadPoolExecutor(parallel) as pool:

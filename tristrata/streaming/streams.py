@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tristrata.functions.keys import surrogate_key
-from tristrata.functions.scalars import grain_unit
+from tristrata.functions.scalars import grain_unit, to_grain
 from tristrata.operators.gold import aggregate
 from tristrata.plans.specs import GoldSpec
 from tristrata.sources.incremental import DEFAULT_LOOKBACK_DAYS, upsert_incremental
@@ -43,10 +43,15 @@ def stream_fact(
 
 
 def windowed_gold(
-    stream: DataFrame, spec: GoldSpec, measures: Sequence[str] = (), lateness_days: int = DEFAULT_LOOKBACK_DAYS
+    stream: DataFrame, spec: GoldSpec, measures: Sequence[str] = (), lateness_days: int = DEFAULT_LOOKBACK_DAYS,
+    approx: bool = False,
 ) -> DataFrame:
-    """Streaming form of a daily or weekly aggregate: rows later than ``lateness_days`` are dropped, as the
-    lookback of an incremental fact does. Distinct counts are sketched; rows without a date are dropped."""
+    """Streaming form of a daily or weekly aggregate whose state is bounded by a watermark.
+
+    Rows later than ``lateness_days`` are dropped, as the lookback of an incremental fact does, and so are rows without
+    a date, which no watermark passes; ``grouped_gold`` keeps both."""
+    if not approx:
+        _no_exact_distinct(spec)
     unit = grain_unit(spec.grain)
     if unit not in ("day", "week"):
         raise ValueError(f"{spec.name}: a stream is aggregated by day or week, not by {unit}")
@@ -55,20 +60,39 @@ def windowed_gold(
     # Watermarks need zoned timestamps; windows count from a Thursday, weeks start four days later.
     event_time = F.col(spec.date).cast("timestamp")
     window = F.window("__t", "1 day") if unit == "day" else F.window("__t", "7 days", startTime="4 days")
-    metrics: list[Column] = [aggregate(m, measures, approx=True) for m in spec.metrics]
+    metrics: list[Column] = [aggregate(m, measures, approx=approx) for m in spec.metrics]
     late = stream.withColumn("__t", event_time).withWatermark("__t", f"{lateness_days} days")
     grouped = late.groupBy(window.alias("__w"), *spec.dimensions).agg(*metrics)
     return grouped.select(F.col("__w.start").cast("date").alias(f"{spec.grain}_date"), *spec.dimensions,
                           *(m.name for m in spec.metrics))
 
 
+def grouped_gold(
+    stream: DataFrame, spec: GoldSpec, measures: Sequence[str] = (), approx: bool = False
+) -> DataFrame:
+    """Streaming form of an aggregate of any grain that drops nothing: late rows count, rows without a date form their
+    own group, as in ``build_gold``. State has one entry per row of the aggregate, kept on disk by RocksDB."""
+    if not approx:
+        _no_exact_distinct(spec)
+    period = to_grain(spec.date, spec.grain).alias(f"{spec.grain}_date")
+    return stream.groupBy(period, *spec.dimensions).agg(*(aggregate(m, measures, approx=approx) for m in spec.metrics))
+
+
+def _no_exact_distinct(spec: GoldSpec) -> None:
+    exact = [m.name for m in spec.metrics if m.aggregation == "COUNT_DISTINCT"]
+    if exact:
+        raise ValueError(f"{spec.name}: a stream counts distinct values by sketches only; ask for them with approx: {', '.join(exact)}")
+
+
 def stream_gold(
     stream: DataFrame, spec: GoldSpec, path: str, checkpoint: str, measures: Sequence[str] = (),
-    lateness_days: int = DEFAULT_LOOKBACK_DAYS,
+    lateness_days: int | None = None, approx: bool = False,
 ) -> StreamingQuery:
     """Keep the aggregate at ``path`` up to date: groups that changed are upserted after each micro-batch.
 
-    The table also has ``<name>_sk`` over date and dimensions, by which groups are replaced.
+    Nothing is dropped, and all grains and rows without a date are kept up to date (``grouped_gold``). With
+    ``lateness_days`` a watermark bounds the state instead (``windowed_gold``: days and weeks, dated rows that are not
+    later). Distinct counts need ``approx``, which sketches them. The table also has ``<name>_sk`` over date and dimensions, by which groups are replaced.
     """
     date, key = f"{spec.grain}_date", f"{spec.name}_sk"
 
@@ -76,6 +100,7 @@ def stream_gold(
         rows = batch.select(surrogate_key([date, *spec.dimensions]).alias(key), "*")
         upsert_incremental(rows, path, key, date, key_has_date=True)
 
-    return (windowed_gold(stream, spec, measures, lateness_days)
-            .writeStream.outputMode("update").foreachBatch(upsert).option("checkpointLocation", checkpoint)
+    gold = grouped_gold(stream, spec, measures, approx) if lateness_days is None else windowed_gold(
+        stream, spec, measures, lateness_days, approx)
+    return (gold.writeStream.outputMode("update").foreachBatch(upsert).option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start())
