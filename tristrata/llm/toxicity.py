@@ -6,8 +6,8 @@ ordinary text shares costs the same both times, so the difference of the lengths
 The windows of a document that pass each of several thresholds are counted; a logistic model over the counts, fitted on
 labelled documents that no dictionary has seen, calibrates them to a score.
 
-The toxic dictionary is trained on the stretches that are typical of its class: runs of bytes whose q-grams occur in at
-least ``LEAST_DOCUMENTS`` toxic documents of the sample and there ``RATIO`` times as often as in ordinary ones.
+The toxic dictionary is trained on the stretches that are typical of its class: runs of bytes whose q-grams occur in a
+least share of the toxic documents of the sample and there ``RATIO`` times as often as in ordinary ones.
 """
 
 from __future__ import annotations
@@ -28,7 +28,8 @@ FIT_TOXIC, FIT_ORDINARY = 2000, 8000
 #: Texts above this number of bytes take no part in the fit.
 FIT_TEXT_BYTES = 1 << 18
 WINDOW, STEP = 8, 4
-QGRAM, LEAST_DOCUMENTS, RATIO = 7, 8, 40
+#: Typical q-grams: their length, the share of toxic texts (and number, at least) that hold them, how much more often.
+QGRAM, LEAST_SHARE, LEAST_DOCUMENTS, RATIO = 7, 0.008, 3, 40
 ORDINARY_BYTES, TOXIC_BYTES = 32 << 10, 4 << 10
 #: Bytes saved from which a window counts.
 THRESHOLDS = (3, 4, 5, 6, 8)
@@ -71,7 +72,7 @@ def _document_counts(texts: list[bytes]) -> np.ndarray:
 def typical_stretches(own: list[bytes], other: list[bytes]) -> list[bytes]:
     """Maximal runs of bytes of ``own`` texts whose q-grams are typical of them."""
     here, there = _document_counts(own), _document_counts(other)
-    typical = (here >= LEAST_DOCUMENTS) & ((here - 1) / max(1, len(own)) >= RATIO * (there + 0.5) / max(1, len(other)))
+    typical = (here >= max(LEAST_DOCUMENTS, LEAST_SHARE * len(own))) & ((here - 1) / max(1, len(own)) >= RATIO * (there + 0.5) / max(1, len(other)))
     out = []
     for text in own:
         marks = np.zeros(len(text) + 1, np.int8)
