@@ -4,19 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from sample_queries.model import FCT_LINEITEM, TABLES
-from sample_queries.registry import load, query
+from sample_queries.model import FCT_LINEITEM, FCT_ORDERS, TABLES
+from sample_queries.registry import load, query, snap
 from tristrata.operators.dedup import dedup_latest
 from tristrata.operators.diff import change_rate, table_diff
 from tristrata.operators.dimensions import build_dimension_scd2
 from tristrata.operators.facts import build_fact
 from tristrata.operators.scd import scd2_from_history, snapshot_check, snapshot_timestamp
 from tristrata.operators.star import scd2_asof_join, scd2_current_join
-from tristrata.plans.specs import DimensionSpec
+from tristrata.plans.build import run_model
+from tristrata.plans.specs import DimensionSpec, GoldSpec, Metric, ModelSpec
 from tristrata.session import new_work_path
 from tristrata.sources.incremental import (
-    incremental_filter, merge_months, newest_date, read_fact, upsert_incremental,
+    incremental_filter, merge_months, newest_date, read_fact, refresh_gold, upsert_incremental,
 )
+from tristrata.sources.tables import read_open_versions, read_snapshot, write_snapshot
 
 PRIORITY_SQL = """
 with log as (
@@ -308,3 +310,52 @@ def upsert_undated(spark, folder):
     parts = t["part"].select(F.col("p_partkey").alias("l_partkey"), F.lit(-1).cast("bigint").alias("l_suppkey"),
                              F.lit(0.0).alias("quantity"))
     return upsert_incremental(parts.select(key, "*"), path, "pair").drop("pair")
+
+
+@query(_snapshot_sql(missing_closed=False))
+def stored_snapshot_history(spark, folder):
+    """A stored snapshot after two runs: the second starts from the open versions that the first stored."""
+    first, later = customer_versions(spark, folder)
+    path = new_work_path(spark, "snap_customer")
+    write_snapshot(snapshot_check(None, first, ["c_custkey"], "2024-01-01 00:00:00"), path)
+    write_snapshot(snapshot_check(read_open_versions(spark, path), later, ["c_custkey"], "2024-02-01 00:00:00"), path)
+    return read_snapshot(spark, path)
+
+
+STORED_SQL = """
+with first_load as (
+  select * from orders where o_orderdate <= timestamp '2001-06-30' and o_orderstatus <> 'P'
+), recent as (
+  select * from orders where o_orderdate > (select max(o_orderdate) - interval 7 days from first_load)
+), stored as (select * from first_load union select * from recent)"""
+
+
+def _first_orders(orders: DataFrame) -> DataFrame:
+    return orders.filter("o_orderdate <= timestamp_ntz'2001-06-30 00:00:00' and o_orderstatus <> 'P'")
+
+
+@query(STORED_SQL + """
+select cast(date_trunc('week', o_orderdate) as date) as weekly_date, o_orderstatus, count(*) as orders, min(o_totalprice) as least
+from stored group by 1, 2""")
+def refresh_gold_months(spark, folder):
+    """An aggregate by week, first built and then refreshed for the months that an upsert has changed."""
+    orders = load(spark, folder, "orders")["orders"]
+    fact, gold = new_work_path(spark, "fct_orders"), new_work_path(spark, "agg_weekly")
+    spec = GoldSpec("agg_weekly", "fct_orders", "weekly", ("o_orderstatus",), (Metric("orders", "COUNT"), Metric("least", "MIN", "o_totalprice")))
+    merge_months(_first_orders(orders), fact, "o_orderkey", "o_orderdate")
+    refresh_gold(spark, fact, gold, spec, "o_orderdate")
+    recent = incremental_filter(orders, "o_orderdate", newest_date(spark, fact, "o_orderdate"))
+    months = merge_months(recent, fact, "o_orderkey", "o_orderdate")
+    return refresh_gold(spark, fact, gold, spec, "o_orderdate", months=months)
+
+
+@query(STORED_SQL + """
+select cast(o_orderdate as date) as daily_date, round(sum(o_totalprice), 2) as order_value from stored group by 1""")
+def stored_model_two_runs(spark, folder):
+    """The daily aggregate of a stored model after two runs, the second over everything and with late orders."""
+    sources = load(spark, folder, "customer", "orders")
+    model = ModelSpec({n: TABLES[n] for n in sources}, (DimensionSpec("dim_customer", "customer", 2),), (FCT_ORDERS,), (
+        GoldSpec("agg_daily_orders", "fct_orders", "daily", (), (Metric("order_value", "SUM", "o_totalprice"),)),))
+    root = new_work_path(spark, "model")
+    run_model(spark, sources | {"orders": _first_orders(sources["orders"])}, model, root, "2024-01-01 00:00:00")
+    return snap(run_model(spark, sources, model, root, "2024-02-01 00:00:00").tables["agg_daily_orders"], order_value=2)
