@@ -202,3 +202,14 @@ def test_stored_model_of_empty_sources(spark, shop, tmp_path):
     again = run_model(spark, shop, shop_model(), str(tmp_path), "2024-05-01 00:00:00")
     assert again.tables["dim_customers"].count() == 30 and again.tables["fct_order_details"].count() == 90
     assert again.tables["agg_order_details"].agg(F.sum("n")).first()[0] == 90
+
+
+def test_keys_of_any_width_and_kind(spark):
+    wide = spark.createDataFrame([(a, b, c, d) for a in range(2) for b in range(2) for c in range(2) for d in range(2)], "a int, b int, c int, d int")
+    assert discover_keys(wide) == [("a", "b", "c", "d")]
+    assert discover_keys(wide, 3) == [] and discover_keys(wide.union(wide)) == []
+    typed = wide.select((F.col("a") * 8 + F.col("b") * 4 + F.col("c") * 2 + F.col("d")).cast("decimal(38,0)").alias("id"), F.lit(1.5).alias("x"))
+    assert discover_keys(typed) == [("id",)]
+    children = typed.select((F.col("id") % 3).cast("int").alias("ref"))
+    found = discover_fks({"p": typed, "c": children}, {"p": [("id",)], "c": []})
+    assert rows(found, "child_column", "parent_column") == [("ref", "id")]

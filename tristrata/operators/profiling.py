@@ -160,13 +160,14 @@ class _Cells:
     kind: str
     low: object
     high: object
+    longest: int
     is_key: bool
 
 
 def discover_fks(tables: Mapping[str, DataFrame], keys: Mapping[str, Sequence[tuple[str, ...]]]) -> DataFrame:
-    """Inclusion dependencies of integer and text columns in single-column keys.
+    """Inclusion dependencies of whole-number, text and date columns in single-column keys of the same kind.
 
-    Every value is tagged with a bit per column that holds it; OR-ing the bits per value and AND-ing the
+    Every value, as 128 bits of hash, is tagged with a bit per column that holds it; OR-ing the bits per value and AND-ing the
     results per column leaves the columns that hold all its values. Both steps are plain aggregates, combined
     before the shuffle, so neither frequent values nor many columns make a hot group. Columns whose range
     cannot fit any key are never read.
@@ -177,7 +178,7 @@ def discover_fks(tables: Mapping[str, DataFrame], keys: Mapping[str, Sequence[tu
     """
     cells = _candidate_cells(tables, keys)
     found = []
-    for kind in ("bigint", "string"):
+    for kind in dict.fromkeys(c.kind for c in cells):
         found += _inclusions(tables, [c for c in cells if c.kind == kind], kind)
     ranked = []
     for child in dict.fromkeys(r[:2] for r in found):
@@ -190,16 +191,17 @@ def discover_fks(tables: Mapping[str, DataFrame], keys: Mapping[str, Sequence[tu
 
 
 def _candidate_cells(tables, keys) -> list[_Cells]:
-    """Key columns, and the columns whose range lies inside a key column of the same kind."""
+    """Key columns, and the columns whose range (of texts also the length) lies inside a key column of the same kind."""
     cells = []
     for name, df in tables.items():
-        kinds = {f.name: "string" if isinstance(f.dataType, T.StringType) else "bigint"
-                 for f in df.schema if isinstance(f.dataType, (T.IntegralType, T.StringType))}
+        kinds = {f.name: kind for f in df.schema if (kind := _kind(f.dataType)) is not None}
         if not kinds:
             continue
         single = {k[0] for k in keys.get(name, ()) if len(k) == 1}
-        ends = df.agg(*(f(c).alias(f"{p}_{c}") for c in kinds for p, f in (("low", F.min), ("high", F.max)))).first()
-        cells += [_Cells(name, c, kind, ends[f"low_{c}"], ends[f"high_{c}"], c in single)
+        ends = df.agg(
+            *(f(F.col(c).cast(kind)).alias(f"{p}_{c}") for c, kind in kinds.items() for p, f in (("low", F.min), ("high", F.max))),
+            *(F.max(F.length(c)).alias(f"long_{c}") for c, kind in kinds.items() if kind == "string")).first().asDict()
+        cells += [_Cells(name, c, kind, ends[f"low_{c}"], ends[f"high_{c}"], ends.get(f"long_{c}", 0), c in single)
                   for c, kind in kinds.items() if ends[f"low_{c}"] is not None]
     parents = [c for c in cells if c.is_key]
     children = [c for c in cells if any(_fits(c, p) for p in parents)]
@@ -209,7 +211,16 @@ def _candidate_cells(tables, keys) -> list[_Cells]:
 
 def _fits(child: _Cells, parent: _Cells) -> bool:
     return (child != parent and child.kind == parent.kind
-            and parent.low <= child.low and child.high <= parent.high)
+            and parent.low <= child.low and child.high <= parent.high and child.longest <= parent.longest)
+
+
+def _kind(data_type: T.DataType) -> str | None:
+    """The type in which columns of a kind are compared; None for columns that cannot refer to a key."""
+    if isinstance(data_type, T.StringType):
+        return "string"
+    if isinstance(data_type, T.IntegralType) or isinstance(data_type, T.DecimalType) and data_type.scale == 0:
+        return "decimal(38,0)"
+    return "timestamp_ntz" if isinstance(data_type, DATE_TYPES) else None
 
 
 def _inclusions(tables: Mapping[str, DataFrame], cells: Sequence[_Cells], kind: str) -> list[tuple]:
@@ -219,7 +230,7 @@ def _inclusions(tables: Mapping[str, DataFrame], cells: Sequence[_Cells], kind:
     words = range(len(cells) // MASK_BITS + 1)
     tagged = []
     for name in dict.fromkeys(c.table for c in cells):
-        tags = [F.struct(F.col(c.column).cast(kind).alias("value"), F.lit(place[c][0]).alias("word"),
+        tags = [F.struct(F.when(F.col(c.column).isNotNull(), value_hash(F.col(c.column).cast(kind))).alias("value"), F.lit(place[c][0]).alias("word"),
                          F.lit(1 << place[c][1]).cast("bigint").alias("bit")) for c in cells if c.table == name]
         tagged.append(tables[name].select(F.inline(F.array(*tags))))
     holders = (reduce(DataFrame.unionAll, tagged).filter(F.col("value").isNotNull()).groupBy("value")
