@@ -221,3 +221,10 @@ def test_only_bare_names_fall_back_to_the_single_measure(spark):
 def test_words_mark_measures_within_names(spark):
     schema = spark.createDataFrame([], "orderqty int, unitprice int, totalquantity int, account_id int, status int, account int, days_open int").schema
     assert [f.name for f in schema if is_measure(f)] == ["orderqty", "unitprice", "totalquantity", "days_open"]
+
+
+def test_length_prefixed_keys_do_not_collide(spark):
+    source = spark.createDataFrame([("a-b", "c", 1), ("a", "b-c", 2)], "x string, y string, m int")
+    keys = [build_fact({"t": source}, FactSpec("fct", "t", (), ("m",), natural_key=("x", "y"), length_prefixed=p), {}).select("fct_sk").distinct().count()
+            for p in (False, True)]
+    assert keys == [1, 2]

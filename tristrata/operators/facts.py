@@ -110,7 +110,7 @@ def build_fact(
     for name in extra:
         output.setdefault(name, F.col(name))
     return joined.select(
-        surrogate_key(keys).alias(spec.key_column), *(c.alias(n) for n, c in output.items())
+        surrogate_key(keys, spec.length_prefixed).alias(spec.key_column), *(c.alias(n) for n, c in output.items())
     )
 
 

@@ -87,7 +87,8 @@ def run_model(
 
     Snapshots add what changed, dated facts are upserted over the lookback window, aggregates on the fact's
     date are rebuilt for the months that changed; other tables are refreshed. Each step starts from stored
-    tables, so a fact is computed once however many aggregates read it. A declared key is trusted to be unique.
+    tables, so a fact is computed once however many aggregates read it. A declared primary key is trusted to be
+    unique; of rows that share a ``natural_key`` one is stored.
     """
     built = _prepare(sources, model)
     for name, df in built.sources.items():
@@ -114,7 +115,7 @@ def run_model(
         own_date, table = fact_date(built.sources[spec.source], spec.date), model.tables.get(spec.source, TableSpec())
         months[spec.name] = merge_months(
             recent, path, spec.key_column, date, key_has_date=date in fact_key_columns(spec, table, own_date),
-            unique=bool(spec.natural_key or table.primary_key))
+            unique=bool(table.primary_key) and not spec.natural_key)
         built.tables[spec.name] = read_fact(spark, path, otherwise=fact)
     for name in bridge_sources(built.sources, model):
         target = layer_path(root, "silver", f"bridge_{name}")

@@ -198,7 +198,8 @@ def _fact(name: str, sources, tables, paths: tuple[KeyPath, ...]) -> FactSpec:
     identity = () if table.primary_key else tuple(
         f.name for f in df.schema if not isinstance(f.dataType, (T.MapType, *FRACTION_TYPES)))
     return FactSpec(f"fct_{name}", name, tuple(links), tuple(measures), key_paths=paths,
-                    natural_key=identity, factless=not measures, grain=", ".join(table.primary_key or identity))
+                    natural_key=identity, factless=not measures, grain=", ".join(table.primary_key or identity),
+                    length_prefixed=bool(identity))
 
 
 def _gold(fact: FactSpec, sources, tables, role, grain: str) -> GoldSpec:

@@ -61,7 +61,8 @@ class KeyPath:
 @dataclass(frozen=True)
 class FactSpec:
     """``date`` and ``extra_dates`` are chosen from the schema when None; ``natural_key`` overrides the
-    surrogate key's columns."""
+    surrogate key's columns. ``length_prefixed`` keys cannot collide, whatever text the columns hold, but differ from
+    plain ones."""
 
     name: str
     source: str
@@ -74,6 +75,7 @@ class FactSpec:
     natural_key: tuple[str, ...] = ()
     factless: bool = False
     grain: str = ""
+    length_prefixed: bool = False
 
     @property
     def key_column(self) -> str:
