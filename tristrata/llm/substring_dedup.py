@@ -27,9 +27,9 @@ from pyspark.sql import DataFrame, functions as F
 from tristrata.llm.common import batch, bounded_batches, runs, text_or_empty
 
 #: Words whose windows are compared within a task before they are sent on.
-BATCH_WORDS = 1 << 21
+BATCH_WORDS = 1 << 20
 #: Characters of the corpus for each hash range.
-RANGE_CHARACTERS = 1 << 24
+RANGE_CHARACTERS = 3 << 22
 #: Distinct words whose hashes a worker holds.
 MAX_CACHED_WORDS = 1 << 19
 #: The odd base of the window polynomial, and an odd multiplier that spreads its values over all ranges.
