@@ -4,8 +4,8 @@ A task hashes all windows of the texts it reads: each word gets a 64-bit hash, a
 words' hashes, rolled forward by prefix sums. Of windows that repeat within a batch, all but the earliest (by document,
 then start) are repeats whatever the rest of the corpus holds; so only the earliest occurrences leave the task, and a
 passage that every document has costs each batch one entry. They are shuffled by hash range in sorted, packed blocks and
-counted there: all but the earliest occurrence of a hash are repeats. The repeats meet the texts again by document and
-merge into maximal removal intervals.
+counted there: all but the earliest occurrence of a hash are repeats. The repeats, packed again, meet the texts by a hash
+of the text and merge into maximal removal intervals.
 
 The number of hash ranges follows from the number of characters, so that a range fits into a task. Windows are equal
 when their 64-bit hashes are: with ``n`` different windows about ``n * n / 2**65`` pairs of them are mistaken for
@@ -31,12 +31,13 @@ BATCH_WORDS = 1 << 20
 #: Characters of the corpus for each hash range.
 RANGE_CHARACTERS = 3 << 22
 #: Distinct words whose hashes a worker holds.
-MAX_CACHED_WORDS = 1 << 19
+MAX_CACHED_WORDS = 1 << 18
 #: The odd base of the window polynomial, and an odd multiplier that spreads its values over all ranges.
 BASE, SPREAD = 0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9
 
-SENT = pa.schema([("slot", pa.int64()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("payload", pa.binary())])
-FOUND = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("payload", pa.binary())])
+SENT = pa.schema([("slot", pa.int64()), ("is_found", pa.bool_()), ("payload", pa.binary())])
+FOUND = pa.schema([("target", pa.int64()), ("payload", pa.binary())])
+MEETING = pa.schema([("target", pa.int64()), ("is_text", pa.int32()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("payload", pa.binary())])
 RESULT = pa.schema([
     ("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string()),
     ("kept_text", pa.string()), ("removed", pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())])))])
@@ -69,7 +70,7 @@ def _word_hashes() -> WordHashes:
     return WordHashes()
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64, from 0 to ``n - 1``."""
     forward, backward = np.full(n, BASE, np.uint64), np.full(n, pow(BASE, -1, 1 << 64), np.uint64)
@@ -130,12 +131,11 @@ def _id_order(ids: np.ndarray, known: np.ndarray) -> np.ndarray:
     return ranks
 
 
-def _repeats(hashes: np.ndarray, rank: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the earliest occurrence of each hash in order of hashes, and of those that are later than it."""
+def _repeats(hashes: np.ndarray, rank: np.ndarray, start: np.ndarray, with_earliest: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the earliest occurrence of each hash in order of hashes (if asked for), and of those later than it."""
     order = np.argsort(hashes, kind="stable")
-    ordered = hashes[order]
     first = np.ones(len(order), bool)
-    first[1:] = ordered[1:] != ordered[:-1]
+    first[1:] = hashes[order[1:]] != hashes[order[:-1]]
     alone = first.copy()
     alone[:-1] &= first[1:]
     shared = order[~alone]
@@ -143,9 +143,11 @@ def _repeats(hashes: np.ndarray, rank: np.ndarray, start: np.ndarray) -> tuple[n
         return order, shared
     shared = shared[np.lexsort((start[shared], rank[shared], hashes[shared]))]
     begins = np.ones(len(shared), bool)
-    begins[1:] = hashes[shared][1:] != hashes[shared][:-1]
+    begins[1:] = hashes[shared[1:]] != hashes[shared[:-1]]
     earliest = shared[np.flatnonzero(begins)[np.cumsum(begins) - 1]]
     later = shared[(rank[shared] != rank[earliest]) | (start[shared] != start[earliest])]
+    if not with_earliest:
+        return order[:0], later
     kept = np.concatenate([order[alone], shared[begins]])
     return kept[np.argsort(hashes[kept], kind="stable")], later
 
@@ -159,7 +161,26 @@ def _by_document(doc: np.ndarray, start: np.ndarray) -> Iterator[tuple[int, np.n
         yield int(doc[a]), start[a:b]
 
 
-def _hash_windows(size: int, slots: int, batch_words: int):
+def _targets(numbers: np.ndarray, digests: np.ndarray, targets: int) -> np.ndarray:
+    """The task in which a document meets its repeats, by id and text, so that copies of a text are spread."""
+    mixed = (numbers.astype(np.int64).view(np.uint64) * np.uint64(SPREAD)) ^ digests.astype(np.int64).view(np.uint64)
+    mixed *= np.uint64(BASE)
+    return ((mixed >> np.uint64(32)) % np.uint64(targets)).astype(np.int64)
+
+
+def _found_blocks(doc: np.ndarray, start: np.ndarray, numbers: np.ndarray, known: np.ndarray, digests: np.ndarray, targets: int) -> Iterator[tuple[int, bytes]]:
+    """Repeats as one block per target."""
+    target = _targets(numbers, digests, targets)[doc]
+    order = np.lexsort((start, doc, target))
+    edges = np.searchsorted(target[order], np.arange(targets + 1))
+    for t in range(targets):
+        chosen = order[edges[t]:edges[t + 1]]
+        if len(chosen):
+            docs, index = np.unique(doc[chosen], return_inverse=True)
+            yield t, _packed(index.astype("<u4"), start[chosen].astype("<u4"), numbers[docs], known[docs].astype("u1"), digests[docs])
+
+
+def _hash_windows(size: int, slots: int, targets: int, batch_words: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known_words = _word_hashes()
         ids: list[int | None] = []
@@ -179,10 +200,8 @@ def _hash_windows(size: int, slots: int, batch_words: int):
             known = np.array([i is not None for i in ids])
             numbers = np.array([i or 0 for i in ids], np.int64)
             hashed = np.array(digests, np.int64)
-            kept, later = _repeats(hashes, _id_order(numbers, known)[doc], start)
-            out = []
-            for d, starts in _by_document(doc[later], start[later]):
-                out.append((digests[d] % slots, ids[d], digests[d], _packed(starts)))
+            kept, later = _repeats(hashes, _id_order(numbers, known)[doc], start, True)
+            out = [(t, True, block) for t, block in _found_blocks(doc[later], start[later], numbers, known, hashed, targets)]
             slot = ((hashes[kept] >> np.uint64(32)) * np.uint64(slots)) >> np.uint64(32)
             edges = np.searchsorted(slot, np.arange(slots + 1))
             for s in range(slots):
@@ -190,7 +209,7 @@ def _hash_windows(size: int, slots: int, batch_words: int):
                 if len(chosen):
                     docs, index = np.unique(doc[chosen], return_inverse=True)
                     steps = np.diff(hashes[chosen], prepend=np.uint64(0))
-                    out.append((s, None, None, _packed(
+                    out.append((s, False, _packed(
                         steps, index.astype("<u4"), start[chosen].astype("<u4"), numbers[docs], known[docs].astype("u1"), hashed[docs])))
             for i in range(0, len(out), 200):
                 yield batch(SENT, *zip(*out[i:i + 200]))
@@ -213,48 +232,57 @@ def _hash_windows(size: int, slots: int, batch_words: int):
     return send
 
 
-def _count_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for part in runs(batches, "slot"):
-        out, blocks = [], []
-        for doc, digest, payload in zip(*(part.column(c).to_pylist() for c in ("doc_id", "text_hash", "payload"))):
-            if digest is not None:
-                out.append((doc, digest, payload))
-            else:
-                blocks.append(_unpacked(payload))
-        if blocks:
-            sizes = np.cumsum([0, *(len(b[3]) for b in blocks)])
-            hashes = np.concatenate([np.cumsum(b[0], dtype=np.uint64) for b in blocks])
-            doc = np.concatenate([b[1].astype(np.int64) + s for b, s in zip(blocks, sizes)])
-            start = np.concatenate([b[2] for b in blocks]).astype(np.int64)
-            numbers, known, digests = (np.concatenate([b[i] for b in blocks]) for i in (3, 4, 5))
-            blocks.clear()
-            _, later = _repeats(hashes, _id_order(numbers, known)[doc], start)
-            out += ((int(numbers[d]) if known[d] else None, int(digests[d]), _packed(starts)) for d, starts in _by_document(doc[later], start[later]))
-        for i in range(0, len(out), 4000):
-            yield batch(FOUND, *zip(*out[i:i + 4000]))
-
-
-def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for rows in batches:
-        texts = rows.column(1).to_pylist()
-        yield pa.RecordBatch.from_arrays([
-            rows.column(0), pa.array([text_hash(t) for t in texts], pa.int64()), pa.array([1] * len(texts), pa.int32()),
-            pa.array([zstandard.compress(t.encode("utf-8", "surrogatepass"), 1) for t in texts], pa.binary())],
-            names=["doc_id", "text_hash", "is_text", "payload"])
+def _count_windows(targets: int):
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in runs(batches, "slot"):
+            slot, out, blocks = part.column("slot")[0].as_py(), [], []
+            for is_found, payload in zip(part.column("is_found").to_pylist(), part.column("payload")):
+                if is_found:
+                    out.append((slot, payload.as_py()))
+                else:
+                    blocks.append(_unpacked(payload.as_py()))
+            del part
+            if blocks:
+                sizes = np.cumsum([0, *(len(b[3]) for b in blocks)])
+                hashes = np.concatenate([np.cumsum(b[0], dtype=np.uint64) for b in blocks])
+                doc = np.concatenate([b[1] + np.uint32(s) for b, s in zip(blocks, sizes)])
+                start = np.concatenate([b[2] for b in blocks])
+                numbers, known, digests = (np.concatenate([b[i] for b in blocks]) for i in (3, 4, 5))
+                blocks.clear()
+                _, later = _repeats(hashes, _id_order(numbers, known).astype(np.uint32)[doc], start, False)
+                del hashes
+                out += _found_blocks(doc[later], start[later], numbers, known, digests, targets)
+            for i in range(0, len(out), 200):
+                yield batch(FOUND, *zip(*out[i:i + 200]))
+    return count
+
+
+def _compressed(targets: int):
+    def compress(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            texts = rows.column(1).to_pylist()
+            digests = np.array([text_hash(t) for t in texts], np.int64)
+            numbers = np.array([d or 0 for d in rows.column(0).to_pylist()], np.int64)
+            yield batch(MEETING, _targets(numbers, digests, targets), [1] * len(texts), rows.column(0), digests,
+                        [zstandard.compress(t.encode("utf-8", "surrogatepass"), 1) for t in texts])
+    return compress
 
 
 def _remove(size: int, with_text: bool):
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, starts = None, []
+        last, found = None, {}
         for rows in batches:
             out = []
-            for doc, digest, is_text, payload in zip(*(c.to_pylist() for c in rows.columns)):
-                if (doc, digest) != last:
-                    last, starts = (doc, digest), []
+            for target, is_text, doc, digest, payload in zip(*(c.to_pylist() for c in rows.columns)):
+                if target != last:
+                    last, found = target, {}
                 if not is_text:
-                    starts.append(_unpacked(payload)[0])
+                    index, start, numbers, known, digests = _unpacked(payload)
+                    for d, starts in _by_document(index.astype(np.int64), start):
+                        found.setdefault((int(numbers[d]) if known[d] else None, int(digests[d])), []).append(starts)
                     continue
                 words = words_of(zstandard.decompress(payload).decode("utf-8", "surrogatepass"))
+                starts = found.get((doc, digest))
                 spans = merged(np.concatenate(starts), size) if starts else []
                 removed = sum(stop - start for start, stop in spans)
                 kept, at = [], 0
@@ -295,10 +323,12 @@ def remove_repeated_passages(
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_or_empty(text_column).alias("text"))
     characters = texts.agg(F.sum(F.length("text").cast("long"))).first()[0] or 0
     slots = characters // range_characters + 1
-    sent = texts.mapInArrow(_hash_windows(window, slots, batch_words), "slot long, doc_id long, text_hash long, payload binary")
-    counted = sent.repartition(slots, "slot").sortWithinPartitions("slot").mapInArrow(
-        _count_windows, "doc_id long, text_hash long, payload binary")
-    found = counted.select("doc_id", "text_hash", F.lit(0).alias("is_text"), "payload")
-    packed = texts.mapInArrow(_compressed, "doc_id long, text_hash long, is_text int, payload binary")
-    met = found.unionByName(packed).repartition("doc_id", "text_hash").sortWithinPartitions("doc_id", "text_hash", "is_text")
+    targets = 8 * slots
+    sent = texts.mapInArrow(_hash_windows(window, slots, targets, batch_words), "slot long, is_found boolean, payload binary")
+    counted = sent.repartition(slots, "slot").sortWithinPartitions("slot").mapInArrow(_count_windows(targets), "target long, payload binary")
+    nothing = F.lit(None).cast("long")
+    found = counted.select("target", F.lit(0).alias("is_text"), nothing.alias("doc_id"), nothing.alias("text_hash"), "payload")
+    packed = texts.mapInArrow(_compressed(targets), "target long, is_text int, doc_id long, text_hash long, payload binary")
+    # A task gets the repeats of its documents first, packed, and then reads one text after the other.
+    met = found.unionByName(packed).repartition(targets, "target").sortWithinPartitions("target", "is_text")
     return met.mapInArrow(_remove(window, with_text), RESULT_SCHEMA)
