@@ -222,7 +222,9 @@ def drop_exact_duplicates(
             digests = [hashlib.sha256(normalised(t or "")).hexdigest() for t in rows.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(digests, pa.string())], names=[*names, sha])
 
-    marked = docs.mapInArrow(hashed, T.StructType([*docs.schema.fields, T.StructField(sha, T.StringType())])).join(copies, sha, "left")
+    marked = docs.mapInArrow(hashed, T.StructType([*docs.schema.fields, T.StructField(sha, T.StringType())]))
+    # The same plan at all sizes: rows are dealt by hash, and a hash with very many rows is split by the skew rule.
+    marked = marked.join(copies.hint("merge"), sha, "left")
     is_owner = F.col(id_column).cast("long").eqNullSafe(F.col(owner))
     if groups.filter("keep_rows > 1").isEmpty():
         return marked.filter(F.col(times).isNull() | is_owner).select(*names)

@@ -23,7 +23,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from tristrata.llm.common import batch, bounded_batches, runs, text_or_empty, unused, written
 from tristrata.llm.components import components
@@ -145,16 +145,16 @@ def linked_fingerprints(distinct: DataFrame, radius: int = 4, max_bucket: int =
     depth = 0
     while True:
         keyed = keyed.withColumn("bucket", F.xxhash64("word", "mask", F.col("fp").bitwiseAND(F.col("mask"))))
-        # Buckets of one fingerprint, nearly all of them, go here and take no part in what follows.
-        counts = written(keyed.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"), "bucket-sizes")
-        shared = keyed.join(counts.filter(F.col("n") <= max_bucket), "bucket").select("bucket", "word", "fp")
+        # Rows are dealt once, by bucket. Buckets of one fingerprint, nearly all of them, end here.
+        sized = keyed.withColumn("n", F.count("*").over(Window.partitionBy("bucket"))).filter("n > 1")
+        sized = written(sized, "shared-buckets")
+        shared = sized.filter(F.col("n") <= max_bucket).select("bucket", "word", "fp")
         links = shared.repartition("bucket").sortWithinPartitions("bucket", "word").mapInArrow(_bucket_links(radius), schema)
         edges = links if edges is None else edges.unionByName(links)
-        large = counts.filter(F.col("n") > max_bucket)
-        if large.isEmpty():
+        inside = sized.filter(F.col("n") > max_bucket).select("word", "fp", "mask")
+        if inside.isEmpty():
             return edges
         depth += 1
-        inside = written(keyed.join(large.select("bucket"), "bucket").select("word", "fp", "mask"), "large-buckets")
         used = [row.mask & (2 ** 64 - 1) for row in inside.select("mask").distinct().collect()]  # at most as many as there are masks
         finer = [(_signed(m), _signed(n)) for m in used for n in {m | x for x in covering_masks(_free(m), radius)}]
         tables = spark.createDataFrame(finer, "mask long, finer long")
@@ -216,5 +216,5 @@ def drop_near_duplicates(
     # Only ids are listed that go, each once: a row goes by its id, so texts are not dealt by group.
     leaving = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id")) & F.exists("fps", lambda x: x != 0)).select(F.col("doc_id").alias(key)).distinct()
     leaving = written(leaving, "near-duplicates").withColumn(gone, F.lit(True))
-    joined = docs.join(leaving, F.col(id_column).cast("long").eqNullSafe(F.col(key)), "left")
+    joined = docs.join(leaving.hint("merge"), F.col(id_column).cast("long").eqNullSafe(F.col(key)), "left")
     return joined.filter(F.col(gone).isNull()).select(*docs.columns)
