@@ -15,7 +15,7 @@ def connection():
     return connect(FOLDER)
 
 
-@pytest.mark.parametrize("name", sorted(registered.queries()))
+@pytest.mark.parametrize("name", sorted(registered.oracle_sql()))
 def test_query_equals_sql(spark, connection, name):
     sql = registered.oracle_sql()[name]
     assert differences(spark, connection, FOLDER, registered.queries()[name], sql) is None
