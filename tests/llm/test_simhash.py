@@ -142,3 +142,13 @@ def test_several_fingerprints_link_by_any_and_rows_keep_their_columns(spark):
     kept = simhash.drop_near_duplicates(docs, words=3)
     assert kept.columns == docs.columns
     assert sorted((r.doc_id, r.text, r.gone) for r in kept.collect()) == [(i, texts[i], f"g{i}") for i in prints if find(i) == i or i < 3]
+
+
+def test_rows_go_by_their_own_text_with_repeated_and_null_ids(spark):
+    rng = random.Random(17)
+    base, other, third = ([f"w{rng.randrange(900)}" for _ in range(120)] for _ in range(3))
+    copy = " ".join(base) + " end"
+    rows = [(1, " ".join(base)), (2, copy), (2, " ".join(other)), (None, copy), (None, " ".join(third)), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = simhash.drop_near_duplicates(docs).collect()
+    assert sorted(map(tuple, kept), key=str) == sorted([rows[0], rows[2], rows[4], rows[5]], key=str)

@@ -31,7 +31,7 @@ from tristrata.llm.components import components
 #: Distinct fingerprints of one bucket that a task compares with each other.
 MAX_BUCKET = 4096
 
-FINGERPRINTS = pa.schema([("doc_id", pa.int64()), ("fps", pa.list_(pa.int64()))])
+FINGERPRINTS = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("fps", pa.list_(pa.int64()))])
 EDGES = pa.schema([("word", pa.int32()), ("u", pa.int64()), ("v", pa.int64())])
 
 
@@ -75,15 +75,15 @@ def text_fingerprints(text: str, size: int, words: int = 1, distinct: bool = Fal
 
 def fingerprints(docs: DataFrame, shingle: int = 4, id_column: str = "doc_id", text_column: str = "text", words: int = 1,
                  distinct: bool = False) -> DataFrame:
-    """One row ``(doc_id, fps)`` per row of ``docs``, ``fps`` signed 64-bit integers. A null text is an empty one."""
+    """One row ``(doc_id, text_key, fps)`` per row of ``docs``, ``fps`` signed 64-bit integers. A null text is an empty one."""
     bounded_batches(docs.sparkSession)
 
     def hash_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            yield batch(FINGERPRINTS, rows.column(0), [text_fingerprints(t, shingle, words, distinct) for t in rows.column(1).to_pylist()])
+            yield batch(FINGERPRINTS, rows.column(0), rows.column(1), [text_fingerprints(t, shingle, words, distinct) for t in rows.column(2).to_pylist()])
 
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_or_empty(text_column).alias("text"))
-    return rows.mapInArrow(hash_texts, "doc_id long, fps array<long>")
+    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_key(text_column), text_or_empty(text_column).alias("text"))
+    return rows.mapInArrow(hash_texts, "doc_id long, text_key long, fps array<long>")
 
 
 def covering_masks(bits: list[int], radius: int) -> list[int]:
@@ -178,6 +178,11 @@ def near_duplicates(
     rows of their own. A null id is never a component id unless all ids it reaches are null. Empty tables give empty
     results. Other columns of ``docs`` are ignored.
     """
+    return _placed(docs, radius, shingle, id_column, text_column, max_bucket, words, distinct).drop("text_key")
+
+
+def _placed(docs: DataFrame, radius: int, shingle: int, id_column: str, text_column: str, max_bucket: int, words: int, distinct: bool) -> DataFrame:
+    """What ``near_duplicates`` gives, with the ``text_key`` of each row."""
     prints = written(fingerprints(docs, shingle, id_column, text_column, words, distinct), "fingerprints")
     # Documents of equal fingerprints are one node, named by its first fingerprint.
     nodes = prints.groupBy("fps").agg(F.min("doc_id").alias("least_id"))
@@ -197,7 +202,7 @@ def near_duplicates(
     least = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = placed.join(least, "root").select("fps", "component_id")
     return prints.join(named, "fps").select(
-        "doc_id", "fps", F.lower(F.lpad(F.hex(F.col("fps")[0]), 16, "0")).alias("fingerprint"), "component_id")
+        "doc_id", "text_key", "fps", F.lower(F.lpad(F.hex(F.col("fps")[0]), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def drop_near_duplicates(
@@ -208,13 +213,25 @@ def drop_near_duplicates(
 
     Groups are the components of ``near_duplicates``. With six fingerprints of five-word shingles, each counted once, most
     texts of a Jaccard similarity of 0.9 and more are found, and few below 0.75. Texts without words have no shingle
-    to be alike in, and all stay. Rows with a null id stay if their group has no other, and rows that repeat the id
-    that stays do so, too.
+    to be alike in, and all stay. Rows with a null id stay if their group has no other, and rows of the group that
+    repeat the id that stays do so, too. Every row goes or stays by its own text, whatever other rows of its id do.
+    """
+    found = _placed(docs, radius, shingle, id_column, text_column, max_bucket, words, distinct)
+    leaving = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id")) & F.exists("fps", lambda x: x != 0))
+    return without_rows(docs, leaving, id_column, text_column)
+
+
+def text_key(text_column: str = "text"):
+    """A 64-bit hash of the text; a null text is an empty one."""
+    return F.xxhash64(text_or_empty(text_column)).alias("text_key")
+
+
+def without_rows(docs: DataFrame, leaving: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose id, null included, and text are no pair ``(doc_id, text_key)`` of ``leaving``.
+
+    Rows of an equal id with another text stay. Only ids and hashes are listed that go, so texts are not dealt by group.
     """
-    found = near_duplicates(docs, radius, shingle, id_column, text_column, max_bucket, words, distinct)
-    gone, key = unused(docs, "gone"), unused(docs, "gone_id")
-    # Only ids are listed that go, each once: a row goes by its id, so texts are not dealt by group.
-    leaving = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id")) & F.exists("fps", lambda x: x != 0)).select(F.col("doc_id").alias(key)).distinct()
-    leaving = written(leaving, "near-duplicates").withColumn(gone, F.lit(True))
-    joined = docs.join(leaving.hint("merge"), F.col(id_column).cast("long").eqNullSafe(F.col(key)), "left")
-    return joined.filter(F.col(gone).isNull()).select(*docs.columns)
+    gone, key, text = unused(docs, "gone"), unused(docs, "gone_id"), unused(docs, "gone_text")
+    leaving = written(leaving.select(F.col("doc_id").alias(key), F.col("text_key").alias(text)).distinct(), "near-duplicates").withColumn(gone, F.lit(True))
+    same = F.col(id_column).cast("long").eqNullSafe(F.col(key)) & (text_key(text_column) == F.col(text))
+    return docs.join(leaving.hint("merge"), same, "left").filter(F.col(gone).isNull()).select(*docs.columns)
