@@ -107,3 +107,24 @@ def test_windows_cover_the_whole_text():
 @pytest.mark.parametrize("texts", [["a b c d e f"] * 3 + ["a b c d e f g"] + ["other words in here"]])
 def test_near_copies_train_once(texts):
     assert toxicity.without_near_copies(texts) == [texts[0], texts[-1]]
+
+
+def test_a_toxic_passage_counts_late_in_a_text_without_spaces():
+    rng = np.random.default_rng(3)
+    def letters(n):
+        return "".join(map(chr, rng.integers(0x4E00, 0x9000, n)))
+    passages = [letters(40) for _ in range(4)]
+    plain, both = (toxicity._compressor(d.encode()) for d in (letters(2000), "".join(passages) + letters(2000)))
+    own = letters(60_000)
+    found = {}
+    for n in (0, 1, 4):
+        text = own
+        for k, passage in enumerate(passages[:n]):
+            at = 55_000 + 1000 * k
+            text = text[:at] + passage + text[at:]
+        runs = toxicity.windows(text)
+        assert max(map(len, runs)) <= toxicity.WINDOW * (toxicity.WORD_BYTES + 1) + 1
+        found[n] = [len(plain.compress(r)) - len(both.compress(r)) for r in runs]
+    strong = {n: sum(x >= 8 for x in saved) for n, saved in found.items()}
+    assert strong[0] < strong[1] < strong[4]
+    assert max(found[1]) >= 20 > max(found[0])

@@ -1,7 +1,7 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries are trained, one on ordinary and one on toxic text. Texts are cut into overlapping windows of
-a few words, and every window is compressed twice: with the ordinary dictionary, and with the toxic one put before it. What
+a few words (long ones, as in scripts without spaces, count by pieces), and every window is compressed twice: with the ordinary dictionary, and with the toxic one put before it. What
 ordinary text shares costs the same both times, so the difference of the lengths is what the toxic dictionary explains.
 The windows of a document that pass each of several thresholds are counted; a logistic model over the counts, fitted on
 labelled documents that no dictionary has seen, calibrates them to a score.
@@ -28,6 +28,8 @@ FIT_TOXIC, FIT_ORDINARY = 2000, 8000
 #: Texts above this number of bytes take no part in the fit.
 FIT_TEXT_BYTES = 1 << 18
 WINDOW, STEP = 8, 4
+#: Words above this number of bytes (and scripts without spaces) are cut into pieces, each of which counts as a word of a window.
+WORD_BYTES, PIECE_BYTES = 24, 12
 #: Typical q-grams: their length, the share of toxic texts (and number, at least) that hold them, how much more often.
 QGRAM, LEAST_SHARE, LEAST_DOCUMENTS, RATIO = 7, 0.008, 3, 40
 ORDINARY_BYTES, TOXIC_BYTES = 32 << 10, 4 << 10
@@ -43,11 +45,17 @@ def _normal(text: str) -> bytes:
 
 
 def windows(text: str) -> list[bytes]:
-    """Overlapping runs of words that together cover the text; one for a text of up to a run."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()
+    """Overlapping runs of words, or of pieces of long ones, that together cover the text; one for a text of up to a run."""
+    words = []
+    for word in text.encode("utf-8", "surrogatepass").lower().split():
+        if len(word) <= WORD_BYTES:
+            words.append(b" " + word)
+        else:
+            words.append(b" " + word[:PIECE_BYTES])
+            words += (word[i:i + PIECE_BYTES] for i in range(PIECE_BYTES, len(word), PIECE_BYTES))
     last = max(0, len(words) - WINDOW)
     starts = [*range(0, last, STEP), last]
-    return [b" " + b" ".join(words[i:i + WINDOW]) + b" " for i in starts]
+    return [(b"".join(words[i:i + WINDOW]) or b" ") + b" " for i in starts]
 
 
 def _qgrams(text: bytes) -> np.ndarray:
