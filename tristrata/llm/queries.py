@@ -5,7 +5,9 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tristrata.llm import credentials, decontaminate, exact_dedup, language, packing, sharding, simhash, substring_dedup, token_store, toxicity
+from tristrata.llm import (
+    credentials, decontaminate, exact_dedup, language, line_dedup, packing, sharding, simhash, substring_dedup, token_store, toxicity,
+)
 from tristrata.llm.registry import query, table
 from tristrata.session import new_work_path
 
@@ -137,3 +139,17 @@ def op4_language_ftrl(spark: SparkSession, folder: str) -> DataFrame:
 def op7_decontaminate_qgrams(spark: SparkSession, folder: str) -> DataFrame:
     """Every document in which a benchmark item occurs with edits of up to a tenth of its length, and the item."""
     return decontaminate.benchmark_hits(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query(sql=r"""
+with t as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line,
+    generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as i from documents),
+keyed as (select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as k from t),
+shared as (select k from keyed where k <> '' group by k having count(distinct doc_id) >= 10)
+select doc_id, count(*) as n_lines, count(s.k) as n_dropped, sha256(coalesce(string_agg(line, chr(10) order by i) filter (where s.k is null), '')) as kept_sha256
+from keyed left join shared s using (k) group by doc_id
+""")
+def op11_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with what is left of it without the lines that ten documents share."""
+    kept = line_dedup.drop_shared_lines(table(spark, folder, "documents"), min_documents=10, min_chars=1, with_text=False)
+    return kept.drop("kept_text")
