@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tristrata.llm import (
-    credentials, decontaminate, exact_dedup, language, line_dedup, packing, sharding, simhash, substring_dedup, token_store, toxicity,
+    credentials, decontaminate, exact_dedup, language, line_dedup, merkle, packing, sharding, simhash, substring_dedup, token_store, toxicity,
 )
 from tristrata.llm.registry import query, table
 from tristrata.session import new_work_path
@@ -153,3 +153,53 @@ def op11_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with what is left of it without the lines that ten documents share."""
     kept = line_dedup.drop_shared_lines(table(spark, folder, "documents"), min_documents=10, min_chars=1, with_text=False)
     return kept.drop("kept_text")
+
+
+def _manifest_sql(levels: int = 8, top: int = 4) -> str:
+    """The tree level by level, for groups of up to ``8 ** levels`` rows and up to ``8 ** top`` groups."""
+    def digests(text: str) -> str:
+        fields = [f"coalesce(strlen({c}::varchar) || ':' || {c}::varchar, '-')" for c in ("doc_id", "source", "lang", "n_chars")]
+        return f"sha256({' || '.join([*fields, f"coalesce(strlen({text}) || ':' || {text}, '-')"])})"
+
+    def grown(name: str, by: str, count: int) -> str:
+        hashed = "case when any_value(total) = 1 then any_value(d) else sha256(string_agg(d, '' order by i)) end as d, (any_value(total) + 7) // 8 as total"
+        return ",\n".join(f"{name}{k + 1} as (select {by}, i // 8 as i, {hashed} from {name}{k} group by {by}, i // 8)" for k in range(count))
+
+    def folded(name: str, nodes: str, by: str, count: int) -> str:
+        parts = []
+        for k in range(count):
+            step = "any_value(r.f) else sha256(string_agg(case when n.i = r.i then r.f else n.d end, '' order by n.i)) end as f"
+            proof = "any_value(r.proof) || coalesce(string_agg(n.d, '' order by n.i) filter (n.i <> r.i), '') as proof"
+            parts.append(f"{name}{k + 1} as (select r, any_value(r.{by}) as {by}, any_value(r.i) // 8 as i, case when any_value(n.total) = 1 then {step}, {proof} "
+                         f"from {name}{k} r join {nodes}{k} n on n.{by} is not distinct from r.{by} and n.i // 8 = r.i // 8 group by r)")
+        return ",\n".join(parts)
+
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""
+with recursive bits(x, k, v) as (select range::bigint, 0, range::bigint from range(256)
+  union all select x, k + 1, case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end from bits where k < 8),
+steps as (select list(v order by x) as t from bits where k = 8),
+crc as (select doc_id, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint)),
+  lambda a, b: xor(t[(xor(a, b) & 255) + 1], a >> 8)), 4294967295) as h from documents, steps),
+leaves as (select d.doc_id, lang, {digests("text")} as leaf, case when h % 3 = 0 then {digests(lower)} end as claim from documents d left join crc using (doc_id)),
+placed as (select *, row_number() over () as r, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as i, count(*) over (partition by lang) as total from leaves),
+n0 as (select lang, i, leaf as d, total from placed),
+{grown("n", "lang", levels)},
+m0 as (select 1 as one, lang, row_number() over (order by lang nulls first) - 1 as i, d, count(*) over () as total from n{levels}),
+{grown("m", "one", top)},
+f0 as (select r, lang, i, coalesce(claim, leaf) as f, '' as proof from placed),
+{folded("f", "n", "lang", levels)},
+g0 as (select r, 1 as one, m0.i, f, proof from f{levels} f join m0 on m0.lang is not distinct from f.lang),
+{folded("g", "m", "one", top)}
+select doc_id, leaf, m0.d as subroot, m{top}.d as root, sha256(proof) as proof_sha256, f as folded_root, f = m{top}.d as verified
+from placed p join g{top} g on g.r = p.r join m0 on m0.lang is not distinct from p.lang, m{top}"""
+
+
+@query(sql=_manifest_sql())
+def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document with its proof, verified against rows of which some have their text lower-cased."""
+    docs, path = table(spark, folder, "documents"), new_work_path(spark, "manifest")
+    lowered = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.when(_remainder(3) == 0, merkle.row_digest(["doc_id", "source", "lang", "n_chars", lowered]))
+    manifest = merkle.write_manifest(docs, path, ("doc_id", "source", "lang", "n_chars", "text"), group="lang", key="doc_id", claim=tampered)
+    return manifest.prove().select(F.col("key").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
