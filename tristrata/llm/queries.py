@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tristrata.llm import (
-    credentials, decontaminate, exact_dedup, language, line_dedup, merkle, packing, sharding, simhash, substring_dedup, token_store, toxicity,
+    credentials, decontaminate, exact_dedup, language, line_dedup, merkle, packing, sharding, simhash, spelling, substring_dedup, token_store,
+    toxicity,
 )
 from tristrata.llm.registry import query, table
 from tristrata.session import new_work_path
@@ -155,6 +156,18 @@ def op11_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return kept.drop("kept_text")
 
 
+#: The table of CRC-32 by bytes, as a list ``t``.
+_CRC_STEPS = """bits(x, k, v) as (select range::bigint, 0, range::bigint from range(256)
+  union all select x, k + 1, case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end from bits where k < 8),
+steps as (select list(v order by x) as t from bits where k = 8)"""
+
+
+def _crc(text: str) -> str:
+    """CRC-32 of a text's UTF-8 bytes in SQL, beside ``steps``."""
+    digits = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda c: ('0x' || c)::bigint)"
+    return f"xor(list_reduce(list_prepend(4294967295, {digits}), lambda a, b: xor(t[(xor(a, b) & 255) + 1], a >> 8)), 4294967295)"
+
+
 def _manifest_sql(levels: int = 8, top: int = 4) -> str:
     """The tree level by level, for groups of up to ``8 ** levels`` rows and up to ``8 ** top`` groups."""
     def digests(text: str) -> str:
@@ -176,11 +189,8 @@ def _manifest_sql(levels: int = 8, top: int = 4) -> str:
 
     lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     return f"""
-with recursive bits(x, k, v) as (select range::bigint, 0, range::bigint from range(256)
-  union all select x, k + 1, case when v & 1 = 1 then xor(v >> 1, 3988292384) else v >> 1 end from bits where k < 8),
-steps as (select list(v order by x) as t from bits where k = 8),
-crc as (select doc_id, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(doc_id::varchar, ''), lambda c: ascii(c)::bigint)),
-  lambda a, b: xor(t[(xor(a, b) & 255) + 1], a >> 8)), 4294967295) as h from documents, steps),
+with recursive {_CRC_STEPS},
+crc as (select doc_id, {_crc("doc_id::varchar")} as h from documents, steps),
 leaves as (select d.doc_id, lang, {digests("text")} as leaf, case when h % 3 = 0 then {digests(lower)} end as claim from documents d left join crc using (doc_id)),
 placed as (select *, row_number() over () as r, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as i, count(*) over (partition by lang) as total from leaves),
 n0 as (select lang, i, leaf as d, total from placed),
@@ -203,3 +213,27 @@ def op12_merkle_manifest(spark: SparkSession, folder: str) -> DataFrame:
     tampered = F.when(_remainder(3) == 0, merkle.row_digest(["doc_id", "source", "lang", "n_chars", lowered]))
     manifest = merkle.write_manifest(docs, path, ("doc_id", "source", "lang", "n_chars", "text"), group="lang", key="doc_id", claim=tampered)
     return manifest.prove().select(F.col("key").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
+@query(sql=rf"""
+with recursive {_CRC_STEPS},
+runs as (select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{{00C0}}-\x{{00FF}}]+')) as w from documents),
+counted as (select doc_id, w, count(*) as c from runs where length(w) >= 7 group by doc_id, w),
+summed as (select w, c, {_crc("coalesce(doc_id::varchar, '') || ':' || w")} as h from counted, steps),
+slipped as (select case when h % 31 = 0 then substr(w, 1, (h % length(w))::int) || substr(w, (h % length(w))::int + 2) else w end as word, c from summed),
+words as (select word, sum(c)::bigint as n from slipped where length(word) >= 7 group by word having sum(c) >= 2),
+without as (select word, n, p, substr(word, 1, p::int - 1) as a, substr(word, p::int + 1) as b from words, generate_series(1, length(word)) g(p)),
+near as (
+  select x.word, y.word as other, y.n as m from without x join without y on x.a = y.a and x.b = y.b and x.word <> y.word
+  union select x.word, y.word, y.n from without x join words y on y.word = x.a || x.b
+  union select y.word, x.word, x.n from without x join words y on y.word = x.a || x.b),
+best as (select word, count(*) as n_near, max(m) as m from near group by word),
+formed as (select w.word, w.n, coalesce(n_near, 0) as n_near, case when b.m >= 10 * w.n then (select min(other) from near where near.word = w.word and near.m = b.m) end as form,
+  case when b.m >= 10 * w.n then b.m end as form_n from words w left join best b using (word)),
+chains(word, last, steps) as (select word, form, 1 from formed where form is not null
+  union all select c.word, f.form, c.steps + 1 from chains c join formed f on f.word = c.last where f.form is not null)
+select word, form, coalesce((select arg_max(last, steps) from chains where chains.word = f.word), word) as root, n, n_near, form_n from formed f
+""")
+def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    """Every word of all documents with its most frequent spelling; one occurrence in 31 has lost a letter."""
+    return spelling.spelling_variants(table(spark, folder, "documents"), min_chars=7, min_count=2, ratio=10, slip=31)
