@@ -192,11 +192,16 @@ def _leaf_paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield batch(PATHS, *zip(*out[k:k + 512]))
 
 
-def with_paths(levels: Sequence[DataFrame], above: DataFrame) -> DataFrame:
-    """The blocks of the lowest level with the path from their root up; ``above`` has ``(tree, places, siblings)``."""
+def with_paths(levels: Sequence[DataFrame], above: DataFrame | None = None) -> DataFrame:
+    """The blocks of the lowest level with the path from their root up; ``above`` has ``(tree, places, siblings)`` of trees
+    whose root is not the root of all."""
     placed = None
     for blocks in reversed(levels):
-        whole = blocks.filter(F.col("total") <= SIZE).join(above, "tree")
+        whole = blocks.filter(F.col("total") <= SIZE)
+        if above is None:
+            whole = whole.withColumns({"places": F.array().cast("array<int>"), "siblings": F.array().cast("array<string>")})
+        else:
+            whole = whole.join(above, "tree")
         if placed is not None:
             paths = placed.mapInArrow(_leaf_paths, PATH).withColumnRenamed("i", "block")
             whole = whole.unionByName(blocks.filter(F.col("total") > SIZE).join(paths, ["tree", "block"]))
@@ -237,9 +242,7 @@ class Manifest:
         root is folded anew from the claim (the leaf where there is none) and those siblings; it is ``verified`` if
         it is the manifest's.
         """
-        nothing = self.leaves.sparkSession.range(1).select(
-            F.lit(0).cast("long").alias("tree"), F.array().cast("array<int>").alias("places"), F.array().cast("array<string>").alias("siblings"))
-        of_groups = with_paths(self.top, nothing).mapInArrow(_leaf_paths, PATH).select(F.col("i").alias("tree"), "places", "siblings")
+        of_groups = with_paths(self.top).mapInArrow(_leaf_paths, PATH).select(F.col("i").alias("tree"), "places", "siblings")
         blocks = with_paths(self.levels, of_groups)
         rows = self.leaves.select("tree", F.shiftright("i", BITS * HEIGHT).alias("block"), "i", "key", "leaf", "claim")
         schema = f"tree long, key {dict(self.leaves.dtypes)['key']}, leaf binary, proof_sha256 string, folded_root string"
