@@ -8,7 +8,8 @@ import random
 import pytest
 
 import corpus_pipeline
-from tristrata.llm import decontaminate, exact_dedup, simhash
+from tests.llm.test_similar import brute_leaders
+from tristrata.llm import decontaminate, exact_dedup
 from tristrata.llm.tokens import Encoder
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -91,20 +92,7 @@ def test_stages_of_the_pipeline_equal_brute_force(spark, tmp_path):
     ids = {max(j for j in ids if rows[j].translate(LOWER) == rows[i].translate(LOWER)) for i in ids}
     assert {r.doc_id for r in step("exact dedup").collect()} == ids
 
-    prints = {i: simhash.text_fingerprints(rows[i], 5, 6, True) for i in ids}
-    root = {i: i for i in ids}
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-
-    for a in ids:
-        for b in ids:
-            if b < a and any(((x ^ y) & (2 ** 64 - 1)).bit_count() <= 4 for x, y in zip(prints[a], prints[b])):
-                x, y = find(a), find(b)
-                root[max(x, y)] = min(x, y)
-    ids = {i for i in ids if find(i) == i}
+    ids = brute_leaders([(i, rows[i]) for i in ids])
     assert {r.doc_id for r in step("SimHash near-dedup").collect()} == ids
 
     leaked = {i for i in ids if any(b in decontaminate.normalised(rows[i]) for b in bench)}
