@@ -9,7 +9,7 @@ from tristrata.plans.specs import GoldSpec, Metric
 from tristrata.operators.gold import build_gold
 from tristrata.operators.scd import snapshot_check
 from tristrata.session import new_work_path, staged, work_dir
-from tristrata.sources import incremental
+from tristrata.sources import incremental, manifests
 from tristrata.sources.files import folder_names, path_exists
 from tristrata.sources.incremental import (
     has_rows, incremental_filter, merge_months, month_folders, newest_date, read_fact, refresh_gold, upsert_incremental,
@@ -116,7 +116,10 @@ def test_an_upsert_that_breaks_off_changes_nothing_and_can_be_repeated(spark, tm
         raise RuntimeError("driver lost")
 
     with monkeypatch.context() as broken:
-        broken.setattr(incremental, *(("folder_names", lambda s, p: lost() if "/runs/" in p else folder_names(s, p)) if step == "write" else (step, lost)))
+        if step == "write":
+            broken.setattr(incremental, "folder_names", lambda s, p: lost() if "/runs/" in p else folder_names(s, p))
+        else:
+            broken.setattr(manifests if step == "publish_text" else incremental, step, lost)
         with pytest.raises(RuntimeError):
             upsert_incremental(batch, path, "sk", "d")
         broken.undo()
@@ -136,6 +139,86 @@ def test_untouched_months_are_not_rewritten(spark, tmp_path):
     assert stored(spark, path) == [("a", "2024-01-05", 1), ("b", "2024-02-09", 2)]
 
 
+def opened(monkeypatch):
+    """The months whose files an upsert reads, call by call."""
+    calls, stored_months = [], incremental._stored
+
+    def watched(spark, path, folders, schema=None):
+        calls.append(set(folders))
+        return stored_months(spark, path, folders, schema)
+
+    monkeypatch.setattr(incremental, "_stored", watched)
+    return calls
+
+
+def test_an_upsert_opens_the_months_of_its_keys_only(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "fct")
+    monkeypatch.setattr(incremental, "KEYS_PER_BUCKET", 20)
+    months = [date(2019 + i // 12, i % 12 + 1, 1) for i in range(60)]
+    upsert_incremental(facts(spark, *((f"k{i}-{j}", m.replace(day=3 + j), i) for i, m in enumerate(months) for j in range(4))), path, "sk", "d")
+    upsert_incremental(facts(spark, ("k0-0", date(2019, 1, 4), 100)), path, "sk", "d")  # makes the index
+    assert len(folder_names(spark, f"{path}/keys/{incremental._newest(spark, path)[1]['keys']['runs'][0][0]}")) >= 12
+    calls = opened(monkeypatch)
+    touched = merge_months(facts(spark, ("k30-1", date(2020, 1, 9), 7), ("new", date(2020, 1, 9), 8), (None, date(2020, 1, 9), 9)), path, "sk", "d")
+    assert set(touched) == {date(2020, 1, 1), months[30]} and calls == [{date(2020, 1, 1), months[30]}]
+    monkeypatch.undo()
+    found = {sk: (d, v) for sk, d, v in stored(spark, path)}
+    assert len(found) == 242 and found["k30-1"] == ("2020-01-09", 7) and found[None] == ("2020-01-09", 9)
+    merge_months(facts(spark, ("k30-1", date(2021, 1, 9), 7)), path, "sk", "d")  # where the last run put it
+    assert months[30] not in merge_months(facts(spark, ("k30-1", None, 7)), path, "sk", "d")
+    assert [r for r in stored(spark, path) if r[0] == "k30-1"] == [("k30-1", None, 7)]
+
+
+def test_index_runs_stay_few_and_equal_a_rebuild(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "fct")
+    rng, expected = __import__("random").Random(3), {}
+    for i in range(14):
+        batch = {f"k{rng.randrange(40)}": (rng.choice([None, date(2024, rng.randint(1, 6), 2)]), i) for _ in range(rng.choice([1, 2, 12]))}
+        upsert_incremental(facts(spark, *((k, d, v) for k, (d, v) in batch.items())), path, "sk", "d")
+        expected |= batch
+        assert stored(spark, path) == sorted(((k, d and str(d), v) for k, (d, v) in expected.items()), key=lambda r: [(v is not None, str(v)) for v in r])
+    assert len(incremental._newest(spark, path)[1]["keys"]["runs"]) <= 4
+    merge_months(facts(spark, ("n", date(2024, 1, 5), 99)), path, "sk", "d", key_has_date=True)  # goes on without index
+    assert "keys" not in incremental._newest(spark, path)[1]
+    names = {r for f in incremental._named_folders(incremental._newest(spark, path)[1]) for r in f.split("/")[1:2]}
+    assert incremental.remove_strays(spark, path, -1) and names <= set(os.listdir(tmp_path / "fct" / "runs"))
+    assert len(stored(spark, path)) == len(expected) + 1
+
+
+@pytest.mark.parametrize("other, repeats", [
+    (("x", date(2024, 5, 1), 9), False), (("b", date(2024, 2, 7), 9), True), (("a", date(2024, 5, 1), 9), True)])
+def test_two_writers(spark, tmp_path, monkeypatch, other, repeats):
+    """Another upsert is published while one is on its way: in another month, in the same, or with the same key elsewhere."""
+    path = str(tmp_path / "fct")
+    upsert_incremental(facts(spark, ("a", date(2024, 1, 5), 1), ("b", date(2024, 2, 5), 1)), path, "sk", "d")
+    upsert_incremental(facts(spark, ("c", date(2024, 3, 5), 1)), path, "sk", "d")
+    publish, written = manifests.publish, []
+
+    def late(spark_, path_, number, content):
+        if not written:
+            written.append(True)
+            upsert_incremental(facts(spark, other), path, "sk", "d")
+        publish(spark_, path_, number, content)
+
+    monkeypatch.setattr(manifests, "publish", late)
+    merges, write_months = [], incremental._write_months
+    monkeypatch.setattr(incremental, "_write_months", lambda rows, p: merges.append(1) or write_months(rows, p))
+    upsert_incremental(facts(spark, ("a", date(2024, 2, 8), 2)), path, "sk", "d")
+    expected = {"a": ("2024-02-08", 2), "b": ("2024-02-05", 1), "c": ("2024-03-05", 1)}
+    expected |= {other[0]: (str(other[1]), other[2])} if other[0] != "a" else {}
+    assert {sk: (d, v) for sk, d, v in stored(spark, path)} == expected and len(stored(spark, path)) == len(expected)
+    assert len(merges) == (3 if repeats else 2)
+    upsert_incremental(facts(spark, ("x", None, 1), ("b", None, 1)), path, "sk", "d")  # the index knows both
+    assert len(stored(spark, path)) == len({*expected, "x"})
+
+
+def test_a_manifest_number_is_published_once(spark, tmp_path):
+    manifests.publish(spark, str(tmp_path), 1, {"months": {}})
+    with pytest.raises(FileExistsError):
+        manifests.publish(spark, str(tmp_path), 1, {"months": {"other": "run"}})
+    assert manifests.newest(spark, str(tmp_path)) == (1, {"months": {}}) and len(os.listdir(tmp_path / "manifests")) <= 3
+
+
 def test_lookback(spark):
     df = facts(spark, ("old", date(2024, 1, 1), 1), ("edge", date(2024, 1, 3), 1), ("in", date(2024, 1, 4), 1),
                ("undated", None, 1))

@@ -3,15 +3,22 @@
 A dated table is a set of months. Every run writes the months that it changes, once, into a folder of its own
 (``runs/run=<id>/load_month=<first of month>``) and then publishes a manifest (``manifests/<n>.json``) that says which
 run's folder holds each month. Readers follow the newest manifest, so they see a run as a whole or not at all, and a run
-that breaks off leaves the table as it was; repeating it gives what it would have given. The manifest before the newest
-stays readable, older ones are removed with the folders that only they name. Each table has one writer at a time.
+that breaks off leaves the table as it was; repeating it gives what it would have given.
+
+Beside the months lies an index of keys (``keys/run=<id>/bucket=<n>``): the month of each key by a 64-bit hash, in buckets
+of hashes. An upsert looks up the buckets of its keys and opens the months it finds, not the key column of the table. Each
+run adds the entries of its batch; the entries of later runs count before earlier ones. Runs of like size are merged, so
+there are never more than the logarithm of the table's size by that of a batch. Two keys of one hash open a month too many,
+which is written again as it was.
+
+Several writers may work on a table. A run whose months nobody else has changed meanwhile, and whose keys did not turn up
+in months that others changed, is added to what they published; otherwise it is repeated on top of theirs.
 """
 
 from __future__ import annotations
 
-import json
 import uuid
-from collections.abc import Collection
+from collections.abc import Collection, Sequence
 from dataclasses import replace
 from datetime import date as Date, timedelta
 
@@ -22,13 +29,18 @@ from tristrata.operators.dedup import dedup_latest
 from tristrata.operators.gold import build_gold, resolve_gold
 from tristrata.plans.specs import GoldSpec
 from tristrata.session import staged
-from tristrata.sources.files import delete_path, folder_names, publish_text, read_text
+from tristrata.sources import manifests
+from tristrata.sources.files import folder_names
 from tristrata.sources.tables import read_table, table_exists, write_table
 
 MONTH = "load_month"
 # How folders name the month of undated rows.
 NO_MONTH = "__HIVE_DEFAULT_PARTITION__"
 DEFAULT_LOOKBACK_DAYS = 7
+# Keys of one bucket of the index, buckets at most, and how much larger than what follows a run must be to stay unmerged.
+KEYS_PER_BUCKET = 1_000_000
+MAX_BUCKETS = 4096
+MERGE_FACTOR = 4
 
 
 def incremental_filter(
@@ -45,17 +57,19 @@ def incremental_filter(
     return df.filter((column > bound) | column.isNull())
 
 
-def _manifest_names(spark: SparkSession, path: str) -> list[str]:
-    return sorted(n for n in folder_names(spark, f"{path}/manifests") if n.endswith(".json") and not n.startswith("."))
+def _newest(spark: SparkSession, path: str) -> tuple[int, dict]:
+    """Number and content of the newest manifest: ``months`` with their runs, and the index of ``keys`` if there is one."""
+    number, content = manifests.newest(spark, path)
+    return number, content if "months" in content or not content else {"months": content}
+
+
+def _folders(path: str, months: dict[str, str]) -> dict[Date | None, str]:
+    return {None if m == NO_MONTH else Date.fromisoformat(m): f"{path}/runs/{run}/{MONTH}={m}" for m, run in months.items()}
 
 
 def month_folders(spark: SparkSession, path: str) -> dict[Date | None, str]:
     """The folder of each month of the table, by its newest manifest."""
-    names = _manifest_names(spark, path)
-    if not names:
-        return {}
-    months = json.loads(read_text(spark, f"{path}/manifests/{names[-1]}"))
-    return {None if m == NO_MONTH else Date.fromisoformat(m): f"{path}/runs/{run}/{MONTH}={m}" for m, run in months.items()}
+    return _folders(path, _newest(spark, path)[1].get("months", {}))
 
 
 def has_rows(spark: SparkSession, path: str) -> bool:
@@ -137,30 +151,130 @@ def merge_months(
     """Upsert into a dated table and return the months rewritten (None inside for undated rows, None alone for
     a first load, which writes everything).
 
-    Rewritten are the months of the batch and those where its keys were stored before. Finding the latter
-    reads the target's key column; ``key_has_date`` skips that when the key is derived from the date, so that
-    a key cannot change month.
+    Rewritten are the months of the batch and those where its keys were stored before, by the index of keys. The first
+    upsert into a table reads its key column once to make the index; ``key_has_date`` does without one, for a key that is
+    derived from the date and cannot change month.
     """
     spark, columns = batch.sparkSession, batch.columns
     fresh = (batch if unique else dedup_latest(batch, [key], order_by)).withColumn(MONTH, to_grain(date, "month"))
-    folders = month_folders(spark, path)
-    if not folders:
-        _publish(fresh, path)
-        return None
+    if not _newest(spark, path)[1]:
+        try:
+            _publish(fresh, path)
+            return None
+        except FileExistsError:  # another writer was first: what follows merges
+            pass
     with staged(fresh, "batch") as fresh:
-        stored, keys = _stored(spark, path, folders, fresh.schema), fresh.select(key)
-        months = fresh.select(MONTH)
-        if not key_has_date:
-            months = months.union(stored.select(key, MONTH).join(keys, key, "left_semi").select(MONTH))
-        touched = [row[0] for row in months.distinct().collect()]  # calendar months, a small list
-        if touched:
+        keys, own = fresh.select(key), [row[0] for row in fresh.select(MONTH).distinct().collect()]
+        while own:
+            number, state = _newest(spark, path)
+            folders, touched, index = _folders(path, state["months"]), list(own), None
+            if not key_has_date:
+                index = state.get("keys") or _index_of(spark, path, folders, key, fresh)
+                touched += [m for m in _months_of(spark, path, index, keys, key) if m not in own]
             before = {m: folders[m] for m in touched if m in folders}
             merged = fresh
             if before:
                 kept = _stored(spark, path, before, fresh.schema).join(keys, key, "left_anti")
                 merged = kept.select(*columns, MONTH).unionByName(fresh)
-            _publish(merged, path, touched)
-    return touched
+            run, filled = _write_months(merged, path)
+            if index is not None:
+                index = _with_entries(spark, path, index, fresh, key)
+            if _commit(spark, path, number, state, touched, run, filled, index, fresh, None if key_has_date else key):
+                return touched
+    return []
+
+
+def _commit(
+    spark: SparkSession, path: str, number: int, base: dict, touched: Collection[Date | None], run: str, filled: Collection[str],
+    index: dict | None, fresh: DataFrame, key: str | None,
+) -> bool:
+    """Publish a run that was made from manifest ``number`` (``base``); False if another run came in its way."""
+    gone = {NO_MONTH if m is None else m.isoformat() for m in touched}
+    while True:
+        at, now = _newest(spark, path)
+        changed = {m for m in {*now["months"], *base["months"]} if now["months"].get(m) != base["months"].get(m)}
+        if changed & gone:
+            return False
+        others = _folders(path, {m: now["months"][m] for m in changed if m in now["months"]})
+        if key is not None and others:
+            if not _stored(spark, path, others, fresh.schema).select(key).join(fresh.select(key), key, "left_semi").isEmpty():
+                return False
+        content = {"months": {m: r for m, r in now["months"].items() if m not in gone} | dict.fromkeys(filled, run)}
+        if index is not None and now.get("keys") == base.get("keys"):
+            content["keys"] = index
+        elif index is not None and now.get("keys"):
+            content["keys"] = _with_entries(spark, path, now["keys"], fresh, key, merge=False)
+        try:
+            manifests.publish(spark, path, at + 1, content)
+        except FileExistsError:
+            continue
+        _remove_unnamed(spark, path)
+        return True
+
+
+def _entries(rows: DataFrame, key: str) -> DataFrame:
+    """``(h, load_month)`` of rows with a key; rows without one are never replaced."""
+    return rows.filter(F.col(key).isNotNull()).select(F.xxhash64(key).alias("h"), MONTH)
+
+
+def _bucket(buckets: int) -> Column:
+    return F.pmod(F.col("h"), F.lit(buckets)).cast("int").alias("bucket")
+
+
+def _fitting_buckets(keys: int) -> int:
+    return min(MAX_BUCKETS, max(1, -(-keys // KEYS_PER_BUCKET)))
+
+
+def _write_entries(entries: DataFrame, path: str, buckets: int) -> str:
+    run = f"run={uuid.uuid4().hex}"
+    dealt = entries.select("h", MONTH, _bucket(buckets)).hint("rebalance", "bucket").sortWithinPartitions("bucket", "h")
+    dealt.write.partitionBy("bucket").parquet(f"{path}/keys/{run}")
+    return run
+
+
+def _read_entries(spark: SparkSession, path: str, runs: Sequence[tuple[str, int]], wanted: Collection[int] | None = None) -> DataFrame:
+    """``(h, load_month, age)`` of these runs of the index, the oldest of age 0; of the ``wanted`` buckets only."""
+    found = spark.createDataFrame([], f"h long, {MONTH} date, age int")
+    for age, (run, _) in enumerate(runs):
+        names = [n for n in folder_names(spark, f"{path}/keys/{run}") if n.startswith("bucket=")]
+        names = [n for n in names if wanted is None or int(n.removeprefix("bucket=")) in wanted]
+        if names:
+            entries = spark.read.schema(f"h long, {MONTH} date").parquet(*(f"{path}/keys/{run}/{n}" for n in names))
+            found = found.unionByName(entries.withColumn("age", F.lit(age)))
+    return found
+
+
+def _latest(entries: DataFrame) -> DataFrame:
+    return entries.groupBy("h").agg(F.max_by(MONTH, "age").alias(MONTH))
+
+
+def _index_of(spark: SparkSession, path: str, folders: dict[Date | None, str], key: str, like: DataFrame) -> dict:
+    """A new index of the whole table."""
+    stored = _stored(spark, path, folders, like.schema)
+    rows = stored.count()
+    buckets = _fitting_buckets(rows)
+    return {"buckets": buckets, "runs": [[_write_entries(_entries(stored, key), path, buckets), rows]]}
+
+
+def _months_of(spark: SparkSession, path: str, index: dict, keys: DataFrame, key: str) -> list[Date | None]:
+    """The months that hold ``keys``; buckets and months are short lists."""
+    hashes = keys.filter(F.col(key).isNotNull()).select(F.xxhash64(key).alias("h"))
+    wanted = {row[0] for row in hashes.select(_bucket(index["buckets"])).distinct().collect()}
+    entries = _read_entries(spark, path, index["runs"], wanted).join(hashes, "h", "left_semi")
+    return [row[0] for row in _latest(entries).select(MONTH).distinct().collect()]
+
+
+def _with_entries(spark: SparkSession, path: str, index: dict, fresh: DataFrame, key: str, merge: bool = True) -> dict:
+    """The index with a run for ``fresh``, into which the runs before are merged as long as they are not much larger."""
+    added, runs = _entries(fresh, key), list(index["runs"])
+    rows, first = added.count(), len(runs)
+    while merge and first and runs[first - 1][1] <= MERGE_FACTOR * rows:
+        first -= 1
+        rows += runs[first][1]
+    buckets = index["buckets"] if first else _fitting_buckets(rows)
+    if first < len(runs):
+        added = _latest(_read_entries(spark, path, runs[first:]).unionByName(added.withColumn("age", F.lit(len(runs)))))
+    return {"buckets": buckets, "runs": [*runs[:first], [_write_entries(added, path, buckets), rows]]}
 
 
 def refresh_gold(
@@ -209,34 +323,38 @@ def _feeding_months(first: Date | None, grain: str) -> list[Date | None]:
     return [_shift(first, n) for n in range(ahead + 1)]
 
 
-def _publish(rows: DataFrame, path: str, months: Collection[Date | None] | None = None) -> None:
-    """Make ``rows`` the content of ``months`` (of the whole table when None): written as a run, then named by a manifest.
+def _write_months(rows: DataFrame, path: str) -> tuple[str, list[str]]:
+    """Write ``rows`` as a run and give its name and its months.
 
     The rebalance hint gathers each month's rows and splits large months into files of the advisory size.
     """
     spark, run = rows.sparkSession, f"run={uuid.uuid4().hex}"
     rows.hint("rebalance", F.col(MONTH)).write.partitionBy(MONTH).parquet(f"{path}/runs/{run}")
-    filled = {n.removeprefix(f"{MONTH}=") for n in folder_names(spark, f"{path}/runs/{run}") if n.startswith(f"{MONTH}=")}
-    names = _manifest_names(spark, path)
-    before = json.loads(read_text(spark, f"{path}/manifests/{names[-1]}")) if names and months is not None else {}
+    return run, [n.removeprefix(f"{MONTH}=") for n in folder_names(spark, f"{path}/runs/{run}") if n.startswith(f"{MONTH}=")]
+
+
+def _publish(rows: DataFrame, path: str, months: Collection[Date | None] | None = None) -> None:
+    """Make ``rows`` the content of ``months`` (of the whole table when None); an index of keys goes."""
+    spark = rows.sparkSession
+    number, state = _newest(spark, path)
+    run, filled = _write_months(rows, path)
     gone = {NO_MONTH if m is None else m.isoformat() for m in months or ()}
-    now = {m: r for m, r in before.items() if m not in gone} | dict.fromkeys(filled, run)
-    number = int(names[-1].removesuffix(".json")) + 1 if names else 1
-    publish_text(spark, f"{path}/manifests/{number:012d}.json", json.dumps(now))
+    before = state.get("months", {}) if months is not None else {}
+    manifests.publish(spark, path, number + 1, {"months": {m: r for m, r in before.items() if m not in gone} | dict.fromkeys(filled, run)})
     _remove_unnamed(spark, path)
 
 
+def _named_folders(content: dict) -> list[str]:
+    months = content.get("months", content if "keys" not in content else {})
+    index = content.get("keys") or {"runs": []}
+    return [f"runs/{run}/{MONTH}={m}" for m, run in months.items()] + [f"keys/{run}" for run, _ in index["runs"]]
+
+
 def _remove_unnamed(spark: SparkSession, path: str) -> None:
-    """Remove all manifests but the last two, and month folders that neither of these names."""
-    names = _manifest_names(spark, path)
-    named = {(run, f"{MONTH}={m}") for n in names[-2:] for m, run in json.loads(read_text(spark, f"{path}/manifests/{n}")).items()}
-    for n in names[:-2]:
-        delete_path(spark, f"{path}/manifests/{n}")
-    runs = {run for run, _ in named}
-    for run in folder_names(spark, f"{path}/runs"):
-        if run not in runs:
-            delete_path(spark, f"{path}/runs/{run}")
-            continue
-        for month in folder_names(spark, f"{path}/runs/{run}"):
-            if month.startswith(f"{MONTH}=") and (run, month) not in named:
-                delete_path(spark, f"{path}/runs/{run}/{month}")
+    """Remove all manifests but the last two, and folders that only those name."""
+    manifests.remove_unnamed(spark, path, _named_folders)
+
+
+def remove_strays(spark: SparkSession, path: str, older_than_hours: float = 24) -> list[str]:
+    """Remove the folders of runs that broke off; runs that are under way must be younger than that."""
+    return manifests.remove_strays(spark, path, ("runs", "keys"), _named_folders, older_than_hours)
