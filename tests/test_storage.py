@@ -9,14 +9,14 @@ from tristrata.plans.specs import GoldSpec, Metric
 from tristrata.operators.gold import build_gold
 from tristrata.operators.scd import snapshot_check
 from tristrata.session import new_work_path, staged, work_dir
-from tristrata.sources import incremental, manifests
+from tristrata.sources import incremental, manifests, tables
 from tristrata.sources.files import folder_names, path_exists
 from tristrata.sources.incremental import (
     has_rows, incremental_filter, merge_months, month_folders, newest_date, read_fact, refresh_gold, upsert_incremental,
 )
 from tristrata.sources.readers import read_partitioned, read_sources
 from tristrata.sources.tables import (
-    layer_path, publish_view, read_open_versions, read_snapshot, read_table, table_exists, write_bucketed,
+    advance_snapshot, layer_path, publish_view, read_open_versions, read_snapshot, read_table, table_exists, write_bucketed,
     write_profile, write_snapshot, write_table,
 )
 from tristrata.streaming.streams import read_file_stream, stream_fact, stream_gold, windowed_gold
@@ -270,7 +270,84 @@ def test_stored_snapshot_keeps_history_without_rewriting(spark, tmp_path):
     assert rows(read_snapshot(spark, path), "id", "name", F.dayofmonth("valid_from"), F.dayofmonth("valid_to")) == [
         (1, "a", 1, 2), (1, "a", 3, None), (1, "b", 2, 3), (2, "x", 1, None), (3, "n", 3, None)]
     assert read_open_versions(spark, path).count() == 3
-    assert spark.read.parquet(f"{path}/v000000003/state=closed").count() == 1
+
+
+def snapshot_run(spark, path, day, values, schema="id int, name string"):
+    source = spark.createDataFrame(values, schema)
+    advance_snapshot(spark, path, lambda previous: snapshot_check(previous, source, ["id"], f"2024-01-{day:02d} 00:00:00"))
+
+
+def test_many_runs_of_a_snapshot_leave_few_folders(spark, tmp_path):
+    path = str(tmp_path / "snap")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    for day in range(1, 24):
+        snapshot_run(spark, path, day, [(1, f"v{day}"), (2, "x")])
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    content = manifests.newest(spark, path)[1]
+    assert len(content["closed"]) <= 4 and sum(n for _, n in content["closed"]) == 22
+    assert all(a[1] > 4 * b[1] for a, b in zip(content["closed"], content["closed"][1:]))
+    named = {f.split("/")[1] for f in tables._snapshot_folders(content)}
+    holding = {run for run in os.listdir(tmp_path / "snap" / "runs") if any(n.startswith("state=") for n in os.listdir(tmp_path / "snap" / "runs" / run))}
+    assert named <= holding and len(holding) <= len(named) + 4  # those of the manifest before are still there
+    history = rows(read_snapshot(spark, path), "id", "name", F.dayofmonth("valid_from"), F.dayofmonth("valid_to"))
+    assert history == sorted([(1, f"v{d}", d, d + 1 if d < 23 else None) for d in range(1, 24)] + [(2, "x", 1, None)],
+                             key=lambda r: [(v is not None, str(v)) for v in r])
+
+
+def test_an_interrupted_merge_of_closed_versions_changes_nothing(spark, tmp_path, monkeypatch):
+    path = str(tmp_path / "snap")
+    for day in (1, 2, 3):
+        with monkeypatch.context() as broken:
+            broken.setattr(tables, "compact_snapshot", lambda *_: None)
+            snapshot_run(spark, path, day, [(1, f"v{day}")])
+    before, history = manifests.newest(spark, path), rows(read_snapshot(spark, path))
+
+    def lost(*_):
+        raise RuntimeError("driver lost")
+
+    with monkeypatch.context() as broken:
+        broken.setattr(manifests, "publish_text", lost)
+        with pytest.raises(RuntimeError):
+            tables.compact_snapshot(spark, path)
+    assert manifests.newest(spark, path) == before and rows(read_snapshot(spark, path)) == history
+    tables.compact_snapshot(spark, path)
+    assert len(manifests.newest(spark, path)[1]["closed"]) == 1 and rows(read_snapshot(spark, path)) == history
+
+
+def test_a_snapshot_run_is_repeated_on_top_of_another(spark, tmp_path, monkeypatch):
+    path, publish, others = str(tmp_path / "snap"), manifests.publish, [True]
+    snapshot_run(spark, path, 1, [(1, "a")])
+
+    def late(spark_, path_, number, content):
+        if others and others.pop():
+            snapshot_run(spark, path, 2, [(1, "b")])
+        publish(spark_, path_, number, content)
+
+    monkeypatch.setattr(manifests, "publish", late)
+    snapshot_run(spark, path, 3, [(1, "c")])
+    assert rows(read_snapshot(spark, path), "name", F.dayofmonth("valid_from"), F.dayofmonth("valid_to")) == [("a", 1, 2), ("b", 2, 3), ("c", 3, None)]
+
+
+def test_snapshot_columns_come_go_and_widen(spark, tmp_path):
+    path = str(tmp_path / "snap")
+    snapshot_run(spark, path, 1, [(1, 5, "gone"), (2, 6, None)], "id int, n int, note string")
+    snapshot_run(spark, path, 2, [(1, 5, "new"), (2, 1 << 40, None), (3, 7, None)], "id int, n bigint, extra string")
+    snapshot_run(spark, path, 3, [(1, 5, "new"), (2, 1 << 40, None), (3, 7, None)], "id int, n bigint, extra string")
+    assert rows(read_snapshot(spark, path), "id", "n", "extra", "note", F.dayofmonth("valid_from"), F.dayofmonth("valid_to")) == [
+        (1, 5, None, "gone", 1, 2), (1, 5, "new", None, 2, None), (2, 1 << 40, None, None, 2, None), (2, 6, None, None, 1, 2), (3, 7, None, None, 2, None)]
+    with pytest.raises(ValueError, match="text"):
+        snapshot_run(spark, path, 4, [("1", 5)], "id string, n bigint")
+
+
+def test_fact_columns_come_go_and_widen(spark, tmp_path):
+    path = str(tmp_path / "fct")
+    upsert_incremental(facts(spark, ("a", date(2024, 1, 5), 1), ("b", date(2024, 2, 5), 1)), path, "sk", "d")
+    wide = spark.createDataFrame([("b", date(2024, 2, 6), 1 << 40, "x")], "sk string, d date, v bigint, extra string")
+    upsert_incremental(wide, path, "sk", "d")
+    upsert_incremental(spark.createDataFrame([("c", date(2024, 2, 7))], "sk string, d date"), path, "sk", "d")
+    assert rows(read_fact(spark, path), "sk", F.col("d").cast("string"), "v", "extra") == [
+        ("a", "2024-01-05", 1, None), ("b", "2024-02-06", 1 << 40, "x"), ("c", "2024-02-07", None, None)]
+    assert read_fact(spark, path, since=date(2025, 1, 1)).columns == read_fact(spark, path).columns == ["sk", "d", "v", "extra"]
 
 
 def test_staged_files_go_only_after_success(spark):

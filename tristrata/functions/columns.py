@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, types as T
+from functools import reduce
+
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from tristrata.functions.names import (
     AUDIT_COLUMNS, AUDIT_DATES, IDENTIFIER_WORDS, MEASURE_WORDS, NO_MEASURES, TECHNICAL_COLUMNS, UPDATE_STAMPS,
@@ -54,3 +56,26 @@ def require(df: DataFrame, columns, where: str) -> None:
     missing = [c for c in columns if c not in df.columns]
     if missing:
         raise ValueError(f"{where}: unknown column(s) {', '.join(missing)}; have {', '.join(df.columns)}")
+
+
+def common_schema(spark: SparkSession, *schemas: T.StructType) -> T.StructType:
+    """The columns of all schemas in order of first appearance, each of the widest of its types, as Spark widens unions.
+
+    Text and other types have no common one: such a change raises.
+    """
+    texts: dict[str, set[bool]] = {}
+    for field in (f for schema in schemas for f in schema):
+        texts.setdefault(field.name, set()).add(isinstance(field.dataType, T.StringType))
+    mixed = [name for name, kinds in texts.items() if len(kinds) > 1]
+    if mixed:
+        raise ValueError(f"column(s) {', '.join(mixed)} change between text and another type")
+    frames = [spark.createDataFrame([], T.StructType([T.StructField(f.name, f.dataType) for f in schema])) for schema in schemas]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames).schema
+
+
+def fitted(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """``df`` in the columns and types of ``schema``; NULL in those it lacks."""
+    types = {f.name: f.dataType for f in df.schema}
+    if [(f.name, f.dataType) for f in df.schema] == [(f.name, f.dataType) for f in schema]:
+        return df
+    return df.select(*((F.col(f"`{f.name}`") if f.name in types else F.lit(None)).cast(f.dataType).alias(f.name) for f in schema))

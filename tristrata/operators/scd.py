@@ -9,9 +9,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
-from tristrata.functions.columns import check_columns, require
+from tristrata.functions.columns import check_columns, common_schema, fitted, require
 from tristrata.operators.dedup import dedup_latest, latest_order
 from tristrata.operators.diff import pair_versions
 from tristrata.operators.hotkeys import CHUNK, HOT_KEY_ROWS, find_hot_keys, with_chunks
@@ -32,13 +32,18 @@ def _merge(
     previous: DataFrame | None, source: DataFrame, key: Sequence[str], changed: Column, starts: Column,
     gone_at: Column | None,
 ) -> DataFrame:
-    """Advance a snapshot by one source state; ``changed`` and ``starts`` may use ``old`` and ``new``."""
+    """Advance a snapshot by one source state; ``changed`` and ``starts`` may use ``old`` and ``new``.
+
+    Columns that only one side has are NULL on the other, and types are widened.
+    """
     columns = source.columns
     if previous is None:
         first = source.select(F.struct(*columns).alias("new"))
         return first.select(_open_version("new", columns, starts).alias("row")).select("row.*")
-    require(previous, [*columns, *VALIDITY], "snapshot")
-    previous = previous.select(*columns, *VALIDITY)
+    require(previous, [*key, *VALIDITY], "snapshot")
+    schema = common_schema(source.sparkSession, source.schema, previous.drop(*VALIDITY).schema)
+    source, columns = fitted(source, schema), schema.names
+    previous = fitted(previous, T.StructType([*schema, *(T.StructField(v, T.TimestampNTZType()) for v in VALIDITY)]))
     current = previous.filter(F.col("valid_to").isNull())
     pairs = pair_versions(current, source, key, [*columns, "valid_from"], columns)
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping
 from dataclasses import dataclass, field, replace
 from datetime import datetime
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,9 +22,7 @@ from tristrata.plans.specs import DimensionSpec, ModelSpec, TableSpec, unique_na
 from tristrata.sources.incremental import (
     DEFAULT_LOOKBACK_DAYS, has_rows, incremental_filter, merge_months, newest_date, read_fact, refresh_gold,
 )
-from tristrata.sources.tables import (
-    layer_path, publish_view, read_open_versions, read_snapshot, write_snapshot, write_table,
-)
+from tristrata.sources.tables import advance_snapshot, layer_path, publish_view, read_snapshot, write_table
 
 
 @dataclass
@@ -51,7 +50,7 @@ def _next_snapshot(previous: DataFrame | None, source: DataFrame, spec: Dimensio
     stamp = update_stamp(source)
     unique = bool(table.primary_key)
     if stamp:
-        return snapshot_timestamp(previous, source, key, stamp, unique=unique)
+        return snapshot_timestamp(previous, source, key, stamp, run_at, unique=unique)
     return snapshot_check(previous, source, key, run_at, unique=unique)
 
 
@@ -79,13 +78,19 @@ def build_model(sources: Mapping[str, DataFrame], model: ModelSpec, run_at: date
     return built
 
 
+def read_dimension(spark: SparkSession, root: str, spec: DimensionSpec, table: TableSpec) -> DataFrame:
+    """An SCD2 dimension of a stored model: a view of its snapshot, so that a run rewrites no history."""
+    history = read_snapshot(spark, layer_path(root, "snapshots", f"snap_{spec.source}"))
+    return build_dimension_scd2(history, spec, table)
+
+
 def run_model(
     spark: SparkSession, sources: Mapping[str, DataFrame], model: ModelSpec, root: str, run_at: datetime | str,
     lookback_days: int = DEFAULT_LOOKBACK_DAYS,
 ) -> Built:
     """Advance the stored model below ``root`` by one run.
 
-    Snapshots add what changed, dated facts are upserted over the lookback window, aggregates on the fact's
+    Snapshots add what changed and SCD2 dimensions are views of them; dated facts are upserted over the lookback window, aggregates on the fact's
     date are rebuilt for the months that changed; other tables are refreshed. Each step starts from stored
     tables, so a fact is computed once however many aggregates read it. A declared primary key is trusted to be
     unique; of rows that share a ``natural_key`` one is stored.
@@ -98,10 +103,8 @@ def run_model(
         target = layer_path(root, "silver", spec.name)
         if spec.scd_type == 2:
             path = layer_path(root, "snapshots", f"snap_{spec.source}")
-            advanced = _next_snapshot(read_open_versions(spark, path), source, spec, table, run_at)
-            write_snapshot(advanced, path)
-            history = read_snapshot(spark, path, otherwise=advanced)
-            built.tables[spec.name] = write_table(build_dimension_scd2(history, spec, table), target)
+            advance_snapshot(spark, path, partial(_next_snapshot, source=source, spec=spec, table=table, run_at=run_at))
+            built.tables[spec.name] = read_dimension(spark, root, spec, table)
         else:
             built.tables[spec.name] = write_table(build_dimension_scd1(source, spec, table), target)
     months = {}

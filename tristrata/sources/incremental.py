@@ -24,6 +24,7 @@ from datetime import date as Date, timedelta
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
+from tristrata.functions.columns import common_schema, fitted
 from tristrata.functions.scalars import grain_unit, to_grain
 from tristrata.operators.dedup import dedup_latest
 from tristrata.operators.gold import build_gold, resolve_gold
@@ -67,6 +68,11 @@ def _folders(path: str, months: dict[str, str]) -> dict[Date | None, str]:
     return {None if m == NO_MONTH else Date.fromisoformat(m): f"{path}/runs/{run}/{MONTH}={m}" for m, run in months.items()}
 
 
+def _schema(content: dict) -> T.StructType | None:
+    """The columns of a table without its month; None where a manifest does not say."""
+    return T.StructType.fromJson(content["schema"]) if "schema" in content else None
+
+
 def month_folders(spark: SparkSession, path: str) -> dict[Date | None, str]:
     """The folder of each month of the table, by its newest manifest."""
     return _folders(path, _newest(spark, path)[1].get("months", {}))
@@ -82,12 +88,15 @@ def read_fact(
 ) -> DataFrame:
     """A dated table as it is now; ``since`` prunes months before any file is listed.
 
-    An empty table has no file that says which columns it has: ``otherwise`` gives them.
+    Months written before a column came, or a type grew, are read with NULL there, or in the wider type. An empty table
+    has no file that says which columns it has: ``otherwise`` gives them.
     """
-    folders = month_folders(spark, path)
+    content = _newest(spark, path)[1]
+    folders, schema = _folders(path, content.get("months", {})), _schema(content)
     if otherwise is not None and not folders:
         return otherwise.limit(0)
-    schema = None if otherwise is None else otherwise.schema
+    if schema is None and otherwise is not None:
+        schema = otherwise.schema
     if since is not None:
         recent = {m: f for m, f in folders.items() if m is None or m >= since.replace(day=1)}
         if not recent:
@@ -98,11 +107,12 @@ def read_fact(
 
 def newest_date(spark: SparkSession, path: str, date: str):
     """Greatest date stored, or None; reads the date column of the newest month only."""
-    folders = month_folders(spark, path)
+    content = _newest(spark, path)[1]
+    folders = _folders(path, content.get("months", {}))
     dated = [m for m in folders if m is not None]
     if not dated:
         return None
-    return _stored(spark, path, {max(dated): folders[max(dated)]}).agg(F.max(date)).first()[0]
+    return _stored(spark, path, {max(dated): folders[max(dated)]}, _schema(content)).agg(F.max(date)).first()[0]
 
 
 def _stored(spark: SparkSession, path: str, folders: dict[Date | None, str], schema: T.StructType | None = None) -> DataFrame:
@@ -153,9 +163,9 @@ def merge_months(
 
     Rewritten are the months of the batch and those where its keys were stored before, by the index of keys. The first
     upsert into a table reads its key column once to make the index; ``key_has_date`` does without one, for a key that is
-    derived from the date and cannot change month.
+    derived from the date and cannot change month. A batch may have new columns, lack some or have wider types.
     """
-    spark, columns = batch.sparkSession, batch.columns
+    spark = batch.sparkSession
     fresh = (batch if unique else dedup_latest(batch, [key], order_by)).withColumn(MONTH, to_grain(date, "month"))
     if not _newest(spark, path)[1]:
         try:
@@ -167,15 +177,15 @@ def merge_months(
         keys, own = fresh.select(key), [row[0] for row in fresh.select(MONTH).distinct().collect()]
         while own:
             number, state = _newest(spark, path)
-            folders, touched, index = _folders(path, state["months"]), list(own), None
+            schema = _with_schema(spark, state, fresh)
+            folders, touched, index, merged = _folders(path, state["months"]), list(own), None, fitted(fresh, schema)
             if not key_has_date:
-                index = state.get("keys") or _index_of(spark, path, folders, key, fresh)
+                index = state.get("keys") or (_index_of(spark, path, folders, key, merged) if folders else {"buckets": 1, "runs": []})
                 touched += [m for m in _months_of(spark, path, index, keys, key) if m not in own]
             before = {m: folders[m] for m in touched if m in folders}
-            merged = fresh
             if before:
-                kept = _stored(spark, path, before, fresh.schema).join(keys, key, "left_anti")
-                merged = kept.select(*columns, MONTH).unionByName(fresh)
+                kept = _stored(spark, path, before, schema).join(keys, key, "left_anti")
+                merged = kept.select(*merged.columns).unionByName(merged)
             run, filled = _write_months(merged, path)
             if index is not None:
                 index = _with_entries(spark, path, index, fresh, key)
@@ -199,7 +209,8 @@ def _commit(
         if key is not None and others:
             if not _stored(spark, path, others, fresh.schema).select(key).join(fresh.select(key), key, "left_semi").isEmpty():
                 return False
-        content = {"months": {m: r for m, r in now["months"].items() if m not in gone} | dict.fromkeys(filled, run)}
+        content = {"months": {m: r for m, r in now["months"].items() if m not in gone} | dict.fromkeys(filled, run),
+                   "schema": _without_month(_with_schema(spark, now, fresh)).jsonValue()}
         if index is not None and now.get("keys") == base.get("keys"):
             content["keys"] = index
         elif index is not None and now.get("keys"):
@@ -212,6 +223,16 @@ def _commit(
         return True
 
 
+def _without_month(schema: T.StructType) -> T.StructType:
+    return T.StructType([f for f in schema if f.name != MONTH])
+
+
+def _with_schema(spark: SparkSession, content: dict, rows: DataFrame) -> T.StructType:
+    """The columns of ``rows``, widened by those the table has."""
+    known = _schema(content)
+    return rows.schema if known is None else common_schema(spark, rows.schema, known)
+
+
 def _entries(rows: DataFrame, key: str) -> DataFrame:
     """``(h, load_month)`` of rows with a key; rows without one are never replaced."""
     return rows.filter(F.col(key).isNotNull()).select(F.xxhash64(key).alias("h"), MONTH)
@@ -287,7 +308,8 @@ def refresh_gold(
     are computed anew from the fact's folders that feed them; all others stay as they are.
     """
     spec = replace(spec, date=date)
-    fact = _stored(spark, fact_path, month_folders(spark, fact_path))
+    content = _newest(spark, fact_path)[1]
+    fact = _stored(spark, fact_path, _folders(fact_path, content.get("months", {})), _schema(content))
     grain = resolve_gold(fact, spec, measures).grain
     period = f"{grain}_date"
     if months is None or not has_rows(spark, path):
@@ -339,8 +361,10 @@ def _publish(rows: DataFrame, path: str, months: Collection[Date | None] | None
     number, state = _newest(spark, path)
     run, filled = _write_months(rows, path)
     gone = {NO_MONTH if m is None else m.isoformat() for m in months or ()}
-    before = state.get("months", {}) if months is not None else {}
-    manifests.publish(spark, path, number + 1, {"months": {m: r for m, r in before.items() if m not in gone} | dict.fromkeys(filled, run)})
+    before = state if months is not None else {}
+    kept = {m: r for m, r in before.get("months", {}).items() if m not in gone}
+    manifests.publish(spark, path, number + 1, {
+        "months": kept | dict.fromkeys(filled, run), "schema": _without_month(_with_schema(spark, before, rows)).jsonValue()})
     _remove_unnamed(spark, path)
 
 

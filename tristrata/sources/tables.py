@@ -6,13 +6,18 @@ never see half a table and a table can be rebuilt from its own previous version.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import uuid
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from tristrata.functions.columns import common_schema
+from tristrata.sources import manifests
 from tristrata.sources.files import folder_names, path_exists
 
 LAYERS = ("bronze", "silver", "gold", "snapshots")
+# How much larger than what follows a run of closed versions must be to stay unmerged.
+MERGE_FACTOR = 4
 
 
 def layer_path(root: str, layer: str, name: str) -> str:
@@ -63,36 +68,97 @@ def write_table(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> D
     return spark.read.schema(df.schema).parquet(target).select(df.columns)
 
 
+def _snapshot_folders(content: dict) -> list[str]:
+    return [f"runs/{run}/state=closed" for run, _ in content["closed"]] + ([f"runs/{content['open']}/state=open"] if content["open"] else [])
+
+
+def _publish_run(advanced: DataFrame, path: str, number: int, before: dict) -> None:
+    spark, run = advanced.sparkSession, f"run={uuid.uuid4().hex}"
+    state = F.when(F.col("valid_to").isNull(), "open").otherwise("closed")
+    advanced.withColumn("state", state).write.partitionBy("state").parquet(f"{path}/runs/{run}")
+    filled, closed = folder_names(spark, f"{path}/runs/{run}"), list(before.get("closed", []))
+    if "state=closed" in filled:
+        closed.append([run, spark.read.schema(advanced.schema).parquet(f"{path}/runs/{run}/state=closed").count()])
+    known = [T.StructType.fromJson(before["schema"])] if before else []
+    schema = common_schema(spark, advanced.schema, *known)
+    manifests.publish(spark, path, number + 1, {"open": run if "state=open" in filled else None, "closed": closed, "schema": schema.jsonValue()})
+    manifests.remove_unnamed(spark, path, _snapshot_folders)
+
+
 def write_snapshot(advanced: DataFrame, path: str) -> None:
     """Store one run of a snapshot: the versions it closed and all that are open now.
 
     Versions closed by earlier runs stay where those runs wrote them, so a run costs what is current, not the
-    history. Of older runs only the ``state=open`` folders may be cleaned up.
+    history. The manifest names the folder of the open versions and those of closed ones.
     """
-    state = F.when(F.col("valid_to").isNull(), "open").otherwise("closed")
-    write_table(advanced.withColumn("state", state), path, ["state"])
+    spark = advanced.sparkSession
+    _publish_run(advanced, path, *manifests.newest(spark, path))
+    compact_snapshot(spark, path)
 
 
-def _state_folders(spark: SparkSession, runs: Sequence[str], state: str) -> list[str]:
-    return [f"{run}/state={state}" for run in runs if path_exists(spark, f"{run}/state={state}")]
+def advance_snapshot(spark: SparkSession, path: str, advance: Callable[[DataFrame | None], DataFrame]) -> None:
+    """Store the next run of a snapshot, as ``advance`` makes it from the open versions (None when there are none).
+
+    If another writer stores a run meanwhile, ``advance`` starts again from what that one left open.
+    """
+    while True:
+        number, before = manifests.newest(spark, path)
+        try:
+            _publish_run(advance(_open_versions(spark, path, before)), path, number, before)
+        except FileExistsError:
+            continue
+        compact_snapshot(spark, path)
+        return
+
+
+def compact_snapshot(spark: SparkSession, path: str) -> None:
+    """Merge the last runs of closed versions while those before are at most ``MERGE_FACTOR`` times as large as what follows.
+
+    So their sizes fall by that factor, their number grows with the logarithm of the history, and so does the number of
+    times a version is written. Published like a run: a merge that breaks off changes nothing.
+    """
+    number, content = manifests.newest(spark, path)
+    closed = content.get("closed", [])
+    first, rows = len(closed), 0
+    while first and (not rows or closed[first - 1][1] <= MERGE_FACTOR * rows):
+        first -= 1
+        rows += closed[first][1]
+    if len(closed) - first < 2:
+        return
+    run, schema = f"run={uuid.uuid4().hex}", T.StructType.fromJson(content["schema"])
+    merged = spark.read.schema(schema).parquet(*(f"{path}/runs/{r}/state=closed" for r, _ in closed[first:]))
+    merged.hint("rebalance").write.parquet(f"{path}/runs/{run}/state=closed")
+    try:
+        manifests.publish(spark, path, number + 1, {**content, "closed": [*closed[:first], [run, rows]]})
+    except FileExistsError:  # another writer was first; the next run merges
+        return
+    manifests.remove_unnamed(spark, path, _snapshot_folders)
+
+
+def _open_versions(spark: SparkSession, path: str, content: dict) -> DataFrame | None:
+    if not content.get("open"):
+        return None
+    return spark.read.schema(T.StructType.fromJson(content["schema"])).parquet(f"{path}/runs/{content['open']}/state=open")
 
 
 def read_open_versions(spark: SparkSession, path: str) -> DataFrame | None:
     """The current versions of a stored snapshot; None when there are none."""
-    folders = _state_folders(spark, _versions(spark, path)[1][-1:], "open")
-    return spark.read.parquet(*folders) if folders else None
+    return _open_versions(spark, path, manifests.newest(spark, path)[1])
 
 
 def read_snapshot(spark: SparkSession, path: str, otherwise: DataFrame | None = None) -> DataFrame:
     """All versions of a stored snapshot: those closed by any run, and those open after the last.
 
-    Files of an empty snapshot say nothing about its columns: ``otherwise`` gives them.
+    Columns that a run did not have yet are NULL in its versions, and narrower types are read as the widest. Where no run
+    has been stored, ``otherwise`` gives the columns.
     """
-    runs = _committed(spark, path)
-    folders = _state_folders(spark, runs, "closed") + _state_folders(spark, runs[-1:], "open")
-    if not folders and otherwise is not None:
+    content = manifests.newest(spark, path)[1]
+    if not content:
+        if otherwise is None:
+            raise FileNotFoundError(f"no stored snapshot at {path}")
         return otherwise.limit(0)
-    return spark.read.parquet(*folders)
+    schema, folders = T.StructType.fromJson(content["schema"]), _snapshot_folders(content)
+    return spark.read.schema(schema).parquet(*(f"{path}/{f}" for f in folders)) if folders else spark.createDataFrame([], schema)
 
 
 def write_bucketed(df: DataFrame, table: str, buckets: int, columns: Sequence[str], path: str) -> DataFrame:
