@@ -12,13 +12,13 @@ from tristrata.operators.dimensions import build_dimension_scd2
 from tristrata.operators.facts import build_fact
 from tristrata.operators.scd import scd2_from_history, snapshot_check, snapshot_timestamp
 from tristrata.operators.star import scd2_asof_join, scd2_current_join
-from tristrata.plans.build import run_model
+from tristrata.plans.build import read_dimension, run_model
 from tristrata.plans.specs import DimensionSpec, GoldSpec, Metric, ModelSpec
 from tristrata.session import new_work_path
 from tristrata.sources.incremental import (
     incremental_filter, merge_months, newest_date, read_fact, refresh_gold, upsert_incremental,
 )
-from tristrata.sources.tables import read_open_versions, read_snapshot, write_snapshot
+from tristrata.sources.tables import advance_snapshot, read_open_versions, read_snapshot, write_snapshot
 
 PRIORITY_SQL = """
 with log as (
@@ -359,3 +359,73 @@ def stored_model_two_runs(spark, folder):
     root = new_work_path(spark, "model")
     run_model(spark, sources | {"orders": _first_orders(sources["orders"])}, model, root, "2024-01-01 00:00:00")
     return snap(run_model(spark, sources, model, root, "2024-02-01 00:00:00").tables["agg_daily_orders"], order_value=2)
+
+
+_DIMENSION_MODEL = ModelSpec({n: TABLES[n] for n in ("customer", "orders")}, (DimensionSpec("dim_customer", "customer", 2),), (FCT_ORDERS,), ())
+
+
+def _two_runs(spark, folder, root: str):
+    """A stored model after two runs: the later one with changed customers and all orders."""
+    sources = load(spark, folder, "orders")
+    first, later = customer_versions(spark, folder)
+    run_model(spark, {"customer": first, "orders": _first_orders(sources["orders"])}, _DIMENSION_MODEL, root, "2024-01-01 00:00:00")
+    return run_model(spark, {"customer": later, "orders": sources["orders"]}, _DIMENSION_MODEL, root, "2024-02-01 00:00:00")
+
+
+@query(_snapshot_sql(missing_closed=False).replace(LATER_SQL, LATER_SQL + ", versions as (") + """)
+select md5(concat_ws('-', cast(c_custkey as varchar), strftime(valid_from, '%Y-%m-%d %H:%M:%S'))) as dim_customer_sk, versions.*,
+       valid_to is null as is_current from versions""")
+def stored_dimension_two_runs(spark, folder):
+    """The SCD2 dimension of a stored model after two runs, read as another session would."""
+    root = new_work_path(spark, "model")
+    _two_runs(spark, folder, root)
+    return read_dimension(spark, root, _DIMENSION_MODEL.dimensions[0], TABLES["customer"])
+
+
+@query(STORED_SQL + """
+select md5(cast(s.o_orderkey as varchar)) as fct_orders_sk, s.o_custkey, s.o_orderkey, s.o_orderdate, s.o_totalprice,
+       case when r.o_orderkey is null or c.c_nationkey <> 7 then c.c_nationkey end as c_nationkey
+from stored s left join recent r using (o_orderkey) left join customer c on c.c_custkey = s.o_custkey""")
+def stored_fact_two_runs(spark, folder):
+    """The fact of the same model: late orders are lost, those of the last days carry the nation their customer has now."""
+    return _two_runs(spark, folder, new_work_path(spark, "model")).tables["fct_orders"]
+
+
+@query(LATER_SQL + """
+select count(*) as customers, count(c_acctbal) as balances, cast(sum(c_nationkey) as bigint) as nations from later""")
+def published_view_of_a_run(spark, folder):
+    """The view of the staged customers that the last run of a stored model has published."""
+    _two_runs(spark, folder, new_work_path(spark, "model"))
+    return spark.table("stg_public_customer").agg(
+        F.count("*").alias("customers"), F.count("c_acctbal").alias("balances"), F.sum("c_nationkey").alias("nations"))
+
+
+@query("""
+with joined as (select c_custkey, c_name, cast(c_nationkey as bigint) as c_nationkey, n_name from customer left join nation on n_nationkey = c_nationkey and n_regionkey <> 2)
+select c_custkey, c_name, c_nationkey, cast(null as varchar) as n_name, timestamp '2024-01-01' as valid_from,
+       case when n_name is not null then timestamp '2024-02-01' end as valid_to from joined
+union all select c_custkey, c_name, c_nationkey, n_name, timestamp '2024-02-01', null from joined where n_name is not null""")
+def stored_snapshot_new_column(spark, folder):
+    """A stored snapshot whose source gains a column and widens a type between two runs."""
+    t = load(spark, folder, "customer", "nation")
+    first = t["customer"].select("c_custkey", "c_name", "c_nationkey")
+    named = t["nation"].filter("n_regionkey <> 2").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    later = first.join(named, "c_nationkey", "left").withColumn("c_nationkey", F.col("c_nationkey").cast("bigint"))
+    path = new_work_path(spark, "snap_customer")
+    for run_at, source in (("2024-01-01 00:00:00", first), ("2024-02-01 00:00:00", later)):
+        advance_snapshot(spark, path, lambda previous: snapshot_check(previous, source, ["c_custkey"], run_at))
+    return read_snapshot(spark, path).select("c_custkey", "c_name", "c_nationkey", "n_name", "valid_from", "valid_to")
+
+
+@query("""
+select o_orderkey, case when o_orderkey % 40 = 0 then date '2001-07-15' else cast(o_orderdate as date) end as ordered,
+       case when o_orderkey % 40 = 0 then o_orderpriority end as priority from orders""")
+def upsert_by_key_index(spark, folder):
+    """Orders move to another month, with a new column; their former months are found by the index of keys."""
+    orders = load(spark, folder, "orders")["orders"].select("o_orderkey", F.col("o_orderdate").cast("date").alias("ordered"), "o_orderpriority")
+    path = new_work_path(spark, "fct_moved")
+    merge_months(orders.drop("o_orderpriority"), path, "o_orderkey", "ordered", unique=True)
+    moved = orders.withColumn("ordered", F.lit("2001-07-15").cast("date")).withColumnRenamed("o_orderpriority", "priority")
+    for rest in (0, 20):  # the first makes the index, the second uses it
+        merge_months(moved.filter(f"o_orderkey % 40 = 0 and o_orderkey % 80 = {2 * rest}"), path, "o_orderkey", "ordered", unique=True)
+    return read_fact(spark, path)
