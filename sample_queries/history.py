@@ -59,7 +59,7 @@ def scd2_history(spark, folder):
 
 @query(TYPE_SQL + "select *, valid_to is null as is_current from versions")
 def scd2_history_hot_keys(spark, folder):
-    """Few keys with very many changes each: every key is hot and handled in pieces of a day."""
+    """Few keys with very many changes each: every key is hot and handled in pieces of time."""
     return scd2_from_history(load(spark, folder, "events")["events"], ["event_type"], "ts", ["user_id"],
                              ["event_id"], hot_key_rows=100)
 
@@ -72,7 +72,7 @@ left join versions v on v.o_custkey = o.o_custkey and l_shipdate >= valid_from
 def scd2_asof(spark, folder):
     """Order lines with the customer's priority valid on the ship date."""
     return scd2_asof_join(_lines(spark, folder), priority_history(spark, folder), ["o_custkey"], ["o_custkey"],
-                          "l_shipdate", {"priority": "o_orderpriority"})
+                          "l_shipdate", {"priority": "o_orderpriority"}, disjoint=True)
 
 
 @query(TYPE_SQL + """
@@ -80,12 +80,12 @@ select e.event_id, e.event_type, e.ts, v.user_id as previous_user
 from events e left join versions v on v.event_type = e.event_type and e.ts - interval 1 minute >= valid_from
                                   and (valid_to is null or e.ts - interval 1 minute < valid_to)""")
 def scd2_asof_hot_keys(spark, folder):
-    """Hot keys on both sides: facts and versions are merged in time order, in pieces of an hour."""
+    """Hot keys on both sides: facts and versions are merged in time order, in pieces."""
     events = load(spark, folder, "events")["events"]
     versions = scd2_from_history(events, ["event_type"], "ts", ["user_id"], ["event_id"])
     facts = events.select("event_id", "event_type", "ts", F.expr("ts - INTERVAL 1 MINUTE").alias("seen_at"))
     joined = scd2_asof_join(facts, versions, ["event_type"], ["event_type"], "seen_at",
-                            {"previous_user": "user_id"}, method="merge", hot_key_rows=100, chunk="hour")
+                            {"previous_user": "user_id"}, method="merge", hot_key_rows=100, disjoint=True)
     return joined.drop("seen_at")
 
 

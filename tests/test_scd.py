@@ -96,8 +96,8 @@ def test_history_equals_folded_snapshots(spark, changes):
             opened[k] = (when, v)
     expected += [(k, v, str(when), None) for k, (when, v) in opened.items()]
     expected.sort(key=lambda r: [(v is not None, str(v)) for v in r])
-    for limit, chunk in ((None, "day"), (2, "day"), (0, "hour")):
-        assert versions(scd2_from_history(log, ["id"], "ts", ["name"], hot_key_rows=limit, chunk=chunk)) == expected
+    for limit in (None, 2, 0):
+        assert versions(scd2_from_history(log, ["id"], "ts", ["name"], hot_key_rows=limit)) == expected
 
 
 def test_history_ties_and_null_keys(spark):
@@ -110,12 +110,26 @@ def test_history_ties_and_null_keys(spark):
                        (None, "y", "2024-01-03 00:00:00", None), (1, "b", "2024-01-01 00:00:00", None)]
 
 
-def test_many_hot_keys_cut_every_key(spark, monkeypatch):
-    monkeypatch.setattr(hotkeys, "MAX_HOT_KEYS", 1)
-    log = spark.createDataFrame([(k, at(d), "ab"[d % 2]) for k in (1, 2, 3) for d in range(4)],
-                                "id int, ts timestamp_ntz, name string")
-    assert versions(scd2_from_history(log, ["id"], "ts", ["name"], hot_key_rows=2)) == versions(
-        scd2_from_history(log, ["id"], "ts", ["name"], hot_key_rows=None))
+def test_a_hot_key_within_one_second_is_dealt_to_several_tasks(spark):
+    start, n = F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"), 40_000
+    log = spark.range(n).select(
+        F.lit(7).alias("id"), F.expr(f"timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, 0, id / {n}.0)").alias("ts"),
+        (F.col("id") % 3 == 0).cast("string").alias("name")).unionByName(
+        spark.range(9).select(F.col("id").cast("int"), start.alias("ts"), F.lit("x").alias("name")))
+    plain = scd2_from_history(log, ["id"], "ts", ["name"], hot_key_rows=None)
+    cut = scd2_from_history(log, ["id"], "ts", ["name"], hot_key_rows=1000)
+    assert cut.exceptAll(plain).isEmpty() and plain.exceptAll(cut).isEmpty() and cut.count() > 20_000
+    hot = hotkeys.hot_keys(log, ["id"], 1000)
+    pieces = hotkeys.in_pieces(log, hotkeys.bounds_of(log, hot, ["id"], "ts"), ["id"], "ts").groupBy(hotkeys.PIECE).count().collect()
+    assert len(pieces) == hotkeys.PIECES and max(p["count"] for p in pieces) < 3 * n / hotkeys.PIECES
+
+
+def test_no_job_runs_while_the_plan_is_made(spark):
+    log = spark.range(100).selectExpr("id % 3 as id", "timestamp_ntz'2024-01-01 00:00:00' as ts", "'a' as name")
+    tracker = spark.sparkContext.statusTracker()
+    before = set(tracker.getJobIdsForGroup(None))
+    scd2_from_history(log, ["id"], "ts", ["name"], hot_key_rows=5)
+    assert set(tracker.getJobIdsForGroup(None)) == before
 
 
 @LIGHT
@@ -133,7 +147,7 @@ def test_asof_methods_agree(spark, starts, facts):
         expected.append((i, f"{k}@{max(before)}" if before else None))
     args = (fact, dim, ["key"], ["id"], "d", {"version": "name"})
     for options in ({"method": "range"}, {"method": "merge", "hot_key_rows": None},
-                    {"method": "merge", "hot_key_rows": 1}, {}):
+                    {"method": "merge", "hot_key_rows": 1}, {}, {"method": "range", "disjoint": True}, {"method": "merge", "disjoint": True}):
         assert sorted(tuple(r) for r in scd2_asof_join(*args, **options).select("n", "version").collect()) == expected
 
 
@@ -180,10 +194,10 @@ def test_both_as_of_methods_agree_on_odd_versions(spark):
         [(i, k, when(d)) for i, (k, d) in enumerate([(1, d) for d in (None, 1, 3, 4, 5, 6, 8, 20, 23)] + [(2, 3), (None, 3), (3, 3)])],
         "id int, k int, at timestamp_ntz")
     found = [rows(scd2_asof_join(facts, versions, ["k"], ["k"], "at", {"v": "v"}, **options), "id", "v") for options in (
-        {"method": "range"}, {"method": "merge"}, {"method": "merge", "hot_key_rows": 1})]
+        {"method": "range"}, {"method": "merge"}, {"method": "merge", "hot_key_rows": None}, {"method": "merge", "hot_key_rows": 1})]
     values = [None, "a", "a", "b", "b", None, None, "d", "d", None, None, None]
     assert found[0] == sorted(enumerate(values), key=lambda r: str(r[0]))
-    assert found[0] == found[1] == found[2]
+    assert found[0] == found[1] == found[2] == found[3]
 
 
 def test_a_key_first_seen_without_stamp_changes_later(spark):

@@ -1,66 +1,64 @@
-"""Cutting hot keys into pieces of time, so that no window holds a huge key in one task.
+"""Windows over keys of any size: the rows of a hot key are cut into pieces of equal numbers of rows in time.
 
-A window over key and piece sees what went before through carried rows: per piece of a hot key one row that
-repeats the state its predecessor ended with.
+Which keys are hot, and where their pieces begin, is part of the plan: a count per key, and quantiles of the times of
+hot keys only. Pieces are windowed apart. What a piece has to know of the others is found among their first and last
+rows, two for each piece, which meet in a small window of their own; so no task holds more than a piece, also where a
+key has all its rows within one second.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 # A key with more rows than this is cut up.
 HOT_KEY_ROWS = 5_000_000
 
-# Beyond this many hot keys all keys are cut up, so the list that is broadcast stays this short.
-MAX_HOT_KEYS = 1_000
+# From this limit on the list of hot keys, at most a row per so many rows of input, is broadcast.
+BROADCAST_LIMIT = 1_000_000
 
-# Number of the piece a row belongs to; 0 for keys that are not hot.
-CHUNK = "__chunk"
+# Pieces of a hot key; number of the piece of a row.
+PIECES = 256
+PIECE = "__piece"
 
-# Length in seconds of each kind of piece.
-CHUNK_SECONDS = {"minute": 60, "hour": 3_600, "day": 86_400}
 
+def _same(key: Sequence[str]) -> Column:
+    return reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"__h{i}")) for i, k in enumerate(key)))
 
-@dataclass(frozen=True)
-class HotKeys:
-    """The keys to cut up: those ``listed``, or all when None."""
 
-    key: tuple[str, ...]
-    listed: DataFrame | None
+def hot_keys(df: DataFrame, key: Sequence[str], limit: int) -> DataFrame:
+    """The keys with more than ``limit`` rows, counted map-side, as ``__h0``, ``__h1`` …"""
+    named = [F.col(k).alias(f"__h{i}") for i, k in enumerate(key)]
+    found = df.groupBy(*named).count().filter(F.col("count") > limit).drop("count")
+    return F.broadcast(found) if limit >= BROADCAST_LIMIT else found
 
 
-def find_hot_keys(df: DataFrame, key: Sequence[str], limit: int | None) -> HotKeys | None:
-    """Keys with more than ``limit`` rows, from one job over the key columns; None when there are none.
+def without_hot(df: DataFrame, hot: DataFrame, key: Sequence[str]) -> DataFrame:
+    return df.join(hot, _same(key), "left_anti")
 
-    Rows are counted map-side, and at most ``MAX_HOT_KEYS`` keys reach the driver. ``limit`` None skips the job.
-    """
-    if limit is None:
-        return None
-    hot = df.groupBy(*key).count().filter(F.col("count") > limit).select(*key).take(MAX_HOT_KEYS + 1)
-    if not hot:
-        return None
-    listed = df.sparkSession.createDataFrame(hot, df.select(*key).schema) if len(hot) <= MAX_HOT_KEYS else None
-    return HotKeys(tuple(key), listed)
 
+def only_hot(df: DataFrame, hot: DataFrame, key: Sequence[str]) -> DataFrame:
+    return df.join(hot, _same(key), "left_semi")
 
-def chunk_number(at: Column | str, chunk: str) -> Column:
-    """Number of the piece of time holding ``at``, from 2 for year 1; 1 for NULL."""
-    column = F.col(at) if isinstance(at, str) else at
-    start = F.lit("0001-01-01 00:00:00").cast("timestamp_ntz")
-    seconds = F.timestamp_diff("SECOND", start, column.cast("timestamp_ntz"))
-    return F.coalesce(F.floor(seconds / F.lit(CHUNK_SECONDS[chunk])) + 2, F.lit(1)).cast("bigint")
 
+def bounds_of(df: DataFrame, hot: DataFrame, key: Sequence[str], at: str) -> DataFrame:
+    """Where the pieces of each hot key begin, as ``__bounds`` beside the key."""
+    quantiles = F.percentile_approx(F.col(at).cast("timestamp_ntz"), [i / PIECES for i in range(1, PIECES)])
+    return df.select(*key, at).join(hot, _same(key)).groupBy(*(f"__h{i}" for i in range(len(key)))).agg(quantiles.alias("__bounds"))
 
-def with_chunks(df: DataFrame, hot: HotKeys, at: str, chunk: str) -> DataFrame:
-    """``df`` with the piece number of each row; windows group by the key and it."""
-    piece = chunk_number(at, chunk)
-    if hot.listed is None:
-        return df.withColumn(CHUNK, piece)
-    listed = hot.listed.select(*(F.col(k).alias(f"__h_{k}") for k in hot.key), F.lit(True).alias("__hot"))
-    same = reduce(Column.__and__, (F.col(k).eqNullSafe(F.col(f"__h_{k}")) for k in hot.key))
-    marked = df.join(F.broadcast(listed), same, "left").drop(*(f"__h_{k}" for k in hot.key))
-    return marked.withColumn(CHUNK, F.when(F.col("__hot"), piece).otherwise(F.lit(0))).drop("__hot")
+
+def in_pieces(df: DataFrame, bounds: DataFrame, key: Sequence[str], at: str) -> DataFrame:
+    """The rows of hot keys with their ``PIECE``; rows without a time are in the first."""
+    before = F.filter("__bounds", lambda b: b <= F.col(at).cast("timestamp_ntz"))
+    marked = df.join(bounds, _same(key)).withColumn(PIECE, F.greatest(F.coalesce(F.size(before), F.lit(0)), F.lit(0)))
+    return marked.select(*df.columns, PIECE)
+
+
+def with_ends(df: DataFrame, key: Sequence[str], order: Sequence[Column | str]) -> tuple[DataFrame, WindowSpec, WindowSpec]:
+    """``df`` with ``__first`` and ``__last`` of each piece, the window of a piece, and that of all ends of a key."""
+    inside = Window.partitionBy(*key, PIECE).orderBy(*order)
+    df = df.withColumns({"__first": F.row_number().over(inside) == 1, "__last": F.lead(F.lit(1)).over(inside).isNull()})
+    group = F.when(F.col("__first") | F.col("__last"), F.lit(-1)).otherwise(F.col(PIECE))
+    return df, inside, Window.partitionBy(*key, group).orderBy(*order)

@@ -12,9 +12,9 @@ from datetime import datetime
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tristrata.functions.columns import check_columns, common_schema, fitted, require
-from tristrata.operators.dedup import dedup_latest, latest_order
+from tristrata.operators.dedup import dedup_latest
 from tristrata.operators.diff import pair_versions
-from tristrata.operators.hotkeys import CHUNK, HOT_KEY_ROWS, find_hot_keys, with_chunks
+from tristrata.operators.hotkeys import HOT_KEY_ROWS, PIECE, bounds_of, hot_keys, in_pieces, only_hot, with_ends, without_hot
 
 VALIDITY = ("valid_from", "valid_to")
 
@@ -103,56 +103,45 @@ def snapshot_timestamp(
 
 def scd2_from_history(
     history: DataFrame, key: Sequence[str], at: str, columns: Sequence[str] | None = None,
-    tiebreak: Sequence[str] = (), hot_key_rows: int | None = HOT_KEY_ROWS, chunk: str = "day",
+    tiebreak: Sequence[str] = (), hot_key_rows: int | None = HOT_KEY_ROWS,
 ) -> DataFrame:
     """All versions at once from a change log: key, columns, ``valid_from``, ``valid_to``, ``is_current``.
 
     Rows of one key at one instant are reduced to the last by ``tiebreak``; runs of equal values (null-safe)
-    become one version. Keys with more than ``hot_key_rows`` rows are cut into ``chunk`` pieces of time that
-    are processed apart, each starting from one row carried over from the piece before (None turns this off).
+    become one version. Keys with more than ``hot_key_rows`` rows are cut into pieces of time, see ``hotkeys`` (None
+    turns this off). No job runs while the plan is made.
     """
     columns = list(columns or check_columns(history, [*key, at]))
     require(history, [*key, at, *columns, *tiebreak], "scd2_from_history")
     raw = history.select(*key, at, *dict.fromkeys([*columns, *tiebreak]))
-    log = dedup_latest(raw, [*key, at], tiebreak)
-    hot = find_hot_keys(history, key, hot_key_rows)
-    if hot is None:
-        group, carried = list(key), F.lit(False)
+    if hot_key_rows is None:
+        versions = _versions(raw, key, at, columns, tiebreak)
     else:
-        group, carried = [*key, CHUNK], F.col("__carried")
-        ends = _carried_ends(with_chunks(raw, hot, at, chunk), key, at, columns, tiebreak)
-        log = with_chunks(log, hot, at, chunk).select(*group, at, *columns, F.lit(False).alias("__carried"))
-        log = log.unionByName(ends)
-
-    values, in_order = F.struct(*columns), Window.partitionBy(*group).orderBy(at)
-    before = F.when(F.row_number().over(in_order) > 1, F.lag(values).over(in_order))
-    versions = (log.withColumn("__before", before).filter(~carried & ~values.eqNullSafe(F.col("__before")))
-                   .select(*group, *columns, F.col(at).cast("timestamp_ntz").alias("valid_from")))
-    next_start = F.lead("valid_from").over(Window.partitionBy(*group).orderBy("valid_from"))
-    versions = versions.withColumn("valid_to", next_start)
-    if hot is not None:
-        versions = _with_ends_in_later_pieces(versions, key, group)
+        hot = hot_keys(raw, key, hot_key_rows)
+        versions = _versions(without_hot(raw, hot, key), key, at, columns, tiebreak)
+        versions = versions.unionByName(_versions_in_pieces(raw, hot, key, at, columns, tiebreak))
     return versions.select(*key, *columns, "valid_from", "valid_to", F.col("valid_to").isNull().alias("is_current"))
 
 
-def _carried_ends(raw: DataFrame, key: Sequence[str], at: str, columns: Sequence[str], tiebreak: Sequence[str]):
-    """The last row of every piece of a hot key, as a carried row of the next piece there is."""
-    among = list(dict.fromkeys([*columns, *tiebreak]))
-    last = F.max_by(F.struct(at, *columns), latest_order(raw, [at, *tiebreak], among)).alias("__last")
-    ends = raw.filter(F.col(CHUNK) > 0).groupBy(*key, CHUNK).agg(last)
-    following = F.lead(CHUNK).over(Window.partitionBy(*key).orderBy(CHUNK)).alias("__following")
-    ends = ends.select(*key, following, "__last.*").filter(F.col("__following").isNotNull())
-    return ends.select(*key, F.col("__following").alias(CHUNK), at, *columns, F.lit(True).alias("__carried"))
-
-
-def _with_ends_in_later_pieces(versions: DataFrame, key: Sequence[str], group: Sequence[str]) -> DataFrame:
-    """End the last version of each piece of a hot key where the next piece's first version starts.
-
-    Only that one row per piece is windowed over the whole key; all other versions are complete.
-    """
-    piece = Window.partitionBy(*group).orderBy("valid_from")
-    first = F.min("valid_from").over(piece.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    versions = versions.withColumn("__first_start", first)
-    last_of_piece = (F.col(CHUNK) > 0) & F.col("valid_to").isNull()
-    later = F.lead("__first_start").over(Window.partitionBy(*key).orderBy(CHUNK))
-    return versions.filter(~last_of_piece).unionByName(versions.filter(last_of_piece).withColumn("valid_to", later))
+def _versions(raw: DataFrame, key: Sequence[str], at: str, columns: Sequence[str], tiebreak: Sequence[str]) -> DataFrame:
+    """Dealt by key once: the aggregate and both windows need nothing else."""
+    log = dedup_latest(raw.repartition(*key), [*key, at], tiebreak)
+    values, in_order = F.struct(*columns), Window.partitionBy(*key).orderBy(at)
+    changes = log.withColumn("__before", F.lag(values).over(in_order)).filter(~values.eqNullSafe(F.col("__before")))
+    versions = changes.select(*key, *columns, F.col(at).cast("timestamp_ntz").alias("valid_from"))
+    return versions.withColumn("valid_to", F.lead("valid_from").over(Window.partitionBy(*key).orderBy("valid_from")))
+
+
+def _versions_in_pieces(raw: DataFrame, hot: DataFrame, key: Sequence[str], at: str, columns: Sequence[str], tiebreak: Sequence[str]) -> DataFrame:
+    """The versions of hot keys: a row is compared with the one before in its piece, the first of a piece with the last of
+    the piece before; a version ends where the next starts, which for the last of a piece is the first of a later one."""
+    bounds = bounds_of(raw, hot, key, at)
+    log = dedup_latest(only_hot(raw, hot, key), [*key, at], tiebreak)
+    log, inside, ends = with_ends(in_pieces(log, bounds, key, at), key, [at])
+    values = F.struct(*columns)
+    before = F.when(F.col("__first"), F.lag(values).over(ends)).otherwise(F.lag(values).over(inside))
+    changes = log.withColumn("__before", before).filter(~values.eqNullSafe(F.col("__before")))
+    versions = changes.select(*key, *columns, F.col(at).cast("timestamp_ntz").alias("valid_from"), PIECE)
+    versions, inside, ends = with_ends(versions, key, ["valid_from"])
+    following = F.when(F.col("__last"), F.lead("valid_from").over(ends)).otherwise(F.lead("valid_from").over(inside))
+    return versions.withColumn("valid_to", following).select(*key, *columns, "valid_from", "valid_to")

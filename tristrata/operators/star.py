@@ -6,12 +6,12 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, WindowSpec, functions as F
 
 from tristrata.functions.columns import require
 from tristrata.operators.dedup import dedup_latest
 from tristrata.operators.gold import aggregate
-from tristrata.operators.hotkeys import CHUNK, HOT_KEY_ROWS, find_hot_keys, with_chunks
+from tristrata.operators.hotkeys import HOT_KEY_ROWS, bounds_of, hot_keys, in_pieces, with_ends, without_hot
 from tristrata.plans.specs import Metric
 
 # With at most this many versions per key, trying each on every fact row is cheaper than merging by time.
@@ -145,81 +145,81 @@ def scd2_current_join(
 
 def scd2_asof_join(
     fact: DataFrame, dimension: DataFrame, fact_columns: Sequence[str], key: Sequence[str], at: str,
-    attributes: Mapping[str, str], method: str = "auto", hot_key_rows: int | None = HOT_KEY_ROWS,
-    chunk: str = "day",
+    attributes: Mapping[str, str], method: str = "auto", hot_key_rows: int | None = HOT_KEY_ROWS, disjoint: bool = False,
 ) -> DataFrame:
     """Fact LEFT JOIN the version of an SCD2 dimension valid at the fact's date ``at``; never more than one.
 
     A fact belongs to the version of its key that started last at or before ``at``, if that one is still valid then.
     Facts without a date or key and versions without a start or key match nothing; of versions that start together the
-    one that lasts longest counts. Both methods give the same rows.
+    one that lasts longest counts. Both methods give the same rows. ``disjoint`` promises that the versions of a key do
+    not overlap, as those of our own snapshots and histories: they need not be put in order then.
 
     ``range`` joins on key and interval, as a broadcast or a skew-split merge join, and tries every version of
     a key on each of its facts. ``merge`` puts facts and versions in one time order per key and carries the
-    last version forward: no pairs at all, and hot keys are cut into pieces of time. ``auto`` counts versions
-    per key (one job over the dimension's key) and picks ``range`` up to ``MAX_RANGE_VERSIONS``.
+    last version forward: no pairs at all, and hot keys are cut into pieces of time (see ``hotkeys``). ``auto`` counts
+    versions per key (one job over the dimension's key) and picks ``range`` up to ``MAX_RANGE_VERSIONS``.
     """
     require(fact, [*fact_columns, at], "scd2_asof_join, fact")
     require(dimension, [*key, "valid_from", "valid_to", *attributes.values()], "scd2_asof_join, dimension")
     if method == "auto":
         most = dimension.groupBy(*key).count().agg(F.max("count")).first()[0] or 0
         method = "range" if most <= MAX_RANGE_VERSIONS else "merge"
+    keys = [f"__k{i}" for i in range(len(key))]
+    versions = _ordered_versions(dimension, key, keys, attributes, disjoint)
     if method == "range":
-        return _asof_by_range(fact, dimension, fact_columns, key, at, attributes)
+        return _asof_by_range(fact, versions, fact_columns, keys, at)
     if method == "merge":
-        return _asof_by_merge(fact, dimension, fact_columns, key, at, attributes, hot_key_rows, chunk)
+        return _asof_by_merge(fact, versions, fact_columns, keys, at, attributes, hot_key_rows)
     raise ValueError(f"unknown method {method!r}")
 
 
-def _ordered_versions(dimension, key, keys, attributes) -> DataFrame:
+def _ordered_versions(dimension, key, keys, attributes, disjoint: bool) -> DataFrame:
     """Versions as ``keys``, ``__from``, ``__to``, ``__version``, cut where the next version of the key starts."""
     versions = dimension.select(
         *(F.col(c).alias(k) for c, k in zip(key, keys)), F.col("valid_from").cast("timestamp_ntz").alias("__from"),
         F.col("valid_to").cast("timestamp_ntz").alias("__to"),
         F.struct(*(F.col(c).alias(n) for n, c in attributes.items())).alias("__version"),
     ).dropna(subset=[*keys, "__from"])
+    if disjoint:
+        return versions
     lasting = F.coalesce("__to", F.lit("9999-12-31 00:00:00").cast("timestamp_ntz"))
     single = dedup_latest(versions.withColumn("__lasting", lasting), [*keys, "__from"], ["__lasting"]).drop("__lasting")
     following = F.lead("__from").over(Window.partitionBy(*keys).orderBy("__from"))
     return single.withColumn("__to", F.least("__to", following))
 
 
-def _asof_by_range(fact, dimension, fact_columns, key, at, attributes) -> DataFrame:
-    keys = [f"__k{i}" for i in range(len(key))]
-    versions = _ordered_versions(dimension, key, keys, attributes).select(*keys, "__from", "__to", "__version.*")
+def _asof_by_range(fact, versions, fact_columns, keys, at) -> DataFrame:
+    versions = versions.select(*keys, "__from", "__to", "__version.*")
     moment = F.col(at).cast("timestamp_ntz")
     valid = (moment >= F.col("__from")) & (F.col("__to").isNull() | (moment < F.col("__to")))
     on = reduce(Column.__and__, (F.col(c) == F.col(k) for c, k in zip(fact_columns, keys, strict=True)), valid)
     return fact.join(versions, on, "left").drop(*keys, "__from", "__to")
 
 
-def _asof_by_merge(fact, dimension, fact_columns, key, at, attributes, hot_key_rows, chunk) -> DataFrame:
-    keys = [f"__k{i}" for i in range(len(key))]
+def _asof_by_merge(fact, versions, fact_columns, keys, at, attributes, hot_key_rows) -> DataFrame:
     facts = fact.select(*(F.col(c).alias(k) for c, k in zip(fact_columns, keys, strict=True)),
                         F.col(at).cast("timestamp_ntz").alias("__at"), F.struct(*fact.columns).alias("__fact"))
-    versions = _ordered_versions(dimension, key, keys, attributes).select(
-        *keys, F.col("__from").alias("__at"), F.struct("__to", "__version.*").alias("__version"))
-    line, group = facts.unionByName(versions, allowMissingColumns=True), keys
-    hot = find_hot_keys(line, keys, hot_key_rows)
-    if hot is not None:
-        line, group = with_chunks(line, hot, "__at", chunk), [*keys, CHUNK]
-        line = line.unionByName(_carried_versions(line, keys), allowMissingColumns=True)
-
+    versions = versions.select(*keys, F.col("__from").alias("__at"), F.struct("__to", "__version").alias("__version"))
+    line = facts.unionByName(versions, allowMissingColumns=True)
     # At equal times the version comes before the fact.
-    order = Window.partitionBy(*group).orderBy(F.col("__at"), F.col("__version").isNull())
-    line = line.withColumn("__valid", F.last("__version", ignorenulls=True).over(
-        order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    order = ["__at", F.col("__version").isNull(), F.xxhash64("__fact")]
+
+    def so_far(window: WindowSpec) -> Column:
+        return F.last("__version", ignorenulls=True).over(window.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+
+    if hot_key_rows is None:
+        line = line.withColumn("__valid", so_far(Window.partitionBy(*keys).orderBy(*order[:2])))
+    else:
+        hot = hot_keys(line, keys, hot_key_rows)
+        cold = without_hot(line, hot, keys).withColumn("__valid", so_far(Window.partitionBy(*keys).orderBy(*order[:2])))
+        cut, inside, ends = with_ends(in_pieces(line, bounds_of(line, hot, keys, "__at"), keys, "__at"), keys, order)
+        cut = cut.withColumn("__valid", so_far(inside))
+        # The last row of a piece knows its last version; the first row of a piece gets that of the pieces before.
+        known = F.when(F.col("__last"), F.col("__valid"))
+        earlier = F.last(known, ignorenulls=True).over(ends.rowsBetween(Window.unboundedPreceding, -1))
+        cut = cut.withColumn("__entering", F.when(F.col("__first"), earlier))
+        entering = F.first("__entering").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        line = cold.unionByName(cut.withColumn("__valid", F.coalesce("__valid", entering)).select(*cold.columns))
     valid = F.col("__valid.__to").isNull() | (F.col("__at") < F.col("__valid.__to"))
     return (line.filter(F.col("__fact").isNotNull())
-                .select("__fact.*", *(F.when(valid, F.col(f"__valid.{n}")).alias(n) for n in attributes)))
-
-
-def _carried_versions(line: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Per piece of a hot key: the last version of the pieces before it, as a version row of the piece."""
-    started = F.when(F.col("__version").isNotNull(), F.col("__at"))
-    ends = (line.filter(F.col(CHUNK) > 0).groupBy(*keys, CHUNK)
-                .agg(F.max_by(F.struct("__at", "__version"), started).alias("__end")))
-    before = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
-    entering = F.last("__end", ignorenulls=True).over(before).alias("__entering")
-    return ends.select(*keys, CHUNK, entering).filter(F.col("__entering").isNotNull()).select(
-        *keys, CHUNK, "__entering.*")
+                .select("__fact.*", *(F.when(valid, F.col(f"__valid.__version.{n}")).alias(n) for n in attributes)))
