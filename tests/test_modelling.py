@@ -1,3 +1,6 @@
+import random
+from itertools import combinations
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -5,7 +8,7 @@ from tests.conftest import rows
 from tristrata.operators import profiling
 from tristrata.operators.profiling import discover_fks, discover_keys, profile_columns, same_meaning
 from tristrata.plans.build import build_model, run_model
-from tristrata.plans.propose import classify, column_frame, edge_frame, propose_model, scd_type, two_hop_frame
+from tristrata.plans.propose import classify, column_frame, edge_frame, find_tables, propose_model, scd_type, two_hop_frame
 from tristrata.plans.specs import (
     DimensionSpec, FactSpec, ForeignKey, GoldSpec, KeyPath, Metric, ModelSpec, TableSpec,
 )
@@ -213,3 +216,33 @@ def test_keys_of_any_width_and_kind(spark):
     children = typed.select((F.col("id") % 3).cast("int").alias("ref"))
     found = discover_fks({"p": typed, "c": children}, {"p": [("id",)], "c": []})
     assert rows(found, "child_column", "parent_column") == [("ref", "id")]
+
+
+def test_keys_of_random_tables_equal_brute_force(spark, monkeypatch):
+    rng = random.Random(11)
+    for case in range(6):
+        columns = [f"c{i}" for i in range(6)]
+        data = [tuple(rng.randrange(rng.choice([1, 2, 4, 9])) for _ in columns) for _ in range(rng.choice([1, 6, 25]))]
+        unique = [set(k) for n in range(1, 7) for k in combinations(range(6), n) if len({tuple(r[i] for i in k) for r in data}) == len(data)]
+        expected = sorted([tuple(f"c{i}" for i in sorted(k)) for k in unique if not any(o < k for o in unique)], key=lambda k: (len(k), k))
+        df = spark.createDataFrame(data, ", ".join(f"{c} int" for c in columns))
+        monkeypatch.setattr(profiling, "SAMPLE_VALUES", rng.choice([1, 5, 50_000]))
+        assert discover_keys(df) == expected
+        least = min(map(len, expected), default=0)
+        assert discover_keys(df, smallest_only=True) == [k for k in expected if len(k) == least]
+
+
+def test_key_of_five_among_sixty_columns(spark, monkeypatch):
+    """Five digits of the row number are the key; the other columns depend on one of them each."""
+    digits = [f"cast(floor(id / {4 ** i}) % 4 as int) as k{i}" for i in range(5)]
+    df = spark.range(1024).selectExpr("id", *digits).selectExpr(*(f"k{i}" for i in range(5)), *(f"k{i % 5} % 2 + {i} as x{i}" for i in range(55)))
+    monkeypatch.setattr(profiling, "SAMPLE_VALUES", 200)
+    passes, cells = [], profiling._cells
+    monkeypatch.setattr(profiling, "_cells", lambda *args: passes.append(1) or cells(*args))
+    assert discover_keys(df) == [("k0", "k1", "k2", "k3", "k4")]
+    assert len(passes) < 40
+
+
+def test_proposal_finds_a_key_of_four(spark):
+    df = spark.range(81).selectExpr(*(f"cast(floor(id / {3 ** i}) % 3 as int) as {c}" for i, c in enumerate("abcd")), "1.5D as price")
+    assert find_tables({"wide": df})[0]["wide"].primary_key == ("a", "b", "c", "d")

@@ -6,14 +6,13 @@ short row per column, key or dependency, never data.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
-from itertools import combinations
-from math import prod
+from itertools import islice
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tristrata.functions.columns import DATE_TYPES
 
@@ -21,8 +20,11 @@ from tristrata.functions.columns import DATE_TYPES
 SKETCH_LOG_REGISTERS = 12
 SKETCH_ERROR = 1.04 / 2 ** (SKETCH_LOG_REGISTERS / 2)
 
-# Candidates are tried on this fraction of their values before they are tried on all.
-SLICES = 64
+# Candidates are tried on about so many of their values before they are tried on all; candidates of one pass; and
+# sets of columns learned from each.
+SAMPLE_VALUES = 50_000
+CANDIDATES = 48
+PAIRS_EACH = 20
 
 # Columns per 64-bit mask; the sign bit stays free.
 MASK_BITS = 62
@@ -83,14 +85,16 @@ def profile_tables(tables: Mapping[str, DataFrame], exact: bool = False) -> Data
     return reduce(DataFrame.unionByName, (profile_columns(n, df, exact) for n, df in tables.items()))
 
 
-def discover_keys(df: DataFrame, max_columns: int | None = None) -> list[tuple[str, ...]]:
-    """All minimal candidate keys, of any number of columns: no NULL, no value twice.
+def discover_keys(df: DataFrame, max_columns: int | None = None, smallest_only: bool = False) -> list[tuple[str, ...]]:
+    """All minimal candidate keys, of any number of columns: no NULL, no value twice. ``smallest_only`` gives those of
+    the least number of columns.
 
-    Integer, decimal, text and date columns qualify. Level by level, combinations are tried that hold no key and whose
-    distinct counts multiply to the number of rows at least; when all columns together repeat, there is no key. A level
-    is one pass over a slice of the values, which refutes most, and one over all values for the others; 128-bit hashes
-    are shuffled, not values. The number of combinations may grow exponentially with that of the columns that are no
-    key alone; ``max_columns`` ends the search early.
+    Integer, decimal, text and date columns qualify. Two rows that agree in a set of columns rule out every key inside it,
+    so a key has a column outside each such set. Sets come from pairs of rows that share a value in a sample of values,
+    first of single columns and of all columns but one, and are made larger a column at a time; the smallest choices of columns that leave all of them (minimal hitting sets) are tried, some dozen in one pass: a
+    sample of their values refutes most, a pass over all values the others, and each refutation yields a pair of rows and
+    so another set. What no row repeats is a key. Passes grow with the sets that have to be learned, not with the
+    number of combinations; 128-bit hashes are shuffled, not values.
     """
     kinds = (T.IntegralType, T.DecimalType, T.StringType, *DATE_TYPES)
     names = [f.name for f in df.schema if isinstance(f.dataType, kinds)]
@@ -102,52 +106,110 @@ def discover_keys(df: DataFrame, max_columns: int | None = None) -> list[tuple[s
     names = [c for c in names if stats[c] == rows]
     if rows == 0 or not names:
         return []
-    distinct = dict(zip(names, _distinct_counts(df, [(c,) for c in names])))
-    keys = [(c,) for c, n in distinct.items() if n == rows]
-    parts = [c for c, n in distinct.items() if 1 < n < rows]
-    most = len(parts) if max_columns is None else min(len(parts), max_columns)
-    if most < 2 or not _unrefuted(df, [tuple(parts)], False):
-        return keys
-    for size in range(2, most + 1):
-        possible = [c for c in combinations(parts, size)
-                    if prod(distinct[p] for p in c) >= rows and not any(set(k) <= set(c) for k in keys)]
-        if possible:
-            keys += _unrefuted(df, _unrefuted(df, possible, True), False)
-    return keys
-
-
-def _hashed(df: DataFrame, candidates: Sequence[tuple[str, ...]]) -> DataFrame:
-    """``(i, value)`` per row and candidate."""
-    return df.select(F.explode(F.array(*(
-        F.struct(F.lit(i).alias("i"), value_hash(*map(F.col, c)).alias("value")) for i, c in enumerate(candidates)
-    ))).alias("cell")).select("cell.*")
-
-
-def _distinct_counts(df: DataFrame, candidates: Sequence[tuple[str, ...]]) -> list[int]:
-    counts = _hashed(df, candidates).distinct().groupBy("i").count().collect()  # a row per candidate
-    found = {r["i"]: r["count"] for r in counts}
-    return [found.get(i, 0) for i in range(len(candidates))]
-
-
-def _unrefuted(df: DataFrame, candidates: Sequence[tuple[str, ...]], slice_only: bool) -> list[tuple[str, ...]]:
-    """Those candidates of which no value occurs twice; of a slice only, where a repeat refutes a candidate for good,
-    as all copies of a value fall into one slice."""
-    if not candidates:
-        return []
-    cells = _hashed(df, candidates)
-    if slice_only:
-        cells = cells.filter(F.pmod("value.a", F.lit(SLICES)) == 0)
-    repeated = cells.groupBy("i", "value").count().filter("count > 1").select("i").distinct().collect()
-    refuted = {row["i"] for row in repeated}
-    return [c for i, c in enumerate(candidates) if i not in refuted]
+    share = min(1.0, SAMPLE_VALUES / rows)
+    whole = (1 << len(names)) - 1
+    singles = [1 << i for i in range(len(names))]
+    first = singles + [whole & ~i for i in singles if len(names) > 2]
+    agreeing = _maximal({0} | _agreeing(df, first, names, share)[1])
+    keys: set[int] = set()
+    for size in range(1, min(len(names), max_columns or len(names)) + 1):
+        while candidates := list(islice((c for c in _hitting_sets(agreeing, len(names), size) if c not in keys), CANDIDATES)):
+            refuted, found = _agreeing(df, candidates, names, share)
+            unrefuted = [c for c in candidates if c not in refuted]
+            if share < 1 and unrefuted:
+                refuted, more = _repeating(df, unrefuted, names)
+                unrefuted, found = [c for c in unrefuted if c not in refuted], found | more
+            keys.update(unrefuted)
+            agreeing = _maximal(agreeing | found | _grown(df, found, names, share))
+        if smallest_only and keys:
+            break
+    return sorted((tuple(c for i, c in enumerate(names) if k >> i & 1) for k in keys), key=lambda k: (len(k), [names.index(c) for c in k]))
+
+
+def _maximal(sets: set[int]) -> set[int]:
+    """The sets, as bits, that are inside no other."""
+    kept: list[int] = []
+    for s in sorted(sets, key=int.bit_count, reverse=True):
+        if not any(s & k == s for k in kept):
+            kept.append(s)
+    return set(kept)
+
+
+def _hitting_sets(agreeing: set[int], n: int, size: int) -> Iterator[int]:
+    """The minimal sets of at most ``size`` of ``n`` columns with a column outside each of the ``agreeing`` sets, one by one."""
+    outside = sorted(((1 << n) - 1 & ~s for s in agreeing), key=int.bit_count)
+
+    def search(chosen: list[int], allowed: int, left: list[int]) -> Iterator[int]:
+        if not left:
+            yield sum(chosen)
+            return
+        if len(chosen) == size:
+            return
+        branch = min((s & allowed for s in left), key=int.bit_count)
+        for i in range(n):
+            if branch >> i & 1:
+                allowed &= ~(1 << i)
+                picked = [*chosen, 1 << i]
+                # Every column must be the only one that some set has.
+                if all(any(s & sum(picked) == c for s in outside) for c in picked):
+                    yield from search(picked, allowed, [s for s in left if not s >> i & 1])
+
+    yield from search([], (1 << n) - 1, outside)
+
+
+def _grown(df: DataFrame, sets: set[int], names: Sequence[str], share: float) -> set[int]:
+    """Larger sets of columns in which two rows agree, from the largest of ``sets`` with one more column."""
+    largest = sorted(_maximal(sets), key=int.bit_count)[-2:]
+    tried = [s | 1 << i for s in largest for i in range(len(names)) if not s >> i & 1][:2 * CANDIDATES]
+    return _agreeing(df, tried, names, share)[1] if tried else set()
+
+
+def _cells(df: DataFrame, candidates: Sequence[int], names: Sequence[str], signed: bool) -> DataFrame:
+    """``(i, value)`` per row and candidate, ``signed`` with the hashes of all columns of the row."""
+    cells = F.array(*(
+        F.struct(F.lit(i).alias("i"), value_hash(*(F.col(n) for j, n in enumerate(names) if c >> j & 1)).alias("value"))
+        for i, c in enumerate(candidates)))
+    rows = df.select(F.explode(cells).alias("cell"), *([F.array(*map(F.xxhash64, names)).alias("row")] if signed else []))
+    return rows.select("cell.*", *(["row"] if signed else []))
+
+
+def _pairs(cells: DataFrame, candidates: Sequence[int]) -> tuple[set[int], set[int]]:
+    """Candidates of which a value occurs twice, and in which columns two of its rows agree: the largest sets."""
+    repeated = cells.groupBy("i", "value").agg(F.count("*").alias("n"), F.min("row").alias("a"), F.max("row").alias("b")).filter("n > 1")
+    same = F.array_join(F.zip_with("a", "b", lambda a, b: F.when(a == b, "1").otherwise("0")), "")
+    sets = repeated.select("i", same.alias("same")).distinct().withColumn("size", F.length(F.replace("same", F.lit("0"), F.lit(""))))
+    best = Window.partitionBy("i").orderBy(F.desc("size"), "same")
+    found = sets.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= PAIRS_EACH).collect()
+    return {candidates[r["i"]] for r in found}, {int(r["same"][::-1], 2) for r in found}
+
+
+def _agreeing(df: DataFrame, candidates: Sequence[int], names: Sequence[str], share: float) -> tuple[set[int], set[int]]:
+    """``_pairs`` of a share of the values of each candidate; all rows of a value are in it or none."""
+    cells = _cells(df, candidates, names, True)
+    if share < 1:
+        cells = cells.filter(F.pmod("value.a", F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
+    return _pairs(cells, candidates)
+
+
+def _repeating(df: DataFrame, candidates: Sequence[int], names: Sequence[str]) -> tuple[set[int], set[int]]:
+    """``_pairs`` of one repeated value of each candidate that has any, from a pass over all values."""
+    repeated = _cells(df, candidates, names, False).groupBy("i", "value").count().filter("count > 1")
+    example = repeated.groupBy("i").agg(F.min("value").alias("value")).collect()  # a row per candidate
+    if not example:
+        return set(), set()
+    listed = df.sparkSession.createDataFrame([(r["i"], r["value"]) for r in example], "i int, value struct<a: bigint, b: bigint>")
+    again = [r["i"] for r in example]
+    cells = _cells(df, candidates, names, True).join(F.broadcast(listed), ["i", "value"], "left_semi")
+    refuted, sets = _pairs(cells, candidates)
+    return refuted | {candidates[i] for i in again}, sets
 
 
 def discover_all_keys(
-    tables: Mapping[str, DataFrame], max_columns: int | None = None, parallel: int = 8
+    tables: Mapping[str, DataFrame], max_columns: int | None = None, parallel: int = 8, smallest_only: bool = False
 ) -> dict[str, list[tuple[str, ...]]]:
     """``discover_keys`` of many tables; the jobs of ``parallel`` tables run side by side."""
     with ThreadPoolExecutor(parallel) as pool:
-        found = pool.map(lambda df: discover_keys(df, max_columns), tables.values())
+        found = pool.map(lambda df: discover_keys(df, max_columns, smallest_only), tables.values())
         return dict(zip(tables, found))
 
 

@@ -29,18 +29,19 @@ class Proposal:
 
 
 def find_tables(
-    sources: Mapping[str, DataFrame], declared: Mapping[str, TableSpec] | None = None, max_key_columns: int = 3
+    sources: Mapping[str, DataFrame], declared: Mapping[str, TableSpec] | None = None, max_key_columns: int | None = None
 ) -> tuple[dict[str, TableSpec], dict[str, list[tuple[str, ...]]]]:
     """A ``TableSpec`` per table: the declared one, or keys and references found in the data.
 
-    Of several candidate keys the shortest is taken, integers before dates before text, then in column order.
+    Keys of the least number of columns are searched, of any number unless ``max_key_columns`` ends the search; of
+    several, integers are taken before dates before text, then in column order.
     A reference found is taken only when names agree; of two tables that contain each other's keys the
     earlier is the parent.
     """
     declared = declared or {}
     stated = {n: [declared[n].primary_key] for n in sources if n in declared and declared[n].primary_key}
     unknown = {n: df for n, df in sources.items() if n not in stated}
-    keys = stated | discover_all_keys(unknown, max_key_columns)
+    keys = stated | discover_all_keys(unknown, max_key_columns, smallest_only=True)
     tables = {n: declared.get(n) or TableSpec(primary_key=_best_key(df, keys[n])) for n, df in sources.items()}
     if all(n in declared for n in sources):
         return tables, keys
