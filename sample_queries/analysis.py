@@ -385,3 +385,20 @@ def stream_gold_events(spark, folder):
     stream = read_file_stream(spark, folder, schema, "events.parquet")
     stream_gold(stream, spec, path, checkpoint).awaitTermination()
     return read_fact(spark, path)
+
+
+@query("""
+select md5(concat_ws('-', cast(monthly_date as varchar), event_type)) as agg_monthly_users_sk, *
+from (select cast(date_trunc('month', ts) as date) as monthly_date, event_type, count(*) as events, count(distinct user_id) as users,
+             count(distinct cast(trunc(value) as int)) as amounts, count(value) as priced, max(event_type) as kind from events group by 1, 2)""")
+def stream_gold_distinct(spark, folder):
+    """A monthly aggregate with exact distinct counts, kept up to date by a stream over two runs."""
+    events = load(spark, folder, "events")["events"].withColumn("amount", F.col("value").cast("int"))
+    arriving, path, checkpoint = (new_work_path(spark, n) for n in ("arriving", "agg_monthly_users", "stream"))
+    spec = GoldSpec("agg_monthly_users", "events", "monthly", ("event_type",), (
+        Metric("events", "COUNT"), Metric("users", "COUNT_DISTINCT", "user_id"), Metric("amounts", "COUNT_DISTINCT", "amount"),
+        Metric("priced", "COUNT", "value"), Metric("kind", "MAX", "event_type")), "ts")
+    for half in (0, 1):
+        events.filter(F.col("event_id") % 2 == half).write.mode("append").parquet(arriving)
+        stream_gold(read_file_stream(spark, arriving, events.schema), spec, path, checkpoint).awaitTermination()
+    return read_fact(spark, path)

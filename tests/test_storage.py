@@ -439,9 +439,22 @@ def test_stream_gold_equals_the_batch_aggregate(spark, tmp_path):
         stream_gold(stream, spec, path, checkpoint).awaitTermination()
         got = read_fact(spark, path).drop("agg_sk")
         assert rows(got) == rows(build_gold(spark.read.parquet(folder), spec).select(got.columns))
+
+
+def test_stream_counts_distinct_values_exactly(spark, tmp_path):
+    folder, path, checkpoint = (str(tmp_path / n) for n in ("in", "gold", "cp"))
+    spec = GoldSpec("agg", "events", "monthly", ("kind",), (
+        Metric("n", "COUNT"), Metric("k", "COUNT", "kind"), Metric("u", "COUNT_DISTINCT", "value"), Metric("e", "COUNT_DISTINCT", "event_id"), Metric("s", "SUM", "value")), "ts")
+    for file in [((1, "a", datetime(2024, 1, 7), 1), (2, "a", None, 2)), ((3, "a", datetime(2024, 1, 1), 1), (4, None, None, None)),
+                 ((5, "a", datetime(2024, 1, 1), 5), (1, "a", datetime(2024, 1, 9), None))]:
+        add_file(spark, folder, *file)
+        stream = read_file_stream(spark, folder, SCHEMA, files_per_batch=1)
+        stream_gold(stream, spec, path, checkpoint).awaitTermination()
+        got = read_fact(spark, path).drop("agg_sk")
+        assert rows(got) == rows(build_gold(spark.read.parquet(folder), spec).select(got.columns))
     exact = GoldSpec("agg", "e", "daily", (), (Metric("n", "COUNT_DISTINCT", "kind"),), "ts")
     with pytest.raises(ValueError, match="approx"):
-        stream_gold(stream, exact, path, checkpoint)
+        stream_gold(stream, exact, path, checkpoint, lateness_days=7)
 
 
 def test_stream_grains(spark, tmp_path):

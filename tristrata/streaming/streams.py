@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -10,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from tristrata.functions.keys import surrogate_key
 from tristrata.functions.scalars import grain_unit, to_grain
 from tristrata.operators.gold import aggregate
-from tristrata.plans.specs import GoldSpec
+from tristrata.plans.specs import GoldSpec, Metric
 from tristrata.sources.incremental import DEFAULT_LOOKBACK_DAYS, upsert_incremental
 
 
@@ -71,17 +72,37 @@ def grouped_gold(
     stream: DataFrame, spec: GoldSpec, measures: Sequence[str] = (), approx: bool = False
 ) -> DataFrame:
     """Streaming form of an aggregate of any grain that drops nothing: late rows count, rows without a date form their
-    own group, as in ``build_gold``. State has one entry per row of the aggregate, kept on disk by RocksDB."""
-    if not approx:
-        _no_exact_distinct(spec)
+    own group, as in ``build_gold``. State has one entry per row of the aggregate, kept on disk by RocksDB.
+
+    Distinct counts are exact unless ``approx``: each value of a group passes once, and a row for it joins the rows that
+    are aggregated. That state has an entry per group and value."""
+    distinct = [] if approx else [m for m in spec.metrics if m.aggregation == "COUNT_DISTINCT"]
     period = to_grain(spec.date, spec.grain).alias(f"{spec.grain}_date")
-    return stream.groupBy(period, *spec.dimensions).agg(*(aggregate(m, measures, approx=approx) for m in spec.metrics))
+    if not distinct:
+        return stream.groupBy(period, *spec.dimensions).agg(*(aggregate(m, measures, approx=approx) for m in spec.metrics))
+    groups = [period, *(F.col(d) for d in spec.dimensions)]
+    numbers = {c: i + 1 for i, c in enumerate(dict.fromkeys(m.column for m in distinct))}
+    values = {c: f"__v{i}" for i, c in enumerate(dict.fromkeys(m.column for m in spec.metrics if m.column != "*"))}
+    rows = stream.select(*groups, F.lit(0).alias("__kind"), *(F.col(c).alias(v) for c, v in values.items()))
+    for column, i in numbers.items():
+        seen = stream.filter(F.col(column).isNotNull()).select(*groups, F.col(column).alias("__value")).dropDuplicates()
+        rows = rows.unionByName(seen.drop("__value").withColumn("__kind", F.lit(i)), allowMissingColumns=True)
+    whole = F.col("__kind") == 0
+
+    def metric(m: Metric) -> Column:
+        if m in distinct:
+            return F.count_if(F.col("__kind") == numbers[m.column]).alias(m.name)
+        if m.aggregation == "COUNT" and (m.column == "*" or m.column in measures):
+            return F.count_if(whole).alias(m.name)
+        return aggregate(replace(m, column=values[m.column]), approx=approx)
+
+    return rows.groupBy(f"{spec.grain}_date", *spec.dimensions).agg(*map(metric, spec.metrics))
 
 
 def _no_exact_distinct(spec: GoldSpec) -> None:
     exact = [m.name for m in spec.metrics if m.aggregation == "COUNT_DISTINCT"]
     if exact:
-        raise ValueError(f"{spec.name}: a stream counts distinct values by sketches only; ask for them with approx: {', '.join(exact)}")
+        raise ValueError(f"{spec.name}: behind a watermark distinct values are counted by sketches only; ask for them with approx: {', '.join(exact)}")
 
 
 def stream_gold(
@@ -92,7 +113,7 @@ def stream_gold(
 
     Nothing is dropped, and all grains and rows without a date are kept up to date (``grouped_gold``). With
     ``lateness_days`` a watermark bounds the state instead (``windowed_gold``: days and weeks, dated rows that are not
-    later). Distinct counts need ``approx``, which sketches them. The table also has ``<name>_sk`` over date and dimensions, by which groups are replaced.
+    later; distinct counts need ``approx`` there, which sketches them). The table also has ``<name>_sk`` over date and dimensions, by which groups are replaced.
     """
     date, key = f"{spec.grain}_date", f"{spec.name}_sk"
 
