@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 
 from tristrata.llm import language, toxicity
+from tristrata.llm.common import bounded_sample
 
 SYLLABLES = {
     "aa": ["the", "ing", "er", "on", "sh", "ble", "ou"], "bb": ["que", "ción", "ado", "la", "es", "miento", "rr"],
@@ -57,6 +58,45 @@ def test_language_of_nothing_learned(spark):
     assert [r.lang_pred for r in language.identify(one, language.train(one)).collect()] == ["aa"]
 
 
+def test_repeated_rows_neither_fill_nor_empty_the_sample(spark):
+    """Equal rows count once, whether their hash is chosen or not."""
+    few = spark.range(1000).selectExpr("'aa' as lang", "cast(id as string) as key")
+    for copy in range(4):
+        many = spark.range(20_000).selectExpr("'aa' as lang", f"'copy {copy}' as key")
+        found = bounded_sample(few.union(many), "lang", "key", {"aa": 200}).collect()
+        assert 150 < len(found) < 250 and len({r.key for r in found}) == len(found)
+    assert bounded_sample(few.union(many), "lang", "key", 5000).count() == 1001
+    assert bounded_sample(few.limit(0), "lang", "key", 5).collect() == []
+
+
+def test_every_language_is_learned(spark):
+    rng = random.Random(6)
+    letters = [chr(0x4E00 + 7 * i) for i in range(230)]
+    rows = [(i, " ".join(c * rng.randint(1, 3) for _ in range(12)), f"l{i % 230:03}") for i, c in enumerate(letters * 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language.train(docs)
+    assert len(model.languages) == 230
+    found = {r.doc_id: r.lang_pred for r in language.identify(docs, model).collect()}
+    assert np.mean([found[i] == lang for i, _, lang in rows]) > 0.95
+
+
+def test_one_text_of_a_repeated_labelled_id_teaches(spark, monkeypatch):
+    docs = spark.range(5000).selectExpr("7L as doc_id", "concat('text ', id) as text").unionByName(
+        spark.createDataFrame([(1, "fine words here"), (2, "other fine words")], "doc_id long, text string"))
+    labels = spark.createDataFrame([(7, 1), (1, 0), (2, 0)], "doc_id long, toxic int")
+    taught = []
+    monkeypatch.setattr(toxicity, "fit", lambda toxic, ordinary: taught.append((len(toxic), len(ordinary))))
+    toxicity.train(docs, labels)
+    assert taught == [(1, 2)]
+
+
+def test_pieces_are_taken_evenly():
+    pieces = [str(i).encode() for i in range(1000)]
+    taken = toxicity.evenly(pieces, 300)
+    assert len(taken) == 300 and taken == sorted(taken, key=int) and sum(int(p) >= 500 for p in taken) > 100
+    assert toxicity.evenly(pieces, 1000) == pieces
+
+
 def test_temperature_minimises_the_log_loss():
     rng = np.random.default_rng(2)
     logits = rng.normal(size=(4000, 3)) * 2

@@ -68,14 +68,20 @@ def runs(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def bounded_sample(df: DataFrame, label: str, key: str, rows: dict) -> DataFrame:
-    """About ``rows[l]`` rows (all, if there are fewer) of each label ``l``, chosen by a hash of ``key``.
+def bounded_sample(df: DataFrame, label: str, key: str, rows: dict | int) -> DataFrame:
+    """About ``rows[l]`` rows (all, if there are fewer) of each label ``l``, chosen by a hash of ``key``; one for each key.
 
-    The choice does not depend on how the table is split; the number of rows varies with its square root.
+    Rows of equal label and key count once, however often they repeat, and one of them is taken. The choice does not
+    depend on how the table is split; the number of rows varies with its square root. A number holds for all labels.
     """
-    counts = {r[label]: r["count"] for r in df.filter(F.col(label).isin(list(rows))).groupBy(label).count().collect()}
-    place = F.pmod(F.xxhash64(F.col(key), F.lit(17)), F.lit(1 << 30))
-    chosen = F.lit(False)
-    for value, n in counts.items():
-        chosen = chosen | (F.col(label) == F.lit(value)) & (place < int(min(1.0, rows[value] / n) * (1 << 30)))
-    return df.filter(chosen)
+    placed = df.withColumn("__place", F.xxhash64(F.col(key), F.lit(17)))
+    wanted = placed if isinstance(rows, int) else placed.filter(F.col(label).isin(list(rows)))
+    counts = {r[label]: r["count"] for r in wanted.select(label, "__place").distinct().groupBy(label).count().collect()}
+    if not counts:
+        return df.limit(0)
+    shares = [(value, min(1.0, (rows if isinstance(rows, int) else rows[value]) / n)) for value, n in counts.items()]
+    limits = F.create_map(*(F.lit(x) for value, share in shares for x in (value, int(share * (1 << 30)))))
+    chosen = wanted.filter(F.pmod("__place", F.lit(1 << 30)) < limits[F.col(label)])
+    rest = [c for c in df.columns if c != label]
+    single = chosen.groupBy(label, "__place").agg(*(F.any_value(c).alias(c) for c in rest))
+    return single.select(*df.columns)

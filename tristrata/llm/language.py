@@ -23,8 +23,8 @@ DIMENSIONS = 1 << 16
 ORDERS = (1, 2, 3)
 #: Labelled rows for the fit, about, for each language; a quarter of them calibrates, the others train.
 FIT_PER_LANGUAGE = 1000
-#: Languages with the most documents that are learned; rarer ones are left out.
-MAX_LANGUAGES = 200
+#: Labelled rows for the fit of all languages together; with more languages than this allows, each gets fewer rows.
+FIT_ROWS = 200_000
 #: Texts above this number of bytes take no part in the fit of the weights.
 FIT_TEXT_BYTES = 1 << 18
 UNDETERMINED = "und"
@@ -171,8 +171,9 @@ def train(docs: DataFrame, learn=None, per_language: int = FIT_PER_LANGUAGE, id_
           language_column: str = "lang") -> Model:
     """A model from the documents with a language, those that fulfil ``learn`` (a condition on ``doc_id``).
 
-    All of them count for document frequencies; about ``per_language`` of each of the ``MAX_LANGUAGES`` most frequent
-    languages, chosen by a hash of id and text, fit weights and temperature. Texts without letters teach nothing.
+    All of them count for document frequencies; about ``per_language`` of each language (``FIT_ROWS`` in all), chosen by a
+    hash of id and text, fit weights and temperature. Every language is learned; rows that repeat count once, and texts
+    without letters teach nothing.
     """
     bounded_batches(docs.sparkSession)
     known = docs.select(
@@ -181,13 +182,13 @@ def train(docs: DataFrame, learn=None, per_language: int = FIT_PER_LANGUAGE, id_
     if learn is not None:
         known = known.filter(learn)
     documents, frequencies = document_frequencies(known)
-    common = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES).collect()
-    languages = sorted(r.lang for r in common)
     if not documents:
         return Model()
+    languages = sorted(r.lang for r in known.select("lang").distinct().collect())  # the classes of the model
+    each = max(1, min(per_language, FIT_ROWS // len(languages)))
     idf = (np.log((1 + documents) / (1 + frequencies)) + 1).astype(np.float32)
     short = known.filter(F.octet_length("text") <= FIT_TEXT_BYTES).withColumn("key", F.concat_ws(" ", F.col("doc_id").cast("string"), F.md5("text")))
-    rows = bounded_sample(short, "lang", "key", dict.fromkeys(languages, per_language)).select("key", "text", "lang").collect()
+    rows = bounded_sample(short.select("key", "text", "lang"), "lang", "key", each).collect()
     number = {name: i for i, name in enumerate(languages)}
     examples = []
     for row in sorted(rows, key=lambda r: xxhash.xxh64_intdigest(r.key)):

@@ -25,6 +25,8 @@ from tristrata.llm.common import batch, bounded_batches, bounded_sample, text_or
 
 #: Labelled rows for the fit, about: toxic and ordinary ones. A quarter of each calibrates, the others train.
 FIT_TOXIC, FIT_ORDINARY = 2000, 8000
+#: Pieces of 200 bytes of ordinary texts from which the ordinary dictionary is trained.
+FIT_PIECES = 60_000
 #: Texts above this number of bytes take no part in the fit.
 FIT_TEXT_BYTES = 1 << 18
 WINDOW, STEP = 8, 4
@@ -164,6 +166,14 @@ def _logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0) -> tuple[np.nd
     return mean, spread, w
 
 
+def evenly(pieces: list[bytes], most: int) -> list[bytes]:
+    """``most`` of the pieces by a hash, in their order; all, if there are no more."""
+    if len(pieces) <= most:
+        return pieces
+    chosen = sorted(range(len(pieces)), key=lambda i: (xxhash.xxh64_intdigest(pieces[i], 9), i))[:most]
+    return [pieces[i] for i in sorted(chosen)]
+
+
 def fit(toxic: list[str], ordinary: list[str]) -> Model:
     """A model from texts of both classes; ones that are nearly copies of others count once."""
     if not toxic or not ordinary:
@@ -171,9 +181,9 @@ def fit(toxic: list[str], ordinary: list[str]) -> Model:
     toxic, ordinary = without_near_copies(toxic), without_near_copies(ordinary)
     cut_t, cut_o = max(1, len(toxic) * 3 // 4), max(1, len(ordinary) * 3 // 4)
     train_t, train_o = [_normal(t) for t in toxic[:cut_t]], [_normal(t) for t in ordinary[:cut_o]]
-    runs = [w for t in train_o for w in (t[i:i + 200] for i in range(0, len(t), 200))]
+    runs = evenly([w for t in train_o for w in (t[i:i + 200] for i in range(0, len(t), 200))], FIT_PIECES)
     model = Model(
-        _dictionary(runs[:60_000], ORDINARY_BYTES, 64, 8),
+        _dictionary(runs, ORDINARY_BYTES, 64, 8),
         _dictionary(typical_stretches(train_t, train_o) or train_t, TOXIC_BYTES, 32, 6))
     plain, both = _compressor(model.ordinary), _compressor(model.toxic + model.ordinary)
     held = [(t, 1.0) for t in toxic[cut_t:] or toxic] + [(t, 0.0) for t in ordinary[cut_o:] or ordinary]
@@ -187,7 +197,8 @@ def train(docs: DataFrame, labels: DataFrame, learn=None, fit_toxic: int = FIT_T
     """A model from about ``fit_toxic`` and ``fit_ordinary`` labelled documents, chosen by a hash of the id.
 
     ``learn`` is a condition on ``doc_id`` that documents to learn from fulfil. Null ids, null labels and labels other
-    than 0 and 1 are ignored, as are texts above ``FIT_TEXT_BYTES``; an id labelled both ways counts as toxic.
+    than 0 and 1 are ignored, as are texts above ``FIT_TEXT_BYTES``; an id labelled both ways counts as toxic, and of several
+    texts of one id one is taken. ``FIT_PIECES`` pieces of ordinary texts, taken evenly, make the ordinary dictionary.
     """
     marks = labels.select(F.col(id_column).cast("long").alias("doc_id"), F.col(label_column).cast("int").alias("y"))
     marks = marks.filter(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1)).groupBy("doc_id").agg(F.max("y").alias("y"))
@@ -195,7 +206,9 @@ def train(docs: DataFrame, labels: DataFrame, learn=None, fit_toxic: int = FIT_T
         marks = marks.filter(learn)
     chosen = bounded_sample(marks, "y", "doc_id", {1: fit_toxic, 0: fit_ordinary})
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_or_empty(text_column).alias("text"))
-    sample = texts.filter(F.octet_length("text") <= FIT_TEXT_BYTES).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "y")
+    sample = texts.filter(F.octet_length("text") <= FIT_TEXT_BYTES).join(F.broadcast(chosen), "doc_id")
+    # One text for each id, however many rows have it.
+    sample = sample.groupBy("doc_id", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     rows = sorted(sample.collect(), key=lambda r: (xxhash.xxh64_intdigest(str(r.doc_id)), r.text))
     return fit([r.text for r in rows if r.y == 1], [r.text for r in rows if r.y == 0])
 
