@@ -429,3 +429,19 @@ def upsert_by_key_index(spark, folder):
     for rest in (0, 20):  # the first makes the index, the second uses it
         merge_months(moved.filter(f"o_orderkey % 40 = 0 and o_orderkey % 80 = {2 * rest}"), path, "o_orderkey", "ordered", unique=True)
     return read_fact(spark, path)
+
+
+@query(STORED_SQL + """
+select cast(date_trunc('year', o_orderdate) as date) as yearly_date, o_orderstatus, count(*) as orders, round(sum(o_totalprice), 2) as value,
+       count(distinct o_custkey) as customers, max(o_totalprice) as most from stored group by 1, 2""")
+def refresh_gold_yearly(spark, folder):
+    """An aggregate by year with exact distinct counts, refreshed from states by month after an upsert."""
+    orders = load(spark, folder, "orders")["orders"]
+    fact, gold = new_work_path(spark, "fct_orders"), new_work_path(spark, "agg_yearly")
+    spec = GoldSpec("agg_yearly", "fct_orders", "yearly", ("o_orderstatus",), (
+        Metric("orders", "COUNT"), Metric("value", "SUM", "o_totalprice"), Metric("customers", "COUNT_DISTINCT", "o_custkey"), Metric("most", "MAX", "o_totalprice")))
+    merge_months(_first_orders(orders), fact, "o_orderkey", "o_orderdate")
+    refresh_gold(spark, fact, gold, spec, "o_orderdate")
+    recent = incremental_filter(orders, "o_orderdate", newest_date(spark, fact, "o_orderdate"))
+    months = merge_months(recent, fact, "o_orderkey", "o_orderdate")
+    return snap(refresh_gold(spark, fact, gold, spec, "o_orderdate", months=months), value=2)

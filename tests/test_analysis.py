@@ -1,4 +1,5 @@
 from datetime import date, datetime
+from functools import reduce
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +8,7 @@ from tests.conftest import rows
 from tristrata.operators.filters import filter_between, filter_current, filter_recent, filter_year
 from tristrata.operators.metrics import query_metric
 from tristrata.operators.periods import cumulative, period_change, previous_period, year_to_date
-from tristrata.operators.quality import check_freshness, check_not_null, check_relationships, check_unique
+from tristrata.operators.quality import check_freshness, check_not_null, check_relationships, check_table, check_unique
 from tristrata.operators.ranking import order_by_period, top_n
 from tristrata.operators.star import DimensionLink, cross_fact, star_aggregate, star_join
 from tristrata.plans.specs import BusinessMetric, Entity, Measure, Metric, SemanticModel, TimeDimension
@@ -197,3 +198,21 @@ def test_freshness_limits(spark, as_of, status):
     df = spark.createDataFrame([(datetime(2024, 1, 1),), (None,)], "t timestamp_ntz")
     assert check_freshness(df, "t", "t", as_of).first()["status"] == status
     assert check_freshness(df.limit(0), "t", "t", as_of).first()["status"] == "error"
+
+
+def test_checks_of_a_table_in_one_pass_equal_single_checks(spark, tmp_path):
+    fct = spark.createDataFrame([(1, 1, None, "x"), (1, 2, 1, "x"), (2, None, 1, None), (None, None, 9, "y"), (None, 1, None, "y"), (4, 7, 7, "z"), (4, 7, 7, "z")],
+                                "a int, b int, c int, s string")
+    dim = spark.createDataFrame([(1, "x"), (2, "x"), (9, "y"), (9, "y")], "id bigint, name string")
+    fct.write.parquet(str(tmp_path / "fct"))
+    dim.write.parquet(str(tmp_path / "dim"))
+    fct, dim = spark.read.parquet(str(tmp_path / "fct")), spark.read.parquet(str(tmp_path / "dim"))
+    links = [(("b",), "dim", ("id",)), (("c",), "dim", ("id",)), (("c", "s"), "dim", ("id", "name"))]
+    one = check_table(fct, "f", [["a"], ["a", "b"], ["b", "a"], ["s"]], ["a", "c"], links, {"dim": dim})
+    apart = [check_unique(fct, "f", u) for u in (["a"], ["a", "b"], ["b", "a"], ["s"])] + [check_not_null(fct, "f", ["a", "c"])]
+    apart += [check_relationships(fct, "f", columns, dim, key) for columns, _, key in links]
+    assert rows(one) == rows(reduce(lambda a, b: a.unionByName(b), apart))
+    plan = one._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("== Initial Plan ==")[-1].count("FileScan parquet") == 2
+    empty = check_table(fct.limit(0), "f", [["a"]], ["a"], links, {"dim": dim.limit(0)})
+    assert {r.failures for r in empty.collect()} == {0} and empty.count() == 5

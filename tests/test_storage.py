@@ -1,11 +1,14 @@
 import os
+from dataclasses import replace
 from datetime import date, datetime
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
 from tests.conftest import rows
 from tristrata.plans.specs import GoldSpec, Metric
+from tristrata.operators import gold as gold_operators
 from tristrata.operators.gold import build_gold
 from tristrata.operators.scd import snapshot_check
 from tristrata.session import new_work_path, staged, work_dir
@@ -263,6 +266,27 @@ def test_refresh_leaves_other_months_alone(spark, tmp_path):
     assert month_files(spark, gold, date(2024, 1, 1)) == untouched
 
 
+def test_yearly_refresh_reads_the_changed_month_of_the_fact(spark, tmp_path, monkeypatch):
+    fact, gold = str(tmp_path / "fct"), str(tmp_path / "agg")
+    schema = "sk string, d date, v int, price decimal(10,2), k string"
+    spec = GoldSpec("agg", "fct", "yearly", ("k",), (
+        Metric("n", "COUNT"), Metric("s", "SUM", "price"), Metric("a", "AVG", "price"), Metric("m", "MIN", "v"), Metric("x", "MAX", "v"),
+        Metric("u", "COUNT_DISTINCT", "v"), Metric("c", "COUNT", "v")))
+    made = [(f"{y}-{m}-{i}", date(y, m, 1 + i), None if i == 2 else (m * i) % 5, Decimal(m * i + 1) / 4, "ab"[i % 2]) for y in (2023, 2024) for m in range(1, 13) for i in range(4)]
+    upsert_incremental(spark.createDataFrame([*made, ("null", None, 7, Decimal(1), "a")], schema), fact, "sk", "d")
+    refresh_gold(spark, fact, gold, spec, "d", ("v",))
+    batch = spark.createDataFrame([("2024-5-1", date(2024, 5, 9), 50, Decimal(9), "b"), ("null", None, 8, Decimal(2), "b")], schema)
+    months = merge_months(batch, fact, "sk", "d")
+    read = []
+    monkeypatch.setattr(incremental, "partial_states", lambda rows, *args: read.append(rows) or gold_operators.partial_states(rows, *args))
+    found = refresh_gold(spark, fact, gold, spec, "d", ("v",), months=months)
+    assert rows(found) == rows(build_gold(read_fact(spark, fact), replace(spec, date="d"), ("v",)).select(found.columns))
+    assert {r[0] for r in read[0].select(F.trunc("d", "month")).distinct().collect()} == {date(2024, 5, 1), None}
+    plan = read[0]._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [" in plan and "2024-05-01" in plan
+    assert rows(refresh_gold(spark, fact, gold, spec, "d", ("v",), months=[])) == rows(found)
+
+
 def test_stored_snapshot_keeps_history_without_rewriting(spark, tmp_path):
     path, schema = str(tmp_path / "snap"), "id int, name string"
     for day, values in ((1, [(1, "a"), (2, "x")]), (2, [(1, "b"), (2, "x")]), (3, [(1, "a"), (2, "x"), (3, "n")])):

@@ -29,6 +29,43 @@ def aggregate(metric: Metric, measures: Collection[str] = (), approx: bool = Fal
     return result.alias(metric.name)
 
 
+def partial_states(fact: DataFrame, spec: GoldSpec, measures: Collection[str] = (), grain: str = "month") -> DataFrame:
+    """What the aggregate needs to know of each ``grain`` and group, such that coarser grains can be merged from it.
+
+    Columns ``__period``, dimensions, ``__metric`` and parts: a row of ``__metric`` -1 has the sums, counts and extremes of
+    all metrics; for each metric that counts distinct values there is a row per value, as a 128-bit hash.
+    """
+    groups = [to_grain(spec.date, grain).alias("__period"), *(F.col(d) for d in spec.dimensions)]
+    parts = []
+    for i, m in enumerate(spec.metrics):
+        if m.aggregation == "AVG":
+            parts += [F.sum(F.col(m.column)).alias(f"__p{i}"), F.count(F.col(m.column)).alias(f"__n{i}")]
+        elif m.aggregation != "COUNT_DISTINCT":
+            parts.append(aggregate(replace(m, name=f"__p{i}"), measures))
+    states = fact.groupBy(*groups).agg(F.lit(-1).alias("__metric"), *parts)
+    for i, m in enumerate(spec.metrics):
+        if m.aggregation == "COUNT_DISTINCT":
+            value = [F.xxhash64(m.column).alias("__a"), F.xxhash64(F.lit(1), m.column).alias("__b")]
+            seen = fact.filter(F.col(m.column).isNotNull()).select(*groups, F.lit(i).alias("__metric"), *value).distinct()
+            states = states.unionByName(seen, allowMissingColumns=True)
+    return states
+
+
+def merge_states(states: DataFrame, spec: GoldSpec, schema: T.StructType) -> DataFrame:
+    """The aggregate of ``spec``, with the columns of ``schema``, from the states of a finer grain."""
+    def merged(i: int, m: Metric) -> Column:
+        part = F.col(f"__p{i}")
+        if m.aggregation == "COUNT_DISTINCT":
+            return F.count_distinct(F.when(F.col("__metric") == i, F.struct("__a", "__b")))
+        if m.aggregation == "AVG":
+            return F.sum(part) / F.nullif(F.sum(f"__n{i}"), F.lit(0))
+        return {"MIN": F.min, "MAX": F.max}.get(m.aggregation, F.sum)(part)
+
+    period = f"{spec.grain}_date"
+    metrics = [merged(i, m).cast(schema[m.name].dataType).alias(m.name) for i, m in enumerate(spec.metrics)]
+    return states.groupBy(to_grain("__period", spec.grain).alias(period), *spec.dimensions).agg(*metrics)
+
+
 def resolve_gold(
     fact: DataFrame, spec: GoldSpec, measures: Collection[str] = (), fact_date: str | None = None,
     on_unknown: str = "raise",

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from tristrata.functions.columns import common_schema, fitted
 from tristrata.functions.scalars import grain_unit, to_grain
 from tristrata.operators.dedup import dedup_latest
-from tristrata.operators.gold import build_gold, resolve_gold
+from tristrata.operators.gold import build_gold, merge_states, partial_states, resolve_gold
 from tristrata.plans.specs import GoldSpec
 from tristrata.session import staged
 from tristrata.sources import manifests
@@ -305,13 +305,16 @@ def refresh_gold(
     """Rebuild the aggregate at ``path`` for the fact's ``months`` only; for all of them when None.
 
     The aggregate lies in month folders of its period's first day. Periods that reach into a rewritten month
-    are computed anew from the fact's folders that feed them; all others stay as they are.
+    are computed anew from the fact's folders that feed them; all others stay as they are. Aggregates by year are merged
+    from states by month that lie beside them (``<path>/state``), so that only the rewritten months of the fact are read.
     """
     spec = replace(spec, date=date)
     content = _newest(spark, fact_path)[1]
     fact = _stored(spark, fact_path, _folders(fact_path, content.get("months", {})), _schema(content))
     grain = resolve_gold(fact, spec, measures).grain
     period = f"{grain}_date"
+    if grain_unit(grain) == "year":
+        return _refresh_by_states(spark, fact, path, replace(spec, grain=grain), measures, months)
     if months is None or not has_rows(spark, path):
         gold = build_gold(fact.drop(MONTH), spec, measures)
         _publish(gold.withColumn(MONTH, to_grain(period, "month")), path)
@@ -325,6 +328,26 @@ def refresh_gold(
     return read_fact(spark, path, otherwise=build_gold(fact.drop(MONTH), spec, measures))
 
 
+def _refresh_by_states(spark: SparkSession, fact: DataFrame, path: str, spec: GoldSpec, measures: Collection[str],
+                       months: list[Date | None] | None) -> DataFrame:
+    state, period = f"{path}/state", f"{spec.grain}_date"
+    whole = build_gold(fact.drop(MONTH), spec, measures)
+    if months is None or not has_rows(spark, path) or not has_rows(spark, state):
+        months = periods = None
+    else:
+        fact = fact.filter(in_months(MONTH, months))
+        periods = list({m for month in months for m in _period_months(month, spec.grain)})
+    if months != []:
+        states = partial_states(fact.drop(MONTH), spec, measures)
+        _publish(states.withColumn(MONTH, F.col("__period")), state, months)
+        feeding = read_fact(spark, state, otherwise=states)
+        if periods is not None:
+            feeding = feeding.filter(in_months(to_grain("__period", spec.grain), periods))
+        gold = merge_states(feeding, spec, whole.schema)
+        _publish(gold.withColumn(MONTH, to_grain(period, "month")), path, periods)
+    return read_fact(spark, path, otherwise=whole)
+
+
 def _shift(month: Date, by: int) -> Date:
     years, rest = divmod(month.month - 1 + by, 12)
     return Date(month.year + years, rest + 1, 1)
