@@ -20,6 +20,7 @@ from tristrata.plans.propose import propose_model, two_hop_frame
 from tristrata.plans.specs import GoldSpec, Metric
 from tristrata.session import new_work_path
 from tristrata.sources.incremental import read_fact
+from tristrata.sources.tables import write_profile
 from tristrata.streaming.streams import read_file_stream, stream_fact, stream_gold
 
 
@@ -402,3 +403,13 @@ def stream_gold_distinct(spark, folder):
         events.filter(F.col("event_id") % 2 == half).write.mode("append").parquet(arriving)
         stream_gold(read_file_stream(spark, arriving, events.schema), spec, path, checkpoint).awaitTermination()
     return read_fact(spark, path)
+
+
+@query(_profile_sql().replace("select * from p", "select table_name, column_name, position, row_count, null_count, distinct_count > 0 as has_values, min_value, max_value from p"))
+def profile_exported(spark, folder):
+    """The sketched profile of every table, exported as JSON and read again."""
+    path = new_work_path(spark, "profile")
+    write_profile(profile_tables(load(spark, folder, *ALL_TABLES)), path)
+    kinds = "table_name string, column_name string, position int, row_count long, null_count long, distinct_count long, min_value string, max_value string"
+    read = spark.read.schema(kinds).json(path)
+    return read.withColumn("has_values", F.col("distinct_count") > 0).drop("distinct_count")

@@ -445,3 +445,22 @@ def refresh_gold_yearly(spark, folder):
     recent = incremental_filter(orders, "o_orderdate", newest_date(spark, fact, "o_orderdate"))
     months = merge_months(recent, fact, "o_orderkey", "o_orderdate")
     return snap(refresh_gold(spark, fact, gold, spec, "o_orderdate", months=months), value=2)
+
+
+@query("""
+select c_custkey, c_acctbal, 'first' as password, 1 as checksum, timestamp '2024-01-01' as created_at, timestamp '2024-01-01' as valid_from,
+       case when c_mktsegment = 'BUILDING' then timestamp '2024-02-01' end as valid_to from customer
+union all
+select c_custkey, c_acctbal + 1, 'second', 2, timestamp '2024-02-01', timestamp '2024-02-01', null from customer where c_mktsegment = 'BUILDING'""")
+def snapshot_ignores_technical(spark, folder):
+    """Credentials, checksums and audit stamps change for everybody; versions open where a business column changed."""
+    customer = load(spark, folder, "customer")["customer"]
+
+    def state(run_at: str, number: int, word: str, balance):
+        return customer.select("c_custkey", balance.alias("c_acctbal"), F.lit(word).alias("password"), F.lit(number).alias("checksum"),
+                               F.lit(run_at).cast("timestamp_ntz").alias("created_at"))
+
+    first = state("2024-01-01 00:00:00", 1, "first", F.col("c_acctbal"))
+    later = state("2024-02-01 00:00:00", 2, "second", F.col("c_acctbal") + F.when(F.col("c_mktsegment") == "BUILDING", 1).otherwise(0))
+    snapshot = snapshot_check(None, first, ["c_custkey"], "2024-01-01 00:00:00")
+    return snapshot_check(snapshot, later, ["c_custkey"], "2024-02-01 00:00:00")

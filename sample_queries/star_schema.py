@@ -19,7 +19,8 @@ from tristrata.operators.periods import period_change, previous_period, year_to_
 from tristrata.operators.ranking import order_by_period, top_n
 from tristrata.operators.staging import stage
 from tristrata.operators.star import DimensionLink, cross_fact, star_aggregate, star_join
-from tristrata.plans.specs import Derived, DimensionSpec, FactSpec, GoldSpec, Metric, TableSpec
+from tristrata.plans.build import build_model
+from tristrata.plans.specs import Derived, DimensionSpec, FactSpec, GoldSpec, Metric, ModelSpec, TableSpec
 from tristrata.sources.readers import read_folder, read_partitioned
 
 
@@ -374,3 +375,59 @@ def derived_measures_guarded(spark, folder):
         Derived("taxed_quantity", "case when l_tax > 0.04 then l_quantity else 0 end"),
         Derived("again", "l_extendedprice/l_discount")))
     return build_fact(load(spark, folder, "lineitem"), spec, {"lineitem": replace(TABLES["lineitem"], foreign_keys=())})
+
+
+@query("""
+select 'agg_monthly_lines_volume' as aggregate, cast(date_trunc('month', o_orderdate) as date) as monthly_date, l_returnflag as kind, sum(l_quantity) as volume
+from lineitem left join orders on o_orderkey = l_orderkey group by 2, 3
+union all
+select 'agg_monthly_orders_volume', cast(date_trunc('month', o_orderdate) as date), o_orderstatus, cast(count(*) as double) from orders group by 2, 3""")
+def gold_of_one_name_on_parent_date(spark, folder):
+    """Two aggregates of one name, told apart by their facts; the fact of the first has its parent's date only."""
+    t = load(spark, folder, "lineitem", "orders")
+    lines = FactSpec("fct_lines", "lineitem", ("l_returnflag",), ("l_quantity",), natural_key=("l_orderkey", "l_linenumber", "l_partkey"))
+    orders = FactSpec("fct_orders", "orders", ("o_custkey", "o_orderstatus"), ("o_totalprice",), date="o_orderdate")
+    name = "agg_monthly_volume"
+    gold = (GoldSpec(name, "fct_lines", "monthly", ("l_returnflag",), (Metric("volume", "SUM", "l_quantity"),)),
+            GoldSpec(name, "fct_orders", "monthly", ("o_orderstatus",), (Metric("volume", "COUNT"),)))
+    keyed = replace(TABLES["lineitem"], primary_key=("l_orderkey", "l_linenumber", "l_partkey"))
+    model = ModelSpec({"lineitem": keyed, "orders": TABLES["orders"]}, (), (lines, orders), gold)
+    built = build_model({"lineitem": t["lineitem"].drop("l_shipdate"), "orders": t["orders"]}, model, "2024-01-01 00:00:00")
+    found = [built.tables[n].select(F.lit(n).alias("aggregate"), "monthly_date", F.col(kind).alias("kind"), F.col("volume").cast("double").alias("volume"))
+             for n, kind in (("agg_monthly_lines_volume", "l_returnflag"), ("agg_monthly_orders_volume", "o_orderstatus"))]
+    return found[0].unionByName(found[1])
+
+
+@query(MONTHLY_SQL + "select * from monthly order by monthly_date desc limit 5")
+def newest_periods(spark, folder):
+    """The five newest months of an aggregate."""
+    return order_by_period(monthly_quantity(spark, folder), "monthly_date", descending=True, limit=5)
+
+
+@query("""
+select md5(cast(o_orderkey as varchar)) as fct_sales_sk, o_custkey, o_orderkey, o_orderdate, o_totalprice, o_orderdate + interval 3 day as paid_on,
+       cast(o_orderdate + interval 9 day as date) as delivered_on from orders""")
+def fact_extra_dates(spark, folder):
+    """A fact carries all further dates of its source, but no audit stamp."""
+    orders = load(spark, folder, "orders")["orders"].select(
+        "*", F.expr("o_orderdate + interval 3 days").alias("paid_on"), F.expr("cast(o_orderdate + interval 9 days as date)").alias("delivered_on"),
+        F.col("o_orderdate").alias("updated_at"))
+    return build_fact({"sales": orders}, FactSpec("fct_sales", "sales", ("o_custkey",), ("o_totalprice",), date="o_orderdate"), {"sales": TABLES["orders"]})
+
+
+@query("""
+select md5(concat_ws('-', cast(l_orderkey as varchar), cast(l_partkey as varchar), cast(l_shipdate as varchar))) as fct_lines_sk, l_orderkey, l_partkey, l_shipdate, l_quantity,
+       md5(concat_ws('-', cast(l_suppkey as varchar), cast(l_shipdate as varchar))) as fct_stock_sk from lineitem""")
+def fact_keys_with_date(spark, folder):
+    """The date joins the key of a junction, all of whose key columns refer to others, and of a periodic snapshot."""
+    lines = load(spark, folder, "lineitem")["lineitem"]
+    junction = replace(TABLES["lineitem"], primary_key=("l_orderkey", "l_partkey"))
+    fact = FactSpec("fct_lines", "lines", ("l_orderkey", "l_partkey"), ("l_quantity",), date="l_shipdate")
+    by_pair = build_fact({"lines": lines}, fact, {"lines": junction}).select("fct_lines_sk", "l_orderkey", "l_partkey", "l_shipdate", "l_quantity")
+    periodic = FactSpec("fct_stock", "stock", ("l_suppkey", "l_shipdate"), date="l_shipdate", factless=True)
+    stock = build_fact({"stock": lines}, periodic, {"stock": TableSpec(("l_suppkey",))}).select("fct_stock_sk", "l_suppkey", "l_shipdate").distinct()
+    suppliers = lines.select("l_orderkey", "l_partkey", "l_shipdate", "l_quantity", "l_suppkey").distinct()
+    counted = lines.groupBy("l_orderkey", "l_partkey", "l_shipdate", "l_quantity", "l_suppkey").count()
+    paired = by_pair.distinct().join(suppliers, ["l_orderkey", "l_partkey", "l_shipdate", "l_quantity"]).join(stock, ["l_suppkey", "l_shipdate"])
+    repeated = paired.join(counted, ["l_orderkey", "l_partkey", "l_shipdate", "l_quantity", "l_suppkey"])
+    return repeated.select(*by_pair.columns, "fct_stock_sk", F.explode(F.sequence(F.lit(1), F.col("count").cast("int"))).alias("copy")).drop("copy")

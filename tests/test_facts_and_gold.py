@@ -187,9 +187,9 @@ def test_gold_contract(visits):
 
 
 def test_output_names_are_unique():
-    named = unique_names((GoldSpec("agg_daily_total_cost", "fct_bill"), GoldSpec("agg_daily_total_cost", "fct_prescribes"),
-                          GoldSpec("other", "fct_bill")))
-    assert [g.name for g in named] == ["agg_daily_bill_total_cost", "agg_daily_prescribes_total_cost", "other"]
+    named = unique_names((GoldSpec("agg_daily_volume", "fct_orders"), GoldSpec("agg_daily_volume", "fct_lines"),
+                          GoldSpec("other", "fct_orders")))
+    assert [g.name for g in named] == ["agg_daily_orders_volume", "agg_daily_lines_volume", "other"]
     with pytest.raises(ValueError, match="overwrite"):
         unique_names((GoldSpec("x", "fct_a"), GoldSpec("x", "fct_a")))
 

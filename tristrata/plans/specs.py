@@ -185,7 +185,7 @@ class BusinessMetric:
 def unique_names(specs: tuple[GoldSpec, ...]) -> tuple[GoldSpec, ...]:
     """Give aggregates of the same name distinct output names by inserting their fact's short name.
 
-    ``agg_daily_total_cost`` of ``fct_bill`` becomes ``agg_daily_bill_total_cost``.
+    ``agg_daily_volume`` of ``fct_orders`` becomes ``agg_daily_orders_volume``.
     """
     taken = [s.name for s in specs]
     renamed = []
