@@ -98,6 +98,33 @@ def test_rows_of_one_key_go_to_pages_and_files_keep_all_columns(spark, tmp_path)
     assert len(sizes) > 10 and max(sizes.values()) <= 4000
 
 
+def test_pages_of_a_repeated_id_keep_the_limit(spark):
+    rng, limit = random.Random(3), 100
+    rows = [(7, "x" * rng.choice([0, 1, 3, 50, 51, 99, 100, 105])) for _ in range(300)] + [(None, "y" * 40)] * 9 + [(i, "z" * 5) for i in range(100, 140)]
+    found = sharding.assign_shards(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), limit).collect()
+    assert sorted((str(r.doc_id), r.n_bytes) for r in found) == sorted((str(i), len(t)) for i, t in rows)
+    assert_pages([(r.shard, r.page, r.n_bytes) for r in found], limit)
+
+
+def assert_pages(rows, limit):
+    pages: dict = {}
+    for shard, page, n in rows:
+        pages.setdefault((shard, page), []).append(n)
+    assert all(sum(p) <= limit or len(p) == 1 for p in pages.values())
+    assert len(pages) <= 5 * sum(n for *_, n in rows) / limit + 150
+
+
+@pytest.mark.parametrize("limit, groups", [(100, 64), (100, 1), (7, 2), (1, 3)])
+def test_pages_keep_the_limit(spark, monkeypatch, limit, groups):
+    monkeypatch.setattr(sharding, "GROUP_LIMITS", groups)
+    rng = random.Random(limit)
+    sizes = [(f"s{i % 2}", rng.choice([0, 1, limit // 2, limit // 2 + 1, limit, limit + 5])) for i in range(400)]
+    df = spark.createDataFrame([(s, n, sum(m for t, m in sizes if t == s), 200) for s, n in sizes], "shard string, n_bytes long, shard_bytes long, shard_docs long")
+    found = sharding._with_pages(df.repartition(3), limit).collect()
+    assert len(found) == 400
+    assert_pages([(r.shard, r.page, r.n_bytes) for r in found], limit)
+
+
 def test_sharding_an_empty_table(spark):
     assert sharding.assign_shards(spark.createDataFrame([], "doc_id long, text string"), 10).collect() == []
     with pytest.raises(ValueError):
