@@ -5,7 +5,8 @@ characters may occur with up to ``e`` edits, a tenth of its length. By the q-gra
 least ``n - q + 1 - q * e`` q-grams with the item, and they lie on diagonals (place in the document minus place in the
 item) that differ by at most ``e``. So shared q-grams are counted in bands of diagonals, each overlapping the next by
 half, which is more than ``e``; bands that reach the bound are aligned with the item, and what needs at most ``e`` edits
-is reported. Nothing within the budget is lost.
+is reported. The longest ``q`` up to a limit is taken for which the bound is one at least, so nothing within the budget is
+lost: an item of 12 characters is found by its 6-grams, one of 5, which allows no edit, by its only 5-gram.
 
 The benchmark is the query set: its items are taken in blocks of a bounded number of characters, whose q-gram index goes
 to all tasks, and each block is matched against all documents in one pass without a shuffle.
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from tristrata.llm.common import batch, bounded_batches, text_or_empty, written
 
+#: Longest q-grams; shorter ones are taken for items that might share none of this length.
 Q = 8
 #: Edits allowed, as a share of the item's characters.
 EDIT_RATE = 0.1
@@ -80,13 +82,16 @@ def qgram_hashes(points: np.ndarray, q: int) -> np.ndarray:
     return hashes
 
 
-def budget(length: int, q: int, rate: float) -> tuple[int, int]:
-    """Edits allowed for an item of ``length`` characters, and q-grams an occurrence shares at least.
+def budget(length: int, q: int, rate: float) -> tuple[int, int, int]:
+    """Edits allowed for an item of ``length`` characters, the q of its q-grams, ``q`` at most, and how many an occurrence shares at least.
 
-    Where the share of edits leaves no q-gram for certain, only as many edits are allowed as do.
+    ``edits`` edits leave one of ``edits + 1`` pieces of the item whole, so q-grams no longer than a piece are shared for certain.
     """
-    edits = min(int(rate * length), max(0, (length - q) // q))
-    return edits, length - q + 1 - q * edits
+    if not 0 <= rate < 1:
+        raise ValueError(f"the share of edits is at least 0 and below 1, not {rate!r}")
+    edits = int(rate * length)
+    own = min(q, length // (edits + 1))
+    return edits, own, length - own + 1 - own * edits
 
 
 @dataclass
@@ -108,8 +113,7 @@ class Index:
 
     @classmethod
     def build(cls, items: list[tuple[int | None, str]], q: int, rate: float) -> Index:
-        """Items shorter than ``q`` characters have no q-gram and are left out."""
-        items = [(i, t) for i, t in items if len(t) >= q]
+        """An index of the q-grams of items that all take this ``q``."""
         budgets = [budget(len(t), q, rate) for _, t in items]
         grams = [qgram_hashes(_points(t), q) for _, t in items]
         hashes = np.concatenate([*grams, np.empty(0, np.uint64)])
@@ -119,15 +123,16 @@ class Index:
         table[(hashes >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
         different, begins, counts = np.unique(hashes[order], return_index=True, return_counts=True)
         return cls(
-            [i for i, _ in items], [t for _, t in items], np.array([e for e, _ in budgets], np.int64), np.array([n for _, n in budgets], np.int64),
+            [i for i, _ in items], [t for _, t in items], np.array([b[0] for b in budgets], np.int64), np.array([b[2] for b in budgets], np.int64),
             different, begins, counts, np.repeat(np.arange(len(items)), lengths)[order], np.concatenate([*map(np.arange, lengths), np.empty(0, int)]).astype(np.int64)[order],
-            table, max((e for e, _ in budgets), default=0) + 1, q)
+            table, max((b[0] for b in budgets), default=0) + 1, q)
 
     def regions(self, text: str) -> Iterator[tuple[int, int, int]]:
         """``(item, first diagonal, last diagonal)`` of bands that share enough q-grams with an item.
 
         Bands of one width for all items are counted first. Within those that pass, only diagonals count that lie in a
-        window of the item's own edits with enough different q-grams of the item; they are what is given out.
+        window of the item's own edits with enough different q-grams of the item; they are what is given out. An item
+        that allows no edit is given out once, as it is searched for exactly.
         """
         hashes = qgram_hashes(_points(text), self.q)
         at = np.flatnonzero(self.table[(hashes >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
@@ -142,25 +147,34 @@ class Index:
         # Items that share too few q-grams with the text as a whole are out.
         likely = np.bincount(item, minlength=len(self.ids))[item] >= self.needed[item]
         posting, item, at = posting[likely], item[likely], at[likely]
+        if not len(item):
+            return
+        exact = self.edits[item] == 0
+        for number in np.unique(item[exact]).tolist():
+            yield number, 0, 0
+        posting, item, at = posting[~exact], item[~exact], at[~exact]
         if not len(item):
             return
         diagonal = at - self.place[posting]
-        band = diagonal // self.width
-        shift = int(-band.min()) + 1
-        span = int(band.max()) + shift + 1
-        keys, shared = np.unique(np.concatenate([item * span + band + shift, item * span + band + shift - 1]), return_counts=True)
+        # Shared q-grams in order of item and diagonal, so that those of a band lie side by side.
+        low = int(diagonal.min())
+        wide = int(diagonal.max()) - low + 1 + 2 * self.width
+        order = np.argsort(item * wide + diagonal - low, kind="stable")
+        item, diagonal, places = item[order], diagonal[order], self.place[posting[order]]
+        sorted_keys = item * wide + diagonal - low
+        band = (diagonal - low) // self.width
+        span = int(band.max()) + 2
+        keys, shared = np.unique(np.concatenate([item * span + band + 1, item * span + band]), return_counts=True)
         seen = set()
         for key in keys[shared >= self.needed[keys // span]].tolist():
-            number, first = key // span, (key % span - shift) * self.width
-            inside = np.flatnonzero((item == number) & (diagonal >= first) & (diagonal < first + 2 * self.width))
-            inside = inside[np.argsort(diagonal[inside], kind="stable")]
-            diagonals, places = diagonal[inside], self.place[posting[inside]]
-            stops = np.searchsorted(diagonals, diagonals + self.edits[number], "right")
+            number, first = key // span, (key % span - 1) * self.width
+            a, b = np.searchsorted(sorted_keys, [number * wide + max(first, 0), number * wide + first + 2 * self.width])
+            stops = a + np.searchsorted(diagonal[a:b], diagonal[a:b] + self.edits[number], "right")
             enough = [
-                (a, b) for a, b in zip(range(len(stops)), stops.tolist())
-                if b - a >= self.needed[number] and len(set(places[a:b].tolist())) >= self.needed[number]]
+                (i, j) for i, j in zip(range(a, b), stops.tolist())
+                if j - i >= self.needed[number] and len(set(places[i:j].tolist())) >= self.needed[number]]
             if enough:
-                found = number, int(diagonals[enough[0][0]]), int(diagonals[enough[-1][1] - 1])
+                found = number, int(diagonal[enough[0][0]]), int(diagonal[enough[-1][1] - 1])
                 if found not in seen:
                     seen.add(found)
                     yield found
@@ -176,6 +190,7 @@ class Index:
             exact = text.find(wanted)
             if exact >= 0:
                 best[item] = (0, exact, exact + len(wanted))
+            if exact >= 0 or not edits:
                 continue
             points = _points(text) if points is None else points
             found = align(points, _points(wanted), first - edits, last - first + 1 + 2 * edits, edits)
@@ -184,6 +199,24 @@ class Index:
         return best
 
 
+class Indexes:
+    """The items of a block, each in the index of the q that its length asks for. Empty items are left out."""
+
+    def __init__(self, items: list[tuple[int | None, str]], q: int, rate: float):
+        by_q: dict[int, list[tuple[int | None, str]]] = {}
+        for item, text in items:
+            if text:
+                by_q.setdefault(budget(len(text), q, rate)[1], []).append((item, text))
+        self.parts = [Index.build(part, own, rate) for own, part in sorted(by_q.items())]
+
+    def find(self, text: str) -> list[tuple[int | None, int, int, int]]:
+        """``(item id, edits, start, stop)`` of the best region of the normalised text for each item that occurs."""
+        return [(part.ids[i], *region) for part in self.parts for i, region in part.find(text).items()]
+
+    def occur(self, text: str) -> bool:
+        return any(part.find(text) for part in self.parts)
+
+
 def _last_row(text: np.ndarray, item: np.ndarray, first: int, width: int, most: int) -> np.ndarray | None:
     """Edits to turn the whole item into text that starts and ends on one of ``width`` diagonals from ``first`` on."""
     steps = np.arange(width, dtype=np.int32)
@@ -246,10 +279,10 @@ def benchmark_hits(
     """One row ``(doc_id, item_id, edits, start, stop)`` per row of ``docs`` and item that occurs in it.
 
     ``edits`` is the least number over all occurrences, at most ``rate`` times the item's normalised length; ``start``
-    and ``stop`` are code points of the original text around the best occurrence. Items of fewer than ``q`` normalised
-    characters match nothing. Short items get fewer edits, as ``budget`` says.
+    and ``stop`` are code points of the original text around the best occurrence. An item of fewer than ``1 / rate``
+    characters occurs where these stand as they are, within a longer word, too.
 
-    Null and empty texts match nothing. Null and repeated ids stay as they are; rows that repeat have rows of their
+    Null and empty texts and items match nothing. Null and repeated ids stay as they are; rows that repeat have rows of their
     own. Empty tables give empty results. Other columns are ignored.
     """
     spark = bounded_batches(docs.sparkSession)
@@ -258,7 +291,7 @@ def benchmark_hits(
     for block in _blocks(benchmark, item_column, item_text_column, block_characters):
         if len(found) == 1:  # with several blocks each pass is written at once
             found[0] = written(found[0], "benchmark-hits")
-        hits = texts.mapInArrow(_matcher(spark.sparkContext.broadcast(Index.build(block, q, rate))), HITS_SCHEMA)
+        hits = texts.mapInArrow(_matcher(spark.sparkContext.broadcast(Indexes(block, q, rate))), HITS_SCHEMA)
         found.append(written(hits, "benchmark-hits") if found else hits)
     return reduce(DataFrame.unionByName, found) if found else spark.createDataFrame([], HITS_SCHEMA)
 
@@ -272,7 +305,7 @@ def _matcher(index):
                 hits = find(normalised(text))
                 if hits:
                     places = _places(text)
-                    out += ((doc, index.value.ids[i], edits, int(places[a]), int(places[b - 1]) + 1) for i, (edits, a, b) in hits.items() if b > a)
+                    out += ((doc, item, edits, int(places[a]), int(places[b - 1]) + 1) for item, edits, a, b in hits)
             if out:
                 yield batch(HITS, *zip(*out))
     return match
@@ -282,16 +315,20 @@ def drop_contaminated(
     docs: DataFrame, benchmark: DataFrame, rate: float = EDIT_RATE, q: int = Q, text_column: str = "text",
     item_column: str = "item_id", item_text_column: str = "text", block_characters: int = BLOCK_CHARACTERS,
 ) -> DataFrame:
-    """The rows of ``docs``, all columns, in which no item of the benchmark occurs."""
+    """The rows of ``docs``, all columns, in which no item of the benchmark occurs, as ``benchmark_hits`` says.
+
+    Null and empty texts stay, rows that repeat stay as often as they are there, and ids play no part. An empty benchmark
+    drops nothing; an empty table gives an empty result.
+    """
     spark, names, at = bounded_batches(docs.sparkSession), docs.columns, docs.columns.index(text_column)
     schema = docs.schema
     for block in _blocks(benchmark, item_column, item_text_column, block_characters):
-        index = spark.sparkContext.broadcast(Index.build(block, q, rate))
+        index = spark.sparkContext.broadcast(Indexes(block, q, rate))
 
         def keep(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
-            find = index.value.find
+            occur = index.value.occur
             for rows in batches:
-                yield rows.filter(pa.array([not find(normalised(t or "")) for t in rows.column(at).to_pylist()], pa.bool_()))
+                yield rows.filter(pa.array([not occur(normalised(t or "")) for t in rows.column(at).to_pylist()], pa.bool_()))
 
         docs = docs.mapInArrow(keep, schema)
     return docs.select(*names)
