@@ -145,22 +145,23 @@ def _merged_owners(largest: bool):
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, prefix = Trie(largest), None
         block: list[tuple] = []
+
+        def take():
+            # Texts are hashed as the trie gives them out; only hashes wait in the block.
+            block.extend((hashlib.sha256(text).hexdigest(), *state) for text, *state in trie.take())
+
         for rows in batches:
             for n_bytes, content_hash, text, owner, owner_rows, n in zip(*(c.to_pylist() for c in rows.columns)):
                 if (n_bytes, content_hash) != prefix:
-                    block += trie.take()
+                    take()
                     prefix = (n_bytes, content_hash)
                 trie.add(text, owner, n, owner_rows)
             if len(block) >= 2000:
-                yield found(block)
-                block = []
-        block += trie.take()
+                yield batch(GROUPS, *zip(*block))
+                block.clear()
+        take()
         if block:
-            yield found(block)
-
-    def found(block):
-        texts, *state = zip(*block)
-        return batch(GROUPS, [hashlib.sha256(t).hexdigest() for t in texts], *state)
+            yield batch(GROUPS, *zip(*block))
     return merge
 
 
