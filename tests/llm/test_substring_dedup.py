@@ -31,8 +31,9 @@ def brute(docs: list[tuple[int | None, str | None]], size: int) -> list[tuple]:
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("batch_words, range_characters", [(50, 300), (1 << 21, 1 << 24)])
-def test_equals_brute_force(spark, batch_words, range_characters):
+@pytest.mark.parametrize("batch_words, range_characters, partitions", [(50, 300, 50_000), (1 << 21, 1 << 24, 50_000), (50, 300, 3)])
+def test_equals_brute_force(spark, monkeypatch, batch_words, range_characters, partitions):
+    monkeypatch.setattr(op, "MAX_PARTITIONS", partitions)
     rng = random.Random(2)
     vocabulary = ["a", "b", "c", "é", "x,", "X,"]
     passages = [" ".join(rng.choice(vocabulary) for _ in range(n)) for n in (3, 5, 9, 14)]
@@ -48,6 +49,11 @@ def test_equals_brute_force(spark, batch_words, range_characters):
     assert found == brute(docs, 4)
 
 
+def test_groups_are_those_that_occur():
+    assert list(op._groups(np.array([2, 2, 5, 9, 9]))) == [(2, 0, 2), (5, 2, 3), (9, 3, 5)]
+    assert list(op._groups(np.array([], int))) == []
+
+
 def test_intervals_are_maximal():
     assert op.merged(np.array([7, 0, 3, 20, 3]), 4) == [(0, 11), (20, 24)]
     assert op.merged(np.array([0, 4, 9]), 4) == [(0, 8), (9, 13)]

@@ -30,6 +30,8 @@ from tristrata.llm.common import batch, bounded_batches, runs, text_or_empty
 BATCH_WORDS = 1 << 20
 #: Characters of the corpus for each hash range.
 RANGE_CHARACTERS = 3 << 22
+#: Most partitions of a shuffle; beyond, a task works through several ranges or groups of documents, one after the other.
+MAX_PARTITIONS = 50_000
 #: Distinct words whose hashes a worker holds.
 MAX_CACHED_WORDS = 1 << 18
 #: The odd base of the window polynomial, and an odd multiplier that spreads its values over all ranges.
@@ -152,6 +154,14 @@ def _repeats(hashes: np.ndarray, rank: np.ndarray, start: np.ndarray, with_earli
     return kept[np.argsort(hashes[kept], kind="stable")], later
 
 
+def _groups(ordered: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """``(value, begin, end)`` of each run of equal values of a sorted array: only values that occur."""
+    begins = np.flatnonzero(ordered[1:] != ordered[:-1]) + 1 if len(ordered) else np.empty(0, int)
+    edges = [0, *begins.tolist(), len(ordered)] if len(ordered) else [0]
+    for a, b in zip(edges[:-1], edges[1:]):
+        yield int(ordered[a]), a, b
+
+
 def _by_document(doc: np.ndarray, start: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     """Starts of each document index, sorted."""
     order = np.lexsort((start, doc))
@@ -172,12 +182,10 @@ def _found_blocks(doc: np.ndarray, start: np.ndarray, numbers: np.ndarray, known
     """Repeats as one block per target."""
     target = _targets(numbers, digests, targets)[doc]
     order = np.lexsort((start, doc, target))
-    edges = np.searchsorted(target[order], np.arange(targets + 1))
-    for t in range(targets):
-        chosen = order[edges[t]:edges[t + 1]]
-        if len(chosen):
-            docs, index = np.unique(doc[chosen], return_inverse=True)
-            yield t, _packed(index.astype("<u4"), start[chosen].astype("<u4"), numbers[docs], known[docs].astype("u1"), digests[docs])
+    for t, a, b in _groups(target[order]):
+        chosen = order[a:b]
+        docs, index = np.unique(doc[chosen], return_inverse=True)
+        yield t, _packed(index.astype("<u4"), start[chosen].astype("<u4"), numbers[docs], known[docs].astype("u1"), digests[docs])
 
 
 def _hash_windows(size: int, slots: int, targets: int, batch_words: int):
@@ -203,14 +211,12 @@ def _hash_windows(size: int, slots: int, targets: int, batch_words: int):
             kept, later = _repeats(hashes, _id_order(numbers, known)[doc], start, True)
             out = [(t, True, block) for t, block in _found_blocks(doc[later], start[later], numbers, known, hashed, targets)]
             slot = ((hashes[kept] >> np.uint64(32)) * np.uint64(slots)) >> np.uint64(32)
-            edges = np.searchsorted(slot, np.arange(slots + 1))
-            for s in range(slots):
-                chosen = kept[edges[s]:edges[s + 1]]
-                if len(chosen):
-                    docs, index = np.unique(doc[chosen], return_inverse=True)
-                    steps = np.diff(hashes[chosen], prepend=np.uint64(0))
-                    out.append((s, False, _packed(
-                        steps, index.astype("<u4"), start[chosen].astype("<u4"), numbers[docs], known[docs].astype("u1"), hashed[docs])))
+            for s, a, b in _groups(slot):
+                chosen = kept[a:b]
+                docs, index = np.unique(doc[chosen], return_inverse=True)
+                steps = np.diff(hashes[chosen], prepend=np.uint64(0))
+                out.append((s, False, _packed(
+                    steps, index.astype("<u4"), start[chosen].astype("<u4"), numbers[docs], known[docs].astype("u1"), hashed[docs])))
             for i in range(0, len(out), 200):
                 yield batch(SENT, *zip(*out[i:i + 200]))
 
@@ -305,6 +311,11 @@ def merged(starts: np.ndarray, size: int) -> list[tuple[int, int]]:
     return [(int(starts[a]), int(starts[b]) + size) for a, b in zip(begins, ends)]
 
 
+def _dealt(rows: DataFrame, numbers: int, column: str) -> DataFrame:
+    """Rows in partitions by a number below ``numbers``: one number to a partition, or some to each of ``MAX_PARTITIONS``."""
+    return rows.repartitionById(min(numbers, MAX_PARTITIONS), (F.col(column) % min(numbers, MAX_PARTITIONS)).cast("int"))
+
+
 def remove_repeated_passages(
     docs: DataFrame, window: int = 20, id_column: str = "doc_id", text_column: str = "text", with_text: bool = True,
     batch_words: int = BATCH_WORDS, range_characters: int = RANGE_CHARACTERS,
@@ -325,10 +336,10 @@ def remove_repeated_passages(
     slots = characters // range_characters + 1
     targets = 8 * slots
     sent = texts.mapInArrow(_hash_windows(window, slots, targets, batch_words), "slot long, is_found boolean, payload binary")
-    counted = sent.repartition(slots, "slot").sortWithinPartitions("slot").mapInArrow(_count_windows(targets), "target long, payload binary")
+    counted = _dealt(sent, slots, "slot").sortWithinPartitions("slot").mapInArrow(_count_windows(targets), "target long, payload binary")
     nothing = F.lit(None).cast("long")
     found = counted.select("target", F.lit(0).alias("is_text"), nothing.alias("doc_id"), nothing.alias("text_hash"), "payload")
     packed = texts.mapInArrow(_compressed(targets), "target long, is_text int, doc_id long, text_hash long, payload binary")
     # A task gets the repeats of its documents first, packed, and then reads one text after the other.
-    met = found.unionByName(packed).repartition(targets, "target").sortWithinPartitions("target", "is_text")
+    met = _dealt(found.unionByName(packed), targets, "target").sortWithinPartitions("target", "is_text")
     return met.mapInArrow(_remove(window, with_text), RESULT_SCHEMA)
