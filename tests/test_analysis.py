@@ -8,6 +8,7 @@ from tests.conftest import rows
 from tristrata.operators.filters import filter_between, filter_current, filter_recent, filter_year
 from tristrata.operators.metrics import query_metric
 from tristrata.operators.periods import cumulative, period_change, previous_period, year_to_date
+from tristrata.operators.profiling import discover_composite_fks
 from tristrata.operators.quality import check_freshness, check_not_null, check_relationships, check_table, check_unique
 from tristrata.operators.ranking import order_by_period, top_n
 from tristrata.operators.star import DimensionLink, cross_fact, star_aggregate, star_join
@@ -216,3 +217,20 @@ def test_checks_of_a_table_in_one_pass_equal_single_checks(spark, tmp_path):
     assert plan.split("== Initial Plan ==")[-1].count("FileScan parquet") == 2
     empty = check_table(fct.limit(0), "f", [["a"]], ["a"], links, {"dim": dim.limit(0)})
     assert {r.failures for r in empty.collect()} == {0} and empty.count() == 5
+
+
+def test_composite_references_are_found_by_data_alone(spark):
+    lines = [(o, n, f"2024-01-{1 + o % 9:02d}") for o in range(1, 40) for n in range(1, 1 + o % 5)]
+    orders = spark.createDataFrame(lines, "order_id int, line_no int, day string")
+    returns = spark.createDataFrame([(i, n, o) for i, (o, n, _) in enumerate(lines[::3])] + [(900, None, 7), (901, 2, None)], "id int, line_no bigint, order_id bigint")
+    # Every column lies in a column of the key, but not the pairs.
+    strangers = spark.createDataFrame([(5 * k + 1, 1 + k % 4) for k in range(1, 7)], "order_id int, line_no int")
+    tables = {"orders": orders, "returns": returns, "strangers": strangers}
+    keys = {"orders": [("order_id", "line_no")], "returns": [("id",)]}
+    found = discover_composite_fks(tables, keys).collect()
+    assert [(r.child_table, r.child_columns, r.parent_table, r.parent_columns, r.child_distinct, r.parent_distinct, r.evidence, r.rank) for r in found] == [
+        ("returns", ["order_id", "line_no"], "orders", ["order_id", "line_no"], len(lines[::3]), len(lines), "name", 1)]
+    assert discover_composite_fks(tables, {"returns": [("id",)]}).collect() == []
+    three = orders.withColumnsRenamed({"order_id": "a", "line_no": "b", "day": "c"})
+    wide = discover_composite_fks({"orders": orders, "part": three.filter("a > 9")}, {"orders": [("order_id", "line_no", "day")]}).collect()
+    assert [(r.child_columns, r.parent_columns, r.evidence) for r in wide] == [(["a", "b", "c"], ["order_id", "line_no", "day"], "containment only")]

@@ -26,6 +26,8 @@ SAMPLE_VALUES = 50_000
 CANDIDATES = 48
 PAIRS_EACH = 20
 
+# Tuples of columns tried in one pass of the search for composite references.
+TUPLES = 32
 # Columns per 64-bit mask; the sign bit stays free.
 MASK_BITS = 62
 
@@ -236,7 +238,7 @@ def discover_fks(tables: Mapping[str, DataFrame], keys: Mapping[str, Sequence[tu
 
     Containment alone is weak evidence: a small range of integers fits every dense key. ``evidence`` says
     whether the names agree too, ``rank`` orders a column's possible parents by names, then by the share of
-    the parent's values used. Composite keys have to be declared.
+    the parent's values used. Composite keys are ``discover_composite_fks``'s.
     """
     cells = _candidate_cells(tables, keys)
     found = []
@@ -320,6 +322,75 @@ def _inclusions(tables: Mapping[str, DataFrame], cells: Sequence[_Cells], kind:
     return found
 
 
+def discover_composite_fks(tables: Mapping[str, DataFrame], keys: Mapping[str, Sequence[tuple[str, ...]]]) -> DataFrame:
+    """Tuples of columns whose values are all values of a key of as many columns, found from the data.
+
+    The search goes level by level: column inclusions in the first column of a key come first, and only tuples that hold
+    in the first columns of a key are tried with one more. A level is one pass for every ``TUPLES`` tuples, over hashes
+    as in ``discover_fks``. Rows with a NULL in one of the columns refer to nothing. A column stands once in a tuple.
+
+    ``child_columns`` and ``parent_columns`` are in the order of the key. ``evidence`` is ``name`` if all names agree.
+    Keys of one column are left to ``discover_fks``.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    wide = [(table, tuple(key)) for table, of in keys.items() for key in of if len(key) > 1]
+    members = {table: list(dict.fromkeys((c,) for t, key in wide if t == table for c in key)) for table, _ in wide}
+    cells = _candidate_cells(tables, members)
+    kinds = {(name, f.name): _kind(f.dataType) for name, df in tables.items() for f in df.schema}
+    within: dict[tuple[str, str], set[tuple[str, str]]] = {(t, c): {(t, c)} for t, key in wide for c in key}
+    for kind in dict.fromkeys(c.kind for c in cells):
+        for child_table, child, parent_table, parent, *_ in _inclusions(tables, [c for c in cells if c.kind == kind], kind):
+            within[parent_table, parent].add((child_table, child))
+    # Tuples of columns of one table, by the key in whose first columns they lie.
+    holding = {(table, key): {(t, (c,)) for t, c in within[table, key[0]]} for table, key in wide}
+    found: list[tuple] = []
+    for size in range(2, max((len(key) for _, key in wide), default=1) + 1):
+        holding = {(table, key): {(t, (*child, c)) for t, child in of for u, c in within[table, key[size - 1]] if u == t and c not in child}
+                   for (table, key), of in holding.items() if len(key) >= size}
+        counts = _tuple_inclusions(tables, kinds, holding, size)
+        holding = {of: {c for c in children if (c, (of[0], of[1][:size])) in counts} for of, children in holding.items()}
+        for (table, key), children in holding.items():
+            if len(key) == size:
+                found += [(t, list(child), table, list(key), *counts[(t, child), (table, key)],
+                           "name" if all(same_meaning(c, table, k) for c, k in zip(child, key)) else "containment only")
+                          for t, child in children if (t, child) != (table, key)]
+    ranked = []
+    for child in sorted({(r[0], tuple(r[1])) for r in found}):
+        parents = sorted((r for r in found if (r[0], tuple(r[1])) == child), key=lambda r: (r[7] != "name", -r[6], r[2], r[3]))
+        ranked += [(*r, rank) for rank, r in enumerate(parents, start=1)]
+    return spark.createDataFrame(
+        ranked, "child_table string, child_columns array<string>, parent_table string, parent_columns array<string>, "
+                "child_distinct bigint, parent_distinct bigint, coverage double, evidence string, rank int")
+
+
+def _tuple_inclusions(tables, kinds, holding, size: int) -> dict[tuple, tuple[int, int, float]]:
+    """``(child, parent) -> (distinct values of the child, of the parent, their ratio)`` for the inclusions among tuples."""
+    wanted: dict[tuple, set[tuple]] = {}
+    for (table, key), children in holding.items():
+        wanted.setdefault((table, key[:size]), set()).update(children)
+    out: dict[tuple, tuple[int, int, float]] = {}
+    for parent, children in sorted(wanted.items()):
+        ordered = sorted(children)
+        out |= {(c, c): (0, 0, 1.0) for c in ordered if c == parent}
+        ordered = [c for c in ordered if c != parent]
+        for i in range(0, len(ordered), TUPLES):
+            used = [parent, *ordered[i:i + TUPLES]]
+            hashed = {
+                name: tables[name].select(*(_tuple_text(columns, [kinds[name, c] for c in columns]).alias(f"t{n}") for n, (t, columns) in enumerate(used) if t == name))
+                for name in dict.fromkeys(t for t, _ in used)}
+            cells = [_Cells(t, f"t{n}", "string", "", "", 0, n == 0) for n, (t, _) in enumerate(used)]
+            for _, column, _, _, n, of, share, _ in _inclusions(hashed, cells, "string"):
+                out[used[int(column[1:])], parent] = n, of, share
+    return out
+
+
+def _tuple_text(columns: Sequence[str], kinds: Sequence[str]) -> Column:
+    """128 bits of hash of a tuple as text, NULL if one of the columns is."""
+    values = [F.col(c).cast(k) for c, k in zip(columns, kinds)]
+    hashed = value_hash(*values)
+    return F.when(reduce(lambda a, b: a & b, (v.isNotNull() for v in values)), F.concat_ws(":", hashed["a"].cast("string"), hashed["b"].cast("string")))
+
+
 def stem(column: str) -> str:
     """A column name without its one- or two-letter table prefix."""
     prefix, _, rest = column.lower().partition("_")
