@@ -24,8 +24,12 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of similar texts, the one with the smallest id."""
-    return similar.drop_similar(docs, similarity=0.8, shingle=5)
+    """One document of each group of similar texts, the one with the smallest id.
+
+    SimHash fingerprints within four bits pair texts, whose similarity is then checked; MinHash finds similar texts
+    whose fingerprints differ in more.
+    """
+    return similar.drop_similar(docs, similarity=0.8, shingle=5, radius=4)
 
 
 def drop_benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

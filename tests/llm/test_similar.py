@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from tristrata.llm import similar
+from tristrata.llm import simhash, similar
 
 
 def brute_leaders(rows, least=0.8):
@@ -64,6 +64,31 @@ def test_stage_of_the_pipeline_equals_brute_force(spark):
     assert {r.doc_id for r in stage(spark, docs, "").collect()} == brute_leaders(rows)
 
 
+def test_fingerprints_pair_what_is_within_the_radius(spark):
+    rng = random.Random(31)
+    texts = []
+    for _ in range(25):
+        base = [f"w{rng.randrange(3000)}" for _ in range(rng.randint(100, 400))]
+        texts += [" ".join(base), " ".join(edited(rng, base, 1)), " ".join(edited(rng, base, 30))]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    found = similar.written(similar.sketches(docs, 5, "doc_id", "text"), "sketches")
+    node = {r.doc_id: r.node for r in found.collect()}
+    prints = [simhash.text_fingerprints(t, 5, similar.WORDS, distinct=True) for t in texts]
+
+    def connected(links):
+        root = {n: n for n in node.values()}
+        for _ in root:
+            for a, b in links:
+                root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    near = {(node[i], node[j]) for i in range(len(texts)) for j in range(i)
+            if any(((a ^ b) & (1 << 64) - 1).bit_count() <= 4 for a, b in zip(prints[i], prints[j]))}
+    pairs = [(r.u, r.v) for r in similar.fingerprint_pairs(found, 0).collect()]
+    assert len(near) > 10 and connected(pairs) == connected(near)
+    assert len(pairs) == len(set(pairs)) and all(u < v for u, v in pairs)
+
+
 def test_spanning_links_connect_what_pairs_connect():
     rng = np.random.default_rng(5)
     for n in (2, 40, 600):

@@ -68,8 +68,11 @@ def text_fingerprints(text: str, size: int, words: int = 1, distinct: bool = Fal
     """The fingerprints of a text, over every shingle or over each different one once."""
     # bytes.lower() changes A-Z only, and bytes.split() separates at \x20 and \x09-\x0D only.
     hashes = shingle_hashes(text.encode("utf-8", "surrogatepass").lower().split(), size)
-    if distinct:
-        hashes = np.unique(hashes)
+    return hash_fingerprints(np.unique(hashes) if distinct else hashes, words)
+
+
+def hash_fingerprints(hashes: np.ndarray, words: int) -> list[int]:
+    """``words`` fingerprints of the hashes, each of other values of them."""
     return [fingerprint(_mixed(hashes, w)) for w in range(words)]
 
 
@@ -163,6 +166,26 @@ def linked_fingerprints(distinct: DataFrame, radius: int = 4, max_bucket: int =
             max_bucket = 1 << 62
 
 
+def linked_nodes(nodes: DataFrame, radius: int = 4, max_bucket: int = MAX_BUCKET, sharing: bool = True) -> DataFrame:
+    """Edges ``(u, v)`` between nodes of which a fingerprint, of the same place in ``fps``, differs in at most ``radius`` bits.
+
+    ``nodes`` holds every ``(node, fps)`` once. Edges connect whatever such links connect, and may repeat. ``sharing`` is
+    False if no two nodes have a fingerprint in common.
+    """
+    valued = nodes.select("node", F.posexplode("fps").alias("word", "fp"))
+    # One node stands for a fingerprint; others that share it are linked to that one.
+    standing = written(valued.groupBy("word", "fp").agg(F.min("node").alias("first"), F.count("*").alias("n")), "distinct-fingerprints")
+    links = linked_fingerprints(standing.select("word", "fp"), radius, max_bucket)
+    for end in ("u", "v"):
+        firsts = standing.select("word", F.col("fp").alias(end), F.col("first").alias(f"{end}_node"))
+        links = links.join(firsts, ["word", end])
+    edges = links.select(F.col("u_node").alias("u"), F.col("v_node").alias("v"))
+    if sharing:
+        shared = valued.join(standing.filter("n > 1"), ["word", "fp"]).select(F.col("node").alias("u"), F.col("first").alias("v"))
+        edges = edges.unionByName(shared)
+    return edges
+
+
 def near_duplicates(
     docs: DataFrame, radius: int = 4, shingle: int = 4, id_column: str = "doc_id", text_column: str = "text",
     max_bucket: int = MAX_BUCKET, words: int = 1, distinct: bool = False,
@@ -187,17 +210,7 @@ def _placed(docs: DataFrame, radius: int, shingle: int, id_column: str, text_col
     # Documents of equal fingerprints are one node, named by its first fingerprint.
     nodes = prints.groupBy("fps").agg(F.min("doc_id").alias("least_id"))
     nodes = written(nodes.withColumn("node", F.xxhash64("fps") if words > 1 else F.col("fps")[0]), "nodes")
-    valued = nodes.select("node", F.posexplode("fps").alias("word", "fp"))
-    # One node stands for a fingerprint; others that share it are linked to that one.
-    standing = written(valued.groupBy("word", "fp").agg(F.min("node").alias("first"), F.count("*").alias("n")), "distinct-fingerprints")
-    links = linked_fingerprints(standing.select("word", "fp"), radius, max_bucket)
-    for end in ("u", "v"):
-        firsts = standing.select("word", F.col("fp").alias(end), F.col("first").alias(f"{end}_node"))
-        links = links.join(firsts, ["word", end])
-    edges = links.select(F.col("u_node").alias("u"), F.col("v_node").alias("v"))
-    if words > 1:
-        sharing = valued.join(standing.filter("n > 1"), ["word", "fp"]).select(F.col("node").alias("u"), F.col("first").alias("v"))
-        edges = edges.unionByName(sharing)
+    edges = linked_nodes(nodes, radius, max_bucket, sharing=words > 1)
     placed = nodes.join(components(edges), "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = placed.join(least, "root").select("fps", "component_id")

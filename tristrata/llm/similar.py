@@ -1,14 +1,16 @@
-"""Near-duplicates by exact Jaccard similarity of word shingles.
-
-A text is the set of its shingles. ``BANDS`` hashes per text, each of ``ROWS`` minima (MinHash), only find candidates: a
-pair of similarity 0.8 shares none of them with a chance of (1 - 0.8^6)^40, about one in 190,000, more similar ones less.
-(Fingerprints of SimHash are no help here: at 0.8 they differ in far more bits than covering tables can bear.)
-
-Candidates are linked after their sets have been compared, in two steps. Of each bucket one text is compared with all
-others, which settles small buckets and joins most of the large ones. Buckets that hold texts still apart are then dealt
-to tasks whole, with each text once; a task counts what its sets share and gives out a spanning forest of the links,
-never pairs. Buckets above a size are dealt as a grid of blocks of chunks, in which a text is copied once for each row of
-blocks, not for each partner. Buckets of the same texts count once. Nothing is left out.
+"""Near-duplicates by SimHash and MinHash, linked by exact Jaccard similarity of word shingles.
+
+A text is the set of its shingles. First come pairs whose SimHash fingerprints (``WORDS`` of 64 bits over the set) are
+within ``RADIUS`` bits, found by the covering tables of ``simhash``; their sets are compared, and the similar ones joined.
+That settles copies with few edits. Texts of a similarity of 0.8 differ in more bits than covering tables can bear, so
+what is still apart goes on to ``BANDS`` hashes per text, each of ``ROWS`` minima (MinHash): a pair of similarity 0.8
+shares none of them with a chance of (1 - 0.8^6)^40, about one in 190,000, more similar ones less.
+
+These candidates are linked after their sets have been compared, too, in two steps. Of each bucket one text is compared
+with all others that are not joined to it yet, which settles small buckets and joins most of the large ones. Buckets that
+hold texts still apart are then dealt to tasks whole, with each text once; a task counts what its sets share and gives out
+a spanning forest of the links, never pairs. Buckets above a size are dealt as a grid of blocks of chunks, in which a text
+is copied once for each row of blocks, not for each partner. Buckets of the same texts count once. Nothing is left out.
 """
 
 from __future__ import annotations
@@ -22,15 +24,18 @@ from pyspark.sql import DataFrame, functions as F
 
 from tristrata.llm.common import batch, bounded_batches, runs, text_or_empty, written
 from tristrata.llm.components import components
-from tristrata.llm.simhash import shingle_hashes, text_key, without_rows
+from tristrata.llm.simhash import hash_fingerprints, linked_nodes, shingle_hashes, text_key, without_rows
 
+#: SimHash fingerprints of a text, and the bits in which those of a candidate pair may differ.
+WORDS, RADIUS = 3, 4
 BANDS, ROWS = 40, 6
 #: Texts and shingles of one chunk of a bucket; a task compares two chunks at most.
 CHUNK_TEXTS, CHUNK_SHINGLES = 2048, 1 << 22
 
 _FACTORS = np.random.default_rng(8).integers(0, 1 << 32, (BANDS * ROWS, 2), np.uint32) | np.array([1, 0], np.uint32)
 
-SKETCHES = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("node", pa.int64()), ("size", pa.int32()), ("bands", pa.list_(pa.int64()))])
+SKETCHES = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("node", pa.int64()), ("size", pa.int32()),
+                      ("fps", pa.list_(pa.int64())), ("bands", pa.list_(pa.int64()))])
 LINKS = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
@@ -55,7 +60,7 @@ def band_hashes(shingles: np.ndarray) -> list[int]:
 
 
 def sketches(docs: DataFrame, shingle: int, id_column: str, text_column: str) -> DataFrame:
-    """``(doc_id, text_key, node, size, bands)`` per row with words; rows with the same set of shingles are one ``node``."""
+    """``(doc_id, text_key, node, size, fps, bands)`` per row with words; rows with the same set of shingles are one ``node``."""
     bounded_batches(docs.sparkSession)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,11 +69,12 @@ def sketches(docs: DataFrame, shingle: int, id_column: str, text_column: str) ->
             for doc_id, key, text in zip(*(c.to_pylist() for c in rows.columns)):
                 found = shingle_set(text, shingle)
                 if len(found):
-                    out.append((doc_id, key, _signed(xxhash.xxh64_intdigest(found.tobytes(), 7)), len(found), band_hashes(found)))
-            yield batch(SKETCHES, *(zip(*out) if out else [[]] * 5))
+                    out.append((doc_id, key, _signed(xxhash.xxh64_intdigest(found.tobytes(), 7)), len(found),
+                                hash_fingerprints(found, WORDS), band_hashes(found)))
+            yield batch(SKETCHES, *(zip(*out) if out else [[]] * 6))
 
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), text_key(text_column), text_or_empty(text_column).alias("text"))
-    return rows.mapInArrow(sketch, "doc_id long, text_key long, node long, size int, bands array<long>")
+    return rows.mapInArrow(sketch, "doc_id long, text_key long, node long, size int, fps array<long>, bands array<long>")
 
 
 def similar(a: np.ndarray, b: np.ndarray, thousandths: int) -> bool:
@@ -169,28 +175,49 @@ def blocks(active: DataFrame, chunk_texts: int = CHUNK_TEXTS, chunk_shingles: in
     return placed.select("bucket", F.least("c", "other").alias("a"), F.greatest("c", "other").alias("b"), side.alias("side"), "node", "root")
 
 
+def _fitting(a: str, b: str, thousandths: int):
+    """Whether sets of these sizes can be similar: the smaller one cannot share more than it has."""
+    return 1000 * F.least(a, b).cast("long") >= thousandths * F.greatest(a, b).cast("long")
+
+
+def fingerprint_pairs(found: DataFrame, thousandths: int, radius: int = RADIUS) -> DataFrame:
+    """Pairs ``(u, v)`` of nodes, each once, that connect what SimHash fingerprints within ``radius`` bits connect."""
+    nodes = written(found.groupBy("node").agg(F.any_value("size").alias("size"), F.any_value("fps").alias("fps")), "nodes")
+    pairs = linked_nodes(nodes.select("node", "fps"), radius).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    pairs = pairs.filter("u < v").distinct()
+    for end in ("u", "v"):
+        pairs = pairs.join(nodes.select(F.col("node").alias(end), F.col("size").alias(f"size_{end}")).hint("merge"), end)
+    return pairs.filter(_fitting("size_u", "size_v", thousandths)).select("u", "v")
+
+
 def similar_links(found: DataFrame, docs: DataFrame, thousandths: int, shingle: int, text_column: str, chunk_texts: int = CHUNK_TEXTS,
-                  chunk_shingles: int = CHUNK_SHINGLES) -> DataFrame:
+                  chunk_shingles: int = CHUNK_SHINGLES, radius: int = RADIUS) -> DataFrame:
     """Edges ``(u, v)`` between similar nodes that connect whatever candidates of at least that similarity connect."""
+    near = written(fingerprint_pairs(found, thousandths, radius), "fingerprint-pairs")
     keyed = found.select("node", "size", F.explode("bands").alias("bucket"))
     shared = keyed.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most").select("bucket")
     active = written(keyed.join(shared.hint("merge"), "bucket").distinct(), "candidates")
     one_text = found.groupBy("node").agg(F.min("text_key").alias("text_key"))
-    wanted = active.select("node").distinct().join(one_text.hint("merge"), "node")
+    candidates = active.select("node").unionByName(near.select(F.explode(F.array("u", "v")).alias("node"))).distinct()
+    wanted = candidates.join(one_text.hint("merge"), "node")
     texts = docs.select(text_key(text_column), text_or_empty(text_column).alias("text")).dropDuplicates(["text_key"])
     texts = written(texts.join(wanted.hint("merge"), "text_key").select("node", "text"), "candidate-texts")
 
+    joined = written(verified(near, texts, thousandths, shingle), "similar")
+    roots = written(components(joined), "roots")
+
+    def rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+        return rows.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+
     # One text with all others: the smallest node, which is the same one in buckets of the same texts.
-    first = active.groupBy("bucket").agg(F.min(F.struct("node", "size")).alias("first"))
-    star = active.join(first.hint("merge"), "bucket").filter(F.col("node") > F.col("first.node"))
-    # The smaller set cannot share more than it has.
-    fitting = 1000 * F.least("size", "first.size").cast("long") >= thousandths * F.greatest("size", "first.size").cast("long")
-    pairs = star.filter(fitting).select(F.col("first.node").alias("u"), F.col("node").alias("v")).distinct()
-    links = written(verified(pairs, texts, thousandths, shingle), "similar")
-
-    roots = written(components(links), "roots")
-    active = active.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    met = blocks(active, chunk_texts, chunk_shingles).join(texts.hint("merge"), "node")
+    first = F.min(F.struct("node", "size", "root")).alias("first")
+    placed = rooted(active, roots)
+    star = placed.join(placed.groupBy("bucket").agg(first).hint("merge"), "bucket").filter("node > first.node and root <> first.root")
+    pairs = star.filter(_fitting("size", "first.size", thousandths)).select(F.col("first.node").alias("u"), F.col("node").alias("v")).distinct()
+    joined = joined.unionByName(written(verified(pairs, texts, thousandths, shingle), "similar"))
+
+    roots = written(components(joined), "roots")
+    met = blocks(rooted(active, roots), chunk_texts, chunk_shingles).join(texts.hint("merge"), "node")
     dealt = met.repartition("bucket", "a", "b").sortWithinPartitions("bucket", "a", "b").select("bucket", "a", "b", "side", "node", "root", "text")
     more = written(dealt.mapInArrow(_block_links(thousandths, shingle), "u long, v long"), "similar")
     return roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more)
@@ -198,17 +225,18 @@ def similar_links(found: DataFrame, docs: DataFrame, thousandths: int, shingle:
 
 def drop_similar(
     docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_column: str = "doc_id", text_column: str = "text",
-    chunk_texts: int = CHUNK_TEXTS, chunk_shingles: int = CHUNK_SHINGLES,
+    chunk_texts: int = CHUNK_TEXTS, chunk_shingles: int = CHUNK_SHINGLES, radius: int = RADIUS,
 ) -> DataFrame:
     """The rows of ``docs``, all columns, without near-duplicates: the row with the smallest id of each group stays.
 
     Texts are lower-cased (A-Z) and cut into words at ASCII white space; two are linked if the Jaccard similarity of
     their sets of runs of ``shingle`` words (of all words, if there are fewer) is at least ``similarity``, compared in
-    thousandths. Groups are what links connect. Texts without words all stay. Rows with a null id stay if their group has
+    thousandths. SimHash fingerprints within ``radius`` bits are the first candidates, MinHash bands those of texts that
+    are apart after that. Groups are what links connect. Texts without words all stay. Rows with a null id stay if their group has
     no other, and rows of the group that repeat the id that stays do so, too. An empty table stays one.
     """
     found = written(sketches(docs, shingle, id_column, text_column), "sketches")
-    edges = similar_links(found, docs, round(1000 * similarity), shingle, text_column, chunk_texts, chunk_shingles)
+    edges = similar_links(found, docs, round(1000 * similarity), shingle, text_column, chunk_texts, chunk_shingles, radius)
     nodes = found.groupBy("node").agg(F.min("doc_id").alias("least_id"))
     placed = nodes.join(components(edges).hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
