@@ -1,8 +1,11 @@
+import hashlib
 from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F, types as T
 
+import sample_queries.catalogue  # noqa: F401  (registers the queries)
+from sample_queries.registry import QUERIES
 from tests.conftest import rows
 from tristrata.functions.columns import is_measure
 from tristrata.functions.keys import surrogate_key
@@ -228,3 +231,16 @@ def test_length_prefixed_keys_do_not_collide(spark):
     keys = [build_fact({"t": source}, FactSpec("fct", "t", (), ("m",), natural_key=("x", "y"), length_prefixed=p), {}).select("fct_sk").distinct().count()
             for p in (False, True)]
     assert keys == [1, 2]
+
+
+def test_both_keys_of_a_line_need_no_shuffle(spark, tmp_path):
+    lines = [(1, 10, 5, 1, 2.0, "2024-01-01 00:00:00"), (1, 10, 5, 1, 2.0, "2024-01-01 00:00:00"), (1, 10, 6, 2, 2.0, "2024-01-01 00:00:00"),
+             (2, 11, 5, 1, 3.0, "2024-01-02 00:00:00"), (None, 11, 5, 1, 3.0, "2024-01-02 00:00:00"), (3, 11, None, 1, 3.0, "2024-01-02 00:00:00"),
+             (4, 11, 5, 1, None, "2024-01-02 00:00:00"), (5, 11, 5, 1, 3.0, None)]
+    df = spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, shipped string")
+    df.select("*", F.col("shipped").cast("timestamp").alias("l_shipdate")).drop("shipped").write.parquet(str(tmp_path / "lineitem.parquet"))
+    made = QUERIES["fact_keys_with_date"](spark, str(tmp_path))
+    md5 = lambda *parts: hashlib.md5("-".join(map(str, parts)).encode()).hexdigest()
+    expected = [(md5(o, p, at), md5(s, at)) for o, p, s, _, quantity, at in lines if None not in (o, s, quantity, at)]
+    assert sorted((r.fct_lines_sk, r.fct_stock_sk) for r in made.collect()) == sorted(expected)
+    assert "Exchange" not in made._jdf.queryExecution().toString()
