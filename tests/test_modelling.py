@@ -246,3 +246,19 @@ def test_key_of_five_among_sixty_columns(spark, monkeypatch):
 def test_proposal_finds_a_key_of_four(spark):
     df = spark.range(81).selectExpr(*(f"cast(floor(id / {3 ** i}) % 3 as int) as {c}" for i, c in enumerate("abcd")), "1.5D as price")
     assert find_tables({"wide": df})[0]["wide"].primary_key == ("a", "b", "c", "d")
+
+
+def test_candidates_with_a_part_in_common_are_settled_by_one_pass(spark, monkeypatch):
+    """Few rows repeat a value of ``a`` and ``b``; whatever holds both is tried on these rows, not on all again."""
+    rng = random.Random(3)
+    data = [(i // 4, i % 4 + 4 * rng.randrange(60), rng.randrange(6), rng.randrange(6), rng.randrange(6)) for i in range(2000)]
+    data += [(a, b, (c + 1) % 6, (d + 1) % 6, e) for a, b, c, d, e in data[::500]]
+    df = spark.createDataFrame(data, "a int, b int, c int, d int, e int").repartition(3)
+    unique = [set(k) for n in range(1, 6) for k in combinations("abcde", n) if len({tuple(r["abcde".index(c)] for c in k) for r in data}) == len(data)]
+    expected = sorted([tuple(sorted(k)) for k in unique if not any(o < k for o in unique)], key=lambda k: (len(k), k))
+    monkeypatch.setattr(profiling, "SAMPLE_VALUES", 100)
+    parts, find = [], profiling._repeating
+    monkeypatch.setattr(profiling, "_repeating", lambda *args: parts.append(find(*args)) or parts[-1])
+    assert discover_keys(df) == expected and ("a", "b", "c") in expected
+    tried = [p for r in parts for p in r.parts]
+    assert not any(p != q and p & q == q for i, p in enumerate(tried) for q in tried[:i])

@@ -6,7 +6,7 @@ short row per column, key or dependency, never data.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from functools import reduce
@@ -15,16 +15,21 @@ from itertools import islice
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from tristrata.functions.columns import DATE_TYPES
+from tristrata.session import new_work_path
 
 # Sketches of 2^12 registers: their standard error is 1.04 / sqrt(2^12).
 SKETCH_LOG_REGISTERS = 12
 SKETCH_ERROR = 1.04 / 2 ** (SKETCH_LOG_REGISTERS / 2)
 
-# Candidates are tried on about so many of their values before they are tried on all; candidates of one pass; and
+# Candidates are tried on about so many rows before they are tried on all; candidates of one pass; and
 # sets of columns learned from each.
 SAMPLE_VALUES = 50_000
 CANDIDATES = 48
 PAIRS_EACH = 20
+# Columns that several candidates have in common stand for them if about so many of the rows, at most, repeat a value there.
+REPEATED_SHARE = 0.01
+# Values of one partition in a pass over all of them.
+PARTITION_VALUES = 4_000_000
 
 # Tuples of columns tried in one pass of the search for composite references.
 TUPLES = 32
@@ -92,37 +97,45 @@ def discover_keys(df: DataFrame, max_columns: int | None = None, smallest_only:
     the least number of columns.
 
     Integer, decimal, text and date columns qualify. Two rows that agree in a set of columns rule out every key inside it,
-    so a key has a column outside each such set. Sets come from pairs of rows that share a value in a sample of values,
-    first of single columns and of all columns but one, and are made larger a column at a time; the smallest choices of columns that leave all of them (minimal hitting sets) are tried, some dozen in one pass: a
-    sample of their values refutes most, a pass over all values the others, and each refutation yields a pair of rows and
-    so another set. What no row repeats is a key. Passes grow with the sets that have to be learned, not with the
-    number of combinations; 128-bit hashes are shuffled, not values.
+    so a key has a column outside each such set. Sets come from pairs of rows that share a value in a sample, first of
+    single columns and of all columns but one, and are made larger a column at a time; the smallest choices of columns
+    that leave all of them (minimal hitting sets) are tried, some dozen at once. The sample is written once and refutes
+    most. What it cannot refute is settled by passes over all values: a value that repeats in some columns repeats in each
+    part of them, so of a part that the candidates have in common the few rows with repeated values are kept, and the
+    candidates, also later ones that hold the part, are tried on these. Each refutation yields a pair of rows and so
+    another set. What no row repeats is a key. 128-bit hashes are shuffled, not values.
     """
     kinds = (T.IntegralType, T.DecimalType, T.StringType, *DATE_TYPES)
     names = [f.name for f in df.schema if isinstance(f.dataType, kinds)]
     if not names:
         return []
     df = df.select(*names)
-    stats = df.agg(F.count(F.lit(1)).alias("rows"), *(F.count(c).alias(c) for c in names)).first()
-    rows = stats["rows"]
-    names = [c for c in names if stats[c] == rows]
+    stats = df.agg(F.count(F.lit(1)).alias("rows"), *(F.count(c) for c in names), *(_sketched_distinct(c) for c in names)).first()
+    rows, distinct = stats[0], {c: d for c, n, d in zip(names, stats[1:len(names) + 1], stats[len(names) + 1:]) if n == stats[0]}
+    names = list(distinct)
     if rows == 0 or not names:
         return []
-    share = min(1.0, SAMPLE_VALUES / rows)
+    columns = [f"c{i}" for i in range(len(names))]
+    df = df.select(*(F.col(n).alias(c) for n, c in zip(names, columns)))
+    sample = _Sample.of(df, columns, list(distinct.values()), rows)
     whole = (1 << len(names)) - 1
     singles = [1 << i for i in range(len(names))]
     first = singles + [whole & ~i for i in singles if len(names) > 2]
-    agreeing = _maximal({0} | _agreeing(df, first, names, share)[1])
+    agreeing = _maximal({0} | sample.agreeing(first)[1])
     keys: set[int] = set()
+    repeating: list[_Repeating] = []
     for size in range(1, min(len(names), max_columns or len(names)) + 1):
         while candidates := list(islice((c for c in _hitting_sets(agreeing, len(names), size) if c not in keys), CANDIDATES)):
-            refuted, found = _agreeing(df, candidates, names, share)
+            refuted, found = sample.agreeing(candidates)
             unrefuted = [c for c in candidates if c not in refuted]
-            if share < 1 and unrefuted:
-                refuted, more = _repeating(df, unrefuted, names)
-                unrefuted, found = [c for c in unrefuted if c not in refuted], found | more
+            if not sample.whole and unrefuted:
+                if any(not any(r.settles(c) for r in repeating) for c in unrefuted):
+                    repeating.append(_repeating(df, sample, [c for c in unrefuted if not any(r.settles(c) for r in repeating)], columns))
+                for rest in repeating:
+                    refuted, more = rest.agreeing([c for c in unrefuted if rest.settles(c)])
+                    unrefuted, found = [c for c in unrefuted if c not in refuted], found | more
             keys.update(unrefuted)
-            agreeing = _maximal(agreeing | found | _grown(df, found, names, share))
+            agreeing = _maximal(agreeing | found | _grown(sample, found, len(names)))
         if smallest_only and keys:
             break
     return sorted((tuple(c for i, c in enumerate(names) if k >> i & 1) for k in keys), key=lambda k: (len(k), [names.index(c) for c in k]))
@@ -159,20 +172,22 @@ def _hitting_sets(agreeing: set[int], n: int, size: int) -> Iterator[int]:
     yield from search([], (1 << n) - 1, outside)
 
 
-def _grown(df: DataFrame, sets: set[int], names: Sequence[str], share: float) -> set[int]:
-    """Larger sets of columns in which two rows agree, from the largest of ``sets`` with one more column."""
+def _grown(sample: _Sample, sets: set[int], n: int) -> set[int]:
+    """Larger sets of columns in which two rows agree, from the largest of ``sets`` with one more of ``n`` columns."""
     largest = sorted(_maximal(sets), key=int.bit_count)[-2:]
-    tried = [s | 1 << i for s in largest for i in range(len(names)) if not s >> i & 1][:2 * CANDIDATES]
-    return _agreeing(df, tried, names, share)[1] if tried else set()
+    tried = [s | 1 << i for s in largest for i in range(n) if not s >> i & 1][:2 * CANDIDATES]
+    return sample.agreeing(tried)[1] if tried else set()
 
 
-def _cells(df: DataFrame, candidates: Sequence[int], names: Sequence[str], signed: bool) -> DataFrame:
-    """``(i, value)`` per row and candidate, ``signed`` with the hashes of all columns of the row."""
-    cells = F.array(*(
-        F.struct(F.lit(i).alias("i"), value_hash(*(F.col(n) for j, n in enumerate(names) if c >> j & 1)).alias("value"))
-        for i, c in enumerate(candidates)))
-    rows = df.select(F.explode(cells).alias("cell"), *([F.array(*map(F.xxhash64, names)).alias("row")] if signed else []))
-    return rows.select("cell.*", *(["row"] if signed else []))
+def _cells(df: DataFrame, candidates: Sequence[int], names: Sequence[str], more: Sequence[Column] = (),
+           among: Mapping[int, Column] | None = None, hashed: Callable[..., Column] = value_hash) -> DataFrame:
+    """``(i, value)`` per row and candidate, with ``more`` of the row; with ``among`` only the rows that it tells of each."""
+    cells = []
+    for i, c in enumerate(candidates):
+        cell = F.struct(F.lit(i).alias("i"), hashed(*(F.col(n) for j, n in enumerate(names) if c >> j & 1)).alias("value"))
+        cells.append(F.when(among[c], cell) if among else cell)
+    array = F.array_compact(F.array(*cells)) if among else F.array(*cells)
+    return df.select(F.explode(array).alias("cell"), *more).select("cell.*", "*").drop("cell")
 
 
 def _pairs(cells: DataFrame, candidates: Sequence[int]) -> tuple[set[int], set[int]]:
@@ -185,25 +200,103 @@ def _pairs(cells: DataFrame, candidates: Sequence[int]) -> tuple[set[int], set[i
     return {candidates[r["i"]] for r in found}, {int(r["same"][::-1], 2) for r in found}
 
 
-def _agreeing(df: DataFrame, candidates: Sequence[int], names: Sequence[str], share: float) -> tuple[set[int], set[int]]:
-    """``_pairs`` of a share of the values of each candidate; all rows of a value are in it or none."""
-    cells = _cells(df, candidates, names, True)
-    if share < 1:
-        cells = cells.filter(F.pmod("value.a", F.lit(1 << 30)) < int(share * (1 << 30)) + 1)
-    return _pairs(cells, candidates)
-
-
-def _repeating(df: DataFrame, candidates: Sequence[int], names: Sequence[str]) -> tuple[set[int], set[int]]:
-    """``_pairs`` of one repeated value of each candidate that has any, from a pass over all values."""
-    repeated = _cells(df, candidates, names, False).groupBy("i", "value").count().filter("count > 1")
-    example = repeated.groupBy("i").agg(F.min("value").alias("value")).collect()  # a row per candidate
-    if not example:
-        return set(), set()
-    listed = df.sparkSession.createDataFrame([(r["i"], r["value"]) for r in example], "i int, value struct<a: bigint, b: bigint>")
-    again = [r["i"] for r in example]
-    cells = _cells(df, candidates, names, True).join(F.broadcast(listed), ["i", "value"], "left_semi")
-    refuted, sets = _pairs(cells, candidates)
-    return refuted | {candidates[i] for i in again}, sets
+def _signature(names: Sequence[str]) -> list[Column]:
+    return [F.array(*map(F.xxhash64, names)).alias("row")]
+
+
+@dataclass(frozen=True)
+class _Sample:
+    """Rows among which candidates are tried first.
+
+    For each column of many values there are all rows of a share of its values, so that rows which agree in columns with
+    it are taken together; a share of the different rows is for candidates without such a column.
+    """
+
+    rows: DataFrame
+    columns: Sequence[str]
+    distinct: Mapping[int, int]
+    whole: bool
+    total: int
+
+    @staticmethod
+    def of(df: DataFrame, columns: Sequence[str], distinct: Sequence[int], rows: int) -> _Sample:
+        if rows <= SAMPLE_VALUES:
+            return _Sample(df, columns, {}, True, rows)
+        share = SAMPLE_VALUES / rows
+        many = {i: d for i, d in enumerate(distinct) if d * share >= 100}
+        taken = {i: F.pmod(F.xxhash64(columns[i]), F.lit(1 << 30)) < int(share * (1 << 30)) + 1 for i in many}
+        taken[len(columns)] = F.pmod(F.xxhash64(*columns), F.lit(1 << 30)) < int(share * (1 << 30)) + 1
+        marked = df.withColumns({f"in{i}": t for i, t in taken.items()}).filter(" or ".join(f"in{i}" for i in taken))
+        return _Sample(_written(marked, "sample"), columns, many, False, rows)
+
+    def among(self, candidates: Sequence[int]) -> dict[int, Column] | None:
+        if self.whole:
+            return None
+        best = {c: max((i for i in self.distinct if c >> i & 1), key=self.distinct.get, default=len(self.columns)) for c in candidates}
+        return {c: F.col(f"in{i}") for c, i in best.items()}
+
+    def agreeing(self, candidates: Sequence[int]) -> tuple[set[int], set[int]]:
+        """``_pairs`` of the rows that are there for each candidate."""
+        return _pairs(_cells(self.rows, candidates, self.columns, _signature(self.columns), self.among(candidates)), candidates)
+
+    def repeated_share(self, parts: Sequence[int]) -> dict[int, float]:
+        """About which share of all rows has a value that repeats, of each set of columns."""
+        counts = _cells(self.rows, parts, self.columns, (), self.among(parts)).groupBy("i", "value").agg(F.count("*").alias("n"))
+        shares = counts.groupBy("i").agg((F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)) / F.sum("n")).alias("share")).collect()
+        return {parts[r["i"]]: r["share"] for r in shares}
+
+
+@dataclass(frozen=True)
+class _Repeating:
+    """All ``rows`` with a value that occurs twice in some ``parts``, sets of columns; ``part`` is the place of one."""
+
+    rows: DataFrame
+    parts: Sequence[int]
+    columns: Sequence[str]
+
+    def _part(self, candidate: int) -> int | None:
+        return next((i for i, p in enumerate(self.parts) if p & candidate == p), None)
+
+    def settles(self, candidate: int) -> bool:
+        return self._part(candidate) is not None
+
+    def agreeing(self, candidates: Sequence[int]) -> tuple[set[int], set[int]]:
+        """``_pairs`` of candidates that hold one of the parts: what it tells of these rows holds for all."""
+        if not candidates:
+            return set(), set()
+        among = {c: F.col("part") == self._part(c) for c in candidates}
+        return _pairs(_cells(self.rows, candidates, self.columns, _signature(self.columns), among), candidates)
+
+
+def _repeating(df: DataFrame, sample: _Sample, candidates: Sequence[int], columns: Sequence[str]) -> _Repeating:
+    """The rows with repeated values of few parts, of which each candidate holds one, from passes over all values.
+
+    Parts are what candidates have in common, if few rows repeat a value of it, else the candidates themselves.
+    """
+    common = {c & d for c in candidates for d in candidates} - set(candidates) - {0}
+    common = sorted(common, key=lambda p: -sum(p & c == p for c in candidates))[:2 * CANDIDATES]
+    shares = sample.repeated_share(common) if common else {}
+    parts, left = [], list(candidates)
+    for part in sorted((p for p in common if shares.get(p, 1.0) <= REPEATED_SHARE), key=lambda p: (-sum(p & c == p for c in candidates), -p.bit_count())):
+        if sum(part & c == part for c in left) > 1:
+            parts.append(part)
+            left = [c for c in left if part & c != part]
+    parts += left
+    # 64 bits will do here, as their clashes only add rows. Nearly every value stands alone, so none are combined before
+    # they are dealt, and partitions are as many as their number asks for.
+    cells = _cells(df, parts, columns, (), None, F.xxhash64)
+    dealt = max(sample.total * len(parts) // PARTITION_VALUES, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    counted = cells.repartition(dealt, "i", "value").groupBy("i", "value").agg(F.count("*").alias("n"))
+    values = _written(counted.filter("n > 1").select("i", "value"), "repeated-values")
+    again = _cells(df, parts, columns, [F.col(c) for c in columns], None, F.xxhash64).join(values, ["i", "value"], "left_semi")
+    rows = _written(again.select(F.col("i").alias("part"), *columns), "repeating")
+    return _Repeating(rows, parts, columns)
+
+
+def _written(df: DataFrame, label: str) -> DataFrame:
+    path = new_work_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def discover_all_keys(
