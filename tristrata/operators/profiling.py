@@ -273,7 +273,8 @@ def _repeating(df: DataFrame, sample: _Sample, candidates: Sequence[int], column
 
     Parts are what candidates have in common, if few rows repeat a value of it, else the candidates themselves.
     """
-    common = {c & d for c in candidates for d in candidates} - set(candidates) - {0}
+    # Only rows taken by a column of the part tell how many of its values repeat.
+    common = {p for p in {c & d for c in candidates for d in candidates} - set(candidates) if any(p >> i & 1 for i in sample.distinct)}
     common = sorted(common, key=lambda p: -sum(p & c == p for c in candidates))[:2 * CANDIDATES]
     shares = sample.repeated_share(common) if common else {}
     parts, left = [], list(candidates)
