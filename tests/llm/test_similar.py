@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tristrata.llm import simhash, similar
+from tristrata.session import work_dir
 
 
 def brute_leaders(rows, least=0.8):
@@ -136,3 +138,26 @@ def test_nulls_repeats_and_clashing_names(spark):
     assert sorted((r.doc_id or 0, len(r.text or "")) for r in kept.collect()) == sorted(
         (i or 0, len(t or "")) for i, t in [rows[0], rows[1], rows[2], rows[3], rows[4], rows[7], rows[9], rows[10], rows[11]])
     assert similar.drop_similar(docs.limit(0)).collect() == []
+
+
+def test_steps_write_as_many_files_as_their_rows_ask_for(spark):
+    """Every file costs a process on some file systems, however few rows it has."""
+    rng = random.Random(5)
+    hot = [f"w{rng.randrange(3000)}" for _ in range(150)]
+    docs = spark.createDataFrame([(i, " ".join(edited(rng, hot, rng.randint(0, 14)))) for i in range(90)], "doc_id long, text string")
+    was = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    folder = Path(work_dir(spark))
+    before = set(folder.iterdir())
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "40")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        similar.drop_similar(docs).count()
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    files: dict[str, list[int]] = {}
+    for step in sorted(set(folder.iterdir()) - before):
+        files.setdefault(step.name.rsplit("-", 1)[0], []).append(len(list(step.glob("*.parquet"))))
+    assert all(n <= 4 for n in files["roots"])
+    # Of each search for components only the links as they come have more.
+    assert sum(n > 4 for n in files["edges"]) <= 3 and "similar" not in files

@@ -17,6 +17,15 @@ def bounded_batches(spark: SparkSession, rows: int = 1000, megabytes: int = 16)
     return spark
 
 
+#: Short rows (some numbers) of one file between steps.
+FILE_ROWS = 200_000
+
+
+def few_files(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` of at most about ``rows`` short rows in as many partitions as these fill, but enough for all cores."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, rows // FILE_ROWS + 1))
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` written to the shared work folder and read back, so that a lost executor costs no recomputation.
 

@@ -2,14 +2,15 @@
 
 Every round links nodes to the smallest node in reach with joins and aggregates only, so a node with very many
 neighbours is pre-aggregated before the shuffle and its joined rows are split by adaptive execution. Rounds grow with
-the logarithm of the longest path; each is written to the shared work folder, so that its lineage ends there.
+the logarithm of the longest path; each is written to the shared work folder, so that its lineage ends there, in as
+many files as its edges ask for and not one for each shuffle partition.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from tristrata.llm.common import written
+from tristrata.llm.common import few_files, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -41,11 +42,11 @@ def components(edges: DataFrame) -> DataFrame:
     edges = written(edges.select("u", "v").filter("u is not null and v is not null and u <> v").distinct(), "edges")
     before = _state(edges)
     while True:
-        edges = written(_small_star(_large_star(edges)).filter("u <> v").distinct(), "edges")
+        edges = written(few_files(_small_star(_large_star(edges)).filter("u <> v").distinct(), before[0]), "edges")
         after = _state(edges)
         if after == before:
             break
         before = after
     roots = edges.groupBy("u").agg(F.min("v").alias("root"))
-    return roots.select(F.col("u").alias("node"), "root").unionByName(
-        roots.select(F.col("root").alias("node"), "root").distinct())
+    named = roots.select(F.col("u").alias("node"), "root").unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
+    return few_files(named, before[0])

@@ -25,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
-from tristrata.llm.common import batch, bounded_batches, runs, text_or_empty, unused, written
+from tristrata.llm.common import batch, bounded_batches, few_files, runs, text_or_empty, unused, written
 from tristrata.llm.components import components
 
 #: Distinct fingerprints of one bucket that a task compares with each other.
@@ -174,7 +174,8 @@ def linked_nodes(nodes: DataFrame, radius: int = 4, max_bucket: int = MAX_BUCKET
     """
     valued = nodes.select("node", F.posexplode("fps").alias("word", "fp"))
     # One node stands for a fingerprint; others that share it are linked to that one.
-    standing = written(valued.groupBy("word", "fp").agg(F.min("node").alias("first"), F.count("*").alias("n")), "distinct-fingerprints")
+    standing = valued.groupBy("word", "fp").agg(F.min("node").alias("first"), F.count("*").alias("n"))
+    standing = written(few_files(standing, valued.count()), "distinct-fingerprints")
     links = linked_fingerprints(standing.select("word", "fp"), radius, max_bucket)
     for end in ("u", "v"):
         firsts = standing.select("word", F.col("fp").alias(end), F.col("first").alias(f"{end}_node"))

@@ -22,7 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from tristrata.llm.common import batch, bounded_batches, runs, text_or_empty, written
+from tristrata.llm.common import batch, bounded_batches, few_files, runs, text_or_empty, written
 from tristrata.llm.components import components
 from tristrata.llm.simhash import hash_fingerprints, linked_nodes, shingle_hashes, text_key, without_rows
 
@@ -182,7 +182,8 @@ def _fitting(a: str, b: str, thousandths: int):
 
 def fingerprint_pairs(found: DataFrame, thousandths: int, radius: int = RADIUS) -> DataFrame:
     """Pairs ``(u, v)`` of nodes, each once, that connect what SimHash fingerprints within ``radius`` bits connect."""
-    nodes = written(found.groupBy("node").agg(F.any_value("size").alias("size"), F.any_value("fps").alias("fps")), "nodes")
+    nodes = found.groupBy("node").agg(F.any_value("size").alias("size"), F.any_value("fps").alias("fps"))
+    nodes = written(few_files(nodes, found.count()), "nodes")
     pairs = linked_nodes(nodes.select("node", "fps"), radius).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     pairs = pairs.filter("u < v").distinct()
     for end in ("u", "v"):
@@ -190,6 +191,10 @@ def fingerprint_pairs(found: DataFrame, thousandths: int, radius: int = RADIUS)
     return pairs.filter(_fitting("size_u", "size_v", thousandths)).select("u", "v")
 
 
+def _as_edges(roots: DataFrame) -> DataFrame:
+    return roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
+
+
 def similar_links(found: DataFrame, docs: DataFrame, thousandths: int, shingle: int, text_column: str, chunk_texts: int = CHUNK_TEXTS,
                   chunk_shingles: int = CHUNK_SHINGLES, radius: int = RADIUS) -> DataFrame:
     """Edges ``(u, v)`` between similar nodes that connect whatever candidates of at least that similarity connect."""
@@ -203,8 +208,8 @@ def similar_links(found: DataFrame, docs: DataFrame, thousandths: int, shingle:
     texts = docs.select(text_key(text_column), text_or_empty(text_column).alias("text")).dropDuplicates(["text_key"])
     texts = written(texts.join(wanted.hint("merge"), "text_key").select("node", "text"), "candidate-texts")
 
-    joined = written(verified(near, texts, thousandths, shingle), "similar")
-    roots = written(components(joined), "roots")
+    # Links found go straight to the components, and what these join stands for them in the next step.
+    roots = written(components(verified(near, texts, thousandths, shingle)), "roots")
 
     def rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
         return rows.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -214,13 +219,10 @@ def similar_links(found: DataFrame, docs: DataFrame, thousandths: int, shingle:
     placed = rooted(active, roots)
     star = placed.join(placed.groupBy("bucket").agg(first).hint("merge"), "bucket").filter("node > first.node and root <> first.root")
     pairs = star.filter(_fitting("size", "first.size", thousandths)).select(F.col("first.node").alias("u"), F.col("node").alias("v")).distinct()
-    joined = joined.unionByName(written(verified(pairs, texts, thousandths, shingle), "similar"))
-
-    roots = written(components(joined), "roots")
+    roots = written(components(_as_edges(roots).unionByName(verified(pairs, texts, thousandths, shingle))), "roots")
     met = blocks(rooted(active, roots), chunk_texts, chunk_shingles).join(texts.hint("merge"), "node")
     dealt = met.repartition("bucket", "a", "b").sortWithinPartitions("bucket", "a", "b").select("bucket", "a", "b", "side", "node", "root", "text")
-    more = written(dealt.mapInArrow(_block_links(thousandths, shingle), "u long, v long"), "similar")
-    return roots.select(F.col("node").alias("u"), F.col("root").alias("v")).unionByName(more)
+    return _as_edges(roots).unionByName(dealt.mapInArrow(_block_links(thousandths, shingle), "u long, v long"))
 
 
 def drop_similar(
