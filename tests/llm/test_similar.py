@@ -158,6 +158,5 @@ def test_steps_write_as_many_files_as_their_rows_ask_for(spark):
     files: dict[str, list[int]] = {}
     for step in sorted(set(folder.iterdir()) - before):
         files.setdefault(step.name.rsplit("-", 1)[0], []).append(len(list(step.glob("*.parquet"))))
-    assert all(n <= 4 for n in files["roots"])
-    # Of each search for components only the links as they come have more.
-    assert sum(n > 4 for n in files["edges"]) <= 3 and "similar" not in files
+    assert all(n <= 4 for step in ("nodes", "distinct-fingerprints", "edges", "roots") for n in files[step])
+    assert "similar" not in files

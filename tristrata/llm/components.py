@@ -34,12 +34,14 @@ def _state(edges: DataFrame) -> tuple:
         F.count("*"), F.sum(F.shiftright(F.xxhash64("u", "v"), 16)), F.sum(F.shiftright(F.xxhash64("v", "u"), 16))).first())
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, at_most: int | None = None) -> DataFrame:
     """One row ``(node, root)`` per node of ``edges`` (columns ``u``, ``v``); ``root`` is the smallest node it reaches.
 
-    Loops and repeated edges are allowed; edges with a null end are ignored. No edges give no rows.
+    Loops and repeated edges are allowed; edges with a null end are ignored. No edges give no rows. ``at_most`` tells
+    about how many edges there can be, if that is known; it only settles in how many files they are written first.
     """
-    edges = written(edges.select("u", "v").filter("u is not null and v is not null and u <> v").distinct(), "edges")
+    edges = edges.select("u", "v").filter("u is not null and v is not null and u <> v").distinct()
+    edges = written(edges if at_most is None else few_files(edges, at_most), "edges")
     before = _state(edges)
     while True:
         edges = written(few_files(_small_star(_large_star(edges)).filter("u <> v").distinct(), before[0]), "edges")

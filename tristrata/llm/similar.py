@@ -209,7 +209,7 @@ def similar_links(found: DataFrame, docs: DataFrame, thousandths: int, shingle:
     texts = written(texts.join(wanted.hint("merge"), "text_key").select("node", "text"), "candidate-texts")
 
     # Links found go straight to the components, and what these join stands for them in the next step.
-    roots = written(components(verified(near, texts, thousandths, shingle)), "roots")
+    roots = written(components(verified(near, texts, thousandths, shingle), near.count()), "roots")
 
     def rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
         return rows.join(roots.hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
@@ -219,7 +219,8 @@ def similar_links(found: DataFrame, docs: DataFrame, thousandths: int, shingle:
     placed = rooted(active, roots)
     star = placed.join(placed.groupBy("bucket").agg(first).hint("merge"), "bucket").filter("node > first.node and root <> first.root")
     pairs = star.filter(_fitting("size", "first.size", thousandths)).select(F.col("first.node").alias("u"), F.col("node").alias("v")).distinct()
-    roots = written(components(_as_edges(roots).unionByName(verified(pairs, texts, thousandths, shingle))), "roots")
+    links = _as_edges(roots).unionByName(verified(pairs, texts, thousandths, shingle))
+    roots = written(components(links, active.count() + roots.count()), "roots")
     met = blocks(rooted(active, roots), chunk_texts, chunk_shingles).join(texts.hint("merge"), "node")
     dealt = met.repartition("bucket", "a", "b").sortWithinPartitions("bucket", "a", "b").select("bucket", "a", "b", "side", "node", "root", "text")
     return _as_edges(roots).unionByName(dealt.mapInArrow(_block_links(thousandths, shingle), "u long, v long"))
@@ -240,7 +241,8 @@ def drop_similar(
     found = written(sketches(docs, shingle, id_column, text_column), "sketches")
     edges = similar_links(found, docs, round(1000 * similarity), shingle, text_column, chunk_texts, chunk_shingles, radius)
     nodes = found.groupBy("node").agg(F.min("doc_id").alias("least_id"))
-    placed = nodes.join(components(edges).hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # Links of a few blocks for each text, which are as many as its bands at most.
+    placed = nodes.join(components(edges, found.count() * BANDS).hint("merge"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = placed.groupBy("root").agg(F.min("least_id").alias("component_id"))
     named = placed.join(least.hint("merge"), "root").select("node", "component_id")
     leaving = found.select("doc_id", "text_key", "node").join(named.hint("merge"), "node").filter(~F.col("doc_id").eqNullSafe(F.col("component_id")))
